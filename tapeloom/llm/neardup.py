@@ -25,15 +25,16 @@ from . import common as C
 
 MINIMA, ROWS, BITS = 64, 4, 4
 BANDS = MINIMA // ROWS
-LANES = 0x1111111111111111
 #: An estimate this far (about six standard deviations at 64 minima) below the threshold rules a pair out.
 MARGIN = 0.28
+#: Members of undecided buckets get a longer signature of two bits a minimum, whose estimate is that much sharper.
+SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 1024, 2, 0.07
 #: Comparisons of packed signatures in one residual round: for each class representative, and at least.
 PAIRS_PER_ROW, PAIRS_LEAST = 64, 4_000_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
+_A = _rng.integers(0, 2**63, SHARP_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, SHARP_MINIMA, dtype=np.uint64)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +55,47 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(owner, minlength=len(texts))
 
 
+def _minima(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    out = np.empty((len(starts), n), np.uint64)
+    for k in range(n):
+        out[:, k] = np.minimum.reduceat(values * _A[k] + _B[k], starts)
+    return out
+
+
+def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of each minimum, packed into longs."""
+    low, per = minima & np.uint64(2**bits - 1), 64 // bits
+    packed = np.zeros((len(minima), minima.shape[1] // per), np.uint64)
+    for j in range(per):
+        packed |= low[:, j::per] << np.uint64(bits * j)
+    return packed.view(np.int64)
+
+
 def _signatures(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """For texts with shingles: set hash (two longs), band keys and packed low bits."""
     starts = np.cumsum(counts) - counts
-    minima = np.empty((len(counts), MINIMA), np.uint64)
-    for k in range(MINIMA):
-        minima[:, k] = np.minimum.reduceat(values * _A[k] + _B[k], starts)
+    minima = _minima(values, starts, MINIMA)
     one = np.add.reduceat(C.mix(values + np.uint64(1)), starts) + counts.astype(np.uint64)
     two = np.add.reduceat(C.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
     keys = C.mix(minima[:, 0::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
     for r in range(1, ROWS):
         keys = C.mix(keys * np.uint64(3) + minima[:, r::ROWS])
-    low = minima & np.uint64(2**BITS - 1)
-    per = 64 // BITS
-    packed = np.zeros((len(counts), MINIMA // per), np.uint64)
-    for j in range(per):
-        packed |= low[:, j::per] << np.uint64(BITS * j)
-    return one.view(np.int64), two.view(np.int64), keys.view(np.int64), packed.view(np.int64)
+    return one.view(np.int64), two.view(np.int64), keys.view(np.int64), _packed(minima, BITS)
+
+
+def _sharpen(n: int):
+    def sharpen(batches):
+        for batch in batches:
+            texts = C.encoded(batch.column(1).to_pylist())
+            for a, b in C.in_batches(texts, 1 << 20):
+                values, counts = shingle_sets(texts[a:b], n)
+                has = counts > 0
+                each = counts[has]
+                if len(each):
+                    rows = _packed(_minima(values, np.cumsum(each) - each, SHARP_MINIMA), SHARP_BITS)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(has)), _lists(rows, np.ones(len(rows), bool))], names=["id", "sharp"])
+
+    return sharpen
 
 
 _SIG_SCHEMA = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sig array<long>"
@@ -121,17 +146,21 @@ def _confirm(n: int, per_cent: int):
     return confirm
 
 
-def estimated(x: Column, y: Column) -> Column:
+def estimated(x: Column, y: Column, minima: int = MINIMA, bits: int = BITS) -> Column:
     """Similarity estimated from two packed signatures: equal lanes, corrected for those that agree by chance."""
+    lanes = sum(1 << (bits * j) for j in range(64 // bits))
+    lanes -= (1 << 64) if lanes >> 63 else 0
+
     def unequal(i: int) -> Column:
-        d = x[i].bitwiseXOR(y[i])
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
-        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
-        return F.bit_count(d.bitwiseAND(F.lit(LANES)))
+        d, shift = x[i].bitwiseXOR(y[i]), 1
+        while shift < bits:
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+            shift *= 2
+        return F.bit_count(d.bitwiseAND(F.lit(lanes).cast("long")))
 
-    differ = reduce(lambda p, q: p + q, (unequal(i) for i in range(MINIMA * BITS // 64)))
-    chance = 2.0**-BITS
-    return (1.0 - differ / float(MINIMA) - chance) / (1.0 - chance)
+    differ = reduce(lambda p, q: p + q, (unequal(i) for i in range(minima * bits // 64)))
+    chance = 2.0**-bits
+    return (1.0 - differ / float(minima) - chance) / (1.0 - chance)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -203,7 +232,11 @@ class _Linker:
         by = self.labelled(self.members, labels).groupBy("key", "comp").agg(F.count("*").alias("n"))
         top = by.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
         rows = self.labelled(self.members, labels).join(top.drop("comps"), "key")
-        self.members = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")).join(self.sigs, "id"), "open")
+        rows = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")), "open")
+        texts = C.only_ids(self.docs, rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+        sharp = texts.mapInArrow(_sharpen(self.n), "id long, sharp array<long>").dropDuplicates(["id"])
+        self.sigs = C.stored(self.sigs.join(sharp, "id"), "sharp")
+        self.members = rows
 
     def still_open(self, labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
@@ -215,10 +248,10 @@ class _Linker:
 
         Odd members with a lower hash had their turn before; members that aren't odd are connected to each other.
         """
-        rows = open_.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20))
-        x = rows.where(F.col("odd") & (F.col("turn") >= low) & (F.col("turn") < high)).select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"))
-        y = rows.where(~F.col("odd") | (F.col("turn") >= low)).select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sig").alias("sy"), (F.col("odd") & (F.col("turn") < high)).alias("also"))
-        near = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor))
+        rows = open_.join(self.sigs, "id").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20))
+        x = rows.where(F.col("odd") & (F.col("turn") >= low) & (F.col("turn") < high)).select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"), F.col("sharp").alias("px"))
+        y = rows.where(~F.col("odd") | (F.col("turn") >= low)).select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sig").alias("sy"), F.col("sharp").alias("py"), (F.col("odd") & (F.col("turn") < high)).alias("also"))
+        near = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor) & (estimated(F.col("px"), F.col("py"), SHARP_MINIMA, SHARP_BITS) >= self.per_cent / 100 - SHARP_MARGIN))
         return self.confirmed(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
