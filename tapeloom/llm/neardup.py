@@ -235,7 +235,7 @@ class _Linker:
         rows = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")), "open")
         texts = C.only_ids(self.docs, rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
         sharp = texts.mapInArrow(_sharpen(self.n), "id long, sharp array<long>").dropDuplicates(["id"])
-        self.sigs = C.stored(self.sigs.join(sharp, "id"), "sharp")
+        self.sigs = C.stored(self.reps.select(F.col("doc_id").alias("id"), "sig", "bands").join(sharp, "id"), "sharp")
         self.members = rows
 
     def still_open(self, labels: DataFrame) -> DataFrame:
@@ -247,11 +247,12 @@ class _Linker:
         """Compares the odd members whose hash lies in [low, high) of all with all members of other components.
 
         Odd members with a lower hash had their turn before; members that aren't odd are connected to each other.
+        A pair that shares several buckets comes from the one with the smallest key.
         """
         rows = open_.join(self.sigs, "id").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20))
-        x = rows.where(F.col("odd") & (F.col("turn") >= low) & (F.col("turn") < high)).select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"), F.col("sharp").alias("px"))
-        y = rows.where(~F.col("odd") | (F.col("turn") >= low)).select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sig").alias("sy"), F.col("sharp").alias("py"), (F.col("odd") & (F.col("turn") < high)).alias("also"))
-        near = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor) & (estimated(F.col("px"), F.col("py"), SHARP_MINIMA, SHARP_BITS) >= self.per_cent / 100 - SHARP_MARGIN))
+        x = rows.where(F.col("odd") & (F.col("turn") >= low) & (F.col("turn") < high)).select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"), F.col("sharp").alias("px"), F.col("bands").alias("bx"))
+        y = rows.where(~F.col("odd") | (F.col("turn") >= low)).select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sig").alias("sy"), F.col("sharp").alias("py"), F.col("bands").alias("by"), (F.col("odd") & (F.col("turn") < high)).alias("also"))
+        near = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor) & (estimated(F.col("px"), F.col("py"), SHARP_MINIMA, SHARP_BITS) >= self.per_cent / 100 - SHARP_MARGIN) & (F.array_min(F.array_intersect("bx", "by")) == x["key"]))
         return self.confirmed(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
