@@ -85,8 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = rows.withColumn("same", F.xxhash64("t")).drop("t").withColumn("g", _grams(F.col("h"), F.col("n"), GRAM))
     whole = [_whole_grams(k) for k in shorts]
     tagged = F.concat(F.array(F.lit(None).cast("bigint")), _winnowed(F.col("g"), WINDOW), *whole)
-    rows = rows.withColumn("probes", tagged)  # apart from the explode, which then runs in generated code
-    probed = rows.select("id", "same", "n", "words", "g", F.explode("probes").alias("probe")).join(prints, F.col("probe") == F.col("fp"), "left").where("item is not null or probe is null")
+    probed = rows.select("id", "same", "n", "words", "g", F.explode(tagged).alias("probe")).join(prints, F.col("probe") == F.col("fp"), "left").where("item is not null or probe is null")
     none = F.array().cast("array<int>")
     starts = F.when(F.col("item").isNull(), none).when(F.col("kind") == 0, _long_starts(F.col("words"), F.col("n"), F.col("g"), F.col("fp"), F.col("at"), F.col("iwords"))).otherwise(_short_starts())
     width = F.when(F.col("kind") == 0, F.lit(SPAN)).otherwise(F.col("kind"))
