@@ -165,12 +165,12 @@ def encoded(texts: list) -> list[bytes]:
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def in_batches(texts: list[bytes], most: int = 2 << 20):
-    """Index ranges of consecutive texts of about ``most`` bytes together."""
+def in_batches(texts: list[bytes], most: int = 2 << 20, count: int = 20_000):
+    """Index ranges of consecutive texts: about ``most`` bytes together, ``count`` texts at most."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t) + 1
-        if held >= most:
+        if held >= most or i + 1 - begin >= count:
             yield begin, i + 1
             begin, held = i + 1, 0
     if begin < len(texts):

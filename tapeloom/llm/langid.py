@@ -24,17 +24,20 @@ from . import common as C
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
-_SPAN = 1 << 24
+#: Three-grams are hashed to this many codes, so a worker's tables stay at a few MB; shorter ones are exact.
+_SPAN = 1 << 21
+_CODES = _SPAN + (1 << 16) + 256
 _at: list = []
 
 
 def _grams(text: bytes) -> np.ndarray:
-    """Distinct codes of the text's 1-, 2- and 3-grams: lengths apart, in 25 bits."""
+    """Distinct codes of the text's 1-, 2- and 3-grams, lengths apart."""
     if not _at:
-        _at.append(np.zeros(_SPAN + (1 << 16) + 256, np.int32))  # where a code was seen last; never cleared
+        _at.append(np.zeros(_CODES, np.int32))  # where a code was seen last; never cleared
     b = np.frombuffer(text, np.uint8).astype(np.int32)
     two = (b[:-1] << 8) | b[1:]
-    codes = np.concatenate((((two[:-1] << 8) | b[2:]), two + _SPAN, b + (_SPAN + (1 << 16)))) if len(b) > 1 else b + (_SPAN + (1 << 16))
+    three = ((((two[:-1] << 8) | b[2:]).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(11)).astype(np.int32)
+    codes = np.concatenate((three, two + _SPAN, b + (_SPAN + (1 << 16)))) if len(b) > 1 else b + (_SPAN + (1 << 16))
     order = np.arange(len(codes), dtype=np.int32)
     _at[0][codes] = order
     return codes[_at[0][codes] == order]
@@ -57,7 +60,7 @@ class Model:
         return presence @ self.weights / norm[:, None] + self.bias
 
     def lookup(self) -> np.ndarray:
-        out = np.full(_SPAN + (1 << 16) + 256, -1, np.int32)
+        out = np.full(_CODES, -1, np.int32)
         out[self.codes] = np.arange(len(self.codes))
         return out
 

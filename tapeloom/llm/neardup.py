@@ -87,7 +87,7 @@ def _sharpen(n: int):
     def sharpen(batches):
         for batch in batches:
             texts = C.encoded(batch.column(1).to_pylist())
-            for a, b in C.in_batches(texts, 1 << 20):
+            for a, b in C.in_batches(texts, 1 << 20, 1000):
                 values, counts = shingle_sets(texts[a:b], n)
                 has = counts > 0
                 each = counts[has]
