@@ -29,7 +29,7 @@ def _tidy(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
     for c in df:
         kinds = set(map(type, df[c].dropna()))
-        if df[c].dtype.kind == "f" or any(k.__name__ == "Decimal" for k in kinds):
+        if pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c]) or any(k.__name__ == "Decimal" for k in kinds):
             df = df.assign(**{c: df[c].astype(float)})
         else:
             df = df.assign(**{c: df[c].map(lambda x: "" if x is None or x is pd.NaT else str(pd.Timestamp(x)) if hasattr(x, "year") else str(x))})
