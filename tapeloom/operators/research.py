@@ -64,7 +64,7 @@ def _turnover(p: Plan) -> Plan:
 
 
 def _summary(source: str = "bt", key: str = "feature") -> str:
-    return f"SELECT {key}, count(rank_ic) AS n_ts, avg(rank_ic) AS ic_mean, stddev_samp(rank_ic) AS ic_std, {div('avg(rank_ic)', 'stddev_samp(rank_ic)')} AS ir, {div('avg(rank_ic)', 'stddev_samp(rank_ic)')} * sqrt(count(rank_ic)) AS t_stat, avg(CASE WHEN rank_ic > 0 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END) AS hit_rate, avg(spread) AS spread_mean FROM {source} GROUP BY {key}"
+    return f"SELECT {key}, count(rank_ic) AS n_ts, avg(rank_ic) AS ic_mean, stddev_samp(rank_ic) AS ic_std, {div('avg(rank_ic)', 'stddev_samp(rank_ic)')} AS ir, {div('avg(rank_ic)', 'stddev_samp(rank_ic)')} * sqrt(count(rank_ic)) AS t_stat, avg(CASE WHEN round(rank_ic, 10) > 0 THEN 1.0 WHEN rank_ic IS NOT NULL THEN 0.0 END) AS hit_rate, avg(spread) AS spread_mean FROM {source} GROUP BY {key}"
 
 
 def scores() -> Plan:
