@@ -247,6 +247,6 @@ def plans() -> dict[str, Plan]:
 
 def stateful() -> dict:
     """Path-dependent operators, run as ordered folds (see folds)."""
-    from . import folds
+    from . import costaware, folds
 
-    return folds.queries()
+    return folds.queries() | costaware.queries()

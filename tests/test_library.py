@@ -10,7 +10,7 @@ import pytest
 
 from tapeloom import queries as library
 from tapeloom.functions import features
-from tapeloom.operators import folds
+from tapeloom.operators import costaware, folds
 from tapeloom.streaming.bars import tick_bars
 
 DATA = "/root/testdata/sf0.001"
@@ -63,6 +63,30 @@ def test_policy_keeps_buffered_names_and_respects_gross():
     assert out["b"] == ("universe_removed", 0.0) and out["x"] == ("entry", 0.5)
 
 
+def test_cost_aware_policy_weighs_edge_against_cost():
+    p = costaware.Limits(target_count=2, cost=10.0, edge_per_score=100.0, name_cap=0.5, turnover=None)
+    held = {"a": folds.Held(0.5, 3), "b": folds.Held(0.5, 3)}
+    out = costaware.decide({"x": {"score": 0.35}, "a": {"score": 0.3}, "b": {"score": 0.05}}, held, p)
+    assert out["a"][:2] == ("hold", 0.5) and out["b"][:2] == ("exit", 0.0) and out["x"][:2] == ("entry", 0.5)
+    assert out["x"][2] == pytest.approx(25.0)
+    assert costaware.decide({}, held, p) == {n: ("universe_removed", 0.0, None) for n in "ab"}
+    assert costaware.decide({}, {}, p) == {}
+
+
+def test_cost_aware_policy_keeps_its_budget():
+    p = costaware.Limits(target_count=2, cost=0.0, name_cap=0.5, turnover=0.4, band=0.0)
+    held = {"a": folds.Held(0.5, 3), "b": folds.Held(0.5, 3)}
+    out = costaware.decide({"x": {"score": 0.9}, "y": {"score": 0.8}, "a": {"score": 0.1}, "b": {"score": 0.2}}, held, p)
+    assert {n: round(w, 9) for n, (_, w, _) in out.items()} == {"a": 0.3, "b": 0.5, "x": 0.2, "y": 0.0}
+    assert out["y"][0] == "turnover_budget_limited"
+
+
+def test_cost_aware_query_stays_within_limits(spark):
+    out = library.queries()["policy_cost_aware"](spark, DATA).toPandas()
+    assert set(out.run_id) == set(costaware.RUNS) and out.target_weight.min() >= -1e-9
+    assert out.groupby(["run_id", "bar_time"]).target_weight.sum().max() <= 1 + 1e-6
+
+
 def _bar(time, name, price, target=None, **more):
     return {"exec_time": time, "instrument_id": name, "trade_date": time // 10, "open_price": price, "close_price": price, "capacity": 1e9, "tradable_bar": True, "limit_up_open": False, "limit_down_open": False, "target_weight": target} | more
 
