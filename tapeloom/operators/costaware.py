@@ -142,5 +142,5 @@ def targets(scored: DataFrame, runs: dict[str, Limits]) -> DataFrame:
 
 
 def queries() -> dict:
-    scored = research.scores().then("out", "SELECT bar_time, instrument_id, score FROM scored WHERE score_rank <= 50")
+    scored = research.scores().then("out", "SELECT bar_time, instrument_id, score FROM scored")
     return {"policy_cost_aware": lambda spark, d: targets(scored.over(spark, d), RUNS)}

@@ -364,7 +364,7 @@ def bh_qvalues(summary: DataFrame) -> DataFrame:
 
 
 def queries() -> dict:
-    scored = research.scores().then("out", "SELECT bar_time, instrument_id, score_rank, score FROM scored WHERE score_rank <= 50")
+    scored = research.scores().then("out", "SELECT bar_time, instrument_id, score_rank, score FROM scored")
     summary = research.by_timestamp().then("out", research._summary())
     return {
         "gate_hysteresis": lambda spark, d: _gated(gate_inputs().over(spark, d), GATES),

@@ -10,7 +10,7 @@ import pytest
 
 from tapeloom import queries as library
 from tapeloom.functions import features
-from tapeloom.operators import costaware, folds
+from tapeloom.operators import costaware, folds, research
 from tapeloom.streaming.bars import tick_bars
 
 DATA = "/root/testdata/sf0.001"
@@ -119,6 +119,36 @@ def test_policy_query_stays_within_limits(spark):
     assert len(out) and gross.max() <= 1 + 1e-6 and (out.target_weight >= -1e-9).all()
 
 
+def _held_after(out, held, weight):
+    return {n: folds.Held(x[weight], held[n].bars + 1 if n in held else 0) for n, x in out.items() if x[weight] > 1e-12}
+
+
+def test_policies_see_all_names(spark):
+    """Every scored name of a wide cross-section reaches the decision, held ones at any rank."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    rows = research.scores().then("out", "SELECT bar_time, instrument_id, score_rank, score FROM scored").over(spark, data).toPandas()
+    assert rows.score_rank.max() > 50
+    times = [(t, [(r.instrument_id, r.score_rank, r.score) for r in g.itertuples()]) for t, g in rows.groupby("bar_time")]
+    q, late = library.queries(), 0
+    for name, runs in (("policy_rank_buffer", ("rank_buffer", "slow")), ("hold_buffer", ("hold_buffer",)), ("policy_cost_aware", tuple(costaware.RUNS))):
+        want = {}
+        for run in runs:
+            held = {}
+            for t, g in times:
+                if name == "policy_cost_aware":
+                    out = costaware.decide({n: {"score": s} for n, _, s in g}, held, costaware.RUNS[run])
+                else:
+                    out = folds.decide({n: (k, s) for n, k, s in g}, held, folds.POLICIES[run])
+                rank = {n: k for n, k, _ in g}
+                late += sum(x[0] == "exit" and rank[n] > 50 for n, x in out.items())
+                want |= {(run, t, n): (x[0], x[1]) for n, x in out.items()}
+                held = _held_after(out, held, 1)
+        got = {(r.run_id, r.bar_time, r.instrument_id): (r.action, r.target_weight) for r in q[name](spark, data).toPandas().itertuples()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-8) for k in want)
+    assert late
+
+
 def test_execution_quality_is_a_recursion(spark):
     got = library.queries()["execution_quality"](spark, DATA).toPandas()
     rows = folds.quality_inputs().over(spark, DATA).toPandas().sort_values(["instrument_id", "bar_time"])
