@@ -18,7 +18,7 @@ def plans() -> dict[str, Plan]:
 
 
 def queries() -> dict:
-    return {n: p.over for n, p in plans().items()} | research.stateful()
+    return {n: p.over for n, p in (plans() | research.whole()).items()} | research.stateful()
 
 
 def oracle_sql() -> dict[str, str]:

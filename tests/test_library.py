@@ -149,6 +149,22 @@ def test_policies_see_all_names(spark):
     assert late
 
 
+def test_memory_pairs_all_parts(spark, tmp_path):
+    """Ids beyond 200, two families and missing values, against all pairs."""
+    rng = np.random.default_rng(5)
+    parts = [(int(i), f"b{rng.integers(4)}", int(rng.integers(5)), float(rng.integers(0, 8000)) / 100) for i in rng.permutation(np.arange(1, 4000, 13))]
+    parts += [(4001, None, 1, 12.0), (4002, None, 1, 14.0), (4003, "b1", None, 30.0), (4004, "b1", None, 34.99), (4005, "b1", None, 35.0), (4006, "b1", 2, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    want = {}
+    for i, (a, f, k, x) in enumerate(parts):
+        for b, g, m, y in parts[i + 1 :]:
+            s = 0.3 * (f is not None and f == g) + 0.15 * (k is not None and k == m) + 0.25 * (x is not None and y is not None and abs(x - y) < 5)
+            if s >= 0.35:
+                want[min(a, b), max(a, b)] = round(s, 6)
+    got = library.queries()["research_memory"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.a, r.b): round(r.similarity, 6) for r in got} == want
+
+
 def test_execution_quality_is_a_recursion(spark):
     got = library.queries()["execution_quality"](spark, DATA).toPandas()
     rows = folds.quality_inputs().over(spark, DATA).toPandas().sort_values(["instrument_id", "bar_time"])
