@@ -5,7 +5,7 @@ boosted depth-two trees score them by format and context features, and a thresho
 selects.  The trees learn from weak labels: does a proposed span overlap a valid base span of its kind?  All
 features are small integers, so the training data is one aggregate of feature combinations with their label counts
 (at most FEATURE_SPACE rows, whatever the input), from a sample whose bound is a parameter.  The fitted trees are
-compiled to CASE expressions.
+compiled to CASE expressions; the thresholds come from their scores of the candidates of all documents.
 """
 
 from __future__ import annotations
@@ -195,12 +195,8 @@ def _best_split(x, g, h, rows):
     return best
 
 
-def fit_trees(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cal_pos: np.ndarray, cal_neg: np.ndarray) -> Trees:
-    """Boosting on feature combinations with label counts; thresholds from other counts of the same rows.
-
-    A generator's threshold is the lowest whose selection is right for PRECISION of its calibration candidates;
-    one without such a threshold selects nothing.
-    """
+def fit_trees(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Trees:
+    """Boosting on feature combinations with label counts; thresholds are still missing."""
     if not pos.sum() or not neg.sum():
         return Trees([], 0.0, {})
     names, trees = list(FEATURES), []
@@ -219,36 +215,48 @@ def fit_trees(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cal_pos: np.ndarr
         tree = grow(np.ones(len(x), bool), 2)
         trees.append(tree)
         margin = Trees(trees, bias, {}).margin(x)
+    return Trees(trees, bias, {})
+
+
+def calibrate(rows: list[tuple[int, float, int, int]]) -> dict[int, float]:
+    """Thresholds from (generator, margin, right, wrong) counts.
+
+    A generator's threshold is the lowest whose selection is right for PRECISION of its candidates; one without such
+    a threshold selects nothing.
+    """
     thresholds = {}
     for gen in range(len(KINDS)):
-        own = np.flatnonzero(x[:, 0] == gen)
-        own = own[np.argsort(-margin[own], kind="stable")]
-        levels, at = np.unique(-margin[own], return_inverse=True)
-        tp, fp = (np.cumsum(np.bincount(at, v[own], minlength=len(levels))) for v in (cal_pos, cal_neg))
-        good = np.flatnonzero((tp > 0) & (tp >= PRECISION * (tp + fp))) if len(own) else []
+        own = sorted(((m, p, n) for g, m, p, n in rows if g == gen), reverse=True)
+        tp, fp = (np.cumsum([r[i] for r in own]) for i in (1, 2))
+        good = np.flatnonzero((tp > 0) & (tp >= PRECISION * (tp + fp)))
         if len(good):
-            thresholds[gen] = float(-levels[good[-1]]) - 1e-9
-    return Trees(trees, bias, thresholds)
+            thresholds[gen] = own[good[-1]][0] - 1e-9
+    return thresholds
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Trees:
-    """Fits on about ``sample_docs`` documents, chosen by a hash of the id; half of them calibrate."""
+    """Fits on half of about ``sample_docs`` documents, chosen by a hash of the id; all documents calibrate."""
     share = max(1, docs.count() // max(1, sample_docs))
     h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.where(F.pmod(h, F.lit(share)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.pmod(F.shiftright(h, 40), F.lit(2)).alias("__half"))
     rows = C.stored(rows, "pii-sample")  # else filters inferred from the candidates run before the sampling
-    rows = _with_candidates(_with_base(rows)).select("__half", F.explode("__c").alias("c"))
-    fit, cal = F.col("__half") == 0, F.col("__half") == 1
-    table = rows.groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(
-        *(F.count_if(half & (F.col("c.known") == known)).alias(f"{name}{int(known)}") for name, half in (("fit", fit), ("cal", cal)) for known in (False, True))
-    )
+    rows = _with_candidates(_with_base(rows.where(F.col("__half") == 0))).select(F.explode("__c").alias("c"))
+    counts = [F.count_if(F.col("c.known") == known).alias(f"n{int(known)}") for known in (False, True)]
+    table = rows.groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(*counts)
     got = sorted(tuple(r) for r in table.collect())
     if not got:
         return Trees([], 0.0, {})
     a = np.array(got)
     k = len(FEATURES)
     x, n = a[:, :k].astype(int), a[:, k:].astype(float)
-    return fit_trees(x, n[:, 1], n[:, 0], n[:, 3], n[:, 2])
+    trees = fit_trees(x, n[:, 1], n[:, 0])
+    if not trees.trees:
+        return trees
+    every = _with_candidates(_with_base(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"))))
+    every = every.select(F.explode_outer("__c").alias("c"))  # an inner one would find the candidates twice, to filter
+    margins = every.groupBy(F.col("c.gen").alias("gen"), trees.column(F.col("c")).alias("margin")).agg(*counts)
+    trees.thresholds = calibrate([(r.gen, r.margin, r.n1, r.n0) for r in margins.collect() if r.gen is not None])
+    return trees
 
 
 # ---------------------------------------------------------------------------------------- operator

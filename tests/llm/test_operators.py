@@ -21,6 +21,7 @@ ODD = [
     "x" * 70_000, "é 日本 mañana \U0001f600 a@b.c", "same words again " * 60,
 ]
 WORD = re.compile(r"[^ \t-\r]+")
+KIND_IP = pii.KINDS.index("ip")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -220,6 +221,21 @@ def test_op10(spark, folder, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), sha(whole), zlib.crc32(whole[-64:]))
 
 
+def test_rare_kinds_are_calibrated(spark):
+    """Addresses outside the sample of about 30 documents get a threshold, and so further spans."""
+    ids = spark.range(600).selectExpr("id AS doc_id", "pmod(xxhash64(CAST(id AS STRING)), 20) = 0 AS sampled").toPandas()
+    rare = set(ids.doc_id[~ids.sampled][:3])
+    texts = [f"mail me{i}@site.org or not me{i} (at) site (dot) org please" + f" from 10.0.0.{i % 200} today" * (i in rare) for i in ids.doc_id]
+    docs = spark.createDataFrame(list(zip(ids.doc_id.tolist(), texts)), "doc_id long, text string")
+    assert KIND_IP in pii.learn(docs, sample_docs=30).thresholds
+    assert pii.learn(docs, sample_docs=30).thresholds.keys() == pii.learn(docs, sample_docs=600).thresholds.keys()
+
+
+def test_thresholds_reach_the_precision():
+    assert pii.calibrate([(1, 0.5, 95, 5), (1, 0.9, 10, 0), (1, 0.1, 0, 50), (2, 0.3, 0, 4)]) == {1: 0.5 - 1e-9}
+    assert pii.calibrate([]) == {}
+
+
 def _runs(docs, bench):
     word, byte, ranks = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
     yield pii.personal_data(docs)
