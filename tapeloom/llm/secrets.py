@@ -119,7 +119,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if "eyJ" in text:
         out += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in _B64.finditer(text):
-        if m[0].startswith(("MI", "MH", "MC", "MG", "MF", "ME")) and is_private_der(unbase64(m[0])):
+        if m[0].startswith("M") and is_private_der(unbase64(m[0])):
             out.append(("der", m.start(), m.end()))
         elif m[0].startswith("b3BlbnNza") and is_key_blob(unbase64(m[0])):
             out.append(("blob", m.start(), m.end()))

@@ -1,5 +1,6 @@
 """The registered queries of the corpus operators against brute force on a small table with awkward rows."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -221,6 +222,17 @@ def test_op10(spark, folder, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), sha(whole), zlib.crc32(whole[-64:]))
 
 
+@pytest.mark.parametrize("size", [25, 33, 44, 60, 70, 90, 110, 125, 190, 900, 70_000])
+def test_bare_keys_of_every_length(size):
+    """A key without armour, with the lengths of its sequence in every form and leading digit."""
+    def item(tag, b):
+        n = len(b)
+        return bytes([tag, n] if n < 128 else [tag, 0x80 + (k := (n.bit_length() + 7) // 8)]) + (n.to_bytes(k, "big") if n >= 128 else b"") + b
+    text = base64.b64encode(item(0x30, b"\2\1\1" + item(4, bytes(i * 37 % 251 for i in range(size - 7))))).decode()
+    assert ("der", 4, 4 + len(text)) in secrets.find(f"key {text} end")
+    assert not any(k == "der" for k, _, _ in secrets.find(f"key M{text[2:]} end"))
+
+
 def test_rare_kinds_are_calibrated(spark):
     """Addresses outside the sample of about 30 documents get a threshold, and so further spans."""
     ids = spark.range(600).selectExpr("id AS doc_id", "pmod(xxhash64(CAST(id AS STRING)), 20) = 0 AS sampled").toPandas()
