@@ -263,9 +263,16 @@ def memory() -> Plan:
     return p.then("out", "SELECT a, b, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM (SELECT * FROM fl UNION ALL SELECT * FROM fp UNION ALL SELECT * FROM lp) s WHERE similarity >= 0.35")
 
 
+def overlay() -> Plan:
+    """Every scored row, blended with its satellite score's rank among the rows that have one; 0.5 where it is missing."""
+    second = f"CASE WHEN zscore IS NOT NULL THEN {pct_rank('zscore', 'bar_time, (zscore IS NULL)')} END"
+    p = scores().then("bl", f"SELECT *, {pct_rank('score', 'bar_time')} AS p1, {second} AS p2 FROM scored")
+    return _final(p, "bl", "bar_time", "instrument_id", score="0.7 * p1 + 0.3 * coalesce(p2, 0.5)")
+
+
 def whole() -> dict[str, Plan]:
     """Queries whose plan above, and so the SQL they are compared with, holds only a part of the job."""
-    return {"research_memory": memory()}
+    return {"overlay_blend": overlay(), "research_memory": memory()}
 
 
 def stateful() -> dict:

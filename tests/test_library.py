@@ -165,6 +165,18 @@ def test_memory_pairs_all_parts(spark, tmp_path):
     assert len(got) == len(want) and {(r.a, r.b): round(r.similarity, 6) for r in got} == want
 
 
+def test_overlay_blends_all_rows(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    rows = research.scores().then("out", "SELECT bar_time, instrument_id, score, zscore FROM scored").over(spark, data).toPandas()
+    by = rows.groupby("bar_time")
+    assert by.size().max() > 20
+    want = 0.7 * by.score.rank(pct=True) + 0.3 * by.zscore.rank(pct=True).fillna(0.5)
+    want = dict(zip(zip(rows.bar_time, rows.instrument_id), want))
+    got = library.queries()["overlay_blend"](spark, data).toPandas()
+    assert len(got) == len(want)
+    assert all(math.isclose(want[r.bar_time, r.instrument_id], r.score, abs_tol=2e-6) for r in got.itertuples())
+
+
 def test_execution_quality_is_a_recursion(spark):
     got = library.queries()["execution_quality"](spark, DATA).toPandas()
     rows = folds.quality_inputs().over(spark, DATA).toPandas().sort_values(["instrument_id", "bar_time"])
