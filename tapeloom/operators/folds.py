@@ -1,12 +1,13 @@
 """Path-dependent operators as ordered folds: gate hysteresis, rank-buffer policy, execution simulation, EWM.
 
-Each fold runs once for every run (a scenario or parameter set) or instrument, as a grouped map; runs are independent
-and spread over executors, time within one can't be.  What a task holds is one run's rows: timestamps for gates, the
-bars of names that were ever a target for the simulator.  The steps themselves are small functions over plain values.
+Each fold runs once for every run (a scenario or parameter set) or instrument; runs are independent and spread over
+executors, time within one can't be.  A run's rows come in order from a sorted iterator, so policies and the simulator
+hold one timestamp and the holdings.  The steps themselves are small functions over plain values.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -19,16 +20,28 @@ from ..functions.expr import div, lead, mean, quantile
 from ..plans.sql import Plan
 from . import research
 
+#: Output rows of a fold that are handed to Spark together.
+BATCH = 10_000
+
 
 def folded(df: DataFrame, key: str, order: list[str], step: Callable[[str, Iterator[dict]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Feeds the rows of each key, in order, to ``step``, which yields output rows."""
+    """Feeds the rows of each key, in order, to ``step``, which yields output rows.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        return pd.DataFrame(list(step(pdf[key].iloc[0], iter(pdf.to_dict("records")))), columns=[c.split()[0] for c in schema.split(", ")])
+    Spark sorts; the rows come one after another from small batches, so a task holds no more than what the step keeps.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for pdf in batches:
+            yield from pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for value, own in itertools.groupby(rows(batches), lambda r: r[key]):
+            out = iter(step(value, own))
+            while some := list(itertools.islice(out, BATCH)):
+                yield pd.DataFrame(some, columns=columns)
 
-    return df.groupBy(key).applyInPandas(one, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def each_run(df: DataFrame, runs: Iterable[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Library queries against DuckDB on the same tables, and folds against plain calculations."""
 
 import math
+import operator
 from pathlib import Path
 
 import duckdb
@@ -177,6 +178,23 @@ def test_overlay_blends_all_rows(spark):
     assert all(math.isclose(want[r.bar_time, r.instrument_id], r.score, abs_tol=2e-6) for r in got.itertuples())
 
 
+def test_folds_take_rows_one_by_one(spark):
+    """A run's rows don't wait in a list, come in order, and runs that share a task stay apart."""
+    df = spark.range(60_000, numPartitions=4).selectExpr("CAST(id % 3 AS STRING) AS run_id", "50000 - id AS t")
+
+    def step(run, rows):
+        first = next(rows)
+        held = operator.length_hint(rows)  # rows that wait in a list
+        last, n, ordered = first["t"], 1, True
+        for r in rows:
+            ordered, last, n = ordered and r["t"] > last, r["t"], n + 1
+        yield run, n, held, ordered
+
+    got = folds.folded(df, "run_id", ["t"], step, "run_id string, n long, held long, ordered boolean").collect()
+    assert sorted((r.run_id, r.n, r.ordered) for r in got) == [(str(k), 20_000, True) for k in range(3)]
+    assert max(r.held for r in got) <= 10_000
+
+
 def test_execution_quality_is_a_recursion(spark):
     got = library.queries()["execution_quality"](spark, DATA).toPandas()
     rows = folds.quality_inputs().over(spark, DATA).toPandas().sort_values(["instrument_id", "bar_time"])
