@@ -22,9 +22,11 @@ GROUP_BYTES = 8 << 20
 
 # ---------------------------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder of the session's spark.checkpoint.dir; where that is unset, a local one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,13 +53,14 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def in_groups(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, more: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """Deals documents by a hash of their id into groups of about group_bytes of text: column ``g``, one shuffle.
+    """Deals documents by a hash of their id and text into groups of about group_bytes of text: column ``g``, one shuffle.
 
-    The number of groups follows the input, so a group's size doesn't.  Every later groupBy("g") or cogroup on
-    the result needs no further exchange, and repeated uses in one plan share this one.
+    The number of groups follows the input, so a group's size doesn't, and texts that share an id or lack one are
+    dealt apart.  Every later groupBy("g") or cogroup on the result needs no further exchange, and repeated uses in
+    one plan share this one.
     """
     n = max(1, math.ceil(text_bytes(docs, text_col) / group_bytes))
-    key = F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(0))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     g = F.pmod(key, F.lit(n)).cast("int")
     rows = docs.select(g.alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in (more or {}).items()))
     width = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -177,6 +180,83 @@ def in_batches(texts: list[bytes], most: int = 2 << 20, count: int = 20_000):
         yield begin, len(texts)
 
 
+# ---------------------------------------------------------------------------- exchanges between groups
+def cell_bits(groups: int) -> int:
+    """Groups split what they send by this many bits of a hash.
+
+    There are 4096 cells, so the rows sent grow with the groups alone.  Only beyond 4096 groups are cells as many as
+    groups; then rows get shorter, and as a group fills only as many cells as it has values, rows stay below values.
+    """
+    return max(12, (groups - 1).bit_length())
+
+
+def cell_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return ((values * _MUL) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def pack(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value as byte planes; those of sorted or small values compress well."""
+    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(b: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def unpacked(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed rows, and the number in each row."""
+    parts = [unpack(b, width) for b in column.to_pylist()]
+    return np.concatenate([np.empty(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with the sums of their numbers."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[cut], np.add.reduceat(n, cut)
+
+
+class Index:
+    """Positions of distinct values, by open addressing: whole arrays are looked up in a few vector operations."""
+
+    def __init__(self, values: np.ndarray):
+        self.bits = max(4, (2 * len(values)).bit_length())
+        self.slot = np.full((1 << self.bits) + len(values) + 1, -1, np.int32)
+        self.values = values
+        left, at = np.arange(len(values), dtype=np.int32), self._begin(values)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            again = self.slot[at] != left
+            left, at = left[again], at[again] + 1
+        self.held = np.zeros(len(self.slot), np.uint64)
+        used = self.slot >= 0
+        self.held[used] = values[self.slot[used]]
+
+    def _begin(self, x: np.ndarray) -> np.ndarray:
+        return ((x * _MUL) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The position of each value, -1 where it is absent."""
+        at = self._begin(x)
+        out = self.slot[at]
+        left = np.flatnonzero((out >= 0) & (self.held[at] != x))
+        at = at[left]
+        while len(left):
+            at += 1
+            got = self.slot[at]
+            out[left] = got
+            more = (got >= 0) & (self.held[at] != x[left])
+            left, at = left[more], at[more]
+        return out
+
+
 # ------------------------------------------------------------------------------- sorted value chunks
 def by_part(values: np.ndarray, part: np.ndarray, *others: np.ndarray):
     """Splits parallel arrays by part, sorted by value inside: yields (part, values, *others)."""

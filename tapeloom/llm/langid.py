@@ -6,23 +6,21 @@ finite features, on which one-versus-rest kernel ridge regression is solved.  Th
 presence vectors, so landmark vectors, Nyström map and dual weights are multiplied out once, and whole
 batches are scored by one matrix product.
 
-Fitting uses a bounded sample: at most ``per_language`` learning rows of a language and ``most_rows`` in all,
-those with the lowest id hashes.  Scoring reads every whole text in one pass without a shuffle.
+Fitting uses a bounded sample: at most ``per_language`` learning rows of a language and about ``most_rows`` in all, those
+with the lowest hashes of id and text; every language has one at least.  Scoring reads every whole text in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
-LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 #: Three-grams are hashed to this many codes, so a worker's tables stay at a few MB; shorter ones are exact.
 _SPAN = 1 << 21
@@ -91,6 +89,11 @@ def fit(texts: list[bytes], langs: list[str], landmarks: int = 128, ridge: float
     return Model(classes, codes, (p.T @ (root @ w[:-1])).astype(np.float32), w[-1].astype(np.float32))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L."""
+    return any(map(str.isalpha, text))
+
+
 def _prepared(text: str | None) -> bytes:
     return b"" if text is None else text.lower().encode("utf-8", "surrogatepass")
 
@@ -108,7 +111,7 @@ def _predict(shared):
                 part = batch.slice(a, 64)
                 texts = part.column(part.schema.get_field_index("__text")).to_pylist()
                 langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-                able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model is not None else []
+                able = [i for i, t in enumerate(texts) if t and has_letter(t)] if model is not None else []
                 if able:
                     v = model.decide([_prepared(texts[i]) for i in able], _tables["table"])
                     best = v.argmax(1)
@@ -120,33 +123,33 @@ def _predict(shared):
     return predict
 
 
-def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, most_rows: int) -> list:
-    """At most per_language learning rows of each language, most_rows in all: those with the lowest id hashes.
+def sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, most_rows: int, longest: int) -> list:
+    """At most per_language learning rows of each language, about most_rows in all: those with the lowest hashes.
 
-    Language counts (one small aggregate) give a hash threshold for each, so only about as many rows as are
-    wanted leave the executors.
+    Language counts (one small aggregate, a row for each language) give a hash threshold for each, rows that repeat a
+    text and an id count once, and ranking is done in Spark, so no more rows than are wanted leave the executors.  Texts of
+    more than ``longest`` characters are taken only where a language has too few others among those rows.
     """
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    h = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"))
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     each = min(per_language, max(1, most_rows // max(1, len(counts))))
-    share = reduce(lambda c, r: c.when(F.col("lang") == r["lang"], min(1.0, 1.3 * (each + 20) / r["count"])), counts[1:], F.when(F.col("lang") == counts[0]["lang"], min(1.0, 1.3 * (each + 20) / counts[0]["count"]))) if counts else F.lit(0.0)
-    picked = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share)
-    held: dict[str, list] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["h"], r["text"])):
-        if len(held.setdefault(r["lang"], [])) < each:
-            held[r["lang"]].append((r["text"], r["lang"]))
-    return [x for rows in held.values() for x in rows]
+    share = reduce(lambda c, r: c.when(F.col("lang") == r["lang"], min(1.0, 1.3 * (each + 20) / r["count"])), counts, F.when(F.lit(False), 0.0)) if counts else F.lit(0.0)
+    picked = rows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    ranked = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.char_length("text") > longest, "h")))
+    return [(r["text"], r["lang"]) for r in ranked.where(F.col("place") <= each).orderBy("lang", "place").select("text", "lang").collect()]
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, per_language: int = 250, most_rows: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None, per_language: int = 250, most_rows: int = 2000, longest: int = 50_000) -> DataFrame:
     """Appends lang_pred and score (0 to 1) to the columns ``keep`` (default: all) of every row.
 
     Learns from rows where ``learn`` holds and text and language aren't null; language, source and id are no inputs
     of a prediction.  Null text, text without a letter, and every text when there is nothing to learn from, is
     ``und`` with score 0.  Rows are independent: repeated rows get the same result.  Columns of docs named
-    lang_pred or score are replaced.
+    lang_pred or score are replaced.  ``per_language``, ``most_rows`` and ``longest`` bound the sample that the model is
+    fitted on (see ``sample``).
     """
-    rows = sample(docs, learn, id_col, text_col, lang_col, per_language, most_rows)
+    rows = sample(docs, learn, id_col, text_col, lang_col, per_language, most_rows, longest)
     model = fit([_prepared(t) for t, _ in rows], [x for _, x in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]

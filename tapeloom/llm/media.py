@@ -1,7 +1,8 @@
 """Telephony audio columns: mu-law, A-law and ADPCM samples in WAVE containers, decoded with numpy.
 
-mu-law and A-law expand by lookup tables.  IMA ADPCM blocks are independent, so all blocks of a batch are decoded
-together, one nibble position at a time.  Decoded PCM is resampled by linear interpolation and can be stored.
+mu-law and A-law expand by lookup tables.  IMA ADPCM blocks are independent, so all blocks of all texts of a batch are
+decoded together, one nibble position at a time.  Decoded PCM is resampled by linear interpolation and stored as a WAVE
+file of 16-bit samples.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from . import common as C
 
 RATE, BLOCK = 8000, 64
 #: WAVE format tags.
-FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
+FORMATS = {"pcm": 1, "alaw": 6, "mulaw": 7, "adpcm": 17}
+CODECS = ("mulaw", "alaw", "adpcm")
 
 
 def mulaw_table() -> np.ndarray:
@@ -65,15 +67,15 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def wave(codec: str, data: bytes) -> bytes:
-    """A mono WAVE file that stores the given code bytes unchanged."""
-    align, bits = (BLOCK, 4) if codec == "adpcm" else (1, 8)
+def wave(codec: str, data: bytes, sample_rate: int = RATE) -> bytes:
+    """A mono WAVE file that stores the given code bytes (16-bit samples for pcm) unchanged."""
     per = 2 * (BLOCK - 4) + 1
-    rate = RATE * BLOCK // per if codec == "adpcm" else RATE
-    more = struct.pack("<HH", 2, per) if codec == "adpcm" else struct.pack("<H", 0)
-    fmt = struct.pack("<HHIIHH", FORMATS[codec], 1, RATE, rate, align, bits) + more
-    samples = len(data) // BLOCK * per if codec == "adpcm" else len(data)
-    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"fact" + struct.pack("<II", 4, samples) + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+    align, bits, samples = {"adpcm": (BLOCK, 4, len(data) // BLOCK * per), "pcm": (2, 16, len(data) // 2)}.get(codec, (1, 8, len(data)))
+    rate = sample_rate * BLOCK // per if codec == "adpcm" else sample_rate * align
+    more = struct.pack("<HH", 2, per) if codec == "adpcm" else b"" if codec == "pcm" else struct.pack("<H", 0)
+    fmt = struct.pack("<HHIIHH", FORMATS[codec], 1, sample_rate, rate, align, bits) + more
+    fact = b"" if codec == "pcm" else b"fact" + struct.pack("<II", 4, samples)
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -97,13 +99,22 @@ def read_wave(media: bytes) -> tuple[str, bytes]:
     raise ValueError("no data")
 
 
-def decode(media: bytes) -> np.ndarray:
-    """16-bit PCM samples of a stored file."""
-    codec, data = read_wave(media)
-    codes = np.frombuffer(data, np.uint8)
-    if codec == "adpcm":
-        return decode_adpcm(codes.reshape(-1, BLOCK)).ravel()
-    return (MULAW if codec == "mulaw" else ALAW)[codes]
+def decode(media: list[bytes]) -> list[np.ndarray]:
+    """16-bit PCM samples of stored files; the ADPCM blocks of all of them are decoded at once."""
+    read = [read_wave(m) for m in media]
+    out: list = [None] * len(read)
+    blocks = [i for i, (codec, _) in enumerate(read) if codec == "adpcm"]
+    if blocks:
+        pcm = decode_adpcm(np.frombuffer(b"".join(read[i][1] for i in blocks), np.uint8).reshape(-1, BLOCK))
+        cuts = np.cumsum([len(read[i][1]) // BLOCK for i in blocks])[:-1]
+        for i, part in zip(blocks, np.split(pcm, cuts)):
+            out[i] = part.ravel()
+    for i, (codec, data) in enumerate(read):
+        if codec == "pcm":
+            out[i] = np.frombuffer(data, "<i2")
+        elif codec != "adpcm":
+            out[i] = (MULAW if codec == "mulaw" else ALAW)[np.frombuffer(data, np.uint8)]
+    return out
 
 
 def resample(pcm: np.ndarray, source: int = RATE, target: int = 2 * RATE) -> np.ndarray:
@@ -121,10 +132,10 @@ def resample(pcm: np.ndarray, source: int = RATE, target: int = 2 * RATE) -> np.
 
 
 def features(pcm: np.ndarray) -> str:
-    """Samples, peak, mean square (rounded down), sign changes, and a checksum of the resampled samples."""
+    """Samples, peak, mean square (rounded down) and sign changes."""
     wide = pcm.astype(np.int64)
     signs = np.signbit(pcm)
-    return f"n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};ms={int((wide * wide).sum() // max(1, len(pcm)))};zc={int((signs[1:] != signs[:-1]).sum())};pcm={zlib.crc32(resample(pcm).tobytes())}"
+    return f"n={len(pcm)};peak={int(np.abs(wide).max(initial=0))};ms={int((wide * wide).sum() // max(1, len(pcm)))};zc={int((signs[1:] != signs[:-1]).sum())}"
 
 
 def payload(text: bytes) -> bytes:
@@ -132,39 +143,49 @@ def payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % BLOCK if text else BLOCK)
 
 
-_FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+_FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pcm_bytes", pa.int64()), ("pcm_sha256", pa.string())]
+_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
-def _store(codec: str, with_media: bool):
-    fields = _FIELDS + ([("media", pa.binary()), ("pcm", pa.binary())] if with_media else [])
+def _store(codecs: tuple[str, ...], with_media: bool):
+    files = [(f"{x}_{c}", pa.binary()) for c in codecs for x in ("media", "pcm")] if with_media else []
+    fields = _FIELDS + files
+
+    def one(text: bytes, media: list[bytes], decoded: list[np.ndarray]) -> tuple:
+        back = [read_wave(m)[1] for m in media]
+        stored = [wave("pcm", resample(x).astype("<i2").tobytes(), 2 * RATE) for x in decoded]
+        whole, pcm = hashlib.sha256(), hashlib.sha256()
+        for m, p in zip(media, stored):
+            whole.update(m)
+            pcm.update(p)
+        described = ",".join(f"{c}:{features(x)}" for c, x in zip(codecs, decoded))
+        row = (len(text), len(back[0]), hashlib.sha256(back[0]).hexdigest(), zlib.crc32(back[0][-BLOCK:]), sum(map(len, media)), whole.hexdigest(), described, sum(map(len, stored)), pcm.hexdigest())
+        return row + (tuple(x for pair in zip(media, stored) for x in pair) if with_media else ())
 
     def store(batches):
         for batch in batches:
             ids, texts = batch.column(0), C.encoded(batch.column(1).to_pylist())
-            for a, b in C.in_batches(texts):
-                cols = [[] for _ in fields[1:]]
-                for t in texts[a:b]:
-                    media = wave(codec, payload(t))
-                    _, back = read_wave(media)
-                    pcm = decode(media)
-                    row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm))
-                    for col, v in zip(cols, row + ((media, resample(pcm).tobytes()) if with_media else ())):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, k) for c, (_, k) in zip(cols, fields[1:]))], names=[n for n, _ in fields])
+            for a, b in C.in_batches(texts, 1 << 20):
+                media = [[wave(c, payload(t)) for t in texts[a:b]] for c in codecs]
+                decoded = [decode(m) for m in media]
+                rows = zip(*(one(t, [m[i] for m in media], [d[i] for d in decoded]) for i, t in enumerate(texts[a:b])))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, k) for c, (_, k) in zip(rows, fields[1:]))], names=[n for n, _ in fields])
 
     return store
 
 
-def as_media(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
+def as_media(docs: DataFrame, codecs: tuple[str, ...] = CODECS, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """One row for each row of docs: the text's bytes stored as telephony samples, read back, decoded and described.
 
-    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and, with
-    ``with_media``, the stored file and its resampled 16-bit PCM.  ``codec``: mulaw, alaw or adpcm (blocks of 64
-    bytes).  Null text counts as empty, whose payload is 64 zero bytes.  Rows are independent, ids may be null or
+    Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes and
+    pcm_sha256.  ``codecs``: any of mulaw, alaw and adpcm (blocks of 64 bytes); the payload is read back from the first
+    one's file, the lengths and hashes of files (media_*, and pcm_* of the resampled 16-bit files) are of all codecs' files
+    in their order, and feature describes each.  With ``with_media`` the files themselves follow, as media_CODEC and
+    pcm_CODEC.  Null text counts as empty, whose payload is 64 zero bytes.  Rows are independent, ids may be null or
     repeat, and other columns of docs are ignored.
     """
-    if codec not in FORMATS:
-        raise ValueError(f"unknown codec {codec!r}")
+    if not codecs or not set(codecs) <= set(CODECS):
+        raise ValueError(f"unknown codec among {codecs!r}")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary, pcm binary" if with_media else "")
-    return rows.mapInArrow(_store(codec, with_media), schema).withColumnRenamed("doc_id", id_col)
+    schema = _SQL + "".join(f", media_{c} binary, pcm_{c} binary" for c in codecs if with_media)
+    return rows.mapInArrow(_store(tuple(codecs), with_media), schema).withColumnRenamed("doc_id", id_col)

@@ -54,7 +54,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.as_media(documents(spark, sf_dir), "mulaw")
+    return media.as_media(documents(spark, sf_dir))
 
 
 def queries() -> dict:

@@ -2,7 +2,8 @@
 
 Three base patterns report as they match.  Further candidates (base64 and hex runs, armoured keys, dotted tokens)
 are reported only when what they encode has the structure of a secret: a DER sequence whose nested lengths fit and
-that starts like a private key, a length-prefixed key blob, or a token header that is JSON with an algorithm.
+that starts like a private key, plain or encrypted, a length-prefixed key blob, or a token header that is JSON with an
+algorithm.  Every candidate is decoded; parsers decide, not prefixes.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+_CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{2})+)[ \t]*\r?$", re.M)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
@@ -73,11 +75,38 @@ def is_private_der(b: bytes | None) -> bool:
     if tags[1] == 2:
         return len(tags) >= 5 and all(t == 2 for t in tags[:5])
     if tags[1] == 0x30:
-        inner = der_items(b, items[1][1], items[1][2])
-        return bool(inner) and inner[0][0] == 6 and len(tags) > 2 and tags[2] == 4
+        return _is_algorithm(b, items[1]) and len(tags) > 2 and tags[2] == 4
     return tags[1] == 4
 
 
+def _is_algorithm(b: bytes, item: tuple[int, int, int]) -> bool:
+    inner = der_items(b, item[1], item[2])
+    return bool(inner) and inner[0][0] == 6 and inner[0][2] - inner[0][1] >= 3
+
+
+def is_encrypted_der(b: bytes | None) -> bool:
+    """Encrypted PKCS#8: a sequence of an algorithm with parameters and a string of at least one cipher block."""
+    if not b or len(b) < 20 or b[0] != 0x30:
+        return False
+    outer = der_items(b, 0, len(b))
+    items = der_items(b, outer[0][1], outer[0][2]) if outer and len(outer) == 1 else None
+    if not items or [t for t, _, _ in items] != [0x30, 4] or not _is_algorithm(b, items[0]):
+        return False
+    parts, n = der_items(b, items[0][1], items[0][2]), items[1][2] - items[1][1]
+    return len(parts) == 2 and parts[1][0] == 0x30 and bool(der_items(b, parts[1][1], parts[1][2])) and n >= 8 and n % 8 == 0
+
+
+def is_encrypted_body(head: str, b: bytes | None) -> bool:
+    """An armoured key with encryption headers: a cipher's start value, and whole blocks of that size."""
+    m = _CIPHER.search(head)
+    block = len(m[1]) // 2 if m and "Proc-Type:" in head and "ENCRYPTED" in head else 0
+    return block in (8, 16) and bool(b) and len(b) % block == 0
+
+
+def is_key(b: bytes | None) -> bool:
+    return is_private_der(b) or is_encrypted_der(b)
+
+
 def is_key_blob(b: bytes | None) -> bool:
     """A stored private key with its magic, whose first length-prefixed names fit."""
     magic = b"openssh-key-v1\0"
@@ -113,18 +142,23 @@ def find(text: str) -> list[tuple[str, int, int]]:
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in _ARMOUR.finditer(text):
-            b = unbase64(m[2])
-            if is_private_der(b) or is_key_blob(b):
+            b = unbase64(m[3])
+            if is_key(b) or is_key_blob(b) or is_encrypted_body(m[2], b):
                 out.append(("armour", m.start(), m.end()))
     if "eyJ" in text:
         out += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in _B64.finditer(text):
-        if m[0].startswith("M") and is_private_der(unbase64(m[0])):
+        b = unbase64(m[0])
+        if is_key(b):
+            out.append(("der", m.start(), m.end()))
+        elif is_key_blob(b):
+            out.append(("blob", m.start(), m.end()))
+    for m in _HEXES.finditer(text):
+        b = bytes.fromhex(m[0])
+        if is_key(b):
             out.append(("der", m.start(), m.end()))
-        elif m[0].startswith("b3BlbnNza") and is_key_blob(unbase64(m[0])):
+        elif is_key_blob(b):
             out.append(("blob", m.start(), m.end()))
-    if "30" in text:
-        out += [("der", m.start(), m.end()) for m in _HEXES.finditer(text) if m[0].startswith("30") and is_private_der(bytes.fromhex(m[0]))]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

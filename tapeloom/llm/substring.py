@@ -3,11 +3,11 @@
 Every document's words are cut into non-overlapping blocks of 25 words, which are indexed; every rolling window
 of 25 words probes that index.  Any 50 consecutive words hold a whole indexed block, so a passage of 50 words that
 another document repeats shows as a hit inside it.  Hits are extended: all 50-word windows around a hit are
-looked up by their own hash, and the union of those that a smaller id also holds is the maximal repeat.
+looked up by two hashes of their own, and the union of those that a smaller id also holds is the maximal repeat.
 
 Documents are dealt into groups of bounded text once; that one exchange feeds all three passes.  A group sends
-each distinct window hash once, split by hash range, so a passage that a third of all documents share costs a
-few bytes for each group and no task gathers its occurrences.
+each distinct window hash once, split into cells of the hash range, so a passage that a third of all documents
+share costs a few bytes for each group and no task gathers its occurrences.
 """
 
 from __future__ import annotations
@@ -21,20 +21,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+#: Anchors travel as this many low bits and their cell; they only say where to look, so a chance match does no harm.
 _KEY = np.uint64((1 << 46) - 1)
 _BYTES = 6
+_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """48-bit values as six byte planes; those of sorted values compress well."""
-    return x.view(np.uint8).reshape(-1, 8)[:, :_BYTES].T.tobytes()
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(_BYTES, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :_BYTES] = planes.T
-    return out.view(np.uint64).ravel()
+def _anchor(h: np.ndarray, bits: int) -> np.ndarray:
+    """What an exchanged anchor says of a hash: its highest ``bits`` and lowest 46 bits."""
+    low = np.uint64(64 - bits)
+    return (h >> low << low) | (h & _KEY)
 
 
 class _Words:
@@ -50,6 +46,10 @@ class _Words:
         owner = np.repeat(np.arange(len(self.counts)), each)
         return at, owner, C.runs(self.h, n)[at]
 
+    def second(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Another hash of the windows at some positions; both together tell windows apart."""
+        return C.runs(C.mix(self.h ^ _SALT), n)[at]
+
 
 def _read(table: pa.Table):
     """A group's documents in parts of a few MB; ids as a masked array."""
@@ -61,18 +61,12 @@ def _read(table: pa.Table):
         yield known[a:b], plain[a:b], texts[a:b]
 
 
-def _split(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((h >> np.uint64(46)) % np.uint64(parts)).astype(np.int64), h & _KEY
-
+_CHUNKS = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("cell", pa.int64()), ("vals", pa.binary())])
 
-def _both(part, key):
-    return (np.asarray(part, np.uint64) << np.uint64(46)) | key
 
+def _probes(block: int, groups: int):
+    bits = C.cell_bits(groups)
 
-_CHUNKS = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("vals", pa.binary())])
-
-
-def _probes(block: int, parts: int):
     def probes(key, table):
         found = []
         for known, ids, texts in _read(table):
@@ -85,16 +79,14 @@ def _probes(block: int, parts: int):
             order = np.lexsort((doc, h))
             found.append(_merge_probes(h[order], doc[order], doc[order], is_block[order]))
         h, lo, hi, blk = (np.concatenate(x) for x in zip(*found)) if found else ([], [], [], [])
-        rows = {"part": [], "g": [], "vals": []}
+        rows = {f.name: [] for f in _CHUNKS}
         if len(h):
             order = np.argsort(h, kind="stable")
             h, lo, hi, blk = _merge_probes(h[order], lo[order], hi[order], blk[order])
-            part, k = _split(h, parts)
-            vals = (k << np.uint64(2)) | ((lo != hi).astype(np.uint64) << np.uint64(1)) | blk.astype(np.uint64)
-            for p, v in C.by_part(vals, part):
-                rows["part"].append(p)
-                rows["g"].append(key[0].as_py())
-                rows["vals"].append(_pack(v))
+            vals = ((h & _KEY) << np.uint64(2)) | ((lo != hi).astype(np.uint64) << np.uint64(1)) | blk.astype(np.uint64)
+            for cell, v in C.by_part(vals, (h >> np.uint64(64 - bits)).astype(np.int64)):
+                for name, x in zip(rows, (cell * groups >> bits, key[0].as_py(), cell, C.pack(v, _BYTES))):
+                    rows[name].append(x)
         return pa.table(rows, schema=_CHUNKS)
 
     return probes
@@ -111,108 +103,137 @@ def _merge_probes(h, lo, hi, blk):
 _HITS = pa.schema([("g", pa.int32()), ("hits", pa.list_(pa.int64()))])
 
 
-def _match(key, table):
+def _match(groups: int):
     """One hash range: tells every group which of its hashes are indexed blocks that two documents hold."""
-    gs = table.column("g").to_numpy()
-    chunks = [_unpack(v) for v in table.column("vals").to_pylist()]
-    vals, src = np.concatenate(chunks), np.repeat(np.arange(len(gs)), [len(c) for c in chunks])
-    order = np.argsort(vals, kind="stable")
-    vals, src = vals[order], src[order]
-    k = vals >> np.uint64(2)
-    cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    size = np.diff(np.concatenate((cut, [len(k)])))
-    flags = np.bitwise_or.reduceat(vals & np.uint64(3), cut)
-    live = np.repeat(((flags & np.uint64(1)) > 0) & (((flags & np.uint64(2)) > 0) | (size > 1)), size)
-    out = {"g": [], "hits": []}
-    for s, v in C.by_part(_both(key[0].as_py(), k[live]), src[live]):
-        out["g"].append(gs[s])
-        out["hits"].append(v.view(np.int64))
-    return pa.table(out, schema=_HITS)
+    low = np.uint64(64 - C.cell_bits(groups))
+
+    def match(key, table):
+        vals, sizes = C.unpacked(table.column("vals"), _BYTES)
+        src, cell = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("g", "cell"))
+        k, flags = (cell.astype(np.uint64) << low) | (vals >> np.uint64(2)), vals & np.uint64(3)
+        order = np.argsort(k, kind="stable")
+        k, src, flags = k[order], src[order], flags[order]
+        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.concatenate((cut, [len(k)])))
+        flags = np.bitwise_or.reduceat(flags, cut)
+        live = np.repeat(((flags & np.uint64(1)) > 0) & (((flags & np.uint64(2)) > 0) | (size > 1)), size)
+        out = {"g": [], "hits": []}
+        for s, v in C.by_part(k[live], src[live]):
+            out["g"].append(s)
+            out["hits"].append(v.view(np.int64))
+        return pa.table(out, schema=_HITS)
+
+    return match
 
 
 def _gathered(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *(x.values.to_numpy() for x in table.column(name) if len(x))])
 
 
-_LONG = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+_LISTS = pa.list_(pa.int64())
+_LONG = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("keys", _LISTS), ("others", _LISTS), ("docs", _LISTS), ("ends", _LISTS)])
+_LONG_SQL = "part int, g int, keys array<long>, others array<long>, docs array<long>, ends array<long>"
 
 
-def _extend(window: int, block: int, parts: int):
+def _by_window(h, other, *ids):
+    """Sorts windows by both hashes; also where each distinct one begins."""
+    order = np.lexsort((other, h))
+    h, other = h[order], other[order]
+    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (other[1:] != other[:-1])))) if len(h) else np.empty(0, np.int64)
+    return h, other, cut, *(x[order] for x in ids)
+
+
+def _extend(window: int, block: int, groups: int):
+    bits = C.cell_bits(groups)
+
     def extend(key, table, hits):
-        live = np.sort(_gathered(hits, "hits").view(np.uint64))
+        live = C.Index(np.unique(_gathered(hits, "hits").view(np.uint64)))
         found = []
-        for known, ids, texts in _read(table) if len(live) else ():
+        for known, ids, texts in _read(table) if len(live.values) else ():
             w = _Words(ids, texts)
             at, owner, h = w.windows(block)
-            _, hit = C.found_in(live, _both(*_split(h, parts)))
             near = np.zeros(len(w.h) + 1, np.int64)
-            near[at[hit & known[owner]] + 1] = 1
+            near[at[(live.find(_anchor(h, bits)) >= 0) & known[owner]] + 1] = 1
             near = np.cumsum(near)
             at, owner, h = w.windows(window)
             reach = near[at + window - block + 1] - near[at] > 0
-            found.append((h[reach] & ~np.uint64(1), ids[owner[reach]]))
-        rows = {"part": [], "g": [], "keys": [], "docs": []}
+            if reach.any():
+                found.append((h[reach], w.second(window, at[reach]), ids[owner[reach]]))
+        rows = {f.name: [] for f in _LONG}
         if found:
-            h, doc = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
-            h, least, most, _ = _merge_probes(h, doc, doc, np.ones(len(h), bool))
-            h = h | (least != most).astype(np.uint64)
-            for p, v, d in C.by_part(h, ((h >> np.uint64(46)) % np.uint64(parts)).astype(np.int64), least):
-                rows["part"].append(p)
-                rows["g"].append(key[0].as_py())
-                rows["keys"].append(v.view(np.int64))
-                rows["docs"].append(d)
+            h, other, cut, doc = _by_window(*(np.concatenate(x) for x in zip(*found)))
+            h, other, least, most = h[cut], other[cut], np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
+            for cell, v, o, d, e in C.by_part(h, (h >> np.uint64(64 - bits)).astype(np.int64), other, least, most):
+                for name, x in zip(rows, (cell * groups >> bits, key[0].as_py(), v.view(np.int64), o.view(np.int64), d, e)):
+                    rows[name].append(x)
         return pa.table(rows, schema=_LONG)
 
     return extend
 
 
-_OWNERS = pa.schema([("g", pa.int32()), ("keys", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
+_OWNERS = pa.schema([("g", pa.int32()), ("keys", _LISTS), ("others", _LISTS), ("docs", _LISTS)])
 
 
 def _owners(key, table):
     """One hash range: tells every group the smallest id that holds a window, where another of its ids does."""
-    gs = table.column("g").to_numpy()
-    sizes = [len(x) for x in table.column("keys")]
-    keys, docs = _gathered(table, "keys").view(np.uint64), _gathered(table, "docs")
-    src = np.repeat(np.arange(len(gs)), sizes)
-    order = np.argsort(keys, kind="stable")
-    keys, docs, src = keys[order], docs[order], src[order]
-    out = {"g": [], "keys": [], "docs": []}
-    if len(keys):
-        k = keys >> np.uint64(1)
-        cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        least = np.repeat(np.minimum.reduceat(docs, cut), np.diff(np.concatenate((cut, [len(k)]))))
-        told = (least < docs) | ((keys & np.uint64(1)) > 0)
-        for s, v, d in C.by_part((k << np.uint64(1))[told], src[told], least[told]):
-            out["g"].append(gs[s])
-            out["keys"].append(v.view(np.int64))
-            out["docs"].append(d)
+    src = np.repeat(table.column("g").to_numpy(), [len(x) for x in table.column("keys")])
+    h, other, docs, ends = (_gathered(table, c) for c in ("keys", "others", "docs", "ends"))
+    h, other, cut, docs, ends, src = _by_window(h.view(np.uint64), other.view(np.uint64), docs, ends, src)
+    out = {f.name: [] for f in _OWNERS}
+    if len(h):
+        least = np.repeat(np.minimum.reduceat(docs, cut), np.diff(np.concatenate((cut, [len(h)]))))
+        told = least < ends
+        for s, v, o, d in C.by_part(h[told], src[told], other[told], least[told]):
+            for name, x in zip(out, (s, v.view(np.int64), o.view(np.int64), d)):
+                out[name].append(x)
     return pa.table(out, schema=_OWNERS)
 
 
+class _Least:
+    """The smallest id of each window that others repeat, looked up by both hashes."""
+
+    def __init__(self, h: np.ndarray, other: np.ndarray, ids: np.ndarray):
+        self.h, self.other, _, self.ids = _by_window(h, other, ids)
+        self.first = np.flatnonzero(np.concatenate(([True], self.h[1:] != self.h[:-1]))) if len(h) else np.empty(0, np.int64)
+        self.index = C.Index(self.h[self.first])
+
+    def earlier(self, w: _Words, window: int, known: np.ndarray) -> np.ndarray:
+        """Positions of windows that a document with a smaller id holds."""
+        at, owner, h = w.windows(window)
+        slot = self.index.find(h)
+        use = np.flatnonzero((slot >= 0) & known[owner])
+        if not len(use):
+            return use
+        at, owner, h, slot = at[use], owner[use], h[use], self.first[slot[use]]
+        other, left = w.second(window, at), np.arange(len(use))
+        hit = np.zeros(len(use), bool)
+        while len(left):  # nearly always one step: the next entry has the same first hash only by chance
+            s = slot[left]
+            same = self.other[s] == other[left]
+            hit[left[same]] = self.ids[s[same]] < w.ids[owner[left[same]]]
+            left = left[~same]
+            slot[left] += 1
+            left = left[slot[left] < len(self.h)]
+            left = left[self.h[slot[left]] == h[left]]
+        return at[hit]
+
+
 _OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 _OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
 def _cut(window: int, digest: bool):
     def cut(table, owners):
-        keys, least = _gathered(owners, "keys").view(np.uint64), _gathered(owners, "docs")
-        order = np.argsort(keys)
-        keys, least = keys[order], least[order]
+        least = _Least(_gathered(owners, "keys").view(np.uint64), _gathered(owners, "others").view(np.uint64), _gathered(owners, "docs"))
         out = []
         for known, ids, texts in _read(table):
             w = _Words(ids, texts)
             total = len(w.h)
             gone = np.zeros(total + 1, np.int64)
-            if len(keys):
-                at, owner, h = w.windows(window)
-                where, there = C.found_in(keys, h & ~np.uint64(1))
-                hit = there & known[owner]
-                hit[hit] = least[where[hit]] < ids[owner[hit]]
-                np.add.at(gone, at[hit], 1)
-                np.add.at(gone, at[hit] + window, -1)
+            if len(least.ids):
+                at = least.earlier(w, window, known)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + window, -1)
             gone = np.cumsum(gone)[:total] > 0
             first = np.concatenate(([0], np.cumsum(w.counts)))
             removed = np.concatenate(([0], np.cumsum(gone)))
@@ -239,10 +260,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeating an id don't count against each other.  Other columns of docs are ignored.
     """
     block = window // 2
-    grouped, parts = C.in_groups(docs, id_col, text_col)
-    probes = grouped.groupBy("g").applyInArrow(_probes(block, parts), "part int, g int, vals binary")
-    hits = probes.groupBy("part").applyInArrow(_match, "g int, hits array<long>")
-    longer = grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(window, block, parts), "part int, g int, keys array<long>, docs array<long>")
-    owners = longer.groupBy("part").applyInArrow(_owners, "g int, keys array<long>, docs array<long>")
+    grouped, groups = C.in_groups(docs, id_col, text_col)
+    probes = grouped.groupBy("g").applyInArrow(_probes(block, groups), "part int, g int, cell long, vals binary")
+    hits = probes.groupBy("part").applyInArrow(_match(groups), "g int, hits array<long>")
+    longer = grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(window, block, groups), _LONG_SQL)
+    owners = longer.groupBy("part").applyInArrow(_owners, "g int, keys array<long>, others array<long>, docs array<long>")
     out = grouped.groupBy("g").cogroup(owners.groupBy("g")).applyInArrow(_cut(window, digest), _OUT)
     return out.select(F.col("doc_id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("kept_sha256" if digest else "kept_text"))
