@@ -63,7 +63,7 @@ def in_groups(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GR
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     g = F.pmod(key, F.lit(n)).cast("int")
     rows = docs.select(g.alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(c.alias(k) for k, c in (more or {}).items()))
-    width = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = max(3 * n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # room, so that few tasks get several groups
     return rows.repartition(width, "g"), n
 
 

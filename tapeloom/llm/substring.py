@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Anchors travel as this many low bits and their cell; they only say where to look, so a chance match does no harm.
-_KEY = np.uint64((1 << 46) - 1)
-_BYTES = 6
+_KEY = np.uint64((1 << 38) - 1)
+_BYTES = 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def _anchor(h: np.ndarray, bits: int) -> np.ndarray:
-    """What an exchanged anchor says of a hash: its highest ``bits`` and lowest 46 bits."""
+    """What an exchanged anchor says of a hash: its highest ``bits`` and lowest 38 bits."""
     low = np.uint64(64 - bits)
     return (h >> low << low) | (h & _KEY)
 
@@ -47,8 +47,8 @@ class _Words:
         return at, owner, C.runs(self.h, n)[at]
 
     def second(self, n: int, at: np.ndarray) -> np.ndarray:
-        """Another hash of the windows at some positions; both together tell windows apart."""
-        return C.runs(C.mix(self.h ^ _SALT), n)[at]
+        """Another hash (63 bits) of the windows at some positions; both together tell windows apart."""
+        return C.runs(C.mix(self.h ^ _SALT), n)[at] & ~np.uint64(1)
 
 
 def _read(table: pa.Table):
@@ -131,8 +131,8 @@ def _gathered(table: pa.Table, name: str) -> np.ndarray:
 
 
 _LISTS = pa.list_(pa.int64())
-_LONG = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("keys", _LISTS), ("others", _LISTS), ("docs", _LISTS), ("ends", _LISTS)])
-_LONG_SQL = "part int, g int, keys array<long>, others array<long>, docs array<long>, ends array<long>"
+_LONG = pa.schema([("part", pa.int32()), ("g", pa.int32()), ("keys", _LISTS), ("others", _LISTS), ("docs", _LISTS)])
+_LONG_SQL = "part int, g int, keys array<long>, others array<long>, docs array<long>"
 
 
 def _by_window(h, other, *ids):
@@ -162,9 +162,10 @@ def _extend(window: int, block: int, groups: int):
         rows = {f.name: [] for f in _LONG}
         if found:
             h, other, cut, doc = _by_window(*(np.concatenate(x) for x in zip(*found)))
-            h, other, least, most = h[cut], other[cut], np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
-            for cell, v, o, d, e in C.by_part(h, (h >> np.uint64(64 - bits)).astype(np.int64), other, least, most):
-                for name, x in zip(rows, (cell * groups >> bits, key[0].as_py(), v.view(np.int64), o.view(np.int64), d, e)):
+            least, most = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
+            h, other = h[cut], other[cut] | (least != most).astype(np.uint64)  # the low bit: several ids of this group
+            for cell, v, o, d in C.by_part(h, (h >> np.uint64(64 - bits)).astype(np.int64), other, least):
+                for name, x in zip(rows, (cell * groups >> bits, key[0].as_py(), v.view(np.int64), o.view(np.int64), d)):
                     rows[name].append(x)
         return pa.table(rows, schema=_LONG)
 
@@ -177,12 +178,13 @@ _OWNERS = pa.schema([("g", pa.int32()), ("keys", _LISTS), ("others", _LISTS), ("
 def _owners(key, table):
     """One hash range: tells every group the smallest id that holds a window, where another of its ids does."""
     src = np.repeat(table.column("g").to_numpy(), [len(x) for x in table.column("keys")])
-    h, other, docs, ends = (_gathered(table, c) for c in ("keys", "others", "docs", "ends"))
-    h, other, cut, docs, ends, src = _by_window(h.view(np.uint64), other.view(np.uint64), docs, ends, src)
+    h, other, docs = (_gathered(table, c) for c in ("keys", "others", "docs"))
+    other = other.view(np.uint64)
+    h, other, cut, docs, several, src = _by_window(h.view(np.uint64), other & ~np.uint64(1), docs, other & np.uint64(1), src)
     out = {f.name: [] for f in _OWNERS}
     if len(h):
         least = np.repeat(np.minimum.reduceat(docs, cut), np.diff(np.concatenate((cut, [len(h)]))))
-        told = least < ends
+        told = (least < docs) | (several > 0)
         for s, v, o, d in C.by_part(h[told], src[told], other[told], least[told]):
             for name, x in zip(out, (s, v.view(np.int64), o.view(np.int64), d)):
                 out[name].append(x)
