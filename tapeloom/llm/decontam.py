@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-Words are hashed, then every run of k words; of each w consecutive k-gram hashes the smallest is a fingerprint, so
-any shared span of w + k - 1 = 13 words has a fingerprint in common, on both sides.  Distinct fingerprints of
-documents are joined with those of the benchmark; hits are extended by comparing the words of all 13-word item
-windows around the shared k-gram.  Items of fewer words are one window and matched by their whole hash.
-
-The benchmark's fingerprints are broadcast when their measured size is small and shuffled otherwise.  A document's
-words and fingerprints stay in its row, so nothing is shuffled but hits and one narrow row for each document.
+Every run of k words is hashed; of each w consecutive k-gram hashes the smallest is a fingerprint, so any shared span
+of w + k - 1 = 13 words has a fingerprint in common, on both sides.  Items of fewer words are one window, and every run
+of as many words of a document is a fingerprint of its own kind.
+
+One pass over the texts writes a narrow row for each document: its number of words and its distinct fingerprints.  These
+are exploded alone and joined with the benchmark's; only documents with a hit are read again.  Their windows are hashed
+128 bits wide and joined with those of the items they hit, and the words inside are counted position by position, so the
+work is linear in a text's length.  The same plan serves every size: the fingerprints of the benchmark are broadcast when
+their counted number is small, and joined by shuffling narrow rows otherwise.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SPAN, GRAM = 13, 5
 WINDOW = SPAN - GRAM + 1
-#: Broadcast the benchmark's fingerprints up to this many words of items times fingerprints.
-BROADCAST_WORDS = 2_000_000
+#: Broadcast the benchmark's fingerprints or windows up to this many rows (about 40 bytes each).
+BROADCAST_ROWS = 500_000
 # fixed value: what separates words, after lower-casing A-Z
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,84 +31,80 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), 0)
 
 
-def _grams(hashes: Column, n: Column, k: int) -> Column:
-    """Hash of the k words from every position; empty for fewer words."""
-    at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.lit(k), *(F.get(hashes, i + j) for j in range(k))))
+def _begins(n: Column, width: int | Column) -> Column:
+    """Positions (from 1) at which so many entries begin; none for fewer."""
+    return F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _grams(words: Column, n: Column, k: int) -> Column:
+    """Hash of the k words from every position."""
+    return F.transform(_begins(n, k), lambda i: F.xxhash64(F.slice(words, i, k)))
 
 
 def _winnowed(grams: Column, w: int) -> Column:
-    """Distinct smallest values of w consecutive ones."""
-    n = F.size(grams)
-    at = F.when(n >= w, F.sequence(F.lit(1), n - w + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.array_min(F.slice(grams, i, w))))
+    """Distinct smallest values of w consecutive ones of a column (not of an expression, which each window would repeat)."""
+    return F.array_distinct(F.transform(_begins(F.size(grams), w), lambda i: F.array_min(F.slice(grams, i, w))))
 
 
-def _hashed(df: DataFrame, text: str) -> DataFrame:
-    df = df.withColumn("words", words_of(F.col(text))).withColumn("n", F.size("words"))
-    return df.withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
+def _whole(words: Column, n: Column, k: int) -> Column:
+    """Distinct hashes of all runs of k words, as whole short items are hashed."""
+    return F.array_distinct(F.transform(_begins(n, k), lambda i: F.xxhash64(F.lit(k), F.slice(words, i, k))))
 
 
-def _fingerprints(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """Rows (fp, kind, item, at, iwords): kind 0 is a winnowed k-gram at word ``at``, else a whole item of kind words."""
-    items = _hashed(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("t")).where("item is not null").distinct(), "t").where("n > 0")
-    grams = items.where(F.col("n") >= SPAN).withColumn("g", _grams(F.col("h"), F.col("n"), GRAM))
-    long_ = grams.withColumn("fp", F.explode(_winnowed(F.col("g"), WINDOW))).withColumn("at", F.explode(F.filter(F.transform("g", lambda v, i: F.when(v == F.col("fp"), i)), lambda i: i.isNotNull())))
-    short = items.where(F.col("n") < SPAN).withColumn("fp", F.xxhash64(F.lit(-1), F.array_join("words", " ")))
-    return long_.select("fp", F.lit(0).alias("kind"), "item", "at", F.col("words").alias("iwords")).union(
-        short.select("fp", F.col("n").alias("kind"), "item", F.lit(0).alias("at"), F.col("words").alias("iwords"))
-    )
+def _windows(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows (keys, at, width, a, b): the 128-bit hash of every window of each width in the column ``widths``."""
+    each = df.select(*keys, "words", "n", F.explode("widths").alias("width"))
+    window = lambda i: F.slice("words", i, F.col("width"))
+    hashed = F.transform(_begins(F.col("n"), F.col("width")), lambda i: F.struct(i.alias("at"), F.xxhash64(window(i)).alias("a"), F.xxhash64(F.lit("second"), window(i)).alias("b")))
+    return each.select(*keys, "width", F.explode(hashed).alias("w")).select(*keys, "width", "w.at", "w.a", "w.b")
 
 
-def _long_starts(words: Column, n: Column, grams: Column, fp: Column, at: Column, iwords: Column) -> Column:
-    """Document positions where a 13-word item window around item position ``at`` occurs."""
-    places = F.filter(F.transform(grams, lambda v, i: F.when(v == fp, i)), lambda i: i.isNotNull())
-    low = F.greatest(F.lit(0), at - (SPAN - GRAM))
-    high = F.least(at, F.size(iwords) - SPAN)
-    near = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(places, lambda p: F.filter(
-        F.transform(near, lambda s: p - at + s),
-        lambda d: (d >= 0) & (d + SPAN <= n) & (F.slice(words, F.greatest(d, F.lit(0)) + 1, SPAN) == F.slice(iwords, d - p + at + 1, SPAN)),
-    )))
+def _sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where its counted rows are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row for each document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts words inside any occurrence of a window (13 consecutive words of an item, or a whole shorter item);
     contaminated: n_hit > 0 and 20 * n_hit >= n_words.  Null text has no words; items without words or with a null
-    id are ignored, items repeating an id count once.  Rows repeating both id and text become one row, rows with the
-    same id and another text stay apart, and null ids are kept.  Other columns are ignored.
+    id are ignored, items repeating an id count once for each text.  Repeated rows each get a row, rows with the same id
+    and another text stay apart, and null ids are kept.  Other columns are ignored.
     """
-    prints = _fingerprints(benchmark, item_col, item_text_col).persist()
-    size = prints.agg(F.count("*"), F.sum(F.size("iwords")), F.collect_set(F.when(F.col("kind") > 0, F.col("kind")))).first()
-    shorts = sorted(size[2])
-    if (size[1] or 0) <= BROADCAST_WORDS:
-        prints = F.broadcast(prints)
-    rows = _hashed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t")
-    rows = rows.withColumn("same", F.xxhash64("t")).drop("t").withColumn("g", _grams(F.col("h"), F.col("n"), GRAM))
-    whole = [_whole_grams(k) for k in shorts]
-    tagged = F.concat(F.array(F.lit(None).cast("bigint")), _winnowed(F.col("g"), WINDOW), *whole)
-    probed = rows.select("id", "same", "n", "words", "g", F.explode(tagged).alias("probe")).join(prints, F.col("probe") == F.col("fp"), "left").where("item is not null or probe is null")
-    none = F.array().cast("array<int>")
-    starts = F.when(F.col("item").isNull(), none).when(F.col("kind") == 0, _long_starts(F.col("words"), F.col("n"), F.col("g"), F.col("fp"), F.col("at"), F.col("iwords"))).otherwise(_short_starts())
-    width = F.when(F.col("kind") == 0, F.lit(SPAN)).otherwise(F.col("kind"))
-    hits = probed.select("id", "same", "n", F.col("item"), starts.alias("starts"), width.alias("width"))
-    hits = hits.select("id", "same", "n", F.when(F.size("starts") > 0, F.col("item")).alias("item"), F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("width") - 1))).alias("hit"))
-    by = hits.groupBy("id", "same", "n").agg(F.array_sort(F.collect_set("item")).alias("items"), F.flatten(F.collect_list(F.when(F.size("hit") > 0, F.array_distinct("hit")))).alias("hit"))
-    n_hit = F.size(F.array_distinct("hit")).cast("long")
-    out = by.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _whole_grams(k: int) -> Column:
-    """Hashes of all runs of k words, as whole short items are hashed."""
-    n = F.col("n")
-    at = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.lit(-1), F.array_join(F.slice("words", i, k), " "))))
-
-
-def _short_starts() -> Column:
-    k = F.col("kind")
-    at = F.when(F.col("n") >= k, F.sequence(F.lit(1), F.col("n") - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(at, lambda i: F.slice("words", i, k) == F.col("iwords")), lambda i: i - 1)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where("item is not null").distinct()
+    items = C.stored(items.withColumn("n", F.size("words")).where("n > 0").withColumn("widths", F.array(F.least("n", F.lit(SPAN)))), "items")
+    shorts = sorted(r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())  # at most SPAN - 1 rows
+    probe = F.when(F.col("n") >= SPAN, _winnowed(F.col("g"), WINDOW)).otherwise(F.array(F.xxhash64("n", F.col("words"))))
+    hashed = items.withColumn("g", _grams(F.col("words"), F.col("n"), GRAM))
+    prints = C.stored(hashed.select("item", F.explode(probe).alias("probe")).distinct(), "fingerprints")
+
+    # narrow rows: a document is known by its id and a hash of its text
+    keys = ["id", "same"]
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("same"), F.col(text_col).alias("t"))
+    words = rows.withColumn("words", words_of(F.col("t"))).withColumn("n", F.size("words"))
+    words = words.withColumn("g", _grams(F.col("words"), F.col("n"), GRAM))
+    probes = F.concat(_winnowed(F.col("g"), WINDOW), *(_whole(F.col("words"), F.col("n"), k) for k in shorts))
+    narrow = C.stored(words.select(*keys, "n", probes.alias("probes")), "probes")
+    hits = C.stored(narrow.select(*keys, F.explode("probes").alias("probe")).join(_sized(prints), "probe").select(*keys, "item").distinct(), "hits")
+
+    # hit documents again: all their windows against those of the items they hit
+    hit_docs = hits.select(*keys).distinct()
+    again = rows.join(_sized(hit_docs), rows["id"].eqNullSafe(hit_docs["id"]) & (rows["same"] == hit_docs["same"]), "left_semi").dropDuplicates(keys)
+    again = again.withColumn("words", words_of(F.col("t"))).withColumn("n", F.size("words")).withColumn("widths", F.array(*(F.lit(k) for k in (*shorts, SPAN))))
+    known = _windows(items, "item").drop("at").distinct()
+    found = _windows(again, *keys).join(_sized(known), ["width", "a", "b"]).select(*keys, "at", "width", "item")
+    left, right = found.alias("f"), hits.alias("h")
+    found = left.join(right, F.col("f.id").eqNullSafe(F.col("h.id")) & (F.col("f.same") == F.col("h.same")) & (F.col("f.item") == F.col("h.item")), "left_semi")
+    found = C.stored(found, "windows")
+    inside = found.select(*keys, "at", "width").distinct().select(*keys, F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("at")).distinct()
+    counts = inside.groupBy(*keys).agg(F.count("*").alias("n_hit"))
+    names = found.select(*keys, "item").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    seen = counts.alias("c").join(names.alias("i"), F.col("c.id").eqNullSafe(F.col("i.id")) & (F.col("c.same") == F.col("i.same")))
+    seen = _sized(C.stored(seen.select("c.id", "c.same", "n_hit", F.size("items").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")), "contaminated"))
+    out = narrow.drop("probes").join(seen, narrow["id"].eqNullSafe(seen["id"]) & (narrow["same"] == seen["same"]), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select(
+        narrow["id"].alias(id_col), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n"))).alias("contaminated"),
+    )

@@ -223,7 +223,19 @@ def test_op7(spark, folder, texts):
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in texts[i])) and 0 <= r.score <= 1 for i, r in got.items())
 
 
-def test_op8(spark, folder, texts):
+@pytest.mark.parametrize("rows_to_broadcast", [decontam.BROADCAST_ROWS, 0])
+def test_op8(spark, folder, texts, monkeypatch, rows_to_broadcast):
+    """By brute force, with the benchmark broadcast and with every join shuffled."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows_to_broadcast)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit if rows_to_broadcast else "-1")
+    try:
+        check_op8(spark, folder, texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def check_op8(spark, folder, texts):
     word = re.compile(r"[^\x00-/:-`{-\x7f]+")
     bench = pd.read_parquet(f"{folder}/benchmark.parquet")
     windows = defaultdict(set)
@@ -436,4 +448,4 @@ def test_null_ids_and_repeated_rows(spark):
             out = out.groupBy("doc_id").sum("length")
             assert {r[0]: r[1] > 0 for r in out.collect()} == {None: True, 3: True, 4: True}
             continue
-        assert out.count() == (4 if n == 7 else 5), n  # decontamination merges rows that repeat id and text
+        assert out.count() == 5, n
