@@ -47,6 +47,16 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi")
     return df.join(ids, id_col, how)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+    """rows joined with values, which holds a key once; a key that many rows share is dealt to ``salts`` tasks by ``by``.
+
+    Values are copied only to the salts under which their key has rows.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    slots = salted.select(key, "__salt").distinct().join(values, key)
+    return salted.join(slots, [key, "__salt"]).drop("__salt")
+
+
 # ------------------------------------------------------------------------------- grouped documents
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0)

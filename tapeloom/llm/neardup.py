@@ -10,6 +10,9 @@ A bucket may hold a third of all rows, so pairs are never expanded within one.
 with the bucket's smallest id.  Then, as long as a bucket holds members of several components, a growing
 share of the members outside its largest component is compared with all members of other components, until all
 have been.  So every pair that shares a bucket is either compared or already connected.
+
+Joins on a bucket, on the document that a large bucket is compared with, and on the centre of a large component are
+salted by the other side, with salts in proportion to the input, so no task gathers a hot key.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BANDS = MINIMA // ROWS
 MARGIN = 0.28
 #: Members of undecided buckets get a longer signature of two bits a minimum, whose estimate is that much sharper.
 SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 1024, 2, 0.07
+#: Class representatives for each salt of a hot key, and the fewest salts; pairs confirmed by one task at a time.
+ROWS_PER_SALT, LEAST_SALTS, PAIRS_PER_SLOT = 20_000, 16, 2000
 #: Comparisons of packed signatures in one residual round: for each class representative, and at least.
 PAIRS_PER_ROW, PAIRS_LEAST = 64, 4_000_000
 
@@ -124,24 +129,27 @@ def _sign(n: int):
 
 
 def _confirm(n: int, per_cent: int):
-    def confirm(batches):
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            texts, index, ta, tb = [], {}, [], []
-            for col, out in ((2, ta), (3, tb)):
-                for t in batch.column(col).to_pylist():
-                    out.append(index.setdefault(t, len(index)))
-            texts = C.encoded(list(index))
-            sets = []
-            for x, y in C.in_batches(texts):
-                values, counts = shingle_sets(texts[x:y], n)
-                sets += np.split(values, np.cumsum(counts)[:-1])
-            ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(ta, tb)):
-                p, q = sets[x], sets[y]
-                both = np.intersect1d(p, q, assume_unique=True).size
-                ok[i] = both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+    """Pairs of one slot with the second text, and the first texts once each: pairs whose full sets are similar enough."""
+    def confirm(pairs, firsts):
+        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
+        own = {x: i for i, x in enumerate(firsts.column("a_").to_pylist())}
+        texts, index = firsts.column("text_").to_pylist(), {}
+        left, right = np.array([own[x] for x in a], np.int64), np.empty(len(b), np.int64)
+        for i, (x, t) in enumerate(zip(b, pairs.column("text").to_pylist())):
+            if x not in index:
+                index[x] = len(texts)
+                texts.append(t)
+            right[i] = index[x]
+        texts, sets = C.encoded(texts), []
+        for x, y in C.in_batches(texts):
+            values, counts = shingle_sets(texts[x:y], n)
+            sets += np.split(values, np.cumsum(counts)[:-1])
+        ok = np.zeros(len(a), bool)
+        for i, (x, y) in enumerate(zip(left, right)):
+            p, q = sets[x], sets[y]
+            both = np.intersect1d(p, q, assume_unique=True).size
+            ok[i] = both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both)
+        return pa.table({"a": a[ok], "b": b[ok]})
 
     return confirm
 
@@ -163,7 +171,7 @@ def estimated(x: Column, y: Column, minima: int = MINIMA, bits: int = BITS) -> C
     return (1.0 - differ / float(minima) - chance) / (1.0 - chance)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, salts: int = LEAST_SALTS) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id) with each component's smallest id.
 
     Alternates large-star and small-star steps until the edges no longer change; the rounds grow with the
@@ -175,12 +183,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def large(e: DataFrame) -> DataFrame:
         both = linked(e)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return C.spread_join(both, least, "a", "b", salts).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = C.spread_join(down, least, "a", "b", salts).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
     now, mark = C.stored(small(edges), "star"), None
@@ -199,29 +207,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 class _Linker:
     """Candidate rounds over the signatures of class representatives."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, per_cent: int):
-        self.docs, self.reps, self.n, self.per_cent = docs, reps, n, per_cent
+    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, per_cent: int, salts: int):
+        self.docs, self.reps, self.n, self.per_cent, self.salts = docs, reps, n, per_cent, salts
         self.floor = per_cent / 100 - MARGIN
         self.sigs = reps.select(F.col("doc_id").alias("id"), "sig")
         members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
         shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
-        self.members = C.stored(members.join(shared, "key"), "buckets")
+        self.members = C.stored(C.spread_join(members, shared, "key", "id", salts), "buckets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose full sets are similar enough."""
+        """Pairs (a, b) whose full sets are similar enough; a text that has many pairs goes once to each of its slots."""
         pairs = C.stored(pairs, "pairs")
+        slots = max(1, pairs.count() // PAIRS_PER_SLOT)
+        pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(self.salts))), F.lit(slots)).cast("int"))
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = C.only_ids(self.docs, ids, "doc_id")
-        one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-        two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-        full = pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb")
-        return full.mapInArrow(_confirm(self.n, self.per_cent), "a long, b long").distinct()
+        texts = C.stored(C.only_ids(self.docs, ids, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]), "texts")
+        second = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+        first = pairs.select("slot", "a").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+        first = first.select(*(F.col(c).alias(f"{c}_") for c in ("slot", "a", "text")))
+        return second.groupBy("slot").cogroup(first.groupBy("slot_")).applyInArrow(_confirm(self.n, self.per_cent), "a long, b long").distinct()
 
     def first(self) -> DataFrame:
         """Every bucket member against the smallest id of its bucket."""
         pairs = self.members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
         a, b = (self.sigs.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-        near = pairs.join(b, "b").join(a, "a").where(estimated(F.col("sa"), F.col("sb")) >= self.floor)
+        near = C.spread_join(pairs, a, "a", "b", self.salts).join(b, "b").where(estimated(F.col("sa"), F.col("sb")) >= self.floor)
         return self.confirmed(near.select("a", "b"))
 
     def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,7 +241,7 @@ class _Linker:
         """Adds ``odd`` to the members, once: outside the largest component that their bucket holds by now."""
         by = self.labelled(self.members, labels).groupBy("key", "comp").agg(F.count("*").alias("n"))
         top = by.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        rows = self.labelled(self.members, labels).join(top.drop("comps"), "key")
+        rows = C.spread_join(self.labelled(self.members, labels), top.drop("comps"), "key", "id", self.salts)
         rows = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")), "open")
         texts = C.only_ids(self.docs, rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
         sharp = texts.mapInArrow(_sharpen(self.n), "id long, sharp array<long>").dropDuplicates(["id"])
@@ -241,7 +251,8 @@ class _Linker:
     def still_open(self, labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
         rows = self.labelled(self.members, labels)
-        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"), "key", "left_semi")
+        several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+        return C.spread_join(rows, several, "key", "id", self.salts)
 
     def residual(self, open_: DataFrame, low: float, high: float) -> DataFrame:
         """Compares the odd members whose hash lies in [low, high) of all with all members of other components.
@@ -252,7 +263,9 @@ class _Linker:
         rows = open_.join(self.sigs, "id").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20))
         x = rows.where(F.col("odd") & (F.col("turn") >= low) & (F.col("turn") < high)).select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("sig").alias("sx"), F.col("sharp").alias("px"), F.col("bands").alias("bx"))
         y = rows.where(~F.col("odd") | (F.col("turn") >= low)).select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("sig").alias("sy"), F.col("sharp").alias("py"), F.col("bands").alias("by"), (F.col("odd") & (F.col("turn") < high)).alias("also"))
-        near = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor) & (estimated(F.col("px"), F.col("py"), SHARP_MINIMA, SHARP_BITS) >= self.per_cent / 100 - SHARP_MARGIN) & (F.array_min(F.array_intersect("bx", "by")) == x["key"]))
+        y = y.withColumn("salt", F.pmod(F.xxhash64("y"), F.lit(self.salts)).cast("int"))
+        x = x.join(y.select(F.col("key").alias("k"), F.col("salt").alias("xs")).distinct(), F.col("key") == F.col("k")).drop("k")
+        near = x.join(y, (x["key"] == y["key"]) & (F.col("xs") == F.col("salt")) & (F.col("cx") != F.col("cy")) & (~F.col("also") | (F.col("x") < F.col("y"))) & (estimated(F.col("sx"), F.col("sy")) >= self.floor) & (estimated(F.col("px"), F.col("py"), SHARP_MINIMA, SHARP_BITS) >= self.per_cent / 100 - SHARP_MARGIN) & (F.array_min(F.array_intersect("bx", "by")) == x["key"]))
         return self.confirmed(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -269,10 +282,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     able = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = C.stored(able.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = C.stored(able.join(classes.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id")), ["k1", "k2", "n_shingles", "doc_id"]).select("doc_id", "bands", "sig"), "representatives")
-    linker = _Linker(base, reps, n, per_cent)
+    size = reps.count()
+    salts = max(LEAST_SALTS, -(-size // ROWS_PER_SALT))
+    linker = _Linker(base, reps, n, per_cent, salts)
     links = C.stored(linker.first(), "links")
-    labels = C.stored(components(links), "labels")
-    budget = max(PAIRS_LEAST, PAIRS_PER_ROW * reps.count())
+    labels = C.stored(components(links, salts=salts), "labels")
+    budget = max(PAIRS_LEAST, PAIRS_PER_ROW * size)
     linker.mark_odd(labels)
     low = 0.0
     while low < 1.0:
@@ -284,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         high = 1.0 if high > 0.5 else high
         more = C.stored(linker.residual(open_, low, high), "links")
         if more.limit(1).count():
-            labels = C.stored(components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(more)), "labels")
+            labels = C.stored(components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(more), salts=salts), "labels")
         low = high
     ids = able.select("doc_id", "k1", "k2", "n_shingles").distinct().join(classes, ["k1", "k2", "n_shingles"])
     own = ids.join(labels, ids["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
