@@ -1,26 +1,31 @@
 """Sequence packing by lexical retrieval.
 
-Documents are dealt into shards of bounded text.  A shard tokenises its documents and builds a BM25 inverted
-index over their words.  A seed document opens a window; the index returns its best unused neighbours, which
-greedily fill the window, the last one being cut where the window is full; what is left of it seeds the next
-window.  What remains of a shard at its end is cut into powers of two, so no sequence needs padding.
+One pass over the texts tokenises them and gives each document its distinct words and a content key: two minima of its
+word hashes, so documents that share much of their words tend to have the same key.  Documents are dealt by ranges of
+content keys (a key that very many share is split by a hash of the id) and sorted by them.  Each run of about SHARD_BYTES of
+text is a shard with a BM25 inverted index: a seed document opens a window, all its words query the index, and its best
+unused neighbours greedily fill the window, the last one being cut where the window is full; what is left of it seeds
+the next window.  Shards have the same size whatever the input, and hold neighbours in content at every size.  Windows go
+on from shard to shard; what remains at the end of a range is cut into powers of two, so no sequence needs padding.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 LENGTH, END = 1024, 0
-#: Text bytes of a shard, and the number of a seed's rarest words that query the index.
-SHARD_BYTES, QUERY_WORDS = 2 << 20, 12
+#: Text bytes of a shard, and of a range of content keys.
+SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
 K1, B = 1.2, 0.75
 
 _tokenizers: dict = {}
@@ -59,55 +64,59 @@ def _tokens(path: str, ranks_path: str | None, texts: list[str]) -> list[np.ndar
     return out
 
 
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct word hashes, sorted, and how often each occurs."""
+    out = []
+    for a, b in C.in_batches(texts):
+        h, counts = C.word_hashes([t.lower() for t in texts[a:b]])
+        owner = np.repeat(np.arange(b - a), counts)
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.empty(0, np.int64)
+        tf = np.diff(np.concatenate((cut, [len(h)])))
+        ends = np.searchsorted(owner[cut], np.arange(1, b - a))
+        out += zip(np.split(h[cut], ends), np.split(tf, ends))
+    return out
+
+
 class Bm25:
-    """Inverted index over the hashed words of a shard."""
-
-    def __init__(self, texts: list[bytes]):
-        parts = []
-        sizes = np.zeros(len(texts), np.int64)
-        for a, b in C.in_batches(texts):
-            h, counts = C.word_hashes([t.lower() for t in texts[a:b]])
-            sizes[a:b] = counts
-            parts.append((h, np.repeat(np.arange(a, b), counts)))
-        h = np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)])
-        doc = np.concatenate([np.empty(0, np.int64), *(p[1] for p in parts)])
+    """Inverted index over the words of a shard's documents, given as bags of word hashes and counts."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(docs)
+        each = np.array([len(h) for h, _ in docs], np.int64)
+        sizes = np.array([tf.sum() for _, tf in docs], np.float64)
+        h = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in docs)])
+        tf = np.concatenate([np.empty(0, np.int64), *(tf for _, tf in docs)])
+        doc = np.repeat(np.arange(self.n), each)
         order = np.argsort(h, kind="stable")  # documents stay in order
-        h, doc = h[order], doc[order]
-        self.n = len(texts)
-        if not len(h):
-            self.first, self.doc, self.weight, self.query = np.zeros(1, np.int64), doc, np.empty(0), [np.empty(0, np.int64)] * self.n
-            return
-        cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))))
-        tf = np.diff(np.concatenate((cut, [len(h)])))
-        h, doc = h[cut], doc[cut]
-        new = np.concatenate(([True], h[1:] != h[:-1]))
-        term = np.cumsum(new) - 1
-        df = np.bincount(term)
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
+        df = np.diff(np.concatenate((np.flatnonzero(new), [len(h)])))
+        term = np.empty(len(h), np.int64)
+        term[order] = np.cumsum(new) - 1
+        self.first, self.df = np.cumsum(df) - df, df
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
-        self.first = np.concatenate(([0], np.cumsum(df)))
-        self.doc = doc
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        # a document's query: its rarest words that another document has
-        use = np.flatnonzero(df[term] > 1)
-        rank = np.empty(len(df), np.int64)
-        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-        use = use[np.argsort(doc[use] * len(df) + rank[term[use]])]
-        owner = doc[use]
-        start = np.searchsorted(owner, np.arange(self.n + 1))
-        self.query = [term[use[a : min(b, a + QUERY_WORDS)]] for a, b in zip(start[:-1], start[1:])]
+        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if self.n else 0.0))
+        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order]
+        # a document's query: all its words that another document of the shard has
+        shared = df[term] > 1
+        ends = np.cumsum(np.bincount(doc[shared], minlength=self.n))[:-1] if self.n else []
+        self.query = np.split(term[shared], ends) if self.n else []
 
     def scores(self, seed: int) -> np.ndarray:
         terms = self.query[seed]
         if not len(terms):
             return np.zeros(self.n)
-        at = np.concatenate([np.arange(self.first[t], self.first[t + 1]) for t in terms])
+        size = self.df[terms]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.first[terms] - ends + size, size)
         return np.bincount(self.doc[at], self.weight[at], minlength=self.n)
 
 
-def _order(index: Bm25, sizes: np.ndarray, length: int) -> list[int]:
-    """The order in which documents enter the windows."""
-    unused, out, pos = np.ones(index.n, bool), [], 0
+def _order(index: Bm25, sizes: np.ndarray, length: int, filled: int = 0) -> list[int]:
+    """The order in which documents enter the windows, of which the first is already filled to some length."""
+    unused, out, pos = np.ones(index.n, bool), [], filled
     fresh = 0
     seed = None
     while len(out) < index.n:
@@ -134,32 +143,93 @@ def _order(index: Bm25, sizes: np.ndarray, length: int) -> list[int]:
     return out
 
 
+# ------------------------------------------------------------------------------------- Spark side
+_READ = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("salt", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("tf", pa.binary())])
+_READ_SQL = "doc_id long, k1 long, k2 long, salt long, size long, ids binary, words binary, tf binary"
+_WIDTH = 3  # bytes of a token id, and of a word's count and hash as they travel
+_HASH = 5
+
+
+def _read(path: str, ranks_path: str | None):
+    """Token ids, words and content keys of each document."""
+    def read(batches):
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            raw = C.encoded(texts)
+            for a, b in C.in_batches(raw, 1 << 20):
+                rows = {f.name: [] for f in _READ}
+                ids = _tokens(path, ranks_path, texts[a:b])
+                for i, (x, (h, tf)) in enumerate(zip(ids, bags(raw[a:b]), strict=True)):
+                    mixed = (C.mix(h), C.mix(h ^ np.uint64(0x5851F42D4C957F2D))) if len(h) else ([0], [0])
+                    keys = (int(np.asarray(m, np.uint64).min() >> np.uint64(1)) for m in mixed)
+                    for col, v in zip(list(rows.values())[1:], (*keys, zlib.crc32(raw[a + i]), len(raw[a + i]), C.pack(np.append(x, np.uint32(END)), _WIDTH), C.pack(h, _HASH), C.pack(tf, _WIDTH))):
+                        col.append(v)
+                rows["doc_id"] = batch.column(0).slice(a, b - a)
+                yield pa.RecordBatch.from_pydict(rows, schema=_READ)
+
+    return read
+
+
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int64()))])
 
 
-def _pack(path: str, ranks_path: str | None, length: int, with_ids: bool):
-    def pack(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts = [t or "" for t in table.column("text").to_pylist()]
-        ids = [np.append(x, np.uint32(END)) for x in _tokens(path, ranks_path, texts)]
-        doc_ids = table.column("doc_id").to_pylist()
-        sizes = np.array([len(x) for x in ids], np.int64)
-        order = _order(Bm25(C.encoded(texts)), sizes, length)
-        whole, rest = divmod(int(sizes.sum()), length)
-        ends = [length] * whole + [1 << b for b in range(length.bit_length() - 1, -1, -1) if rest >> b & 1]
-        rows, seq, offset = [[] for _ in range(8)], 0, 0
-        for i in order:
-            start = 0
-            while start < sizes[i]:
-                n = int(min(sizes[i] - start, ends[seq] - offset))
-                piece = ids[i][start : start + n]
-                for col, v in zip(rows, (doc_ids[i], start, n, zlib.crc32(piece.astype("<u4").tobytes()), int(sizes[i]), (key[0].as_py() << 32) | seq, offset, piece if with_ids else [])):
-                    col.append(v)
-                start, offset = start + n, offset + n
-                if offset == ends[seq]:
-                    seq, offset = seq + 1, 0
-        return pa.table([pa.array(c, f.type) for c, f in zip(rows, _PIECES_ARROW)], schema=_PIECES_ARROW).select(_PIECES_ARROW.names if with_ids else _PIECES_ARROW.names[:7])
+class _Windows:
+    """Consecutive windows of one range; pieces are given out when their window is full."""
+
+    def __init__(self, length: int, first: int):
+        self.length, self.seq, self.filled, self.open = length, first, 0, []
+
+    def add(self, doc_id, ids: np.ndarray):
+        start = 0
+        while start < len(ids):
+            n = min(len(ids) - start, self.length - self.filled)
+            self.open.append((doc_id, start, ids[start : start + n], len(ids)))
+            start, self.filled = start + n, self.filled + n
+            if self.filled == self.length:
+                yield from self._close([self.length])
+
+    def rest(self):
+        """The last window, in powers of two."""
+        yield from self._close([1 << b for b in range(self.length.bit_length() - 1, -1, -1) if self.filled >> b & 1])
+
+    def _close(self, ends: list[int]):
+        left, offset = list(reversed(self.open)), 0
+        for end in ends:
+            while offset < end:
+                doc_id, start, ids, whole = left.pop()
+                n = min(len(ids), end - offset)
+                if n < len(ids):
+                    left.append((doc_id, start + n, ids[n:], whole))
+                yield doc_id, start, n, zlib.crc32(ids[:n].astype("<u4").tobytes()), whole, self.seq, offset, ids[:n]
+                offset += n
+            self.seq, offset = self.seq + 1, 0
+        self.open, self.filled = [], 0
+
+
+def _pack(length: int, shard_bytes: int, with_ids: bool):
+    def batch_of(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * 8
+        arrays = [pa.array(c, f.type) for c, f in zip(cols[: 8 if with_ids else 7], _PIECES_ARROW)]
+        return pa.RecordBatch.from_arrays(arrays, names=_PIECES_ARROW.names[: len(arrays)])
+
+    def shard(windows: _Windows, docs: list):
+        words = [(C.unpack(h, _HASH), C.unpack(tf, _WIDTH).astype(np.int64)) for _, _, h, tf in docs]
+        ids = [C.unpack(x, _WIDTH).astype(np.uint32) for _, x, _, _ in docs]
+        for i in _order(Bm25(words), np.array([len(x) for x in ids], np.int64), length, windows.filled):
+            yield from windows.add(docs[i][0], ids[i])
+
+    def pack(batches):
+        windows = _Windows(length, TaskContext.get().partitionId() << 32)
+        docs, held = [], 0
+        for batch in batches:
+            for *doc, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "words", "tf", "size"))):
+                docs.append(doc)
+                held += size + 1
+                if held >= shard_bytes:
+                    yield batch_of(list(shard(windows, docs)))
+                    docs, held = [], 0
+        yield batch_of([*shard(windows, docs), *windows.rest()])
 
     return pack
 
@@ -167,11 +237,14 @@ def _pack(path: str, ranks_path: str | None, length: int, with_ids: bool):
 def pack_sequences(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """One row for each piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
-    ``length`` is a power of two.  Sequences hold exactly ``length`` tokens, but for a shard's last ones, which hold
-    lower powers of two.  Every document ends with id 0, so null or empty text gives one token.  Repeated rows are
-    packed as often as they occur; a null id stays null.  Other columns of docs are ignored.
+    ``length`` is a power of two.  Sequences hold exactly ``length`` tokens, but for the last ones of a range of content
+    keys, which hold lower powers of two.  Every document ends with id 0, so null or empty text gives one token.
+    Repeated rows are packed as often as they occur; a null id stays null.  Other columns of docs are ignored.
     """
-    grouped, _ = C.in_groups(docs, id_col, text_col, SHARD_BYTES)
-    schema = _PIECES + (", ids array<long>" if with_ids else "")
-    out = grouped.groupBy("g").applyInArrow(_pack(tokenizer_path, ranks_path, length, with_ids), schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ranges = max(1, math.ceil(C.text_bytes(docs, text_col) / RANGE_BYTES))
+    read = C.stored(rows.mapInArrow(_read(tokenizer_path, ranks_path), _READ_SQL), "tokens")
+    salt = F.xxhash64("doc_id", "salt")
+    dealt = read.withColumn("salt", salt).repartitionByRange(ranges, "k1", "salt").sortWithinPartitions("k1", "k2", "doc_id", "salt")
+    out = dealt.mapInArrow(_pack(length, SHARD_BYTES, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
     return out.withColumnRenamed("doc_id", id_col)

@@ -214,6 +214,53 @@ def test_op6(spark, folder, texts):
         assert at <= 1024
 
 
+def test_op6_sequences_are_full(spark, folder):
+    sizes = queries.op6_packing(spark, folder).groupBy("sequence_id").sum("length").toPandas()["sum(length)"]
+    assert (sizes == 1024).mean() > 0.9 and set(sizes) <= {2**k for k in range(11)}
+
+
+def test_op6_neighbours(texts):
+    """Scores of a seed's neighbours, and the order of documents, against BM25 word by word."""
+    some = [t for t in texts.values() if len(t) < 20_000][:60] + ["alpha beta beta", "beta gamma", ""]
+    bags = [Counter(WORD.findall(low(t))) for t in some]
+    df, n, mean = Counter(w for b in bags for w in b), len(bags), sum(sum(b.values()) for b in bags) / len(bags)
+    want = [[sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in a if b[w] and df[w] > 1) for b in bags] for a in bags]
+    index = packing.Bm25(packing.bags([t.encode() for t in some]))
+    for i, row in enumerate(want):
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(row, index.scores(i)))
+    sizes = [100 + 37 * i % 700 for i in range(n)]
+    order, unused, pos, seed = [], set(range(n)), 0, None
+    while unused:
+        if seed is None:
+            seed = min(unused)
+            unused.remove(seed)
+            order.append(seed)
+            pos += sizes[seed]
+        room, last = -pos % 1024, seed
+        while room > 0 and unused:
+            best = max(sorted(unused), key=lambda j: (round(want[seed][j], 9), -j))
+            if want[seed][best] <= 0:
+                break
+            unused.remove(best)
+            order.append(best)
+            pos, room, last = pos + sizes[best], room - sizes[best], best
+        seed = last if room < 0 else None
+    assert packing._order(index, sizes, 1024) == order
+
+
+def test_op6_related_documents_meet(spark, monkeypatch):
+    """Near copies far apart by id share a sequence though the input makes many shards."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 60_000)
+    base = [" ".join(f"w{i}x{j * 31 % 97}" for j in range(150)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(base)] + [(1000 + i, t + " end") for i, t in enumerate(base)], "doc_id long, text string")
+    got = packing.pack_sequences(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    seqs = defaultdict(set)
+    for r in got:
+        seqs[r.doc_id].add(r.sequence_id)
+    near = sum(bool({s + k for s in seqs[i] for k in (-1, 0, 1)} & seqs[1000 + i]) for i in range(300))
+    assert near > 230  # a shared minimum is as likely as the share of common words
+
+
 def test_op7(spark, folder, texts):
     d = pd.read_parquet(f"{folder}/documents.parquet")
     lang = {int(i): x for i, x in zip(d.doc_id, d.lang)}
