@@ -1,11 +1,17 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Four base patterns with checks always report.  Besides, high-recall generators propose further, overlapping spans;
-boosted depth-two trees score them by format and context features, and a threshold calibrated for each generator
-selects.  The trees learn from weak labels: does a proposed span overlap a valid base span of its kind?  All
-features are small integers, so the training data is one aggregate of feature combinations with their label counts
-(at most FEATURE_SPACE rows, whatever the input), from a sample whose bound is a parameter.  The fitted trees are
-compiled to CASE expressions; the thresholds come from their scores of the candidates of all documents.
+boosted depth-two trees score them by format and context features, a threshold calibrated for each generator selects,
+and of overlapping selected spans the best one stays.  Spans that touch a base span are never added.
+
+The trees learn from what the base patterns miss.  Every base span is planted again, in its own context, in forms that are
+still personal data (spelt-out addresses, IPv6, other separators, national numbers) and in forms that are not (numbers that
+fail their check, octets beyond 255, the context of an order number).  Candidates in planted forms have that label.  Other
+candidates of the corpus that touch no base span have none: they count as wrong where their features, or their score, are
+commoner among them than among planted personal data, and are left out elsewhere.
+Features are small integers, so the training data is one aggregate of feature combinations with their label counts (at
+most FEATURE_SPACE rows), from a sample of documents whose bound is a parameter.  The fitted trees are compiled to CASE
+expressions; the thresholds come from their scores of all candidates and all planted forms of all documents.
 """
 
 from __future__ import annotations
@@ -29,17 +35,18 @@ BASE = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Candidate generators.
+_AT, _DOT = r"(?: ?@ ?| ?[(\[]at[)\]] ?| at )", r"(?:\.| ?[(\[]dot[)\]] ?| dot )"
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,4}}",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ ./-]{1,2}[0-9]{4}[ ./-]{1,2}[0-9]{4}[ ./-]{1,2}[0-9]{1,7}|[0-9]{4}[ ./-]{1,2}[0-9]{6}[ ./-]{1,2}[0-9]{5}|[0-9]{13,19})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
 }
 #: Features and their numbers of values; their product bounds the training table.
-FEATURES = {"gen": 4, "digits": 21, "len": 11, "luhn": 2, "sep": 8, "plus": 2, "prev": 5, "next": 5, "ctx": 4}
+FEATURES = {"gen": 4, "digits": 21, "len": 11, "luhn": 2, "octets": 2, "sep": 16, "plus": 2, "prev": 6, "next": 6, "ctx": 5}
 FEATURE_SPACE = math.prod(FEATURES.values())
 SAMPLE_DOCS = 4000
-ROUNDS, RATE, PRECISION = 16, 0.4, 0.95
+ROUNDS, RATE, PRECISION = 24, 0.4, 0.95
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -100,7 +107,7 @@ def _guards(text: Column) -> dict[str, Column]:
 
 def _wide_guards(text: Column) -> dict[str, Column]:
     digit = text.rlike("[0-9]")
-    return {"email": F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]"), "ip": digit & text.rlike(r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": digit, "phone": digit}
+    return {"email": F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]| at [A-Za-z0-9-]+(?:\.| ?[(\[]dot| dot )"), "ip": text.rlike(r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]"), "card": digit, "phone": digit}
 
 
 def _matched(df: DataFrame, prefix: str, patterns: dict[str, str], guards: dict[str, Column]) -> DataFrame:
@@ -119,11 +126,12 @@ def _with_base(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------- features
-def _side(c: Column) -> Column:
-    return F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
+def _side(c: Column, again: Column) -> Column:
+    """What stands beside a span: nothing, space, letter, digit, other, or a separator with a digit behind it."""
+    return F.when(c == "", 0).when(c.rlike(r"^[ ./-]$") & again.rlike("^[0-9]$"), 5).when(c.rlike(r"^\s"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
 
 
-_CONTEXT = ((1, r"(?i)mail|phone|tel|call|fax|mobile|contact"), (2, r"(?i)card|visa|payment|account|bank"), (3, r"(?i)token|key|pass|secret|hash|sha"))
+_CONTEXT = ((1, r"(?i)mail|phone|tel|call|fax|mobile|contact|write|reach"), (2, r"(?i)card|visa|payment|account|bank"), (3, r"(?i)token|key|pass|secret|hash|sha"), (4, r"(?i)order|invoice|isbn|version|serial|part no|ref|date"))
 
 
 def _features(x: Column) -> Column:
@@ -133,12 +141,13 @@ def _features(x: Column) -> Column:
     ctx = reduce(lambda c, p: c.when(before.rlike(p[1]), p[0]), _CONTEXT[1:], F.when(before.rlike(_CONTEXT[0][1]), _CONTEXT[0][0])).otherwise(0)
     has = lambda p: F.when(m.rlike(p), 1).otherwise(0)
     luhn = F.when(F.length(d).between(13, 19), F.call_function("luhn_check", d)).otherwise(F.lit(False))
+    at = lambda k: F.when(k >= 1, F.substring(text, k, F.lit(1))).otherwise("")
     return F.struct(
         x["s"].alias("s"), x["e"].alias("e"),
         x["gen"].alias("gen"), F.least(F.length(d), F.lit(20)).alias("digits"), F.least((F.length(m) / 4).cast("int"), F.lit(10)).alias("len"),
-        luhn.cast("int").alias("luhn"), (has(" ") + 2 * has("-") + 4 * has("[().]")).alias("sep"), has(r"^\+").alias("plus"),
-        _side(F.substring(text, x["s"], F.when(x["s"] > 0, 1).otherwise(0))).alias("prev"), _side(F.substring(text, x["e"] + 1, 1)).alias("next"), ctx.alias("ctx"),
-        F.exists("__b", lambda b: (b["gen"] == x["gen"]) & (b["s"] < x["e"]) & (b["e"] > x["s"])).alias("known"),
+        luhn.cast("int").alias("luhn"), _valid("ip", m).cast("int").alias("octets"),
+        (has(" ") + 2 * has("-") + 4 * has("[().\\[]") + 8 * has("[:@]")).alias("sep"), has(r"^\+").alias("plus"),
+        _side(at(x["s"]), at(x["s"] - 1)).alias("prev"), _side(at(x["e"] + 1), at(x["e"] + 2)).alias("next"), ctx.alias("ctx"),
     )
 
 
@@ -146,12 +155,60 @@ def _of_kind(kind: str, x: Column) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.lit(KINDS.index(kind)).alias("gen"))
 
 
+def _overlaps(x: Column, y: Column) -> Column:
+    return (x["s"] < y["e"]) & (x["e"] > y["s"])
+
+
+def _free(x: Column) -> Column:
+    return ~F.exists("__b", lambda y: _overlaps(x, y))
+
+
 def _with_candidates(df: DataFrame) -> DataFrame:
-    """Adds __c: the candidates of all generators with their features."""
+    """Adds __b, all base spans, and __c, the candidates of all generators that touch none of them, with their features."""
     df = _matched(df, "__w", WIDE, _wide_guards(F.col("__t")))
     for x in "bw":
         df = df.withColumn(f"__{x}", F.concat(*(F.transform(f"__{x}_{k}", partial(_of_kind, k)) for k in KINDS)))
-    return df.withColumn("__c", F.transform("__w", _features)).drop("__w", *(f"__w_{k}" for k in KINDS))
+    return df.withColumn("__w", F.filter("__w", _free)).withColumn("__c", F.transform("__w", _features)).drop("__w", *(f"__w_{k}" for k in KINDS))
+
+
+# ------------------------------------------------------------------------------------ planted forms
+def _groups(d: Column, sizes: tuple[int, ...], sep: str) -> Column:
+    """Digits in groups, counted from the left; what is left over joins the last one."""
+    at, parts = 1, []
+    for i, n in enumerate(sizes):
+        parts.append(F.substring(d, F.lit(at), F.lit(n) if i < len(sizes) - 1 else F.length(d)))
+        at += n
+    return F.concat_ws(sep, *parts)
+
+
+def _forms() -> dict[str, list[tuple[Column, bool, Column]]]:
+    """For each kind: new text, whether it is still personal data, and what stands before it."""
+    m, before = F.col("b.m"), F.col("b.before")
+    d = F.regexp_replace(m, "[^0-9]", "")
+    name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
+    wrong = F.concat(F.substring(d, F.lit(1), F.length(d) - 1), F.pmod(F.substring(d, -1, 1).cast("int") + 1, F.lit(10)).cast("string"))
+    h, ten = F.md5(m.cast("binary")), F.lpad(d, 10, "0")
+    ten = F.substring(ten, -10, 10)
+    six = F.concat_ws(":", *(F.substring(h, 4 * i + 1, 4) for i in range(8)))
+    some = F.concat(F.lit("fe80::"), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 3))
+    order = F.lit(" see order no ")
+    say = lambda at, dot: F.concat(name, F.lit(at), F.regexp_replace(host, r"\.", dot))
+    return {
+        "email": [(say(" (at) ", " (dot) "), True, before), (say(" [at] ", "."), True, before), (say(" @ ", "."), True, before), (say(" at ", " dot "), True, before)],
+        "ip": [(six, True, before), (some, True, before), (F.regexp_replace(m, "^[0-9]+", "399"), False, before), (F.regexp_replace(m, "[0-9]+$", "777"), False, order)],
+        "card": [(_groups(d, (4, 4, 4, 4), "."), True, before), (_groups(d, (4, 4, 4, 4), "  "), True, before), (_groups(d, (4, 4, 4, 4), "/"), True, before), (_groups(wrong, (4, 4, 4, 4), "."), False, before), (_groups(wrong, (4, 4, 4, 4), " "), False, before), (_groups(wrong, (4, 4, 4, 4), "-"), False, order), (wrong, False, before)],
+        "phone": [(F.concat(F.lit("("), F.substring(ten, 1, 3), F.lit(") "), F.substring(ten, 4, 3), F.lit("-"), F.substring(ten, 7, 4)), True, before), (_groups(ten, (3, 3, 4), "."), True, before), (_groups(F.concat(F.lit("0"), ten), (4, 3, 4), " "), True, before), (_groups(ten, (3, 3, 4), "-"), True, before), (_groups(ten, (3, 3, 4), "-"), False, order), (_groups(ten, (4, 3, 3), " "), False, order)],
+    }
+
+
+def planted(spans: DataFrame) -> DataFrame:
+    """Rows (h, features, right, wrong, plain) of the candidates in every form of the given base spans (h, b)."""
+    forms = [F.when(F.col("b.gen") == KINDS.index(k), F.array(*(F.struct(t.alias("m"), F.lit(y).alias("right"), c.alias("before")) for t, y, c in fs))) for k, fs in _forms().items()]
+    rows = spans.select("h", F.col("b.gen").alias("kind"), F.col("b.after").alias("after"), F.explode(F.coalesce(*forms)).alias("f"))
+    rows = rows.select("h", "kind", F.col("f.right").alias("right"), F.length("f.before").alias("s"), (F.length("f.before") + F.length("f.m")).alias("e"), F.concat("f.before", "f.m", "after").alias("__t"))
+    rows = _with_candidates(_with_base(rows)).select("h", "kind", "right", "s", "e", F.explode("__c").alias("c")).where(_overlaps(F.struct("s", "e"), F.col("c")))
+    right = F.col("right") & (F.col("c.gen") == F.col("kind"))
+    return rows.select("h", "c", right.cast("int").alias("right"), (~right).cast("int").alias("wrong"), F.lit(0).alias("plain"))
 
 
 # ------------------------------------------------------------------------------------------ boosting
@@ -180,7 +237,7 @@ class Trees:
         if not self.trees or not self.thresholds:
             return F.lit(False)
         limit = reduce(lambda w, p: w.when(c["gen"] == p[0], F.lit(p[1])), self.thresholds.items(), F.when(F.lit(False), F.lit(0.0)))
-        return F.coalesce(self.column(c) >= limit, F.lit(False))
+        return F.coalesce(F.round(self.column(c), 9) >= limit, F.lit(False))
 
 
 def _best_split(x, g, h, rows):
@@ -218,15 +275,20 @@ def fit_trees(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Trees:
     return Trees(trees, bias, {})
 
 
+def counted(right, wrong, plain) -> tuple[np.ndarray, np.ndarray]:
+    """Label counts of alike candidates: those without a label are wrong where they outnumber the planted right ones."""
+    return np.asarray(right, float), np.asarray(wrong + np.where(plain > right, plain, 0), float)
+
+
 def calibrate(rows: list[tuple[int, float, int, int]]) -> dict[int, float]:
     """Thresholds from (generator, margin, right, wrong) counts.
 
-    A generator's threshold is the lowest whose selection is right for PRECISION of its candidates; one without such
-    a threshold selects nothing.
+    A generator's threshold is the lowest whose selection is right for PRECISION of its candidates, but no margin below 0,
+    where candidates are more likely wrong than right; a generator without such a threshold selects nothing.
     """
     thresholds = {}
     for gen in range(len(KINDS)):
-        own = sorted(((m, p, n) for g, m, p, n in rows if g == gen), reverse=True)
+        own = sorted(((m, p, n) for g, m, p, n in rows if g == gen and m >= 0), reverse=True)
         tp, fp = (np.cumsum([r[i] for r in own]) for i in (1, 2))
         good = np.flatnonzero((tp > 0) & (tp >= PRECISION * (tp + fp)))
         if len(good):
@@ -234,28 +296,42 @@ def calibrate(rows: list[tuple[int, float, int, int]]) -> dict[int, float]:
     return thresholds
 
 
+def scanned(docs: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """Stored rows: ``keep``, base spans by kind and candidates.  Texts are read once, and not stored."""
+    text = F.col("__t")
+    df = _with_candidates(_with_base(docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))))
+    around = lambda x: x.withField("before", F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))).withField("after", F.substring(text, x["e"] + 1, F.lit(24)))
+    return C.stored(df.select(*keep, *(F.col(f"__b_{k}") for k in KINDS), F.transform("__b", around).alias("__b"), "__c"), "pii")
+
+
+def _hash(id_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Trees:
-    """Fits on half of about ``sample_docs`` documents, chosen by a hash of the id; all documents calibrate."""
-    share = max(1, docs.count() // max(1, sample_docs))
-    h = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.where(F.pmod(h, F.lit(share)) == 0).select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), F.pmod(F.shiftright(h, 40), F.lit(2)).alias("__half"))
-    rows = C.stored(rows, "pii-sample")  # else filters inferred from the candidates run before the sampling
-    rows = _with_candidates(_with_base(rows.where(F.col("__half") == 0))).select(F.explode("__c").alias("c"))
-    counts = [F.count_if(F.col("c.known") == known).alias(f"n{int(known)}") for known in (False, True)]
-    table = rows.groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(*counts)
+    """Fits on about ``sample_docs`` documents, chosen by a hash of the id; all documents calibrate."""
+    return _learn(scanned(docs, text_col, _hash(id_col).alias("h")), sample_docs)
+
+
+def _learn(found: DataFrame, sample_docs: int) -> Trees:
+    share = max(1, found.count() // max(1, sample_docs))
+    plain = found.select("h", F.explode("__c").alias("c")).select("h", "c", F.lit(0).alias("right"), F.lit(0).alias("wrong"), F.lit(1).alias("plain"))
+    rows = C.stored(plain.union(planted(found.select("h", F.explode("__b").alias("b")))), "pii-labels")
+    counts = [F.sum(x).alias(x) for x in ("right", "wrong", "plain")]
+    table = rows.where(F.pmod("h", F.lit(share)) == 0).groupBy(*(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(*counts)
     got = sorted(tuple(r) for r in table.collect())
     if not got:
         return Trees([], 0.0, {})
     a = np.array(got)
     k = len(FEATURES)
-    x, n = a[:, :k].astype(int), a[:, k:].astype(float)
-    trees = fit_trees(x, n[:, 1], n[:, 0])
+    right, wrong = counted(*a[:, k:].T)
+    trees = fit_trees(a[:, :k].astype(int), right, wrong)
     if not trees.trees:
         return trees
-    every = _with_candidates(_with_base(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"))))
-    every = every.select(F.explode_outer("__c").alias("c"))  # an inner one would find the candidates twice, to filter
-    margins = every.groupBy(F.col("c.gen").alias("gen"), trees.column(F.col("c")).alias("margin")).agg(*counts)
-    trees.thresholds = calibrate([(r.gen, r.margin, r.n1, r.n0) for r in margins.collect() if r.gen is not None])
+    margins = rows.groupBy(F.col("c.gen").alias("gen"), F.round(trees.column(F.col("c")), 9).alias("margin")).agg(*counts)
+    got = margins.collect()
+    labels = counted(*(np.array([r[x] for r in got]) for x in ("right", "wrong", "plain")))
+    trees.thresholds = calibrate([(r.gen, r.margin, p, n) for r, p, n in zip(got, *labels)])
     return trees
 
 
@@ -268,8 +344,16 @@ def _tagged(kind: str, x: Column) -> Column:
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k"))
 
 
-def _chosen(trees: Trees, x: Column) -> Column:
-    return ~x["known"] & trees.chosen(x)
+def _better(x: Column, y: Column) -> Column:
+    """Whether an overlapping selected candidate y is better than x; ties go to the longer, then to the kind listed first."""
+    rank = lambda z: F.struct(z["margin"], z["e"] - z["s"], -z["gen"], -z["s"])
+    return _overlaps(x, y) & (rank(y) > rank(x))
+
+
+def _selected(trees: Trees) -> Column:
+    """The candidates in __c that the trees select and no better overlapping one beats."""
+    scored = F.transform(F.filter("__c", trees.chosen), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["gen"].alias("gen"), F.round(trees.column(x), 9).alias("margin")))
+    return F.filter(scored, lambda x: ~F.exists(scored, lambda y: _better(x, y)))
 
 
 def _is_kind(gen: int, x: Column) -> Column:
@@ -284,26 +368,22 @@ def _pairs(a: Column) -> Column:
     return F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
 
-def find(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """Adds for each kind the base spans (__b_kind) and all spans (__a_kind), sorted; __t is the text."""
-    df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
-    df = _with_candidates(_with_base(df))
-    df = df.withColumn("__x", F.filter("__c", partial(_chosen, trees)))
+def _with_all(df: DataFrame, trees: Trees) -> DataFrame:
+    """Adds all spans of each kind (__a_kind), sorted."""
+    df = df.withColumn("__x", _selected(trees) if trees.trees and trees.thresholds else F.array().cast("array<struct<s:int,e:int,gen:int,margin:double>>"))
     added = {k: F.filter("__x", partial(_is_kind, KINDS.index(k))) for k in KINDS}
-    df = df.withColumns({f"__a_{k}": F.array_sort(F.concat(_pairs(F.col(f"__b_{k}")), _pairs(added[k]))) for k in KINDS})
-    return df.drop("__b", "__c", "__x")
+    return df.withColumns({f"__a_{k}": F.array_sort(F.concat(_pairs(F.col(f"__b_{k}")), _pairs(added[k]))) for k in KINDS})
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row for each row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are of the base spans, ``spans`` lists these and those that the trees add.  Offsets are
-    code points, ends exclusive.  Null text counts as empty.  Without weakly labelled candidates nothing is added.
+    code points, ends exclusive.  Null text counts as empty.  Without base spans to learn from nothing is added.
     Rows are independent, ids may be null or repeat, and other columns of docs are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    trees = learn(rows, "__id", "__text", sample_docs)
-    df = find(rows, trees, "__text")
+    found = scanned(docs, text_col, F.col(id_col).alias("__id"), _hash(id_col).alias("h"))
+    df = _with_all(found, _learn(found, sample_docs))
     return df.select(
         F.col("__id").alias(id_col), *(F.size(f"__b_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(_text_of({k: F.col(f"__b_{k}") for k in KINDS}).cast("binary"), 256).alias("base_sha256"),
@@ -314,7 +394,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """docs with every span of personal data in text_col replaced by its kind in brackets; null stays null."""
     columns = docs.columns
-    df = find(docs, trees, text_col)
+    df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    df = _with_all(_with_candidates(_with_base(df)), trees)
     tagged = F.array_sort(F.concat(*(F.transform(f"__a_{k}", partial(_tagged, k)) for k in KINDS)))
     df = df.withColumn("__s", tagged)
     df = df.withColumn("__d", running(F.transform("__s", lambda x: x["e"]), F.greatest))  # how far earlier spans reach
