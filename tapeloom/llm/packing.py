@@ -1,9 +1,9 @@
 """Sequence packing by lexical retrieval.
 
-One pass over the texts tokenises them and gives each document its distinct words and a content key: two minima of its
-word hashes, so documents that share much of their words tend to have the same key.  Documents are dealt by ranges of
-content keys (a key that very many share is split by a hash of the id) and sorted by them.  Each run of about SHARD_BYTES of
-text is a shard with a BM25 inverted index: a seed document opens a window, all its words query the index, and its best
+One pass over the texts gives each document its distinct words and a content key: two minima of its word hashes, so
+documents that share much of their words tend to have the same key.  Documents are dealt by ranges of content keys (whose
+bounds come from a bounded sample; a key that very many share is split by a hash of id and text) and sorted by them.  Each
+run of about SHARD_BYTES of text is tokenised and becomes a shard with a BM25 inverted index: a seed document opens a window, all its words query the index, and its best
 unused neighbours greedily fill the window, the last one being cut where the window is full; what is left of it seeds
 the next window.  Shards have the same size whatever the input, and hold neighbours in content at every size.  Windows go
 on from shard to shard; what remains at the end of a range is cut into powers of two, so no sequence needs padding.
@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, END = 1024, 0
-#: Text bytes of a shard, and of a range of content keys.
+#: Text bytes of a shard, and of a range of content keys; most ranges, and sampled keys for each and in all.
 SHARD_BYTES, RANGE_BYTES = 1 << 20, 8 << 20
+MOST_RANGES, PER_RANGE, MOST_SAMPLED = 50_000, 40, 200_000
 K1, B = 1.2, 0.75
 
 _tokenizers: dict = {}
@@ -64,31 +66,23 @@ def _tokens(path: str, ranks_path: str | None, texts: list[str]) -> list[np.ndar
     return out
 
 
-def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct word hashes, sorted, and how often each occurs."""
-    out = []
-    for a, b in C.in_batches(texts):
-        h, counts = C.word_hashes([t.lower() for t in texts[a:b]])
-        owner = np.repeat(np.arange(b - a), counts)
-        order = np.lexsort((h, owner))
-        h, owner = h[order], owner[order]
-        cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.empty(0, np.int64)
-        tf = np.diff(np.concatenate((cut, [len(h)])))
-        ends = np.searchsorted(owner[cut], np.arange(1, b - a))
-        out += zip(np.split(h[cut], ends), np.split(tf, ends))
-    return out
+def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of each text, sorted, and how often each occurs, concatenated; and each text's number of them."""
+    h, counts = C.word_hashes([t.lower() for t in texts])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.empty(0, np.int64)
+    return h[cut], np.diff(np.concatenate((cut, [len(h)]))), np.bincount(owner[cut], minlength=len(texts))
 
 
 class Bm25:
-    """Inverted index over the words of a shard's documents, given as bags of word hashes and counts."""
-
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]]):
-        self.n = len(docs)
-        each = np.array([len(h) for h, _ in docs], np.int64)
-        sizes = np.array([tf.sum() for _, tf in docs], np.float64)
-        h = np.concatenate([np.empty(0, np.uint64), *(h for h, _ in docs)])
-        tf = np.concatenate([np.empty(0, np.int64), *(tf for _, tf in docs)])
+    """Inverted index over the bags of words of a shard's documents."""
+
+    def __init__(self, h: np.ndarray, tf: np.ndarray, each: np.ndarray):
+        self.n = len(each)
         doc = np.repeat(np.arange(self.n), each)
+        sizes = np.bincount(doc, tf, minlength=self.n)
         order = np.argsort(h, kind="stable")  # documents stay in order
         new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
         df = np.diff(np.concatenate((np.flatnonzero(new), [len(h)])))
@@ -144,28 +138,51 @@ def _order(index: Bm25, sizes: np.ndarray, length: int, filled: int = 0) -> list
 
 
 # ------------------------------------------------------------------------------------- Spark side
-_READ = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("salt", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("words", pa.binary()), ("tf", pa.binary())])
-_READ_SQL = "doc_id long, k1 long, k2 long, salt long, size long, ids binary, words binary, tf binary"
-_WIDTH = 3  # bytes of a token id, and of a word's count and hash as they travel
-_HASH = 5
+_KEYS = [("k1", pa.int64()), ("k2", pa.int64()), ("salt", pa.int64())]
+_READ_SQL = "doc_id long, text string, bucket int, k1 long, k2 long, salt long, words array<long>, tf array<int>"
+
+
+def _content(texts: list[bytes]):
+    """Bags of words and content keys (two minima and a salt) of some texts."""
+    h, tf, each = bags(texts)
+    starts, has, keys = np.cumsum(each) - each, each > 0, []
+    for mixed in (C.mix(h), C.mix(h ^ np.uint64(0x5851F42D4C957F2D))):
+        least = np.zeros(len(texts), np.uint64)
+        if len(h):
+            least[has] = np.minimum.reduceat(mixed, starts[has])
+        keys.append((least >> np.uint64(1)).view(np.int64))
+    return h, tf, each, *keys
+
+
+def _sampled(batches):
+    for batch in batches:
+        texts = C.encoded(batch.column(0).to_pylist())
+        for a, b in C.in_batches(texts):
+            *_, k1, k2 = _content(texts[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), batch.column(1).slice(a, b - a)], names=["k1", "salt"])
+
+
+def _bucket(bounds: tuple[np.ndarray, np.ndarray], k1: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The range of each (key, salt): the number of bounds below it."""
+    low, high = (np.searchsorted(bounds[0], k1, side) for side in ("left", "right"))
+    for i in np.flatnonzero(low < high):
+        low[i] += np.searchsorted(bounds[1][low[i] : high[i]], salt[i])
+    return low
 
 
-def _read(path: str, ranks_path: str | None):
-    """Token ids, words and content keys of each document."""
+def _read(shared):
+    """Adds range, content keys and words to each document."""
     def read(batches):
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            raw = C.encoded(texts)
-            for a, b in C.in_batches(raw, 1 << 20):
-                rows = {f.name: [] for f in _READ}
-                ids = _tokens(path, ranks_path, texts[a:b])
-                for i, (x, (h, tf)) in enumerate(zip(ids, bags(raw[a:b]), strict=True)):
-                    mixed = (C.mix(h), C.mix(h ^ np.uint64(0x5851F42D4C957F2D))) if len(h) else ([0], [0])
-                    keys = (int(np.asarray(m, np.uint64).min() >> np.uint64(1)) for m in mixed)
-                    for col, v in zip(list(rows.values())[1:], (*keys, zlib.crc32(raw[a + i]), len(raw[a + i]), C.pack(np.append(x, np.uint32(END)), _WIDTH), C.pack(h, _HASH), C.pack(tf, _WIDTH))):
-                        col.append(v)
-                rows["doc_id"] = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_pydict(rows, schema=_READ)
+            texts = C.encoded(batch.column(1).to_pylist())
+            for a, b in C.in_batches(texts, 1 << 20):
+                h, tf, each, k1, k2 = _content(texts[a:b])
+                part = batch.slice(a, b - a)
+                bucket = _bucket(shared.value, k1, part.column(2).to_numpy())
+                ends = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32)))
+                cols = [part.column(0), part.column(1), pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), *lists]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _READ_SQL.split(", ")])
 
     return read
 
@@ -207,29 +224,37 @@ class _Windows:
         self.open, self.filled = [], 0
 
 
-def _pack(length: int, shard_bytes: int, with_ids: bool):
+def _pack(path: str, ranks_path: str | None, length: int, shard_bytes: int, with_ids: bool):
     def batch_of(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[]] * 8
         arrays = [pa.array(c, f.type) for c, f in zip(cols[: 8 if with_ids else 7], _PIECES_ARROW)]
         return pa.RecordBatch.from_arrays(arrays, names=_PIECES_ARROW.names[: len(arrays)])
 
-    def shard(windows: _Windows, docs: list):
-        words = [(C.unpack(h, _HASH), C.unpack(tf, _WIDTH).astype(np.int64)) for _, _, h, tf in docs]
-        ids = [C.unpack(x, _WIDTH).astype(np.uint32) for _, x, _, _ in docs]
-        for i in _order(Bm25(words), np.array([len(x) for x in ids], np.int64), length, windows.filled):
-            yield from windows.add(docs[i][0], ids[i])
+    def shard(windows: _Windows, parts: list[pa.RecordBatch]):
+        texts = ["" if t is None else t for p in parts for t in p.column("text").to_pylist()]
+        doc_ids = [x for p in parts for x in p.column("doc_id").to_pylist()]
+        h, tf = (np.concatenate([np.empty(0, np.int64), *(p.column(c).flatten().to_numpy() for p in parts)]) for c in ("words", "tf"))
+        each = np.concatenate([np.empty(0, np.int64), *(np.asarray(p.column("words").value_lengths()) for p in parts)])
+        ids = [np.append(x, np.uint32(END)) for x in _tokens(path, ranks_path, texts)]
+        for i in _order(Bm25(h.view(np.uint64), tf, each), np.array([len(x) for x in ids], np.int64), length, windows.filled):
+            yield from windows.add(doc_ids[i], ids[i])
 
     def pack(batches):
         windows = _Windows(length, TaskContext.get().partitionId() << 32)
-        docs, held = [], 0
+        parts, held = [], 0
         for batch in batches:
-            for *doc, size in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "words", "tf", "size"))):
-                docs.append(doc)
-                held += size + 1
+            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)) + 1
+            begin = 0
+            while begin < batch.num_rows:
+                room = np.searchsorted(np.cumsum(sizes[begin:]), shard_bytes - held) + 1
+                part = batch.slice(begin, room)
+                parts.append(part)
+                held += int(sizes[begin : begin + room].sum())
+                begin += room
                 if held >= shard_bytes:
-                    yield batch_of(list(shard(windows, docs)))
-                    docs, held = [], 0
-        yield batch_of([*shard(windows, docs), *windows.rest()])
+                    yield batch_of(list(shard(windows, parts)))
+                    parts, held = [], 0
+        yield batch_of([*shard(windows, parts), *windows.rest()])
 
     return pack
 
@@ -241,10 +266,16 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
     keys, which hold lower powers of two.  Every document ends with id 0, so null or empty text gives one token.
     Repeated rows are packed as often as they occur; a null id stays null.  Other columns of docs are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = max(1, math.ceil(C.text_bytes(docs, text_col) / RANGE_BYTES))
-    read = C.stored(rows.mapInArrow(_read(tokenizer_path, ranks_path), _READ_SQL), "tokens")
-    salt = F.xxhash64("doc_id", "salt")
-    dealt = read.withColumn("salt", salt).repartitionByRange(ranges, "k1", "salt").sortWithinPartitions("k1", "k2", "doc_id", "salt")
-    out = dealt.mapInArrow(_pack(length, SHARD_BYTES, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
+    salt = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), salt.alias("salt"))
+    size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    ranges = min(MOST_RANGES, max(1, math.ceil((size[1] or 0) / RANGE_BYTES)))
+    share = min(1.0, min(PER_RANGE * ranges, MOST_SAMPLED) / max(1, size[0]))
+    some = rows.where(F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) < int(share * (1 << 30))) if ranges > 1 else rows.limit(0)
+    keys = sorted((r.k1, r.salt) for r in some.select("text", "salt").mapInArrow(_sampled, "k1 long, salt long").collect())
+    bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(np.array([k[i] for k in bounds], np.int64) for i in (0, 1)))
+    width = max(2 * ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.mapInArrow(_read(shared), _READ_SQL).repartition(width, "bucket").sortWithinPartitions("bucket", "k1", "k2", "doc_id", "salt")
+    out = dealt.mapInArrow(_pack(tokenizer_path, ranks_path, length, SHARD_BYTES, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
     return out.withColumnRenamed("doc_id", id_col)

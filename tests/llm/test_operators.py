@@ -225,7 +225,7 @@ def test_op6_neighbours(texts):
     bags = [Counter(WORD.findall(low(t))) for t in some]
     df, n, mean = Counter(w for b in bags for w in b), len(bags), sum(sum(b.values()) for b in bags) / len(bags)
     want = [[sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in a if b[w] and df[w] > 1) for b in bags] for a in bags]
-    index = packing.Bm25(packing.bags([t.encode() for t in some]))
+    index = packing.Bm25(*packing.bags([t.encode() for t in some]))
     for i, row in enumerate(want):
         assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(row, index.scores(i)))
     sizes = [100 + 37 * i % 700 for i in range(n)]
@@ -248,6 +248,19 @@ def test_op6_neighbours(texts):
     assert packing._order(index, sizes, 1024) == order
 
 
+def test_op6_ranges_split_hot_keys():
+    """A key with most of the rows spreads over several ranges; ranges are in the order of keys."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    k1, salt = np.where(rng.random(4000) < 0.7, 500, rng.integers(0, 1000, 4000)), rng.integers(-(2**40), 2**40, 4000)
+    pairs = sorted(zip(k1.tolist(), salt.tolist()))
+    bounds = [pairs[i * 400] for i in range(1, 10)]
+    got = packing._bucket(tuple(np.array([b[i] for b in bounds]) for i in (0, 1)), k1, salt)
+    assert got.tolist() == [sum(b < p for b in bounds) for p in zip(k1.tolist(), salt.tolist())]
+    assert np.bincount(got).max() < 500
+
+
 def test_op6_related_documents_meet(spark, monkeypatch):
     """Near copies far apart by id share a sequence though the input makes many shards."""
     monkeypatch.setattr(packing, "RANGE_BYTES", 60_000)
