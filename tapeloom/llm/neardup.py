@@ -33,7 +33,7 @@ MARGIN = 0.28
 #: Members of undecided buckets get a longer signature of two bits a minimum, whose estimate is that much sharper.
 SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 1024, 2, 0.07
 #: Class representatives for each salt of a hot key, and the fewest salts; pairs confirmed by one task at a time.
-ROWS_PER_SALT, LEAST_SALTS, PAIRS_PER_SLOT = 20_000, 16, 2000
+ROWS_PER_SALT, LEAST_SALTS, PAIRS_PER_SLOT = 20_000, 16, 250
 #: Comparisons of packed signatures in one residual round: for each class representative, and at least.
 PAIRS_PER_ROW, PAIRS_LEAST = 64, 4_000_000
 
