@@ -27,10 +27,10 @@ def _halves(n: int):
 _DECAY = pos(div("prv - rec", "prv + rec"))
 
 
-def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dict[str, list[dict[str, str]]]:  # noqa: E741
+def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8, tail: int = 2) -> dict[str, list[dict[str, str]]]:  # noqa: E741
     """All families: steps of named expressions; names with a leading underscore or not in the last step stay inside.
 
-    n: window, k: look-back, s / m / l: short, middle and long windows.
+    n: window, k: look-back, s / m / l: short, middle and long windows, tail: bars at a session's end.
     """
     q = {"q": div(total("r_up", n), total("r_dn", n))}
     f: dict[str, list[dict[str, str]]] = {}
@@ -38,7 +38,7 @@ def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dic
     f["reversal"] = [{f"reversal_lb{j}": f"-{ret(j)}" for j in (1, k)}]
     f["cross_sectional_reversal"] = [{"_rk": ret(k)}, {"cross_sectional_reversal": f"-(_rk - {E.at('median', '_rk')})"}]
     f["conditional_reversal"] = [{"_rk": ret(k), "_sd": std(R, n), "_vr": f"{div(V, mean(V, n))} - 1"}, {"_md": f"@PCT(_sd, 0.5) OVER (PARTITION BY bar_time)"}, {"conditional_reversal": "CASE WHEN _rk < 0 AND _sd <= _md AND _vr >= 0 THEN -_rk END"}]
-    f["eod_reversal"] = [{"_rk": ret(k), "_left": "row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY bar_time DESC)"}, {"eod_reversal": f"CASE WHEN _left <= {k} THEN -1.5 * _rk END"}]
+    f["eod_reversal"] = [{"_rk": ret(k), "_left": "row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY bar_time DESC)"}, {"eod_reversal": f"CASE WHEN _left <= {tail} THEN -1.5 * _rk END"}]
     f["momentum"] = [{f"momentum_lb{j}": ret(j) for j in (k, n)}]
     f["risk_adjusted_momentum"] = [{"risk_adjusted_momentum": div(ret(n), std(R, n))}]
     f["volume_confirmed_momentum"] = [{"volume_confirmed_momentum": f"{ret(n)} * ({div(V, mean(V, n))} - 1)"}]
@@ -52,7 +52,7 @@ def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dic
     f["sell_pressure_recovery"] = [{"sell_pressure_recovery": f"{div(total('r_up', n), total('r_dn', n))} * {div(total('t_up', n), total(T, n))}"}]
     f["sell_pressure_quality_state"] = [q | {"_a": log1p(pos(div(total("t_dn", n), total("r_dn", n)))), "_tp": clip(f"2 * {mean('weak', n)}", 0, 1)}, {"_b": balance("q")}, {"sell_pressure_absorption_quality": "_a * _b * (1 - _tp)", "false_absorption_risk": "_a * (1 - _b) * (1 + _tp)"}]
     h = n // 2
-    f["microstructure_exhaustion_alert"] = [{"_x": div(total("t_dn", n), total("r_dn", n)), "rec": total("t_dn", h), "_i": div(total("r_dn", h), total("t_dn", h)), "_rs": div(total("r_up", n), total("r_dn", n)), "lp_l": f"lp - lp_lag"}, {"prv": lag("rec", h), "_ip": lag("_i", h), "_rsp": lag("_rs", h)}, {"_st": f"{log1p('_x')} * {log1p(pos(div('rec', 'prv')))} * {pos(div('_i - _ip', '_i + _ip'))}", "_rd": f"coalesce({pos(div('_rsp - _rs', '_rsp + _rs'))}, 0)"}, {"microstructure_impact_strain": "_st", "microstructure_exhaustion_alert": f"_st * (1 + _rd) * (1 + lp + {pos('lp_l')})"}]
+    f["microstructure_exhaustion_alert"] = [{"_x": div(total("t_dn", n), total("r_dn", n)), "rec": total("t_dn", h), "_i": div(total("r_dn", h), total("t_dn", h)), "_rs": div(total("r_up", h), total("r_dn", h)), "lp_l": f"lp - lp_lag"}, {"prv": lag("rec", h), "_ip": lag("_i", h), "_rsp": lag("_rs", h)}, {"_st": f"{log1p('_x')} * {log1p(pos(div('rec', 'prv')))} * {pos(div('_i - _ip', '_i + _ip'))}", "_rd": f"coalesce({pos(div('_rsp - _rs', 'abs(_rsp) + abs(_rs)'))}, 0)"}, {"microstructure_impact_strain": "_st", "microstructure_exhaustion_alert": f"_st * (1 + _rd) * (1 + lp + {pos('lp_l')})"}]
     f["sell_pressure_exhaustion"] = [q | {"_u": div(total("t_up", n), total(T, n))} | rec, prv, {"sell_pressure_exhaustion": f"{log1p(pos('q'))} * _u * {_DECAY}"}]
     three = [(x, w) for x, w in (("s", s), ("m", m), ("l", l))]
     f["sell_pressure_exhaustion_persistence"] = [{a: b for x, w in three for a, b in ((f"_q{x}", div(total("r_up", w), total("r_dn", w))), (f"_u{x}", div(total("t_up", w), total(T, w))), (f"_r{x}", total("t_dn", w // 2)))}, {f"_p{x}": lag(f"_r{x}", w // 2) for x, w in three}, {f"_e{x}": f"{log1p(pos(f'_q{x}'))} * _u{x} * {pos(div(f'_p{x} - _r{x}', f'_p{x} + _r{x}'))}" for x, _ in three}, {"sell_pressure_exhaustion_persistence": "_el - 0.5 * (_es + _em)"}]
@@ -63,13 +63,13 @@ def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dic
     f["weak_tape_overnight_gap"] = [gap | {"_s": f"weak_mean + {log1p('100 * down_mean')}"}, {"weak_tape_gap_up_risk": f"{pos('_g')} * _s", "weak_tape_gap_up_fade_risk": f"{pos('_g')} * {pos('-_i')} * (1 + _s)", "weak_tape_gap_down_recovery_risk": f"{pos('-_g')} * {pos('_i')} * _s"}]
     weigh = lambda x, w: div(total(f"({x}) * ({w})", n), total(f"CASE WHEN ({x}) IS NOT NULL THEN ({w}) END", n))
     lnt = log1p(f"greatest({T}, 0.0)")
-    f["event_shock_proxy"] = [{"_lt": lnt, "_res": "r - mr", "_w1": "abs(least(mr, 0.0)) * (1 - up)", "_w2": f"lu + ld + {pos('lu - lu_lag')} + {pos('ld - ld_lag')}", "_oc": f"{div(C, O)} - 1", "_w4": f"abs({div(O, lag(C))} - 1)"}, {"_w3": f"abs({div('_lt - ' + mean('_lt', n, shift=1), std('_lt', n, shift=1))})"}, {"event_sync_down_resilience": weigh("_res", "_w1"), "event_limit_diffusion_resilience": weigh("_res", "_w2"), "event_turnover_dislocation_recovery": weigh(R, "_w3"), "event_open_jump_recovery_quality": weigh("_oc", "_w4")}]
+    f["event_shock_proxy"] = [{"_lt": lnt, "_res": "r - mr", "_w1": "abs(least(mr, 0.0)) * dn", "_w2": f"lu + ld + {pos('lu - lu_lag')} + {pos('ld - ld_lag')}", "_oc": f"{div(C, O)} - 1", "_w4": f"abs({div(O, lag(C))} - 1)"}, {"_w3": f"abs({div('_lt - ' + mean('_lt', n, shift=1), std('_lt', n, shift=1))})"}, {"event_sync_down_resilience": weigh("_res", "_w1"), "event_limit_diffusion_resilience": weigh("_res", "_w2"), "event_turnover_dislocation_recovery": weigh(R, "_w3"), "event_open_jump_recovery_quality": weigh("_oc", "_w4")}]
     f["market_downside_beta"] = [{"_d": "CASE WHEN mr < 0 THEN mr ELSE 0.0 END"}, {"market_downside_beta": div(total("r * _d", n), total("_d * _d", n))}]
     f["market_state"] = [{"market_state_return": "mr", "market_state_downside": pos("-mr"), "market_state_breadth": "up", "market_state_weak_breadth": "weak", "market_state_limit_down_rate": "ld", "market_state_limit_pressure": "lp", "market_state_downside_mean": "down_mean", "market_state_weak_breadth_mean": "weak_mean", "market_state_limit_pressure_mean": "lp_mean"}]
     f["breadth_resilience"] = [{"breadth_resilience": div(total("r * weak", n), total("weak", n))}]
     f["breadth_shock_residual_resilience"] = [{"_w": f"weak + {pos('up_lag - up')}", "_x": "r - mr"}, {"breadth_shock_residual_resilience": div(total("_x * _w", n), total("_w", n))}]
     f["limit_pressure_resilience"] = [{"limit_pressure_resilience": div(total("r * lp", n), total("lp", n))}]
-    f["regime_conditioned"] = [{"_rk": ret(k)}, {"_rr": f"-(_rk - {E.at('median', '_rk')})", "_p": f"({clip('weak_mean / 0.5', 0, 1)} + {tanh('200 * down_mean')} + {clip('lp_mean / 0.2', 0, 1)}) / 3"}, {"market_regime_stress_probability": "_p", "regime_stress_reversal": "_rr * _p", "regime_stress_momentum": "-_rr * _p", "regime_calm_reversal": "_rr * (1 - _p)", "regime_switch_reversal": "_rr * (1 - 2 * _p)"}]
+    f["regime_conditioned"] = [{"_rk": ret(k)}, {"_rr": f"-(_rk - {E.at('median', '_rk')})", "_p": f"CASE WHEN r IS NOT NULL THEN ({clip('weak_mean / 0.5', 0, 1)} + {tanh('200 * down_mean')} + {clip('lp_mean / 0.2', 0, 1)}) / 3 END"}, {"market_regime_stress_probability": "_p", "regime_stress_reversal": "_rr * _p", "regime_stress_momentum": "-_rr * _p", "regime_calm_reversal": "_rr * (1 - _p)", "regime_switch_reversal": "_rr * (1 - 2 * _p)"}]
     fix = (n * (n - 1)) ** 0.5 / (n - 2)
     w = E.frame(n)
     f["return_skewness"] = [{"return_skewness": f"CASE WHEN count(r) {w} = {n} AND stddev_samp(r) {w} > 1e-12 THEN @SKEW(r) {w} * (CASE WHEN @SKEWFIX = 1 THEN {fix!r} ELSE 1.0 END) END"}]
@@ -86,13 +86,13 @@ def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dic
     f["liquidity_reliability_recovery"] = [*rel, {"liquidity_reliability_recovery": f"-(_ml - _sl) * {log1p(pos('_mc'))} * {clip(div('_mc', '_ml'), 0, 2)} * {log1p(pos('_q'))}"}]
     f["liquidity_reliability_recovery_balance"] = [*rel, {"_c": div("_mc", "_ml")}, {"liquidity_reliability_recovery_balance": f"{softplus('_sl - _ml')} * {log1p(pos('_mc'))} * {balance('_c')} * {balance('_q')}"}]
     f["microstructure_recovery_speed"] = [{a: b for x, w_ in (("s", s), ("l", l)) for a, b in ((f"_q{x}", div(total("r_up", w_), total("r_dn", w_))), (f"_r{x}", total("t_dn", w_ // 2)))}, {f"_p{x}": lag(f"_r{x}", w_ // 2) for x, w_ in (("s", s), ("l", l))}, {f"_v{x}": f"{log1p(pos(f'_q{x}'))} * (1 + {pos(div(f'_p{x} - _r{x}', f'_p{x} + _r{x}'))})" for x in "sl"}, {"microstructure_recovery_speed": "_vl", "microstructure_recovery_acceleration": "_vs - _vl"}]
-    f["liquidity_impact"] = [{"amihud": f"1e6 * {div('abs(r)', T)}"}]
+    f["liquidity_impact"] = [{"amihud": div("abs(r)", T)}]
     f["intraday_gap"] = [{"gap": f"{div(O, lag(C))} - 1"}]
     f["vwap_deviation"] = [{"vwap_deviation": f"{div(C, div(total(T, n), total(V, n)))} - 1"}]
     f["money_flow"] = [{"_m": f"{V} * {div(f'2 * {C} - {H} - {L}', f'{H} - {L}')}"}, {"money_flow": div(total("_m", n), total(V, n))}]
     f["signed_turnover_imbalance"] = [{"signed_turnover_imbalance": div(total(f"sign(r) * {T}", n), total(T, n))}]
     f["order_flow_toxicity"] = [{"_sv": f"sign(r) * {V}"}, {"_lsv": lag("_sv"), "_ofi": div(total("_sv", n), total(V, n)), "_vp": div(f"abs({total('_sv', n)})", total(V, n))}, {"order_flow_imbalance": "_ofi", "vpin": "_vp", "adverse_selection": E.corr(R, "_lsv", n)}]
-    f["intraday_quality"] = [{"_cost": div(f"abs({C} - {div(T, V)})", f"abs({H} - {L})"), "_q8": quantile(T, n, 0.8)}, {"_big": f"CASE WHEN {T} >= _q8 THEN {T} ELSE 0.0 END", "_dc": clip("_cost", 0, 1)}, {"price_efficiency_cost": "_cost", "signed_trade_efficiency": "sign(r) * (1 - _dc)", "large_trade_cost": div(total("coalesce(_dc, 0.0) * _big", n), total("_big", n))}]
+    f["intraday_quality"] = [{"_cost": div(f"abs({C} - {div(T, V)})", f"abs({H} - {L})"), "_dp": f"sign(r) * {div(f'{C} - {div(T, V)}', div(T, V))}", "_q8": quantile(T, n, 0.8)}, {"_big": f"CASE WHEN {T} >= _q8 THEN {T} ELSE 0.0 END", "_dc": clip("_cost", 0, 1)}, {"price_efficiency_cost": "_cost", "signed_trade_efficiency": "sign(r) * (1 - _dc)", "large_trade_cost": div(total("coalesce(_dp, 0.0) * _big", n), total("_big", n))}]
     f["return_turnover_correlation"] = [{"return_turnover_correlation": E.corr(R, T, n)}]
     f["daily_moving_average"] = []
     return f
@@ -100,6 +100,8 @@ def families(n: int = 6, k: int = 3, s: int = 4, l: int = 12, m: int = 8) -> dic
 
 NAMES = tuple(families())
 KEYS = ("instrument_id", "bar_time")
+#: Values far below 1, which are rounded to more digits.
+SMALL = ("amihud",)
 
 
 def inputs(bars: Plan, n: int = 6) -> Plan:
@@ -107,7 +109,7 @@ def inputs(bars: Plan, n: int = 6) -> Plan:
     ts = "ORDER BY bar_time"
     return (
         bars.then("i1", f"SELECT *, {ret(1)} AS r FROM exec_bars")
-        .then("i2", f"SELECT *, {E.at('median', 'r')} AS mr, {E.at('avg', 'CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END')} AS up, {E.at('avg', 'CASE WHEN coalesce(limit_up_open, TRUE) THEN 1.0 ELSE 0.0 END')} AS lu, {E.at('avg', 'CASE WHEN coalesce(limit_down_open, TRUE) THEN 1.0 ELSE 0.0 END')} AS ld FROM i1")
+        .then("i2", f"SELECT *, {E.at('median', 'r')} AS mr, {E.at('avg', 'CASE WHEN r > 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END')} AS up, {E.at('avg', 'CASE WHEN r < 0 THEN 1.0 WHEN r IS NOT NULL THEN 0.0 END')} AS dn, {E.at('avg', 'CASE WHEN coalesce(limit_up_open, TRUE) THEN 1.0 ELSE 0.0 END')} AS lu, {E.at('avg', 'CASE WHEN coalesce(limit_down_open, TRUE) THEN 1.0 ELSE 0.0 END')} AS ld FROM i1")
         .then("i3", f"SELECT *, {pos('0.5 - up')} AS weak, {pos('ld - lu')} AS lp, {pos('r')} AS r_up, {pos('-r')} AS r_dn, CASE WHEN r < 0 THEN {T} ELSE 0.0 END AS t_dn, CASE WHEN r > 0 THEN {T} ELSE 0.0 END AS t_up FROM i2")
         .then("market", f"SELECT bar_time AS mt, max(mr) AS m0, max(weak) AS m1, max(lp) AS m2, max(up) AS m3, max(lu) AS m4, max(ld) AS m5 FROM i3 GROUP BY bar_time".replace("bar_time AS mt", "bar_time"))
         .then("states", f"SELECT bar_time AS mt, {mean(pos('-m0'), n, by=ts)} AS down_mean, {mean('m1', n, by=ts)} AS weak_mean, {mean('m2', n, by=ts)} AS lp_mean, {mean('m2', n, shift=1, by=ts)} AS lp_lag, {mean('m3', n, shift=1, by=ts)} AS up_lag, {mean('m4', 1, shift=1, by=ts)} AS lu_lag, {mean('m5', 1, shift=1, by=ts)} AS ld_lag FROM market")
@@ -140,4 +142,5 @@ def plan(bars: Plan, family: str, **windows: int) -> Plan:
         source = name
     names = list(steps[-1])
     p = p.then("featured", f"SELECT {', '.join([*KEYS, *names])} FROM {source} WHERE {' OR '.join(f'{c} IS NOT NULL' for c in names)}")
-    return p.then("out", f"SELECT {E.out(*KEYS, **{c: c for c in names})} FROM featured")
+    small = [f"round(CAST({c} AS DOUBLE), 14) + 0.0 AS {c}" for c in names if c in SMALL]
+    return p.then("out", f"SELECT {', '.join([E.out(*KEYS, **{c: c for c in names if c not in SMALL}), *small])} FROM featured")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import features
-from .operators import research
+from .operators import comparison, registered, research
 from .plans.sql import Plan
 from .sources import bars
 
@@ -18,8 +18,9 @@ def plans() -> dict[str, Plan]:
 
 
 def queries() -> dict:
-    return {n: p.over for n, p in (plans() | research.whole()).items()} | research.stateful()
+    return {n: p.over for n, p in (plans() | research.whole()).items()} | registered.queries() | research.stateful()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: p.text() for n, p in plans().items()}
+    """Plans are compared with their own text on another engine, callable operators with SQL of their own."""
+    return {n: p.text() for n, p in plans().items()} | comparison.sql()

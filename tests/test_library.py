@@ -11,7 +11,8 @@ import pytest
 
 from tapeloom import queries as library
 from tapeloom.functions import features
-from tapeloom.operators import costaware, folds, research
+from tapeloom.operators import costaware, evaluation, folds, learning, portfolio, registered, relations, research, schedules, splits
+from tapeloom.plans.sql import Plan
 from tapeloom.streaming.bars import tick_bars
 
 DATA = "/root/testdata/sf0.001"
@@ -43,6 +44,226 @@ def test_same_rows_as_duckdb(spark, duck, name):
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, atol=2e-6, rtol=0)
 
 
+def _random_bars(seed=4, names=3, n=40):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(names):
+        price = 10.0
+        for t in range(n):
+            flat = rng.random() < 0.15
+            open_ = price if flat else price * (1 + rng.normal(0, 0.01))
+            price = open_ if flat else open_ * (1 + rng.normal(0, 0.02))
+            volume = float(rng.integers(0, 500))
+            rows.append((f"n{i}", pd.Timestamp("2024-01-02") + pd.Timedelta(hours=t % 4, days=t // 4), open_, max(open_, price) + 0.05, min(open_, price) - 0.05, price, volume, volume * (open_ + price) / 2, bool(rng.random() < 0.1), bool(rng.random() < 0.1)))
+    d = pd.DataFrame(rows, columns=["instrument_id", "bar_time", "open_price", "high_price", "low_price", "close_price", "volume", "turnover", "limit_up_open", "limit_down_open"])
+    return d.assign(trade_date=d.bar_time.dt.date, previous_close=None, session_open=None)
+
+
+@pytest.fixture(scope="module")
+def family(spark):
+    d = _random_bars()
+    source = spark.createDataFrame(d.drop(columns=["previous_close", "session_open"]))
+    bars = Plan((("exec_bars", "SELECT * FROM {mine}"),))
+
+    def run(name, **windows):
+        out = features.plan(bars, name, **windows).run(spark, mine=source).toPandas()
+        return d.merge(out, on=["instrument_id", "bar_time"], how="left").sort_values(["instrument_id", "bar_time"], ignore_index=True)
+
+    return run
+
+
+def _by_name(d, x, f):
+    return x.groupby(d.instrument_id, group_keys=False).apply(f)
+
+
+def _returns(d):
+    return d.close_price / d.groupby("instrument_id").close_price.shift(1) - 1
+
+
+def test_price_impact_has_no_factor(family):
+    d = family("liquidity_impact")
+    want = _returns(d).abs() / d.turnover.where(d.turnover != 0)
+    assert np.allclose(d.amihud, want, atol=1e-12, equal_nan=True)
+
+
+def test_large_trade_cost_is_signed(family):
+    d, n = family("intraday_quality"), 6
+    vwap = (d.turnover / d.volume.where(d.volume != 0)).where(lambda v: v != 0)
+    cost = (np.sign(_returns(d)) * (d.close_price - vwap) / vwap).fillna(0.0)
+    big = d.turnover.where(d.turnover >= _by_name(d, d.turnover, lambda v: v.rolling(n).quantile(0.8)), 0.0)
+    total = _by_name(d, big, lambda v: v.rolling(n).sum())
+    want = _by_name(d, cost * big, lambda v: v.rolling(n).sum()) / total.where(total != 0)
+    both = d.large_trade_cost.notna()
+    assert both.sum() > 50 and (want[both] < 0).any() and np.allclose(d.large_trade_cost[both], want[both], atol=2e-6)
+
+
+def test_synchronous_falls_count_falling_names_only(family):
+    d, n = family("event_shock_proxy"), 6
+    r = _returns(d)
+    middle, down = r.groupby(d.bar_time).transform("median"), r.lt(0).astype(float).where(r.notna()).groupby(d.bar_time).transform("mean")
+    assert (r == 0).any()
+    weight = (middle.clip(upper=0).abs() * down).where((r - middle).notna())
+    want = _by_name(d, (r - middle) * weight, lambda v: v.rolling(n).sum()) / _by_name(d, weight, lambda v: v.rolling(n).sum()).where(lambda v: v != 0)
+    both = d.event_sync_down_resilience.notna()
+    assert both.sum() > 20 and np.allclose(d.event_sync_down_resilience[both], want[both], atol=2e-6)
+
+
+def test_stress_probability_needs_a_return(family):
+    d = family("regime_conditioned")
+    assert d.market_regime_stress_probability[_returns(d).isna()].isna().all() and d.market_regime_stress_probability.notna().any()
+
+
+def test_session_tail_has_its_own_length(family):
+    d = family("eod_reversal", k=1, tail=3)
+    place = d.groupby(["instrument_id", "trade_date"]).cumcount()
+    want = (-1.5 * _returns(d)).where(place >= 1)
+    assert np.allclose(d.eod_reversal, want, atol=2e-6, equal_nan=True)
+
+
+def test_exhaustion_alert_compares_half_windows(family):
+    d, n, h = family("microstructure_exhaustion_alert"), 6, 3
+    r = _returns(d)
+    up, down, fall = r.clip(lower=0), (-r).clip(lower=0), d.turnover.where(r < 0, 0.0)
+    roll = lambda x, k: _by_name(d, x, lambda v: v.rolling(k).sum())
+    back = lambda x: _by_name(d, x, lambda v: v.shift(h))
+    safe = lambda x: x.where(x != 0)
+    load = np.log1p((roll(fall, n) / safe(roll(down, n))).clip(lower=0))
+    speed = np.log1p((roll(fall, h) / safe(back(roll(fall, h)))).clip(lower=0))
+    impact = roll(down, h) / safe(roll(fall, h))
+    strain = load * speed * ((impact - back(impact)) / safe(impact + back(impact))).clip(lower=0)
+    recovery = roll(up, h) / safe(roll(down, h))
+    decay = ((back(recovery) - recovery) / safe(back(recovery).abs() + recovery.abs())).clip(lower=0).fillna(0.0)
+    flag = lambda c: d[c].astype(float).groupby(d.bar_time).transform("mean")
+    pressure = (flag("limit_down_open") - flag("limit_up_open")).clip(lower=0)
+    state = pressure.groupby(d.bar_time).first().rolling(n).mean().shift(1)
+    want = strain * (1 + decay) * (1 + pressure + (pressure - d.bar_time.map(state)).clip(lower=0))
+    both = d.microstructure_exhaustion_alert.notna()
+    assert both.sum() > 10 and np.allclose(d.microstructure_exhaustion_alert[both], want[both], atol=2e-6)
+
+
+def test_main_board_rule(spark):
+    rows = [("600000.SH", "CN"), ("601.sh ", None), ("688001.SH", "CN"), ("000001.SZ", "cn"), ("300001.SZ", None), ("600000.SZ", "CN"), ("600000", "CN"), (None, None), ("002001.SZ", "HK")]
+    d = spark.createDataFrame(rows, "s string, m string")
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in d.select(relations.main_board(F.col("s"), F.col("m"))).collect()]
+    assert got == [True, True, False, True, False, False, False, False, False]
+
+
+def test_contribution_caps_use_totals_of_each_pass(spark):
+    rows = [(9.0, 1.0, 1.0), (-4.0, 4.0, None), (0.0, 0.0, 5.0), (1.0, 1.0, 1.0)]
+    got = portfolio.capped_contributions(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], 0.4, 3).collect()
+    for row, out in zip(rows, got):
+        now = list(row)
+        for _ in range(3):
+            total = sum(abs(x or 0) for x in now)
+            now = [None if x is None else math.copysign(min(abs(x), 2 / 3 * (total - abs(x))), x) for x in now]
+        assert all((a is None and b is None) or math.isclose(a, b, abs_tol=1e-12) for a, b in zip(out, now))
+
+
+def test_event_states_in_order_of_their_rules(spark):
+    got = {r.bar_time: r.state for r in registered.event_state_counts(spark, DATA).collect()}
+    z = lambda xs, t: None if t < 3 or np.std(xs[max(0, t - 6) : t], ddof=1) == 0 else float(np.clip((xs[t] - np.mean(xs[max(0, t - 6) : t])) / np.std(xs[max(0, t - 6) : t], ddof=1), -3, 3))
+    a, b, level = [x for x, _ in registered.EVENTS], [y for _, y in registered.EVENTS], []
+    for t in range(len(a)):
+        zs = [v for v in (z(a, t), z(b, t)) if v is not None]
+        level.append(sum(max(v, 0) for v in zs) / len(zs) if zs else 0.0)
+        limit = max([v for v in (z(a, t), z(b, t)) if v is not None], default=-9)
+        peak = max(level[max(0, t - 4) : t], default=-9)
+        state = "warmup" if t < 3 else "limit_diffusion_extreme" if limit >= 1.5 else "shock_extreme" if level[t] >= 1.5 else "limit_diffusion" if limit >= 0.5 else "shock_elevated" if level[t] >= 0.5 else "post_shock_stabilization" if peak >= 0.5 else "calm"
+        assert got[t] == state, t
+    assert len(set(got.values())) >= 4
+
+
+def test_guards(spark):
+    d = spark.createDataFrame([(1, 2.0), (1, 3.0)], "k int, v double")
+    with pytest.raises(ValueError, match="repeated keys"):
+        relations.unique(d, ["k"])
+    with pytest.raises(ValueError, match="exist already"):
+        relations.enriched(d, d, ["k"])
+    with pytest.raises(ValueError, match="collide"):
+        relations.renamed(d, {"v": "k"})
+    with pytest.raises(KeyError):
+        relations.select_fields(d, ["nope"])
+    with pytest.raises(ValueError, match="outcome"):
+        learning.train(d, ["label_1"], "v")
+    with pytest.raises(ValueError, match="not negative"):
+        schedules.validated_weights(spark.createDataFrame([(1, "a", -1.0)], "bar_time int, feature string, weight double"), ["a"])
+    with pytest.raises(Exception, match="aren't negative"):
+        portfolio.target_weights(spark.createDataFrame([(1, "a", -1.0)], "bar_time int, instrument_id string, score double"), 1, method="signal").collect()
+    assert relations.leaking(["f1", "label_4", "x_target", "Forward_Return_1"]) == ["label_4", "x_target", "Forward_Return_1"]
+    assert relations.periods("2023-11-30", "2024-02-01") == ["2023_11", "2023_12", "2024_01", "2024_02"]
+
+
+def test_scan_unites_files_by_name(spark, tmp_path):
+    spark.createDataFrame([("2024-01-05", 1)], "bar_time string, a int").write.parquet(str(tmp_path / "x"))
+    spark.createDataFrame([("2024-02-05", 2, 3), ("2024-03-05", 4, 5)], "bar_time string, a int, b int").write.parquet(str(tmp_path / "y"))
+    got = relations.scan(spark, [str(tmp_path / "x"), str(tmp_path / "y")], "2024-01-01", "2024-02-28", fields=["bar_time", "a", "b"]).orderBy("a").collect()
+    assert [tuple(r) for r in got] == [("2024-01-05", 1, None), ("2024-02-05", 2, 3)]
+
+
+def test_written_periods_replace_old_ones(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-05", 1), ("2024-02-05", 2)], "bar_time string, a int")
+    relations.write_dataset(rows, str(tmp_path / "d"))
+    relations.write_dataset(rows.where("a = 2").withColumn("a", rows["a"] + 5), str(tmp_path / "d"))
+    got = relations.scan(spark, str(tmp_path / "d"))
+    assert sorted((r.period, r.a) for r in got.collect()) == [("2024_01", 1), ("2024_02", 7)]
+
+
+def test_regime_weights_solve(spark):
+    """Against the same rule written with a loop."""
+    pairs, regime = registered.E.correlation_by_time(registered.panel(spark, DATA), registered.X), registered.market(spark, DATA)
+    base = {"f1": 0.5, "f2": 0.3, "f3": 0.2}
+    got = {r.bar_time: (r.f1, r.f2, r.f3) for r in schedules.regime_weights(pairs, regime, base).collect()}
+    rows, state = pairs.toPandas().sort_values("bar_time", ignore_index=True), {r.bar_time: r.regime for r in regime.collect()}
+    rows, columns = rows[rows.bar_time.isin(state.keys())].reset_index(drop=True), ["f1__f2", "f1__f3", "f2__f3"]
+    moved = 0
+    for t in range(len(rows)):
+        past = rows.iloc[max(0, t - 26) : t]
+        means = []
+        for c in columns:
+            held = past[past[c].notna()]
+            alike = held[held.bar_time.map(state) == state[rows.bar_time[t]]]
+            means.append(alike[c].mean() if len(alike) >= 8 else held[c].mean() if len(held) >= 8 else None)
+        want = np.array([0.5, 0.3, 0.2])
+        if None not in means:
+            m = np.eye(3) * 1.5
+            for (i, j), v in zip(((0, 1), (0, 2), (1, 2)), means):
+                m[i, j] = m[j, i] = v
+            x = np.clip(np.linalg.solve(m, want), 0, None)
+            want, moved = x / x.sum(), moved + 1
+        assert np.allclose(got[rows.bar_time[t]], want, atol=1e-9)
+    assert moved > 100
+
+
+def test_boosted_trees_learn_and_name_what_they_use(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"{1996 + i % 3}-{1 + i % 9:02d}-10", f"{1996 + i % 3}-{1 + i % 9:02d}-17", float(a), float(b), float(a > 0) + 0.01 * float(rng.normal())) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    d = spark.createDataFrame(rows, "bar_time string, exit_time string, a double, b double, y double")
+    out, importance = learning.by_fold(d, [("1998", "1998-01-01", "1998-12-31")], ["a", "b"], "y", rounds=5)
+    got = out.toPandas()
+    assert len(got) == 200 and np.corrcoef(got.prediction, got.y)[0, 1] > 0.9
+    assert importance["1998"][0] > 0.9
+    assert learning.redundancy(d.withColumn("c", 2 * d["a"]), ["a", "b", "c"])["drop"] == ["c"]
+
+
+def test_purge_keeps_labels_out_of_later_parts(spark):
+    rows = [("1996-12-01", "1996-12-20"), ("1996-12-20", "1996-12-28"), ("1996-12-30", "1997-01-05"), ("1997-02-01", "1997-02-08"), ("1999-01-01", "1999-01-09")]
+    d = spark.createDataFrame(rows, "bar_time string, exit_time string")
+    got = {r.bar_time: r.part for r in splits.purged_split(d, "1996-12-31", ("1997-01-01", "1998-12-31"), ("1999-01-01", "1999-12-31"), 7).collect()}
+    assert got == {"1996-12-01": "train", "1997-02-01": "valid", "1999-01-01": "test"}
+    folds = splits.walk_forward(d, [("a", "1997-01-01", "1997-12-31"), ("b", "1999-01-01", "1999-12-31")]).collect()
+    assert sorted((r.fold, r.part, r.bar_time) for r in folds if r.fold == "a") == [("a", "test", "1997-02-01"), ("a", "train", "1996-12-01"), ("a", "train", "1996-12-20")]
+    assert sum(r.fold == "b" for r in folds) == 5
+
+
+def test_admission_takes_given_directions(spark):
+    p = registered.panel(spark, DATA)
+    one = {r.feature: r for r in evaluation.admission(p, ["f1"], "label", limits={"timestamps": 10}).collect()}
+    two = {r.feature: r for r in evaluation.admission(p, ["f1"], "label", directions={"f1": -one["f1"].direction}, limits={"timestamps": 10}).collect()}
+    assert two["f1"].direction == -one["f1"].direction and one["f1"].status != "reject"
+
+
 def test_unknown_family():
     with pytest.raises(ValueError, match="unknown feature family"):
         features.plan(library.bars.hourly(), "nonsense")
