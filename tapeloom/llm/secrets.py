@@ -26,7 +26,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("passw", "secret", "token", "api")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----\s*((?:[A-Za-z][A-Za-z0-9-]*:[^\n]*\n)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 _CIPHER = re.compile(r"DEK-Info:[ \t]*[A-Z0-9-]+,[ \t]*((?:[0-9A-Fa-f]{2})+)[ \t]*\r?$", re.M)
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Matches nothing itself, so that candidates may overlap: what isn't a header can hide no token behind it.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 _HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){20,}(?![0-9A-Fa-f])")
 
@@ -126,7 +127,7 @@ def is_signed_token(s: str) -> bool:
     head = unbase64(s.split(".", 1)[0])
     try:
         x = json.loads(head) if head else None
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested beyond what a header could be
         return False
     return isinstance(x, dict) and isinstance(x.get("alg"), str)
 
@@ -145,8 +146,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
             b = unbase64(m[3])
             if is_key(b) or is_key_blob(b) or is_encrypted_body(m[2], b):
                 out.append(("armour", m.start(), m.end()))
-    if "eyJ" in text:
-        out += [("token", m.start(), m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+    end = 0
+    for m in _TOKEN.finditer(text):
+        if m.start() >= end and is_signed_token(m[1]):
+            end = m.end(1)
+            out.append(("token", m.start(), end))
     for m in _B64.finditer(text):
         b = unbase64(m[0])
         if is_key(b):

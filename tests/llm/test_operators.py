@@ -454,6 +454,19 @@ def test_keys_of_all_encodings():
     assert any(k == "blob" for k, _, _ in secrets.find(f"see {blob} ok"))
 
 
+def test_signed_tokens():
+    """Headers in any JSON spelling, behind other dotted names; nested text that no parser follows isn't one."""
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    tail = "." + part(b'{"sub":"1"}') + "." + part(bytes(range(32)))
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "none" }', b'{\n "typ": "JWT",\n "alg": "RS256"\n}', b' {"alg":"HS256"}'):
+        token = part(head) + tail
+        for before in ("go ", "long-host-name.", "long-host-name.part."):
+            text = f"{before}{token} {token}"
+            assert [x for x in secrets.find(text) if x[0] == "token"] == [("token", len(before) + k * (len(token) + 1), len(before) + len(token) + k * (len(token) + 1)) for k in (0, 1)], (head, before)
+    for head in (b'{"typ":"JWT"}', b'["alg", "HS256"]', b"[" * 200_000, b'{"a":' * 200_000, bytes(range(128, 160))):
+        assert not [x for x in secrets.find(f"go {part(head)}{tail}") if x[0] == "token"]
+
+
 @pytest.mark.parametrize("size", [25, 33, 44, 60, 70, 90, 110, 125, 190, 900, 70_000])
 def test_bare_keys_of_every_length(size):
     """A key without armour, with the lengths of its sequence in every form and leading digit."""
