@@ -7,6 +7,8 @@ back.  Window functions of one step share their sort.
 
 from __future__ import annotations
 
+import re
+
 from ..plans.sql import Plan
 from . import expr as E
 from .expr import balance, clip, div, high, lag, log1p, low, mean, pos, quantile, softplus, std, tanh, total
@@ -117,30 +119,67 @@ def inputs(bars: Plan, n: int = 6) -> Plan:
     )
 
 
-def daily_ma(bars: Plan, short: int = 3, long: int = 6) -> Plan:
-    """Daily moving averages of completed sessions, attached to the next session's bars."""
+#: Columns of the daily moving averages from those of the step ``ma3``.
+DAILY = {
+    "daily_ma_deviation": "dev", "daily_ma_slope": "slope", "daily_ma_spread": "spread", "daily_ma_ribbon_position": "ribbon",
+    "daily_ma_ribbon_dispersion": "dispersion", "daily_ma_ribbon_trend_score": "CAST(sign(spread) AS DOUBLE)",
+}
+
+
+def daily_steps(bars: Plan, short: int = 3, long: int = 6) -> Plan:
+    """Moving averages of session closes, kept under the following session (mi, md)."""
     day = "PARTITION BY instrument_id ORDER BY trade_date"
     a, b = (mean("session_close", x, by=day) for x in (short, long))
     p = bars.then("ma", f"SELECT *, {a} AS ma_s, {b} AS ma_l FROM closes")
     p = p.then("ma2", f"SELECT *, {div('session_close', 'ma_s')} - 1 AS dev, {div('ma_s', lag('ma_s', by=day))} - 1 AS slope, {div('ma_s', 'ma_l')} - 1 AS spread, {div('session_close', '(ma_s + ma_l) / 2')} - 1 AS ribbon, CASE WHEN ma_s > 0 AND ma_l > 0 THEN abs(ln(ma_s) - ln(ma_l)) / 2 END AS dispersion FROM ma")
     cols = ("dev", "slope", "spread", "ribbon", "dispersion")
-    p = p.then("ma3", f"SELECT instrument_id AS mi, trade_date AS md, {', '.join(f'{lag(c, by=day)} AS {c}' for c in cols)} FROM ma2")
-    return p.then("out", f"SELECT {E.out(*KEYS, daily_ma_deviation='dev', daily_ma_slope='slope', daily_ma_spread='spread', daily_ma_ribbon_position='ribbon', daily_ma_ribbon_dispersion='dispersion', daily_ma_ribbon_trend_score='CAST(sign(spread) AS DOUBLE)')} FROM exec_bars JOIN ma3 ON instrument_id = mi AND trade_date = md WHERE dev IS NOT NULL")
+    return p.then("ma3", f"SELECT instrument_id AS mi, trade_date AS md, {', '.join(f'{lag(c, by=day)} AS {c}' for c in cols)} FROM ma2")
+
+
+def daily_ma(bars: Plan) -> Plan:
+    """Daily moving averages of completed sessions, attached to the next session's bars."""
+    return daily_steps(bars).then("out", f"SELECT {E.out(*KEYS, **DAILY)} FROM exec_bars JOIN ma3 ON instrument_id = mi AND trade_date = md WHERE dev IS NOT NULL")
+
+
+def _rounded(names: list[str]) -> str:
+    small = [f"round(CAST({c} AS DOUBLE), 14) + 0.0 AS {c}" for c in names if c in SMALL]
+    return ", ".join([E.out(*KEYS, **{c: c for c in names if c not in SMALL}), *small])
+
+
+def _own_names(family: str, steps: list[dict[str, str]]) -> list[dict[str, str]]:
+    """The steps with inner names that no other family uses."""
+    inner = {c for step in steps[:-1] for c in step} | {c for c in steps[-1] if c.startswith("_")}
+    if not inner:
+        return steps
+    word = re.compile(rf"\b({'|'.join(sorted(inner, key=len, reverse=True))})\b")
+    own = lambda x: word.sub(rf"{family}__\1", x)
+    return [{own(c): own(e) for c, e in step.items()} for step in steps]
+
+
+def together(bars: Plan, names: tuple[str, ...] | list[str] = NAMES, **windows: int) -> Plan:
+    """Rows (instrument_id, bar_time, feature columns) of several families in one plan.
+
+    The shared inputs are computed once, and the i-th steps of all families are one SELECT, whose windows over the same
+    partition share a sort.  Rows without any feature are dropped.
+    """
+    unknown = [x for x in names if x not in NAMES]
+    if unknown or not names:
+        raise ValueError(f"unknown feature families {unknown!r}" if unknown else "no feature family given")
+    steps = [_own_names(x, families(**windows)[x]) for x in dict.fromkeys(names) if x != "daily_moving_average"]
+    columns, source = [c for one in steps for c in one[-1]], "inputs"
+    p = inputs(bars, windows.get("n", 6))
+    for i in range(max((len(one) for one in steps), default=0)):
+        layer = [f"{e} AS {c}" for one in steps if i < len(one) for c, e in one[i].items()]
+        p, source = p.then(f"f{i}", f"SELECT *, {', '.join(layer)} FROM {source}"), f"f{i}"
+    if "daily_moving_average" in names:
+        p = daily_steps(p)
+        p, source = p.then("averaged", f"SELECT {source}.*, {', '.join(f'{e} AS {c}' for c, e in DAILY.items())} FROM {source} LEFT JOIN ma3 ON instrument_id = mi AND trade_date = md"), "averaged"
+        columns += DAILY
+    return p.then("out", f"SELECT {_rounded(columns)} FROM {source} WHERE {' OR '.join(f'{c} IS NOT NULL' for c in columns)}")
 
 
 def plan(bars: Plan, family: str, **windows: int) -> Plan:
     """Rows (instrument_id, bar_time, feature columns) of a family; rows without any feature are dropped."""
     if family not in NAMES:
         raise ValueError(f"unknown feature family {family!r}")
-    if family == "daily_moving_average":
-        return daily_ma(bars)
-    steps, source = families(**windows)[family], "inputs"
-    p = inputs(bars, windows.get("n", 6))
-    for i, step in enumerate(steps):
-        name = f"f{i}"
-        p = p.then(name, f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM {source}")
-        source = name
-    names = list(steps[-1])
-    p = p.then("featured", f"SELECT {', '.join([*KEYS, *names])} FROM {source} WHERE {' OR '.join(f'{c} IS NOT NULL' for c in names)}")
-    small = [f"round(CAST({c} AS DOUBLE), 14) + 0.0 AS {c}" for c in names if c in SMALL]
-    return p.then("out", f"SELECT {', '.join([E.out(*KEYS, **{c: c for c in names if c not in SMALL}), *small])} FROM featured")
+    return daily_ma(bars) if family == "daily_moving_average" else together(bars, [family], **windows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions import comparison as formulas
 from .functions import features
 from .operators import comparison, registered, research
 from .plans.sql import Plan
@@ -10,10 +11,14 @@ from .sources import bars
 #: Families that need sessions of several bars use hourly bars, the others daily ones.
 HOURLY = {"eod_reversal", "same_slot_intraday_memory", "overnight_intraday_tug_of_war", "weak_tape_overnight_gap", "daily_moving_average"}
 
+#: Families of the query that computes several in one plan.
+TOGETHER = ("momentum", "conditional_reversal", "regime_conditioned", "event_shock_proxy", "sell_pressure_exhaustion", "lottery_max", "breadth_resilience", "intraday_quality")
+
 
 def plans() -> dict[str, Plan]:
     daily, hourly = bars.executable(bars.daily()), bars.executable(bars.hourly())
     out = {f"feat_{n}": features.plan(hourly if n in HOURLY else daily, n) for n in features.NAMES}
+    out["features_together"] = features.together(daily, TOGETHER)
     return research.plans() | out
 
 
@@ -22,5 +27,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Plans are compared with their own text on another engine, callable operators with SQL of their own."""
-    return {n: p.text() for n, p in plans().items()} | comparison.sql()
+    """Feature families and callable operators have SQL of their own; other plans are compared with their own text on another engine."""
+    daily, hourly = bars.executable(bars.daily()), bars.executable(bars.hourly())
+    families = formulas.sql({n: hourly if n in HOURLY else daily for n in features.NAMES})
+    own = {f"feat_{n}": s for n, s in families.items()} | {"features_together": formulas.together(daily, TOGETHER)}
+    return {n: p.text() for n, p in plans().items()} | own | comparison.sql()

@@ -44,6 +44,22 @@ def test_same_rows_as_duckdb(spark, duck, name):
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, atol=2e-6, rtol=0)
 
 
+@pytest.mark.parametrize("panel", ["daily", "hourly"])
+def test_families_together_equal_each_alone(duck, panel):
+    bars = library.bars.executable(getattr(library.bars, panel)())
+    whole = duck.execute(features.together(bars).text()).df().set_index(list(features.KEYS)).sort_index()
+    for name in features.NAMES:
+        one = duck.execute(features.plan(bars, name).text()).df().set_index(list(features.KEYS)).sort_index()
+        pd.testing.assert_frame_equal(whole[one.columns].dropna(how="all"), one)
+
+
+def test_families_together_names_what_it_cannot_do():
+    bars = library.bars.executable(library.bars.daily())
+    for names in (["momentum", "nonsense"], []):
+        with pytest.raises(ValueError):
+            features.together(bars, names)
+
+
 def _random_bars(seed=4, names=3, n=40):
     rng = np.random.default_rng(seed)
     rows = []
