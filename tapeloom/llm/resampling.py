@@ -24,18 +24,20 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BUCKETS, MAX_N, MIN_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-# fixed value: what separates words, after lower-casing A-Z
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# fixed value: words before lower-casing A-Z
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), 0)
+    """Words with A-Z in lower case; letters beyond ASCII keep theirs."""
+    low = lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(F.translate(w, _UPPER, _LOWER))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0), low)
 
 
 def bucket_array(words: Column, max_n: int = MAX_N, buckets: int = BUCKETS) -> Column:
     """Buckets of all runs of 1 to max_n words, repeats kept."""
-    bucket = lambda x: F.pmod(F.crc32(F.encode(x, "UTF-8")), F.lit(buckets)).cast("int")
+    bucket = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(buckets)).cast("int")
     out = F.transform(words, bucket)
     for n in range(2, max_n + 1):
         begins = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
@@ -67,9 +69,9 @@ def gain_array(source: dict[int, int], target: dict[int, int], buckets: int = BU
 def weight_of(buckets: Column, gains: list[int]) -> Column:
     """Mean gain of a document's features, rounded down; 0 without any."""
     table = F.split(F.lit(",".join(map(str, gains))), ",").cast("array<bigint>")  # folded to one literal
-    total = F.aggregate(buckets, F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(table, b.cast("int") + 1))
     n = F.size(buckets).cast("long")
-    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.floor((total - F.pmod(total, n)) / n).cast("long"))
+    mean = lambda total: F.when(n == 0, F.lit(0).cast("long")).otherwise(F.floor((total - F.pmod(total, n)) / n).cast("long"))
+    return F.aggregate(buckets, F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(table, b.cast("int") + 1), mean)
 
 
 def noise(id_col: str, seed: int = SEED) -> Column:
