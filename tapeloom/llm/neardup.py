@@ -11,12 +11,16 @@ with the bucket's smallest id.  Then, as long as a bucket holds members of sever
 share of the members outside its largest component is compared with all members of other components, until all
 have been.  So every pair that shares a bucket is either compared or already connected.
 
+A node is a document id.  An id that repeats with different texts has several signatures and texts; a pair of ids is linked
+if any of their texts are, and the classes that such an id belongs to are linked through it.
+
 Joins on a bucket, on the document that a large bucket is compared with, and on the centre of a large component are
 salted by the other side, with salts in proportion to the input, so no task gathers a hot key.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
 
 import numpy as np
@@ -76,16 +80,19 @@ def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def _set_hash(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one = np.add.reduceat(C.mix(values + np.uint64(1)), starts) + counts.astype(np.uint64)
+    return one.view(np.int64), np.add.reduceat(C.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts).view(np.int64)
+
+
 def _signatures(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """For texts with shingles: set hash (two longs), band keys and packed low bits."""
     starts = np.cumsum(counts) - counts
     minima = _minima(values, starts, MINIMA)
-    one = np.add.reduceat(C.mix(values + np.uint64(1)), starts) + counts.astype(np.uint64)
-    two = np.add.reduceat(C.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
     keys = C.mix(minima[:, 0::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
     for r in range(1, ROWS):
         keys = C.mix(keys * np.uint64(3) + minima[:, r::ROWS])
-    return one.view(np.int64), two.view(np.int64), keys.view(np.int64), _packed(minima, BITS)
+    return *_set_hash(values, starts, counts), keys.view(np.int64), _packed(minima, BITS)
 
 
 def _sharpen(n: int):
@@ -97,8 +104,10 @@ def _sharpen(n: int):
                 has = counts > 0
                 each = counts[has]
                 if len(each):
-                    rows = _packed(_minima(values, np.cumsum(each) - each, SHARP_MINIMA), SHARP_BITS)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(has)), _lists(rows, np.ones(len(rows), bool))], names=["id", "sharp"])
+                    starts = np.cumsum(each) - each
+                    rows = _packed(_minima(values, starts, SHARP_MINIMA), SHARP_BITS)
+                    k1, k2 = _set_hash(values, starts, each)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(has)), pa.array(k1), pa.array(k2), _lists(rows, np.ones(len(rows), bool))], names=["id", "k1", "k2", "sharp"])
 
     return sharpen
 
@@ -129,27 +138,29 @@ def _sign(n: int):
 
 
 def _confirm(n: int, per_cent: int):
-    """Pairs of one slot with the second text, and the first texts once each: pairs whose full sets are similar enough."""
+    """Pairs of one slot with each text of the second, and each text of the firsts once: pairs of which any two texts are similar enough."""
     def confirm(pairs, firsts):
-        a, b = (pairs.column(c).to_numpy() for c in ("a", "b"))
-        own = {x: i for i, x in enumerate(firsts.column("a_").to_pylist())}
-        texts, index = firsts.column("text_").to_pylist(), {}
-        left, right = np.array([own[x] for x in a], np.int64), np.empty(len(b), np.int64)
-        for i, (x, t) in enumerate(zip(b, pairs.column("text").to_pylist())):
-            if x not in index:
-                index[x] = len(texts)
-                texts.append(t)
-            right[i] = index[x]
+        own, index, texts = defaultdict(list), {}, []
+        for x, t in zip(firsts.column("a_").to_pylist(), firsts.column("text_").to_pylist()):
+            own[x].append(len(texts))
+            texts.append(t)
+        a, b, right = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
+        for key in zip(b, pairs.column("text").to_pylist()):
+            if key not in index:
+                index[key] = len(texts)
+                texts.append(key[1])
+            right.append(index[key])
         texts, sets = C.encoded(texts), []
         for x, y in C.in_batches(texts):
             values, counts = shingle_sets(texts[x:y], n)
             sets += np.split(values, np.cumsum(counts)[:-1])
-        ok = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(left, right)):
-            p, q = sets[x], sets[y]
+
+        def alike(p: np.ndarray, q: np.ndarray) -> bool:
             both = np.intersect1d(p, q, assume_unique=True).size
-            ok[i] = both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both)
-        return pa.table({"a": a[ok], "b": b[ok]})
+            return both > 0 and 100 * both >= per_cent * (len(p) + len(q) - both)
+
+        ok = [any(alike(sets[i], sets[y]) for i in own[x]) for x, y in zip(a, right)]
+        return pa.table({"a": pa.array([x for x, k in zip(a, ok) if k], pa.int64()), "b": pa.array([x for x, k in zip(b, ok) if k], pa.int64())})
 
     return confirm
 
@@ -244,8 +255,8 @@ class _Linker:
         rows = C.spread_join(self.labelled(self.members, labels), top.drop("comps"), "key", "id", self.salts)
         rows = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")), "open")
         texts = C.only_ids(self.docs, rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
-        sharp = texts.mapInArrow(_sharpen(self.n), "id long, sharp array<long>").dropDuplicates(["id"])
-        self.sigs = C.stored(self.reps.select(F.col("doc_id").alias("id"), "sig", "bands").join(sharp, "id"), "sharp")
+        sharp = texts.mapInArrow(_sharpen(self.n), "id long, k1 long, k2 long, sharp array<long>").dropDuplicates(["id", "k1", "k2"])
+        self.sigs = C.stored(self.reps.select(F.col("doc_id").alias("id"), "k1", "k2", "sig", "bands").join(sharp, ["id", "k1", "k2"]).drop("k1", "k2"), "sharp")
         self.members = rows
 
     def still_open(self, labels: DataFrame) -> DataFrame:
@@ -275,17 +286,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts whose shingle sets have 100 * intersection >= per_cent * union are linked; component_id is the smallest
     id reachable.  Null or empty texts and texts of white space have no shingles and are linked with nothing.
     A row with a null id takes part in no link, has a null component and is kept.  Rows repeating an id each get a
-    row, with the smallest component of the id's texts.  Other columns of docs are ignored.
+    row; an id is linked with whatever any of its texts is, so all rows of an id have one component.  Other columns of docs are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = C.stored(base.mapInArrow(_sign(n), _SIG_SCHEMA), "signatures")
     able = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = C.stored(able.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = C.stored(able.join(classes.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id")), ["k1", "k2", "n_shingles", "doc_id"]).select("doc_id", "bands", "sig"), "representatives")
+    reps = C.stored(able.join(classes.select("k1", "k2", "n_shingles", F.col("rep").alias("doc_id")), ["k1", "k2", "n_shingles", "doc_id"]).select("doc_id", "k1", "k2", "bands", "sig").dropDuplicates(["doc_id", "k1", "k2"]), "representatives")
+    ids = C.stored(able.select("doc_id", "k1", "k2", "n_shingles").distinct().join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "ids")
+    several = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
+    through = ids.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))  # texts of one id are linked
     size = reps.count()
     salts = max(LEAST_SALTS, -(-size // ROWS_PER_SALT))
     linker = _Linker(base, reps, n, per_cent, salts)
-    links = C.stored(linker.first(), "links")
+    links = C.stored(linker.first().union(through), "links")
     labels = C.stored(components(links, salts=salts), "labels")
     budget = max(PAIRS_LEAST, PAIRS_PER_ROW * size)
     linker.mark_odd(labels)
@@ -301,7 +315,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             labels = C.stored(components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(more), salts=salts), "labels")
         low = high
-    ids = able.select("doc_id", "k1", "k2", "n_shingles").distinct().join(classes, ["k1", "k2", "n_shingles"])
     own = ids.join(labels, ids["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     comp = F.coalesce("component_id", "doc_id")
     return sigs.select("doc_id", "n_shingles").join(own, "doc_id", "left").select(

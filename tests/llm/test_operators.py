@@ -579,3 +579,13 @@ def test_null_ids_and_repeated_rows(spark):
             assert {r[0]: r[1] > 0 for r in out.collect()} == {None: True, 3: True, 4: True}
             continue
         assert out.count() == 5, n
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id is linked with whatever any of its texts is, and links the classes of its texts."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (5, c), (5, a), (7, c + " z"), (9, "alone " * 7), (9, "alone " * 7), (None, a), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS k1", "2 AS rep", "3 AS id", "4 AS sig")
+    got = neardup.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, None if i is None else 9 if i == 9 else 1) for i, _ in rows)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
