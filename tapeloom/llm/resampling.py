@@ -37,12 +37,14 @@ def words_of(text: Column) -> Column:
 
 def bucket_array(words: Column, max_n: int = MAX_N, buckets: int = BUCKETS) -> Column:
     """Buckets of all runs of 1 to max_n words, repeats kept."""
-    bucket = lambda x: F.pmod(F.crc32(x.cast("binary")), F.lit(buckets)).cast("int")
-    out = F.transform(words, bucket)
-    for n in range(2, max_n + 1):
+    def bucket(x: Column) -> Column:
+        return F.pmod(F.crc32(x.cast("binary")), F.lit(buckets)).cast("int")
+
+    def runs(n: int) -> Column:
         begins = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(begins, lambda i, n=n: bucket(F.concat_ws(" ", F.slice(words, i, n)))))
-    return out
+        return F.transform(begins, lambda i: bucket(F.concat_ws(" ", F.slice(words, i, n))))
+
+    return F.concat(F.transform(words, bucket), *(runs(n) for n in range(2, max_n + 1)))
 
 
 def featured(docs: DataFrame, text_col: str, *keep: Column, max_n: int = MAX_N, buckets: int = BUCKETS) -> DataFrame:
