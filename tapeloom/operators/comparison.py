@@ -9,6 +9,7 @@ from ..sources import bars as B
 from . import research as R
 
 PAIRS = list(combinations(("f1", "f2", "f3"), 2))
+WIDE = ("f1", "f2", "f3", "label", "label_4", "close_price", "volume", "turnover")
 
 
 def _r(x: str, name: str, digits: int = 6) -> str:
@@ -60,12 +61,35 @@ def _capped(passes: int) -> list[tuple[str, str]]:
 
 
 def _weights(rounds: int) -> list[tuple[str, str]]:
-    steps = [("v0", "SELECT bar_time, feature, coalesce(w / nullif(sum(w) OVER (PARTITION BY bar_time), 0), 0) AS w FROM (SELECT bar_time, feature, round(abs(coalesce(ic, 0.0)), 9) AS w FROM bt) x")]
+    """What exceeds 0.5 is dealt to the smaller ones, by their shares or evenly where these are zero."""
+    steps = [("v0", "SELECT g.bar_time, g.feature, round(abs(coalesce(ic, 0.0)), 9) AS w FROM (SELECT DISTINCT bar_time, unnest(['f1', 'f2', 'f3']) AS feature FROM bt) g LEFT JOIN bt ON g.bar_time = bt.bar_time AND g.feature = bt.feature")]
     for i in range(1, rounds + 1):
-        steps.append((f"v{i}", f"SELECT bar_time, feature, CASE WHEN w >= 0.5 THEN 0.5 ELSE w + coalesce(o * w / nullif(f, 0), 0) END AS w FROM (SELECT *, sum(greatest(w - 0.5, 0.0)) OVER (PARTITION BY bar_time) AS o, sum(CASE WHEN w < 0.5 THEN w ELSE 0.0 END) OVER (PARTITION BY bar_time) AS f FROM v{i - 1}) x"))
+        steps.append((f"v{i}", f"SELECT bar_time, feature, CASE WHEN m <= 0.5 THEN w WHEN w >= 0.5 THEN 0.5 WHEN f > 0 THEN w + o * w / f ELSE w + o / k END AS w FROM (SELECT *, max(w) OVER p AS m, sum(greatest(w - 0.5, 0.0)) OVER p AS o, sum(w) FILTER (w < 0.5) OVER p AS f, count(*) FILTER (w < 0.5) OVER p AS k FROM v{i - 1} WINDOW p AS (PARTITION BY bar_time)) x"))
     return steps
 
 
+_PAST = "OVER (PARTITION BY a, b ORDER BY bar_time ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)"
+_REGIME_WEIGHTS = (
+    ("rp", "SELECT m.bar_time, regime, a, b FROM mkt m, (VALUES ('f1', 'f2'), ('f1', 'f3'), ('f2', 'f3')) v(a, b)"),
+    ("rc", "SELECT bar_time, " + ", ".join(f"{_c(a, b)} AS {a}{b}" for a, b in PAIRS) + " FROM panel GROUP BY bar_time"),
+    ("rv", "SELECT rp.*, CASE WHEN a = 'f2' THEN f2f3 WHEN b = 'f2' THEN f1f2 ELSE f1f3 END AS v FROM rp LEFT JOIN rc ON rp.bar_time = rc.bar_time"),
+    ("rh", f"SELECT *, count(*) {_PAST} AS n_all, list({{'r': regime, 'v': v}}) {_PAST} AS past FROM rv"),
+    ("ra", "SELECT *, len([p for p in past if p.r = regime]) AS n_same FROM rh"),
+    ("rm", "SELECT bar_time, regime, a, b, coalesce(n_same, 0) >= 8 AS used, CASE WHEN coalesce(n_same, 0) >= 8 THEN n_same ELSE n_all END AS history, coalesce(list_avg([p.v for p in past if coalesce(n_same, 0) < 8 OR p.r = regime]), 0) AS c FROM ra"),
+    ("rs", "SELECT bar_time, any_value(regime) AS regime, any_value(used) AS used, any_value(history) AS history, max(c) FILTER (b = 'f2') AS x, max(c) FILTER (a = 'f1' AND b = 'f3') AS y, max(c) FILTER (a = 'f2') AS z FROM rm GROUP BY bar_time"),
+    ("rd", "SELECT *, greatest(0.5 * (2.25 - z * z) - x * (0.45 - 0.2 * z) + y * (0.3 * z - 0.3), 0) AS w1, greatest(1.5 * (0.45 - 0.2 * z) - 0.5 * (1.5 * x - y * z) + y * (0.2 * x - 0.3 * y), 0) AS w2, greatest(1.5 * (0.3 - 0.3 * z) - x * (0.2 * x - 0.3 * y) + 0.5 * (x * z - 1.5 * y), 0) AS w3 FROM rs"),
+    ("out", f"SELECT bar_time, f AS feature, {_r('CASE WHEN history < 8 OR w1 + w2 + w3 <= 0 THEN base ELSE w / (w1 + w2 + w3) END', 'weight')}, regime, used AS used_regime, CAST(history AS BIGINT) AS history, CASE WHEN history < 8 THEN 'insufficient_history' ELSE '' END AS reason FROM (SELECT *, unnest(['f1', 'f2', 'f3']) AS f, unnest([0.5, 0.3, 0.2]) AS base, unnest([w1, w2, w3]) AS w FROM rd) u"),
+)
+
+_KEEP = "0.5 ** (1 / 3.0)"
+_QUALITY = (
+    ("q0", "SELECT instrument_id, bar_time, 1 - least(greatest(abs(close_price - turnover / nullif(volume, 0)) / nullif(abs(high_price - low_price), 0), 0), 1) AS q, abs(close_price - turnover / nullif(volume, 0)) / nullif(abs(high_price - low_price), 0) AS c FROM exec_bars"),
+    ("q1", "SELECT instrument_id, bar_time, CASE WHEN c IS NOT NULL THEN q END AS q, row_number() OVER (PARTITION BY instrument_id ORDER BY bar_time) AS k FROM q0"),
+    ("qr(instrument_id, bar_time, k, y, gap, n)", f"SELECT instrument_id, bar_time, k, q, 0, (q IS NOT NULL)::INT FROM q1 WHERE k = 1 UNION ALL SELECT q1.instrument_id, q1.bar_time, q1.k, CASE WHEN q IS NULL THEN y WHEN y IS NULL THEN q ELSE (({_KEEP}) ** (gap + 1) * y + (1 - {_KEEP}) * q) / (({_KEEP}) ** (gap + 1) + 1 - {_KEEP}) END, CASE WHEN q IS NULL THEN gap + 1 ELSE 0 END, n + (q IS NOT NULL)::INT FROM qr JOIN q1 ON qr.instrument_id = q1.instrument_id AND q1.k = qr.k + 1"),
+    ("out", f"SELECT instrument_id, bar_time, {_r('y', 'quality')} FROM qr WHERE n >= 3"),
+)
+
+
 def _event(sources: tuple[str, ...]) -> list[tuple[str, str]]:
     w = "OVER (ORDER BY bar_time ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
     z = ", ".join(f"CASE WHEN count({c}) {w} >= 4 THEN least(greatest(({c} - avg({c}) {w}) / nullif(stddev_samp({c}) {w}, 0), 0.0), 3.0) * (CASE WHEN {c} IS NULL OR stddev_samp({c}) {w} = 0 THEN NULL ELSE 1 END) END AS z_{c}" for c in sources)
@@ -102,11 +126,16 @@ def sql() -> dict[str, str]:
         ("ac", f"SELECT *, {flags} FROM (SELECT ad.*, n_years, n_stable, direction * sp - tm * 0.0013 AS cost_adjusted FROM ad JOIN ay ON ad.feature = ay.feature) x"),
         ("out", f"SELECT feature, direction, n_years, n_stable, {_r('cost_adjusted', 'cost_adjusted')}, {', '.join(f'{n}_ok' for n in checks)}, concat_ws(',', {failed}) AS failed, CASE WHEN NOT (coverage_ok AND timestamps_ok AND ic_ok) THEN 'reject' WHEN t_ok AND hit_ok AND years_ok AND stable_years_ok AND spread_ok AND turnover_ok THEN 'candidate' ELSE 'watchlist' END AS status FROM ac"),
     )
-    q["feature_corr"] = _on(panel, ("rr", "SELECT " + ", ".join(f"{_rank(f)} AS r_{f}" for f in R.FEATURES) + " FROM panel"), ("out", "SELECT " + ", ".join(_r(_c(f"r_{a}", f"r_{b}"), f"{a}__{b}") for a, b in PAIRS) + " FROM rr"))
-    each = [(f"m{i}", f"SELECT y, count(*) AS n, {_c('ra', 'rb')} AS c FROM (SELECT y, {_rank(a, 'y')} AS ra, {_rank(b, 'y')} AS rb FROM (SELECT year(bar_time) AS y, {a}, {b} FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL) x) z GROUP BY y") for i, (a, b) in enumerate(PAIRS)]
-    means = ", ".join(f"(SELECT {_r('sum(n * c) / sum(n)', 'v')} FROM m{i} WHERE c IS NOT NULL)" for i in range(3))
-    q["mergeable_corr"] = _on(panel, *each, ("out", "SELECT 'pearson' AS method, " + ", ".join(_r(_c(a, b), f"{a}__{b}") for a, b in PAIRS) + f" FROM panel UNION ALL SELECT 'spearman', {means}"))
-    q["factor_corr_by_ts"] = _on(panel, ("out", f"SELECT bar_time, {_r(_c('f1', '(-f2)'), 'f1__f2')}, {_r(_c('f1', 'f3'), 'f1__f3')}, {_r(_c('(-f2)', 'f3'), 'f2__f3')} FROM panel GROUP BY bar_time"))
+    pairs = list(combinations(WIDE, 2))
+    ranks = ", ".join(f"{_rank(f)} AS r_{f}" for f in WIDE)
+    long = lambda method, n, v, source, a, b: f"SELECT '{a}' AS a, '{b}' AS b, CAST({n} AS BIGINT) AS n, '{method}' AS method, {_r(v, 'value')} FROM {source}"
+    count = lambda a, b: f"count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
+    q["feature_corr"] = _on(panel, ("rr", f"SELECT {ranks} FROM panel"), ("out", " UNION ALL ".join(long("spearman", count(f"r_{a}", f"r_{b}"), _c(f"r_{a}", f"r_{b}"), "rr", a, b) for a, b in pairs)))
+    each = [(f"m{i}", f"SELECT y, count(*) AS n, {_c('ra', 'rb')} AS c FROM (SELECT y, {_rank(a, 'y')} AS ra, {_rank(b, 'y')} AS rb FROM (SELECT year(bar_time) AS y, {a}, {b} FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL) x) z GROUP BY y") for i, (a, b) in enumerate(pairs)]
+    ranked = [long("spearman", "sum(n)", "sum(n * c) / sum(n)", f"m{i} WHERE c IS NOT NULL", a, b) for i, (a, b) in enumerate(pairs)]
+    q["mergeable_corr"] = _on(panel, *each, ("out", " UNION ALL ".join([long("pearson", count(a, b), _c(a, b), "panel", a, b) for a, b in pairs] + ranked)))
+    oriented = [("f1", "f1", "f2", "(-f2)"), ("f1", "f1", "f3", "f3"), ("f2", "(-f2)", "f3", "f3")]
+    q["factor_corr_by_ts"] = _on(panel, ("out", " UNION ALL ".join(f"SELECT bar_time, '{a}' AS a, '{b}' AS b, {count(a, b)} AS n, 'pearson' AS method, {_r(_c(x, y), 'value')} FROM panel GROUP BY bar_time HAVING {count(a, b)} > 0" for a, x, b, y in oriented)))
     q["moments_corr"] = _on(panel, ("out", f"SELECT year(bar_time) AS y, count(*) AS n, {_r(_c('f1', 'f3'), 'corr')} FROM panel WHERE f1 IS NOT NULL AND f3 IS NOT NULL GROUP BY 1"))
     q["prediction_eval"] = _on(
         scores, ("pe", f"SELECT *, {_rank('score', 'bar_time')} AS rs, {_rank('label', 'bar_time')} AS rl, row_number() OVER (PARTITION BY bar_time ORDER BY score DESC, instrument_id) AS hi, row_number() OVER (PARTITION BY bar_time ORDER BY score, instrument_id) AS lo FROM scored WHERE label IS NOT NULL"),
@@ -147,7 +176,9 @@ def sql() -> dict[str, str]:
         ("out", f"SELECT bar_time, feature, {_r('least(a, coalesce(b, 1.0))', 'min')}, {_r('a * coalesce(b, 1.0)', 'product')}, {_r('coalesce(b, a)', 'override')} FROM sj"),
     )
     q["exposure_combine"] = _on(panel, *_MARKET, ("out", f"SELECT t.bar_time, {_r('least(0.8, coalesce(scale, 1.0))', 'scale')} FROM (SELECT DISTINCT bar_time FROM panel) t LEFT JOIN mkt ON t.bar_time = mkt.bar_time"))
-    q["weight_schedule"] = _on(bt, *_weights(4), ("out", f"SELECT bar_time, feature, {_r('w', 'weight')} FROM v4"))
+    q["weight_schedule"] = _on(bt, *_weights(4), ("out", f"SELECT bar_time, feature, {_r('coalesce(least(w, 0.5) / nullif(sum(least(w, 0.5)) OVER (PARTITION BY bar_time), 0), 1 / 3.0)', 'weight')} FROM v4"))
+    q["regime_weights"] = _on(panel, *_MARKET, *_REGIME_WEIGHTS)
+    q["execution_quality"] = "WITH RECURSIVE " + _on(R.weekly(), *_QUALITY).removeprefix("WITH ")
     q["score_switch_ts"] = _on(scores, *_MARKET, ("sx", "SELECT bar_time FROM mkt WHERE regime = 'stress'"), ("out", f"SELECT bar_time, instrument_id, {_r('score', 'score')}, 'first' AS source FROM scored WHERE bar_time NOT IN (SELECT bar_time FROM sx) UNION ALL SELECT bar_time, instrument_id, {_r('zscore', 'score')}, 'second' FROM s2 WHERE zscore IS NOT NULL AND bar_time IN (SELECT bar_time FROM sx)"))
     q["adaptive_switch"] = _on(
         scores, *_MARKET, ("ta", _TOP["rank"]), ("tb", _TOP["zscore"]), ("st", "SELECT bar_time, percent_rank() OVER (ORDER BY before) AS sr FROM mk1 WHERE before IS NOT NULL"),

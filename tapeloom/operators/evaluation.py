@@ -6,12 +6,11 @@ statistic is an aggregate or a window by (feature, bar_time).
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, correlation, ratio, total_of
+from .moments import correlations
 
 TIME, NAME = "bar_time", "instrument_id"
 
@@ -116,46 +115,10 @@ def group_ic(df: DataFrame, features: list[str], label: str, group: str) -> Data
     return rows.groupBy(*part).agg(correlation(F.col("rx"), F.col("ry")).alias("ic")).groupBy("feature", group).agg(F.avg("ic").alias("ic_mean"))
 
 
-def _pairs(features: list[str], value) -> list[Column]:
-    return [value(a, b).alias(f"{a}__{b}") for a, b in combinations(features, 2)]
-
-
-def rank_correlation(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row, a column a__b for each pair: Pearson of whole-frame ranks over rows with both values.
-
-    A rank needs the whole column in order.  Each feature's distinct values are counted, ranges of them are summed, and
-    a range's ranks start where the ranges before it end, so no task sees more than one range of one feature.
-    """
-    rows = long(df, features)
-    values = rows.groupBy("feature", "x").agg(F.count("*").alias("n"))
-    cuts = values.groupBy("feature").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], F.lit(10_000)).alias("cuts"))
-    values = values.join(F.broadcast(cuts), "feature").withColumn("slot", F.size(F.filter("cuts", lambda c: c < F.col("x")))).drop("cuts")
-    sums = values.groupBy("feature", "slot").agg(F.sum("n").alias("size"))
-    before = sums.withColumn("first", F.coalesce(F.sum("size").over(Window.partitionBy("feature").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum("n").over(Window.partitionBy("feature", "slot").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = values.join(F.broadcast(before.drop("size")), ["feature", "slot"]).select("feature", "x", (F.col("first") + inside - (F.col("n") - 1) / 2.0).alias("r"))
-    wide = rows.join(ranks, ["feature", "x"]).groupBy(TIME, NAME).agg(*(F.max(F.when(F.col("feature") == f, F.col("r"))).alias(f) for f in features))
-    return wide.agg(*_pairs(features, lambda a, b: correlation(F.col(a), F.col(b))))
-
-
-def merged_correlation(df: DataFrame, features: list[str], part: Column) -> DataFrame:
-    """Rows (method, pairs): Pearson of all rows, and rank correlations of each part weighted by their rows."""
-    whole = df.agg(*_pairs(features, lambda a, b: correlation(F.col(a), F.col(b)))).select(F.lit("pearson").alias("method"), "*")
-    rows = df.withColumn("__part", part)
-    out = None
-    for a, b in combinations(features, 2):
-        both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("__part", a, b)
-        ranks = both.withColumns({"ra": average_rank(a, "__part"), "rb": average_rank(b, "__part")})
-        each = ranks.groupBy("__part").agg(F.count("*").alias("n"), correlation(F.col("ra"), F.col("rb")).alias("c"))
-        one = each.where("c IS NOT NULL").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias(f"{a}__{b}")).withColumn("method", F.lit("spearman"))
-        out = one if out is None else out.join(one, "method")
-    return whole.unionByName(out)
-
-
 def correlation_by_time(df: DataFrame, features: list[str], directions: dict[str, int] | None = None) -> DataFrame:
-    """Correlations of oriented features within each timestamp."""
-    sign = directions or {}
-    return df.groupBy(TIME).agg(*_pairs(features, lambda a, b: correlation(F.col(a) * sign.get(a, 1), F.col(b) * sign.get(b, 1))))
+    """Rows (bar_time, a, b, n, method, value): correlations of oriented features within each timestamp."""
+    sign = lambda c: F.coalesce(*(F.when(F.col(c) == f, d) for f, d in (directions or {}).items()), F.lit(1))
+    return correlations(df, features, [TIME]).withColumn("value", F.col("value") * sign("a") * sign("b"))
 
 
 def moments_correlation(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:

@@ -347,22 +347,6 @@ def simulated(bars: DataFrame, scenarios: dict[str, Costs]) -> DataFrame:
     return folded(each_run(bars, scenarios), "run_id", ["exec_time", "instrument_id"], step, schema)
 
 
-# --------------------------------------------------------------------------------------------- EWM
-def execution_quality(bars: DataFrame, halflife: int = 3) -> DataFrame:
-    """Exponentially weighted mean of 1 - clipped execution cost by instrument; warm-up of ``halflife`` values."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_time")
-        pdf["quality"] = pdf["q"].ewm(halflife=halflife, adjust=False, min_periods=halflife).mean().round(6)
-        return pdf.dropna(subset=["quality"])[["instrument_id", "bar_time", "quality"]]
-
-    return bars.groupBy("instrument_id").applyInPandas(one, "instrument_id string, bar_time date, quality double")
-
-
-def quality_inputs() -> Plan:
-    cost = div(f"abs(close_price - {div('turnover', 'volume')})", "abs(high_price - low_price)")
-    return research.weekly().then("co", f"SELECT instrument_id, bar_time, {cost} AS cost FROM exec_bars").then("out", "SELECT instrument_id, bar_time, CASE WHEN cost IS NOT NULL THEN 1 - least(greatest(cost, 0.0), 1.0) END AS q FROM co")
-
-
 # ------------------------------------------------------------------------- multiple-testing control
 def bh_qvalues(summary: DataFrame) -> DataFrame:
     """Two-sided normal p-values of t statistics and Benjamini-Hochberg q-values over all features (few rows)."""
@@ -385,6 +369,5 @@ def queries() -> dict:
         "policy_rank_buffer": lambda spark, d: policy_targets(scored.over(spark, d), {k: v for k, v in POLICIES.items() if k != "hold_buffer"}),
         "hold_buffer": lambda spark, d: policy_targets(scored.over(spark, d), {"hold_buffer": POLICIES["hold_buffer"]}),
         "simulate_targets": lambda spark, d: simulated(execution_inputs().over(spark, d), SCENARIOS),
-        "execution_quality": lambda spark, d: execution_quality(quality_inputs().over(spark, d)),
         "bh_qvalues": lambda spark, d: bh_qvalues(summary.over(spark, d)),
     }

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import boolean_text
+from ..functions.columns import boolean_text, clipped, ratio
 from ..plans.sql import Plan
 from ..sources import bars as B
 from ..streaming.bars import tick_bars
 from . import evaluation as E
-from . import learning, portfolio, relations, research, schedules, splits
+from . import learning, moments, portfolio, recurrence, relations, research, schedules, splits
 
 X = ["f1", "f2", "f3"]
+#: Columns with more and fewer nulls, for correlations.
+WIDE = [*X, "label", "label_4", "close_price", "volume", "turnover"]
 COST = 0.0013
 KEYS = ("bar_time", "instrument_id")
 
@@ -131,11 +133,11 @@ def group_ic(spark, folder):
 
 
 def feature_corr(spark, folder):
-    return tidy(E.rank_correlation(panel(spark, folder), X))
+    return tidy(moments.rank_correlations(panel(spark, folder), WIDE, list(KEYS)))
 
 
 def mergeable_corr(spark, folder):
-    return tidy(E.merged_correlation(panel(spark, folder), X, F.year("bar_time")))
+    return tidy(moments.merged_correlations(panel(spark, folder), WIDE, list(KEYS), F.year("bar_time")))
 
 
 def factor_corr_by_ts(spark, folder):
@@ -225,6 +227,15 @@ def contribution_share(spark, folder):
     return tidy(portfolio.concentration(contributions(spark, folder), ["c1", "c2", "c3"]))
 
 
+def execution_quality(spark, folder):
+    """Weighted mean of 1 - clipped execution cost by supplier, each history cut into blocks of about 64 weeks."""
+    b = bars(spark, folder)
+    cost = ratio(F.abs(F.col("close_price") - ratio(F.col("turnover"), F.col("volume"))), F.abs(F.col("high_price") - F.col("low_price")))
+    rows = b.select(*KEYS, (1 - clipped(cost, 0.0, 1.0)).alias("q"))
+    out = recurrence.ewm_mean(rows, ["instrument_id"], "bar_time", "q", 3, name="quality", block_rows=64)
+    return tidy(out.where("quality IS NOT NULL").select(*KEYS, "quality"))
+
+
 def _health(spark, folder, window: int):
     return schedules.health(E.by_timestamp(panel(spark, folder), X, "label"), window)
 
@@ -257,13 +268,15 @@ def exposure_combine(spark, folder):
 
 
 def weight_schedule(spark, folder):
-    rows = E.by_timestamp(panel(spark, folder), X, "label").select("bar_time", "feature", F.round(F.abs(F.coalesce("ic", F.lit(0.0))), 9).alias("weight"))
-    return tidy(schedules.validated_weights(rows, ["f1", "f2", "f3"], 0.5, 4).select("bar_time", "feature", "weight"))
+    """Weights by absolute IC with a cap of a half; a feature without one has weight 0."""
+    each = E.by_timestamp(panel(spark, folder), X, "label").select("bar_time", "feature", F.round(F.abs("ic"), 9).alias("weight"))
+    grid = each.select("bar_time").distinct().withColumn("feature", F.explode(F.array(*map(F.lit, X))))
+    return tidy(schedules.validated_weights(grid.join(each, ["bar_time", "feature"], "left").fillna(0.0, ["weight"]), X, 0.5))
 
 
 def regime_weights(spark, folder):
     pairs = E.correlation_by_time(panel(spark, folder), X)
-    return schedules.regime_weights(pairs, market(spark, folder), {"f1": 0.5, "f2": 0.3, "f3": 0.2})
+    return tidy(schedules.regime_weights(pairs, market(spark, folder), {"f1": 0.5, "f2": 0.3, "f3": 0.2}))
 
 
 def score_switch_ts(spark, folder):
@@ -451,7 +464,7 @@ def queries() -> dict:
         label_forward, label_multi, label_rank, alpha_matrix, purged_split, walk_forward, time_split, ml_purge, ic_by_ts, topn_spread, topn_turnover, rank_autocorr, quantile_summary,
         factor_summary, decay, group_ic, feature_corr, mergeable_corr, factor_corr_by_ts, moments_corr, prediction_eval, yearly_health, admission_checks, signal_identity, signal_rank,
         signal_threshold, weights_equal, weights_signal, strategy_topn, rebalance_orders, t1_constraints, book_diagnostics, composite_rank, composite_scaled, every_nth, contribution_cap,
-        contribution_share, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, score_switch_daily, adaptive_switch,
+        contribution_share, execution_quality, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, score_switch_daily, adaptive_switch,
         event_states, event_state_counts, main_board_filter, universe_counts, dataset_scan, asof_fundamentals, bars_of_names, trade_calendar, reversal_factor, core_window, enriched,
         repeated_keys, feature_columns, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, worst_weeks, ml_weights, ml_predictions,
         ml_importance, ml_redundancy, switch_rules, ticks_to_bars, text_functions,

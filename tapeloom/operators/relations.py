@@ -145,6 +145,13 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
+def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df; a repeated key is an error when the plan runs, so nothing is computed beforehand or twice."""
+    text = F.concat(F.lit(f"repeated keys {keys}: "), F.to_json(F.struct(*keys)))
+    n = F.count("*").over(Window.partitionBy(*keys))
+    return df.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(text).cast("boolean")).otherwise(True)).drop("__n")
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Renames columns; ValueError where a new name would cover another column."""
     clash = sorted(n for o, n in names.items() if n != o and n in df.columns and n not in names)

@@ -6,12 +6,11 @@ A schedule has one small row for each timestamp (and feature); look-backs are wi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, rolling, scaled
-from .relations import unique
+from .relations import unique_rows
 
 TIME = "bar_time"
 
@@ -36,10 +35,10 @@ def by_state(normal: DataFrame, stress: DataFrame, regime: DataFrame, mode: str
     if mode not in ("select", "blend"):
         raise ValueError(f"unknown mode {mode!r}")
     keys = [TIME, "feature"]
-    a, b = (unique(d, keys).select(*keys, F.col("scale").alias(n)) for d, n in ((normal, "normal_scale"), (stress, "stress_scale")))
+    a, b = (unique_rows(d, keys).select(*keys, F.col("scale").alias(n)) for d, n in ((normal, "normal_scale"), (stress, "stress_scale")))
     s = F.col("scale")
     weight = (s < threshold).cast("double") if mode == "select" else F.least(F.greatest(1 - s, F.lit(0.0)), F.lit(1.0))
-    r = unique(regime, [TIME]).select(TIME, weight.alias("regime_weight"))
+    r = unique_rows(regime, [TIME]).select(TIME, weight.alias("regime_weight"))
     out = a.join(b, keys, "full").join(F.broadcast(r) if r.count() <= 1_000_000 else r, TIME, "left").fillna(1.0, ["normal_scale", "stress_scale"]).fillna(0.0, ["regime_weight"])
     w = F.col("regime_weight")
     mix = F.least(F.greatest(F.col("normal_scale") * (1 - w) + F.col("stress_scale") * w, F.lit(0.0)), F.lit(1.0))
@@ -64,27 +63,46 @@ def exposure(base: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
-def validated_weights(schedule: DataFrame, features: list[str], most: float | None = None, rounds: int = 8) -> DataFrame:
-    """Weights (bar_time, feature, weight) of known features, checked, and capped by redistribution within a timestamp.
+def capped_weights(weights: Column, most: float) -> Column:
+    """Array of structs (feature, weight): what exceeds ``most`` goes to the others in proportion, then all sum to one.
 
-    NULL or negative weights and repeated rows raise ValueError.  Capped: shares of a timestamp's sum, of which none exceeds
-    ``most`` while others have room; what is cut goes to the others in proportion.
+    Others whose sum is zero share it evenly.  A cap too low for the number of features is an error.
     """
-    rows = schedule.where(F.col("feature").isin(features))
-    bad = rows.where("weight IS NULL OR weight < 0").limit(1).collect()
-    if bad:
-        raise ValueError(f"a weight must be a number and not negative: {bad[0]}")
-    rows = unique(rows, [TIME, "feature"])
-    if most is None:
-        return rows
-    own = Window.partitionBy(TIME)
-    rows = rows.withColumn("weight", F.coalesce(ratio(F.col("weight"), F.sum("weight").over(own)), F.lit(0.0)))
-    for _ in range(rounds):
-        over = F.sum(F.greatest(F.col("weight") - most, F.lit(0.0))).over(own)
-        free = F.sum(F.when(F.col("weight") < most, F.col("weight")).otherwise(0.0)).over(own)
-        rows = rows.withColumns({"__over": over, "__free": free})
-        rows = rows.withColumn("weight", F.when(F.col("weight") >= most, F.least("weight", F.lit(most))).otherwise(F.col("weight") + F.coalesce(ratio(F.col("__over") * F.col("weight"), F.col("__free")), F.lit(0.0)))).drop("__over", "__free")
-    return rows
+    def least(w: Column) -> Column:
+        return F.struct(w["feature"].alias("feature"), F.least(w["weight"], F.lit(most)).alias("weight"))
+
+    def once(held: Column) -> Column:
+        excess = F.aggregate(held, F.lit(0.0), lambda t, w: t + F.greatest(w["weight"] - most, F.lit(0.0)))
+        under = F.filter(held, lambda w: w["weight"] < most)
+        room = F.aggregate(under, F.lit(0.0), lambda t, w: t + w["weight"])
+        more = lambda w: F.when(w["weight"] >= most, F.lit(most)).when(room <= 0, w["weight"] + excess / F.size(under)).otherwise(w["weight"] + excess * w["weight"] / room)
+        moved = F.transform(held, lambda w: F.struct(w["feature"].alias("feature"), more(w).alias("weight")))
+        return F.when(F.exists(held, lambda w: w["weight"] > most), moved).otherwise(held)
+
+    rounds = F.sequence(F.lit(0), F.size(weights))
+    capped = F.transform(F.aggregate(rounds, weights, lambda held, _: once(held)), least)
+    total = F.aggregate(capped, F.lit(0.0), lambda t, w: t + w["weight"])
+    even = F.transform(capped, lambda w: F.struct(w["feature"].alias("feature"), F.when(total > 0, w["weight"] / total).otherwise(F.lit(1.0) / F.size(capped)).alias("weight")))
+    low = F.raise_error(F.lit("the cap is too low for the number of features")).cast("array<struct<feature:string,weight:double>>")
+    return F.when(F.lit(most) * F.size(weights) < 1.0, low).otherwise(even)
+
+
+def validated_weights(schedule: DataFrame, features: list[str], most: float | None = None) -> DataFrame:
+    """Weights (bar_time, feature, weight) of known features, checked, and capped within a timestamp if ``most`` is given.
+
+    NULL or negative weights, repeated rows and a cap below the even share are errors when the plan runs: the checks are part of
+    it, and the input is read once.  Without a cap weights stay as they are; with one they sum to one.
+    """
+    if most is not None and not 0 < most <= 1:
+        raise ValueError("a cap lies in (0, 1]")
+    rows = schedule.where(F.col("feature").isin(features)).select(TIME, "feature", F.col("weight").cast("double").alias("weight"))
+    held = rows.groupBy(TIME).agg(F.array_sort(F.collect_list(F.struct("feature", "weight"))).alias("w"))  # a row for each feature
+    wrong = F.exists("w", lambda w: w["weight"].isNull() | (w["weight"] < 0))
+    twice = F.size(F.array_distinct(F.transform("w", lambda w: w["feature"]))) < F.size("w")
+    fail = lambda text: F.raise_error(F.concat(F.lit(text), F.col(TIME).cast("string"))).cast("boolean")
+    held = held.where(F.when(wrong, fail("a weight must be a number and not negative: ")).when(twice, fail("repeated rows of a feature: ")).otherwise(True))
+    out = F.col("w") if most is None else capped_weights(F.col("w"), most)
+    return held.select(TIME, F.explode(out).alias("w")).select(TIME, "w.feature", "w.weight")
 
 
 def switched(first: DataFrame, second: DataFrame, switches: DataFrame, keys: tuple[str, ...] = (TIME, "instrument_id")) -> DataFrame:
@@ -120,45 +138,56 @@ def adaptive_quantile(days: DataFrame, quantiles: list[float], months: int = 12,
     return all_months.join(best, "month", "left").select("month", "b.q", "b.n", "b.mean_edge", "b.t")
 
 
-def regime_weights(pairs: DataFrame, regime: DataFrame, base: dict[str, float], window: int = 26, least: int = 8, ridge: float = 0.5) -> DataFrame:
-    """Weights by timestamp from trailing feature correlations of the same regime.
+def regime_weights(pairs: DataFrame, regime: DataFrame, base: dict[str, float], window: int = 26, lag: int = 1, least: int = 8, ridge: float = 0.5, by_regime: bool = True) -> DataFrame:
+    """Rows (bar_time, feature, weight, regime, used_regime, history, reason) from trailing feature correlations.
 
-    ``pairs``: bar_time and a column a__b for each pair (one row a timestamp), ``regime``: bar_time, regime.  The mean
-    correlations of the rows before, of the same regime where it has ``least`` of them, else of all, give
-    clip((R + ridge I)^-1 base, 0) normalised; the base itself without enough rows.  The solve is one small matrix a row.
+    ``pairs``: (bar_time, a, b, value); ``regime``: (bar_time, regime), a row for each timestamp that counts.  History is the
+    ``window`` rows that end ``lag`` rows ago, those of the row's own regime where that has ``least`` of them and isn't
+    warmup.  Mean correlations (0 where there is none) give clip((R + ridge I)^-1 base, 0), normalised; the base itself where
+    history is short or nothing positive is left.  Means are running sums by regime; the systems of a batch are solved as one stack.
     """
-    names, columns = list(base), [c for c in pairs.columns if c != TIME]
-    rows = pairs.join(regime.select(TIME, "regime"), TIME)
-    w = Window.orderBy(TIME).rowsBetween(-window, -1)
-    same = lambda c: F.collect_list(F.struct("regime", F.col(c).alias("v"))).over(w)
-    kept = {}
-    for c in columns:
-        held = F.filter(same(c), lambda x: x["v"].isNotNull())
-        alike = F.filter(held, lambda x: x["regime"] == F.col("regime"))
-        use = F.when(F.size(alike) >= least, alike).when(F.size(held) >= least, held)
-        kept[c] = F.aggregate(use, F.lit(0.0), lambda a, x: a + x["v"], lambda a: a) / F.size(use)
-    rows = rows.withColumns(kept)
+    names = list(base)
+    place = {n: i for i, n in enumerate(names)}
     start = np.array([base[n] for n in names], float)
     start = start / start.sum()
+    over = Window.orderBy(TIME).rowsBetween(-(window + lag - 1), -lag)  # one row for each timestamp
+    same = lambda r: F.count_if(F.col("regime") == r)
+    kinds = [r[0] for r in regime.select("regime").where("regime <> 'warmup'").distinct().limit(65).collect()]
+    if len(kinds) > 64:
+        raise ValueError("more than 64 regimes")
+    of_own = lambda value: F.coalesce(*(F.when(F.col("regime") == r, value(r)) for r in kinds), F.lit(None)) if kinds else F.lit(None)
+    times = regime.select(TIME, "regime").withColumns({"n_all": F.count("*").over(over), "n_same": F.coalesce(of_own(lambda r: same(r).over(over)), F.lit(0))})
+    used = F.lit(by_regime) & (F.col("n_same") >= least)
+    times = times.withColumn("used", used).withColumn("history", F.when(F.col("used"), F.col("n_same")).otherwise(F.col("n_all")))
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(names) for b in names[i + 1 :]))
+    grid = times.withColumn("p", F.explode(each)).select(*times.columns, "p.a", "p.b").join(pairs.select(TIME, "a", "b", "value"), [TIME, "a", "b"], "left")
+    past = Window.partitionBy("a", "b").orderBy(TIME).rowsBetween(-(window + lag - 1), -lag)
+    of_all = F.avg("value").over(past)
+    mean = F.when(F.col("used"), of_own(lambda r: F.avg(F.when(F.col("regime") == r, F.col("value"))).over(past))).otherwise(of_all)
+    means = grid.withColumn("mean", F.coalesce(mean, F.lit(0.0)))
+    rows = means.groupBy(TIME, "regime", "used", "history").agg(F.collect_list(F.struct("a", "b", "mean")).alias("pairs"))
 
     def solve(frames):
         for f in frames:
-            out = []
-            for values in f[columns].to_numpy(float):
-                r = np.eye(len(names))
-                for c, v in zip(columns, values):
-                    i, j = (names.index(x) for x in c.split("__"))
-                    r[i, j] = r[j, i] = v
-                weights = start
-                if not np.isnan(values).any():
-                    x = np.clip(np.linalg.solve(r + ridge * np.eye(len(names)), start), 0, None)
-                    weights = x / x.sum() if x.sum() > 0 else start
-                out.append(weights)
-            yield pd.concat([f[[TIME, "regime"]].reset_index(drop=True), pd.DataFrame(np.array(out).reshape(len(f), -1), columns=names)], axis=1)
-
-    fields = ", ".join(f"{n} double" for n in names)
+            r = np.broadcast_to(np.eye(len(names)), (len(f), len(names), len(names))).copy()
+            for k, ps in enumerate(f["pairs"]):
+                for p in ps:
+                    i, j = place[p["a"]], place[p["b"]]
+                    r[k, i, j] = r[k, j, i] = p["mean"]
+            r += ridge * np.eye(len(names))
+            fit = (np.linalg.slogdet(r)[0] != 0) & (f["history"].to_numpy() >= least)
+            x = np.tile(start, (len(f), 1))
+            if fit.any():
+                x[fit] = np.clip(np.linalg.solve(r[fit], np.broadcast_to(start[:, None], (int(fit.sum()), len(names), 1)))[..., 0], 0, None)
+            total = x.sum(axis=1, keepdims=True)
+            x = np.where(total > 0, x / np.where(total > 0, total, 1), start)
+            out = f[[TIME, "regime", "used", "history"]].loc[f.index.repeat(len(names))].reset_index(drop=True)
+            out.columns = [TIME, "regime", "used_regime", "history"]
+            out["reason"] = np.where(out["history"] < least, "insufficient_history", "")
+            yield out.assign(feature=np.tile(names, len(f)), weight=x.ravel())
+
     kind = rows.schema[TIME].dataType.simpleString()
-    return rows.select(TIME, "regime", *columns).mapInPandas(solve, f"{TIME} {kind}, regime string, {fields}")
+    return rows.mapInPandas(solve, f"{TIME} {kind}, feature string, weight double, regime string, used_regime boolean, history long, reason string")
 
 
 #: Event states in order of their rules: the last that holds counts.  fixed values
