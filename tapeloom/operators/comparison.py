@@ -229,8 +229,4 @@ def sql() -> dict[str, str]:
     q["overlay_blend"] = _on(scores, ("ov", f"SELECT bar_time, instrument_id, {_rank('score', 'bar_time')} / count(score) OVER (PARTITION BY bar_time) AS a, {second} AS b FROM scored"), ("out", f"SELECT bar_time, instrument_id, {_r('0.7 * a + 0.3 * coalesce(b, 0.5)', 'score')} FROM ov"))
     alike = "0.3 * coalesce(x.p_brand = y.p_brand, FALSE)::INT + 0.15 * coalesce(x.p_size = y.p_size, FALSE)::INT + 0.25 * coalesce(abs(x.p_retailprice - y.p_retailprice) < 5, FALSE)::INT"
     q["research_memory"] = f"SELECT * FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, round(CAST({alike} AS DOUBLE), 6) AS similarity FROM part x JOIN part y ON x.p_partkey < y.p_partkey) z WHERE similarity >= 0.35"
-    q["score_switch_daily"] = _on(
-        R.market(), ("w1", "SELECT bar_time, lag(m_vol) OVER (ORDER BY bar_time) AS lv FROM market_ts"), ("w2", "SELECT a.bar_time, any_value(a.lv) AS lv, count(b.lv) AS n, quantile_cont(b.lv, 0.7) AS ql FROM w1 a LEFT JOIN w1 b ON b.bar_time < a.bar_time GROUP BY a.bar_time"),
-        ("w3", "SELECT bar_time, coalesce(n >= 12 AND round(lv, 9) >= round(ql, 9), FALSE) AS use_z FROM w2"), ("out", f"SELECT s.bar_time, s.instrument_id, use_z, {_r('CASE WHEN use_z THEN zscore ELSE score END', 'score')} FROM scored s JOIN w3 ON s.bar_time = w3.bar_time"),
-    )
     return q

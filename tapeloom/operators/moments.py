@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import correlation
+
 #: Bytes of sums that a task holds before it gives them out, and tasks that the rows of one part are dealt to.
 HELD_BYTES, SALTS = 64 << 20, 8
 #: Rows whose mean the values are taken relative to.
@@ -153,8 +155,7 @@ def merged_correlations(df: DataFrame, features: list[str], keys: list[str], par
     by = ["__part", "a", "b"]
     for c in "xy":
         pairs = pairs.join(range_ranks(pairs.select(*by, c), by, c).withColumnRenamed("rank", f"r{c}"), [*by, c])
-    corr = F.when((F.count("*") >= 2) & (F.stddev_pop("rx") * F.stddev_pop("ry") > 1e-14), F.corr("rx", "ry"))
-    two = pairs.groupBy(*by).agg(F.count("*").alias("n"), corr.alias("value"))
+    two = pairs.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("value"))
     each = one.unionByName(two).where("value IS NOT NULL")
     spearman = each.groupBy("a", "b").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
     return correlations(src, features).unionByName(spearman.withColumn("method", F.lit("spearman")), allowMissingColumns=True)

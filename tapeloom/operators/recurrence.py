@@ -27,7 +27,7 @@ _NEVER = 1e9
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows with the columns ``__key`` (never null) and ``__block``, and the rounds that the longest block and the number of blocks take."""
+    """Rows with the column ``__cell`` (key and block, never null), and the rounds that the longest block and the number of blocks take."""
 
     rows: DataFrame
     time: str
@@ -40,13 +40,13 @@ class Blocks:
         for n, (a, b, _) in states.items():
             known = a.isNotNull() & b.isNotNull()
             steps |= {f"__a_{n}": F.when(known, a.cast("double")).otherwise(1.0), f"__b_{n}": F.when(known, b.cast("double")).otherwise(0.0)}
-        inside = Window.partitionBy("__key", "__block").orderBy(self.time)
+        inside = Window.partitionBy("__cell").orderBy(self.time)
         done = _doubled(self.rows.withColumns(steps), list(states), inside, self.rounds)
-        ends = done.groupBy("__key", "__block").agg(F.max_by(F.struct(*steps), F.struct(self.time)).alias("end")).select("__key", "__block", "end.*")
-        across = Window.partitionBy("__key").orderBy("__block")
+        ends = done.groupBy("__cell").agg(F.max_by(F.struct(*steps), F.struct(self.time)).alias("end")).select("__cell", "__cell.key", "__cell.block", "end.*")
+        across = Window.partitionBy("key").orderBy("block")
         ends = _doubled(ends, list(states), across, self.block_rounds)
         begin = {n: F.lag(f"__a_{n}", 1, 1.0).over(across) * start + F.lag(f"__b_{n}", 1, 0.0).over(across) for n, (_, _, start) in states.items()}
-        out = done.join(ends.select("__key", "__block", *(c.alias(f"__s_{n}") for n, c in begin.items())), ["__key", "__block"])
+        out = done.join(ends.select("__cell", *(c.alias(f"__s_{n}") for n, c in begin.items())), "__cell")
         for n in states:
             before = F.lag(f"__a_{n}", 1, 1.0).over(inside) * F.col(f"__s_{n}") + F.lag(f"__b_{n}", 1, 0.0).over(inside)
             out = out.withColumns({n: F.col(f"__a_{n}") * F.col(f"__s_{n}") + F.col(f"__b_{n}"), f"{n}_before": before})
@@ -76,32 +76,33 @@ def _block_of(time: str, cuts: list) -> Column:
 
 def time_blocks(df: DataFrame, by: list[str], time: str, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> Blocks:
     """Cuts the time axis so that the longest key gets about block_rows in a block; three aggregates reach the driver."""
-    df = df.withColumn("__key", F.struct(*by))
-    longest = df.groupBy("__key").count().agg(F.max("count")).first()[0] or 0
+    key = F.struct(*by)
+    longest = df.groupBy(key.alias("key")).count().agg(F.max("count")).first()[0] or 0
     n = min(most_blocks, -(-longest // block_rows))
     cuts: list = []
     if n > 1:
         cuts = sorted(set(df.agg(F.percentile_approx(time, [i / n for i in range(1, n)], F.lit(10 * n))).first()[0] or []))
-    rows = df.withColumn("__block", _block_of(time, cuts))
-    held = rows.groupBy("__key", "__block").count().agg(F.max("count")).first()[0] or 1 if cuts else max(longest, 1)
+    rows = df.withColumn("__cell", F.struct(key.alias("key"), _block_of(time, cuts).alias("block")))
+    held = rows.groupBy("__cell").count().agg(F.max("count")).first()[0] or 1 if cuts else max(longest, 1)
     return Blocks(rows, time, (held - 1).bit_length(), len(cuts).bit_length())
 
 
 def linear_recurrence(df: DataFrame, by: list[str], time: str, states: dict[str, tuple[Column, Column, float]], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds each state ``name: (a, b, start)`` after every row of its key, and before it as ``<name>_before``."""
-    return time_blocks(df, by, time, block_rows).scan(**states).rows.drop("__key", "__block")
+    return time_blocks(df, by, time, block_rows).scan(**states).rows.drop("__cell")
 
 
 def ewm_mean(df: DataFrame, by: list[str], time: str, x: str, halflife: float, least: int | None = None, name: str = "ewm", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds the exponentially weighted mean of x, its weights halved every ``halflife`` rows.
 
     The first value starts it.  A value that comes g rows after the last one has weight alpha against (1 - alpha)^g, so gaps
-    let the past fade; at a null the mean stays.  Null until ``least`` (the half-life, rounded up) values were seen.
+    let the past fade; at a null or NaN the mean stays.  Null until ``least`` (the half-life, rounded up) values were seen.
     """
     alpha = 1 - 0.5 ** (1 / halflife)
-    seen, carry = F.col(x).isNotNull(), F.col(x).isNull().cast("double")
+    value = F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+    seen, carry = value.isNotNull(), value.isNull().cast("double")
     counted = time_blocks(df, by, time, block_rows).scan(__gap=(carry, carry, _NEVER), __seen=(F.lit(1.0), seen.cast("double"), 0.0))
     past = F.pow(F.lit(1 - alpha), F.col("__gap_before") + 1)
-    out = counted.scan(**{name: (F.when(seen, past / (past + alpha)), F.when(seen, alpha * F.col(x) / (past + alpha)), 0.0)}).rows
+    out = counted.scan(**{name: (F.when(seen, past / (past + alpha)), F.when(seen, alpha * value / (past + alpha)), 0.0)}).rows
     least = -(-halflife // 1) if least is None else least
     return out.withColumn(name, F.when(F.col("__seen") >= least, F.col(name))).select(*df.columns, name)

@@ -284,14 +284,6 @@ def score_switch_ts(spark, folder):
     return tidy(schedules.switched(scored(spark, folder), scored(spark, folder, "zscore"), at))
 
 
-def score_switch_daily(spark, folder):
-    """The z-score composite after weeks whose dispersion reached the quantile of all weeks before, else the rank composite."""
-    weeks = research.market().over(spark, folder).select("bar_time", F.lag("m_vol").over(Window.orderBy("bar_time")).alias("lv"))
-    state = schedules.expanding_quantile(weeks, "lv", 0.7, 12).select("bar_time", F.coalesce(F.round("lv", 9) >= F.round("quantile", 9), F.lit(False)).alias("use_z"))
-    rows = research.scores().over(spark, folder)
-    return tidy(rows.join(state, "bar_time").select(*KEYS, "use_z", F.when(F.col("use_z"), F.col("zscore")).otherwise(F.col("score")).alias("score")))
-
-
 def adaptive_switch(spark, folder):
     top = lambda m: portfolio.ranked(scored(spark, folder, m)).where("place <= 5").groupBy("bar_time").agg(F.avg("label").alias(m))
     rows = panel(spark, folder).where("f1 IS NOT NULL").groupBy("bar_time").agg(F.round(F.stddev_samp("f1"), 10).alias("sd"))
@@ -464,7 +456,7 @@ def queries() -> dict:
         label_forward, label_multi, label_rank, alpha_matrix, purged_split, walk_forward, time_split, ml_purge, ic_by_ts, topn_spread, topn_turnover, rank_autocorr, quantile_summary,
         factor_summary, decay, group_ic, feature_corr, mergeable_corr, factor_corr_by_ts, moments_corr, prediction_eval, yearly_health, admission_checks, signal_identity, signal_rank,
         signal_threshold, weights_equal, weights_signal, strategy_topn, rebalance_orders, t1_constraints, book_diagnostics, composite_rank, composite_scaled, every_nth, contribution_cap,
-        contribution_share, execution_quality, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, score_switch_daily, adaptive_switch,
+        contribution_share, execution_quality, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, adaptive_switch,
         event_states, event_state_counts, main_board_filter, universe_counts, dataset_scan, asof_fundamentals, bars_of_names, trade_calendar, reversal_factor, core_window, enriched,
         repeated_keys, feature_columns, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, worst_weeks, ml_weights, ml_predictions,
         ml_importance, ml_redundancy, switch_rules, ticks_to_bars, text_functions,

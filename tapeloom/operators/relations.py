@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .intervals import interval_join
+
 #: Names that a feature can't have: they carry the outcome.  fixed values
 BLOCKED_PREFIXES, BLOCKED_SUFFIXES = ("label", "forward_return", "target", "exit_", "entry_"), ("_label", "_forward_return", "_target")
 
@@ -216,9 +218,8 @@ def held_at_all_times(times: DataFrame, holdings: DataFrame) -> DataFrame:
 
 
 def in_segments(bars: DataFrame, segments: DataFrame, time_col: str = "bar_time") -> DataFrame:
-    """Bars with start < time <= end of their instrument's segments: an equi-join on the name, the range as a filter."""
-    s = segments.select("instrument_id", "segment", F.col("start").alias("__s"), F.col("end").alias("__e"))
-    return bars.join(s, "instrument_id").where((F.col(time_col) > F.col("__s")) & (F.col(time_col) <= F.col("__e"))).drop("__s", "__e")
+    """Bars with start < time <= end of their instrument's segments, for histories and segments of any length."""
+    return interval_join(bars, segments.select("instrument_id", "segment", "start", "end"), ["instrument_id"], time_col).drop("start", "end")
 
 
 def united(*frames: DataFrame) -> DataFrame:

@@ -112,15 +112,6 @@ def switched(first: DataFrame, second: DataFrame, switches: DataFrame, keys: tup
     return one.unionByName(second.join(at, TIME, "left_semi").select(*keys, "score", F.lit("second").alias("source")))
 
 
-def expanding_quantile(rows: DataFrame, x: str, q: float, least: int, time: str = TIME) -> DataFrame:
-    """Adds the quantile of all earlier values of a table with one row for each time: no bound on how many.
-
-    Earlier values of a row are taken as an array that grows with time, so this is for tables by day or timestamp.
-    """
-    w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("quantile", F.when(F.count(x).over(w) >= least, F.percentile(x, q).over(w)))
-
-
 def adaptive_quantile(days: DataFrame, quantiles: list[float], months: int = 12, embargo_days: int = 7, least: int = 20) -> DataFrame:
     """For each month the quantile of a lagged state above which the second score did best before.
 

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 
 from tapeloom import queries as library
 from tapeloom.functions import features
@@ -203,8 +204,6 @@ def test_guards(spark):
         relations.select_fields(d, ["nope"])
     with pytest.raises(ValueError, match="outcome"):
         learning.train(d, ["label_1"], "v")
-    with pytest.raises(ValueError, match="not negative"):
-        schedules.validated_weights(spark.createDataFrame([(1, "a", -1.0)], "bar_time int, feature string, weight double"), ["a"])
     with pytest.raises(Exception, match="aren't negative"):
         portfolio.target_weights(spark.createDataFrame([(1, "a", -1.0)], "bar_time int, instrument_id string, score double"), 1, method="signal").collect()
     assert relations.leaking(["f1", "label_4", "x_target", "Forward_Return_1"]) == ["label_4", "x_target", "Forward_Return_1"]
@@ -226,30 +225,53 @@ def test_written_periods_replace_old_ones(spark, tmp_path):
     assert sorted((r.period, r.a) for r in got.collect()) == [("2024_01", 1), ("2024_02", 7)]
 
 
-def test_regime_weights_solve(spark):
-    """Against the same rule written with a loop."""
-    pairs, regime = registered.E.correlation_by_time(registered.panel(spark, DATA), registered.X), registered.market(spark, DATA)
-    base = {"f1": 0.5, "f2": 0.3, "f3": 0.2}
-    got = {r.bar_time: (r.f1, r.f2, r.f3) for r in schedules.regime_weights(pairs, regime, base).collect()}
-    rows, state = pairs.toPandas().sort_values("bar_time", ignore_index=True), {r.bar_time: r.regime for r in regime.collect()}
-    rows, columns = rows[rows.bar_time.isin(state.keys())].reset_index(drop=True), ["f1__f2", "f1__f3", "f2__f3"]
-    moved = 0
-    for t in range(len(rows)):
-        past = rows.iloc[max(0, t - 26) : t]
-        means = []
-        for c in columns:
-            held = past[past[c].notna()]
-            alike = held[held.bar_time.map(state) == state[rows.bar_time[t]]]
-            means.append(alike[c].mean() if len(alike) >= 8 else held[c].mean() if len(held) >= 8 else None)
-        want = np.array([0.5, 0.3, 0.2])
-        if None not in means:
-            m = np.eye(3) * 1.5
-            for (i, j), v in zip(((0, 1), (0, 2), (1, 2)), means):
-                m[i, j] = m[j, i] = v
-            x = np.clip(np.linalg.solve(m, want), 0, None)
-            want, moved = x / x.sum(), moved + 1
-        assert np.allclose(got[rows.bar_time[t]], want, atol=1e-9)
-    assert moved > 100
+@pytest.mark.parametrize("lag,by_regime", [(1, True), (3, True), (1, False)])
+def test_regime_weights_solve(spark, lag, by_regime):
+    """Against the same rule written with a loop; timestamps without correlations and a singular system among them."""
+    rng = np.random.default_rng(3)
+    names, times = ["a", "b", "c", "d"], list(range(90))
+    state = {t: str(rng.choice(["warmup", "normal", "stress"], p=[0.1, 0.6, 0.3])) for t in times}
+    pairs = [(t, x, y, None if rng.random() < 0.3 else float(rng.uniform(-1, 1))) for t in times if t % 11 for i, x in enumerate(names) for y in names[i + 1 :]]
+    base = {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}
+    got = schedules.regime_weights(
+        spark.createDataFrame(pairs, "bar_time long, a string, b string, value double"), spark.createDataFrame(list(state.items()), "bar_time long, regime string"), base, 20, lag, 6, 0.5, by_regime
+    ).toPandas()
+    assert len(got) == len(times) * 4
+    by, used_any = {(t, x, y): v for t, x, y, v in pairs if v is not None}, 0
+    for t, rows in got.groupby("bar_time"):
+        past = times[max(0, t - lag + 1 - 20) : max(0, t - lag + 1)]
+        alike = [u for u in past if state[u] == state[t]]
+        used = by_regime and state[t] != "warmup" and len(alike) >= 6
+        past, used_any = alike if used else past, used_any + used
+        want = start = np.array(list(base.values()))
+        if len(past) >= 6:
+            m = np.eye(4) * 1.5
+            for i, x in enumerate(names):
+                for j in range(i + 1, 4):
+                    held = [by[u, x, names[j]] for u in past if (u, x, names[j]) in by]
+                    m[i, j] = m[j, i] = np.mean(held) if held else 0.0
+            w = np.clip(np.linalg.solve(m, start), 0, None)
+            want = w / w.sum() if w.sum() > 0 else start
+        assert np.allclose(rows.set_index("feature").weight[names], want, atol=1e-9)
+        assert set(rows.used_regime) == {used} and set(rows.history) == {len(past)} and set(rows.reason) == {"" if len(past) >= 6 else "insufficient_history"}
+    assert used_any > 10 or not by_regime
+
+
+def test_weight_caps(spark):
+    """Zeros share evenly what is cut, and a cap below the even share is an error."""
+    def capped(rows, most):
+        df = spark.createDataFrame([(1, f, w) for f, w in rows], "bar_time int, feature string, weight double")
+        return {r.feature: round(r.weight, 9) for r in schedules.validated_weights(df, ["a", "b", "c", "d"], most).collect()}
+
+    assert capped([("a", 1.0), ("b", 0.0), ("c", 0.0)], 0.5) == {"a": 0.5, "b": 0.25, "c": 0.25}
+    assert capped([("a", 0.2), ("b", 0.1), ("c", 0.1)], 0.5) == {"a": 0.5, "b": 0.25, "c": 0.25}
+    assert capped([("a", 3.0), ("b", 1.0), ("c", 1.0)], 0.5) == {"a": 0.333333333, "b": 0.333333333, "c": 0.333333333}
+    assert capped([("a", 0.7), ("b", 0.2), ("z", 5.0)], None) == {"a": 0.7, "b": 0.2}
+    for rows, most in (([("a", 0.5), ("b", 0.5)], 0.4), ([("a", None)], None), ([("a", 0.1), ("a", 0.2)], None), ([("a", -1.0)], 0.9)):
+        with pytest.raises(PySparkException):
+            capped(rows, most)
+    with pytest.raises(ValueError):
+        capped([("a", 1.0)], 1.5)
 
 
 def test_boosted_trees_learn_and_name_what_they_use(spark):
@@ -432,24 +454,6 @@ def test_folds_take_rows_one_by_one(spark):
     assert max(r.held for r in got) <= 10_000
 
 
-def test_execution_quality_is_a_recursion(spark):
-    got = library.queries()["execution_quality"](spark, DATA).toPandas()
-    rows = folds.quality_inputs().over(spark, DATA).toPandas().sort_values(["instrument_id", "bar_time"])
-    a, want = 1 - 0.5 ** (1 / 3), {}
-    for name, g in rows.groupby("instrument_id"):
-        y, gap, n = None, 1, 0
-        for t, q in zip(g.bar_time, g.q):
-            if pd.isna(q):
-                gap += 1
-            else:
-                old = (1 - a) ** gap
-                y, gap, n = q if y is None else (old * y + a * q) / (old + a), 1, n + 1
-            if n >= 3:
-                want[name, t] = y
-    have = {(r.instrument_id, r.bar_time): r.quality for r in got.itertuples()}
-    assert have.keys() == want.keys() and all(math.isclose(have[k], want[k], abs_tol=2e-6) for k in want)
-
-
 def test_q_values(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 0.1), ("d", None)], "feature string, t_stat double")
     got = {r.feature: (r.p_value, r.q_value) for r in folds.bh_qvalues(df).collect()}
