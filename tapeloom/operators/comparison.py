@@ -91,10 +91,16 @@ _QUALITY = (
 
 
 def _event(sources: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Signed z-scores against the 12 rows before; states from the strongest rule down."""
     w = "OVER (ORDER BY bar_time ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)"
-    z = ", ".join(f"CASE WHEN count({c}) {w} >= 4 THEN least(greatest(({c} - avg({c}) {w}) / nullif(stddev_samp({c}) {w}, 0), 0.0), 3.0) * (CASE WHEN {c} IS NULL OR stddev_samp({c}) {w} = 0 THEN NULL ELSE 1 END) END AS z_{c}" for c in sources)
-    total, n = " + ".join(f"coalesce(z_{c}, 0)" for c in sources), " + ".join(f"(z_{c} IS NOT NULL)::INT" for c in sources)
-    return [("z", f"SELECT *, {z} FROM es"), ("out", f"SELECT bar_time, round(coalesce(({total}) / nullif({n}, 0), 0), 5) AS intensity FROM z")]
+    z = ", ".join(f"CASE WHEN count({c}) {w} >= 4 THEN least(greatest(({c} - avg({c}) {w}) / nullif(stddev_samp({c}) {w}, 0), -3.0), 3.0) * (CASE WHEN {c} IS NULL OR stddev_samp({c}) {w} = 0 THEN NULL ELSE 1 END) END AS z_{c}" for c in sources)
+    total, n = " + ".join(f"coalesce(greatest(z_{c}, 0), 0)" for c in sources), " + ".join(f"(z_{c} IS NOT NULL)::INT" for c in sources)
+    limit = f"greatest(coalesce(z_{sources[0]}, -9), coalesce(z_{sources[1]}, -9))"
+    state = "CASE WHEN k < 4 THEN 'warmup' WHEN m >= 1.5 THEN 'limit_diffusion_extreme' WHEN i >= 1.5 THEN 'shock_extreme' WHEN m >= 0.5 THEN 'limit_diffusion' WHEN i >= 0.5 THEN 'shock_elevated' WHEN peak >= 0.5 THEN 'post_shock_stabilization' ELSE 'calm' END"
+    return [
+        ("z", f"SELECT *, {z} FROM es"), ("zi", f"SELECT bar_time, coalesce(({total}) / nullif({n}, 0), 0) AS i, {limit} AS m FROM z"),
+        ("zs", f"SELECT *, count(i) {w} AS k, max(i) OVER (ORDER BY bar_time ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS peak FROM zi"), ("out", f"SELECT bar_time, round(i, 5) AS intensity, {state} AS state FROM zs"),
+    ]
 
 
 _YEARS = "(VALUES (1993), (1994), (1995), (1996), (1997), (1998)) y(y)"
@@ -146,7 +152,14 @@ def sql() -> dict[str, str]:
         ("out", f"SELECT bt.feature, direction, year(bar_time) AS y, {_r('avg(rank_ic)', 'ic')}, {_r('avg(CASE WHEN direction > 0 THEN top_label ELSE bottom_label END)', 'favoured_label')}, avg(rank_ic) * direction > 0 AS stable FROM bt JOIN yd ON bt.feature = yd.feature GROUP BY bt.feature, direction, year(bar_time)"),
     )
     q["purged_split"] = _on(panel, ("out", f"SELECT * FROM (SELECT bar_time, instrument_id, exit_time, CASE WHEN bar_time <= DATE '1996-12-31' AND exit_time < DATE '1996-12-25' THEN 'train' WHEN bar_time >= DATE '1997-01-01' AND bar_time <= DATE '1998-06-30' THEN 'valid' WHEN bar_time >= DATE '1998-07-01' THEN 'test' END AS part, {_r('label', 'label')} FROM panel WHERE label IS NOT NULL) x WHERE part IS NOT NULL"))
-    q["walk_forward"] = _on(panel, ("out", f"SELECT bar_time, instrument_id, CAST(y AS VARCHAR) AS fold, CASE WHEN year(bar_time) = y THEN 'test' ELSE 'train' END AS part FROM panel JOIN {_YEARS} ON year(bar_time) = y OR (year(bar_time) < y AND year(exit_time) < y) WHERE label IS NOT NULL"))
+    q["walk_forward"] = _on(
+        panel, ("wf", f"SELECT p.*, y, make_date(y - 1, 7, 1) AS v0, make_date(y - 1, 12, 31) AS v1 FROM panel p, {_YEARS} WHERE label IS NOT NULL AND bar_time >= DATE '1992-02-01'"),
+        ("out", "SELECT bar_time, instrument_id, CAST(y AS VARCHAR) AS fold, 'test' AS part FROM wf WHERE year(bar_time) = y UNION ALL SELECT bar_time, instrument_id, CAST(y AS VARCHAR), 'valid' FROM wf WHERE bar_time >= v0 AND bar_time <= v1 UNION ALL SELECT bar_time, instrument_id, CAST(y AS VARCHAR), 'train' FROM wf WHERE bar_time < v0 AND exit_time < v0 - 10"),
+    )
+    q["hourly_split"] = _on(
+        B.executable(B.hourly()), ("hs", "SELECT bar_time, instrument_id, bar_time + INTERVAL 90 MINUTE AS e, CAST((SELECT min(CAST(bar_time AS DATE)) FROM exec_bars) AS TIMESTAMP) AS d FROM exec_bars"),
+        ("out", "SELECT bar_time, instrument_id, part FROM (SELECT *, unnest([CASE WHEN bar_time <= d + INTERVAL 231 HOUR AND e < d + INTERVAL 232 HOUR THEN 'train' END, CASE WHEN bar_time >= d + INTERVAL 14070 MINUTE AND bar_time <= d + INTERVAL 348 HOUR THEN 'valid' END, CASE WHEN bar_time >= d + INTERVAL 342 HOUR AND bar_time <= d + INTERVAL 483 HOUR THEN 'test' END]) AS part FROM hs) x WHERE part IS NOT NULL"),
+    )
     q["time_split"] = _on(panel, ("out", "SELECT bar_time, instrument_id, CASE WHEN year(bar_time) >= 1997 THEN 'test' ELSE 'train' END AS part FROM panel WHERE label IS NOT NULL AND (year(bar_time) >= 1997 OR exit_time < DATE '1997-01-01')"))
     q["ml_purge"] = _on(panel, ("out", "SELECT bar_time, instrument_id, exit_time FROM panel WHERE label IS NOT NULL AND bar_time < DATE '1997-01-01' AND exit_time < DATE '1997-01-01'"))
     q["weights_signal"] = _on(
@@ -203,7 +216,6 @@ def sql() -> dict[str, str]:
     q["core_window"] = _on(panel, ("out", f"SELECT bar_time, instrument_id, {_r('label', 'label')} FROM panel WHERE year(bar_time) = 1995"))
     q["enriched"] = "SELECT o_orderkey, o_custkey, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
     q["repeated_keys"] = "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
-    q["feature_columns"] = "SELECT unnest(['f1', 'f2', 'f3', 'close_price', 'volume', 'turnover']) AS feature"
     q["segment_bars"] = _on(R.weekly(), ("sb", "SELECT instrument_id, min(bar_time) AS a FROM exec_bars GROUP BY instrument_id"), ("out", "SELECT b.bar_time, b.instrument_id, CAST(k AS INT) AS segment FROM exec_bars b JOIN sb ON b.instrument_id = sb.instrument_id JOIN range(3) r(k) ON date_diff('day', a, b.bar_time) > 70 * k AND date_diff('day', a, b.bar_time) <= 70 * k + 35"))
     q["holdings_at_times"] = _on(panel, ("out", "SELECT t.bar_time, n_nationkey AS instrument_id FROM (SELECT DISTINCT bar_time FROM panel) t, {nation} WHERE n_nationkey < 5"))
     q["months_compared"] = _on(

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import percent_rank
 from .relations import leaking
-from .splits import before
+from .splits import Fold, walk_forward
+
+#: Where a missing feature lies: above all values.
+MISSING = 1e300
 
 
 def sample_weights(df: DataFrame, label: str, tail: float = 0.1, multiplier: float = 3.0) -> DataFrame:
@@ -25,27 +28,44 @@ def sample_weights(df: DataFrame, label: str, tail: float = 0.1, multiplier: flo
     return rows.withColumn("sample_weight", F.when(inside, F.lit(multiplier)).otherwise(1.0)).drop("__p")
 
 
+def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    """Adds the vector ``features``; a null or NaN lies above all values, so trees can give it a branch of its own."""
+    filled = {f"__x_{f}": F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), F.lit(MISSING)).otherwise(F.col(f).cast("double")) for f in features}
+    return VectorAssembler(inputCols=list(filled), outputCol="features").transform(df.withColumns(filled)).drop(*filled)
+
+
 def train(df: DataFrame, features: list[str], label: str, weight: str | None = None, validation: str | None = None, rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 7) -> GBTRegressionModel:
-    """Gradient-boosted trees; with a ``validation`` flag column, boosting stops when the error on those rows stops falling."""
+    """Gradient-boosted trees; with a ``validation`` flag column, boosting stops when the error on those rows stops falling.
+
+    Rows without a label take no part; rows with missing features do.
+    """
     bad = leaking(features)
     if bad:
         raise ValueError(f"these carry the outcome: {bad}")
-    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.where(F.col(label).isNotNull()))
+    rows = _assembled(df.where(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))), features)
     options = {k: v for k, v in (("weightCol", weight), ("validationIndicatorCol", validation)) if v}
     return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, **options).fit(rows)
 
 
 def predicted(model: GBTRegressionModel, df: DataFrame, features: list[str]) -> DataFrame:
-    return model.transform(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)).drop("features")
+    """A prediction for every row."""
+    return model.transform(_assembled(df, features)).drop("features")
+
 
+def by_fold(df: DataFrame, folds: Iterable[Fold | tuple], features: list[str], label: str, label_end: str = "exit_time", embargo: str | int = 0, **options) -> tuple[DataFrame, dict[str, list[float]]]:
+    """Predictions of every fold's test rows by a model of its purged training rows, and importances by fold.
 
-def by_fold(df: DataFrame, folds: Iterable[tuple[str, str, str]], features: list[str], label: str, label_end: str = "exit_time", **options) -> tuple[DataFrame, dict[str, list[float]]]:
-    """Predictions of every fold (name, start, end) by a model of the purged rows before it, and importances by fold."""
+    A fold with validation rows stops boosting when their error stops falling.  Every test row gets a prediction.
+    """
     out, importance = None, {}
-    for name, start, end in folds:
-        model = train(before(df, start, label_end), features, label, **options)
-        importance[name] = model.featureImportances.toArray().tolist()
-        part = predicted(model, df.where(F.to_date("bar_time").between(F.lit(start).cast("date"), F.lit(end).cast("date"))), features).withColumn("fold", F.lit(name))
+    for fold in folds:
+        fold = fold if isinstance(fold, Fold) else Fold(*fold)
+        rows = walk_forward(df, [fold], label_end, embargo)
+        held = {} if fold.valid_start is None else {"validation": "__valid"}
+        learn = rows.where(F.col("part").isin("train", "valid") if held else F.col("part") == "train").withColumn("__valid", F.col("part") == "valid")
+        model = train(learn, features, label, **held, **options)
+        importance[fold.name] = model.featureImportances.toArray().tolist()
+        part = predicted(model, rows.where("part = 'test'").drop("part"), features)
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no fold")

@@ -7,6 +7,7 @@ functions; the SQL here is written on its own and shares no text with them.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import boolean_text, clipped, ratio
 from ..plans.sql import Plan
 from ..sources import bars as B
+from ..sources.scratch import scratch_root
 from ..streaming.bars import tick_bars
 from . import evaluation as E
 from . import learning, moments, portfolio, recurrence, relations, research, schedules, splits
@@ -83,11 +85,20 @@ def purged_split(spark, folder):
     return tidy(out.select(*KEYS, "exit_time", "part", "label"))
 
 
-FOLDS = [(str(y), f"{y}-01-01", f"{y}-12-31") for y in range(1993, 1999)]
+#: A year of test after half a year of validation; training rows from 1992 on.
+FOLDS = [splits.Fold(str(y), f"{y}-01-01", f"{y}-12-31", f"{y - 1}-06-30", f"{y - 1}-07-01", f"{y - 1}-12-31", "1992-02-01") for y in range(1993, 1999)]
 
 
 def walk_forward(spark, folder):
-    return splits.walk_forward(panel(spark, folder).where("label IS NOT NULL"), FOLDS).select(*KEYS, "fold", "part")
+    return splits.walk_forward(panel(spark, folder).where("label IS NOT NULL"), FOLDS, embargo=10).select(*KEYS, "fold", "part")
+
+
+def hourly_split(spark, folder):
+    """Bounds within days, an embargo in minutes, and hours that are both validation and test."""
+    rows = B.executable(B.hourly()).over(spark, folder).select(*KEYS, (F.col("bar_time") + F.expr("INTERVAL 90 MINUTES")).alias("exit_time"))
+    day = rows.agg(F.min(F.to_date("bar_time"))).first()[0]
+    at = lambda n, hour: f"{day + timedelta(days=n)} {hour}"
+    return splits.purged_split(rows, at(9, "15:00:00"), (at(9, "18:30:00"), at(14, "12:00:00")), (at(14, "06:00:00"), at(20, "03:00:00")), "150 minutes").select(*KEYS, "part")
 
 
 def time_split(spark, folder):
@@ -300,15 +311,7 @@ def event_states(spark, folder):
     )
     rows = rows.select("bar_time", F.round(F.col("u") + F.col("d"), 9).alias("pressure"), F.round(F.col("d") - F.col("u"), 9).alias("imbalance"), *(F.round(c, 6).alias(c) for c in ("close_price", "volume", "turnover", "high_price")))
     out = schedules.event_states(rows, ("pressure", "imbalance"), ["close_price", "volume", "turnover", "high_price"])
-    return out.select("bar_time", F.round("intensity", 5).alias("intensity"))
-
-
-def event_state_counts(spark, folder):
-    rows = spark.createDataFrame([(i, float(v), float(w)) for i, (v, w) in enumerate(EVENTS)], "bar_time long, pressure double, imbalance double")
-    return schedules.event_states(rows.withColumn("other", F.lit(None).cast("double")), ("pressure", "imbalance"), ["other"], 6, 3).select("bar_time", "state", F.round("intensity", 6).alias("intensity"))
-
-
-EVENTS = [(1, 0), (2, 1), (1, 0), (2, 1), (1, 0), (9, 1), (1, 0), (1, 1), (2, 0), (1, 1), (2, 9), (1, 0), (3, 1), (2, 0)]
+    return out.select("bar_time", F.round("intensity", 5).alias("intensity"), "state")
 
 
 def main_board_filter(spark, folder):
@@ -328,8 +331,7 @@ def universe_counts(spark, folder):
 
 def dataset_scan(spark, folder):
     """Writes the panel by period to the shared folder and reads three months of it back, pruned to their folders."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/tapeloom-{uuid.uuid4().hex}").rstrip("/")
-    path = f"{root}/dataset-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/dataset-{uuid.uuid4().hex}"
     relations.write_dataset(panel(spark, folder).select(*KEYS, "f1", "label"), path)
     return tidy(relations.scan(spark, path, equal={"period": relations.periods("1995-02-10", "1995-04-02")}, fields=[*KEYS, "f1", "label", "period"]))
 
@@ -367,11 +369,6 @@ def repeated_keys(spark, folder):
     return relations.repeated(spark.read.parquet(f"{folder}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
-def feature_columns(spark, folder):
-    p = panel(spark, folder)
-    return spark.createDataFrame([(f,) for f in relations.features_of(p)], "feature string")
-
-
 def segment_bars(spark, folder):
     spans = bars(spark, folder).groupBy("instrument_id").agg(F.min("bar_time").alias("a"))
     segments = spans.select("instrument_id", F.explode(F.array(*(F.struct(F.lit(k).alias("segment"), F.date_add("a", 70 * k).alias("start"), F.date_add("a", 70 * k + 35).alias("end")) for k in range(3)))).alias("s")).select("instrument_id", "s.*")
@@ -414,14 +411,13 @@ def ml_weights(spark, folder):
 
 
 def ml_predictions(spark, folder):
-    rows = panel(spark, folder).dropna(subset=[*X, "label"])
-    out, _ = learning.by_fold(rows, FOLDS[-2:], X, "label", rounds=5, depth=3)
+    """A prediction for each row of every fold's test, whether its features are there or not."""
+    out, _ = learning.by_fold(panel(spark, folder), FOLDS, X, "label", embargo=10, rounds=5, depth=3)
     return out.select(*KEYS, "fold", "prediction")
 
 
 def ml_importance(spark, folder):
-    rows = panel(spark, folder).dropna(subset=[*X, "label"])
-    _, found = learning.by_fold(rows, FOLDS[-2:], X, "label", rounds=5, depth=3)
+    _, found = learning.by_fold(panel(spark, folder), FOLDS, X, "label", embargo=10, rounds=5, depth=3)
     return learning.aggregated_importance(learning.importance_rows(spark, found, X))
 
 
@@ -453,12 +449,12 @@ def text_functions(spark, folder):
 
 def queries() -> dict:
     named = (
-        label_forward, label_multi, label_rank, alpha_matrix, purged_split, walk_forward, time_split, ml_purge, ic_by_ts, topn_spread, topn_turnover, rank_autocorr, quantile_summary,
+        label_forward, label_multi, label_rank, alpha_matrix, purged_split, walk_forward, hourly_split, time_split, ml_purge, ic_by_ts, topn_spread, topn_turnover, rank_autocorr, quantile_summary,
         factor_summary, decay, group_ic, feature_corr, mergeable_corr, factor_corr_by_ts, moments_corr, prediction_eval, yearly_health, admission_checks, signal_identity, signal_rank,
         signal_threshold, weights_equal, weights_signal, strategy_topn, rebalance_orders, t1_constraints, book_diagnostics, composite_rank, composite_scaled, every_nth, contribution_cap,
         contribution_share, execution_quality, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, adaptive_switch,
-        event_states, event_state_counts, main_board_filter, universe_counts, dataset_scan, asof_fundamentals, bars_of_names, trade_calendar, reversal_factor, core_window, enriched,
-        repeated_keys, feature_columns, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, worst_weeks, ml_weights, ml_predictions,
+        event_states, main_board_filter, universe_counts, dataset_scan, asof_fundamentals, bars_of_names, trade_calendar, reversal_factor, core_window, enriched,
+        repeated_keys, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, worst_weeks, ml_weights, ml_predictions,
         ml_importance, ml_redundancy, switch_rules, ticks_to_bars, text_functions,
     )
     return {f.__name__: f for f in named}

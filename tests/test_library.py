@@ -285,6 +285,23 @@ def test_boosted_trees_learn_and_name_what_they_use(spark):
     assert learning.redundancy(d.withColumn("c", 2 * d["a"]), ["a", "b", "c"])["drop"] == ["c"]
 
 
+def test_missing_features_are_learnt_and_predicted(spark):
+    """A missing value carries the label here; no row is lost, and validation rows stop the boosting."""
+    rng = np.random.default_rng(2)
+    rows = [(f"{1996 + i % 3}-{1 + i % 9:02d}-10", f"{1996 + i % 3}-{1 + i % 9:02d}-17", None if i % 4 == 0 else float("nan") if i % 4 == 1 else float(a), float(b), float(i % 4 < 2)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    d = spark.createDataFrame(rows, "bar_time string, exit_time string, a double, b double, y double")
+    fold = splits.Fold("1998", "1998-01-01", "1998-12-31", "1997-05-31", "1997-06-01", "1997-12-31")
+    got = learning.by_fold(d, [fold], ["a", "b"], "y", rounds=8)[0].toPandas()
+    assert len(got) == 200 and np.corrcoef(got.prediction, got.y)[0, 1] > 0.9
+
+
+def test_ml_predictions_cover_every_fold(spark):
+    got = library.queries()["ml_predictions"](spark, DATA).groupBy("fold").count().collect()
+    panel = registered.panel(spark, DATA).toPandas()
+    year = pd.to_datetime(panel.bar_time).dt.year
+    assert {r.fold: r["count"] for r in got} == {str(y): int((year == y).sum()) for y in range(1993, 1999)}
+
+
 def test_purge_keeps_labels_out_of_later_parts(spark):
     rows = [("1996-12-01", "1996-12-20"), ("1996-12-20", "1996-12-28"), ("1996-12-30", "1997-01-05"), ("1997-02-01", "1997-02-08"), ("1999-01-01", "1999-01-09")]
     d = spark.createDataFrame(rows, "bar_time string, exit_time string")
