@@ -103,7 +103,7 @@ def _event(sources: tuple[str, ...]) -> list[tuple[str, str]]:
     ]
 
 
-_YEARS = "(VALUES (1993), (1994), (1995), (1996), (1997), (1998)) y(y)"
+_YEARS = "(VALUES (1996), (1997), (1998), (1999), (2000), (2001)) y(y)"
 _TOP = {m: f"SELECT bar_time, avg(label) AS {m} FROM (SELECT *, row_number() OVER (PARTITION BY bar_time ORDER BY {c} DESC, instrument_id) AS k FROM s2 WHERE {c} IS NOT NULL) x WHERE k <= 5 GROUP BY bar_time" for m, c in (("rank", "score"), ("zscore", "zscore"))}
 
 
@@ -153,7 +153,7 @@ def sql() -> dict[str, str]:
     )
     q["purged_split"] = _on(panel, ("out", f"SELECT * FROM (SELECT bar_time, instrument_id, exit_time, CASE WHEN bar_time <= DATE '1996-12-31' AND exit_time < DATE '1996-12-25' THEN 'train' WHEN bar_time >= DATE '1997-01-01' AND bar_time <= DATE '1998-06-30' THEN 'valid' WHEN bar_time >= DATE '1998-07-01' THEN 'test' END AS part, {_r('label', 'label')} FROM panel WHERE label IS NOT NULL) x WHERE part IS NOT NULL"))
     q["walk_forward"] = _on(
-        panel, ("wf", f"SELECT p.*, y, make_date(y - 1, 7, 1) AS v0, make_date(y - 1, 12, 31) AS v1 FROM panel p, {_YEARS} WHERE label IS NOT NULL AND bar_time >= DATE '1992-02-01'"),
+        panel, ("wf", f"SELECT p.*, y, make_date(y - 1, 7, 1) AS v0, make_date(y - 1, 12, 31) AS v1 FROM panel p, {_YEARS} WHERE label IS NOT NULL AND bar_time >= DATE '1995-02-01'"),
         ("out", "SELECT bar_time, instrument_id, CAST(y AS VARCHAR) AS fold, 'test' AS part FROM wf WHERE year(bar_time) = y UNION ALL SELECT bar_time, instrument_id, CAST(y AS VARCHAR), 'valid' FROM wf WHERE bar_time >= v0 AND bar_time <= v1 UNION ALL SELECT bar_time, instrument_id, CAST(y AS VARCHAR), 'train' FROM wf WHERE bar_time < v0 AND exit_time < v0 - 10"),
     )
     q["hourly_split"] = _on(

@@ -55,13 +55,20 @@ def predicted(model: GBTRegressionModel, df: DataFrame, features: list[str]) ->
 def by_fold(df: DataFrame, folds: Iterable[Fold | tuple], features: list[str], label: str, label_end: str = "exit_time", embargo: str | int = 0, **options) -> tuple[DataFrame, dict[str, list[float]]]:
     """Predictions of every fold's test rows by a model of its purged training rows, and importances by fold.
 
-    A fold with validation rows stops boosting when their error stops falling.  Every test row gets a prediction.
+    A fold with validation rows stops boosting when their error stops falling.  Every test row gets a prediction; a fold
+    without test rows is passed over, one without training rows is an error.
     """
     out, importance = None, {}
     for fold in folds:
         fold = fold if isinstance(fold, Fold) else Fold(*fold)
         rows = walk_forward(df, [fold], label_end, embargo)
         held = {} if fold.valid_start is None else {"validation": "__valid"}
+        seen = {r.part for r in rows.where(F.col("part").isin("train", "valid") & F.col(label).isNotNull() | (F.col("part") == "test")).groupBy("part").count().collect()}
+        if "test" not in seen:
+            continue
+        if "train" not in seen:
+            raise ValueError(f"no training rows before the test of fold {fold.name!r}")
+        held = held if "valid" in seen else {}
         learn = rows.where(F.col("part").isin("train", "valid") if held else F.col("part") == "train").withColumn("__valid", F.col("part") == "valid")
         model = train(learn, features, label, **held, **options)
         importance[fold.name] = model.featureImportances.toArray().tolist()

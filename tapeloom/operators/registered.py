@@ -85,8 +85,8 @@ def purged_split(spark, folder):
     return tidy(out.select(*KEYS, "exit_time", "part", "label"))
 
 
-#: A year of test after half a year of validation; training rows from 1992 on.
-FOLDS = [splits.Fold(str(y), f"{y}-01-01", f"{y}-12-31", f"{y - 1}-06-30", f"{y - 1}-07-01", f"{y - 1}-12-31", "1992-02-01") for y in range(1993, 1999)]
+#: A year of test after half a year of validation; training rows from February 1995 on.
+FOLDS = [splits.Fold(str(y), f"{y}-01-01", f"{y}-12-31", f"{y - 1}-06-30", f"{y - 1}-07-01", f"{y - 1}-12-31", "1995-02-01") for y in range(1996, 2002)]
 
 
 def walk_forward(spark, folder):

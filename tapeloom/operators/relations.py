@@ -56,9 +56,13 @@ def with_period(df: DataFrame, time_col: str = "bar_time") -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, time_col: str = "bar_time", by: tuple[str, ...] = ()) -> None:
-    """One folder for each period (below those of ``by``, as for score methods); written periods replace old ones."""
+    """One folder for each period (below those of ``by``, as for score methods); written periods replace old ones.
+
+    Rows of a period meet, so folders don't fill with small files; a period beyond the advisory partition size is split into
+    several tasks and files.
+    """
     keys = [*by, "period"]
-    out = with_period(df, time_col).repartition(*keys)  # a period's rows meet, so folders don't fill with small files
+    out = with_period(df, time_col).hint("rebalance", *map(F.col, keys))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 

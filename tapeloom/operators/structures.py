@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import comparison as formulas
 from ..sources import bars as B
-from . import intervals, memory, orderstats, research
+from ..sources.scratch import scratch_root
+from ..streaming.features import batch_features
+from . import intervals, memory, orderstats, relations, research, sinks, views
 from .registered import KEYS, bars, tidy
 
 
@@ -71,8 +76,50 @@ def score_switch_daily(spark, folder):
     return tidy(out.select(*KEYS, "use_z", F.when(F.col("use_z"), F.col("zscore")).otherwise(F.col("score")).alias("score")))
 
 
+def artifact_table(spark, folder):
+    """Writes the reversal factor as a table with a manifest, skips a second time, and reads it back with its hashes checked."""
+    root, rows = f"{scratch_root(spark)}/artifacts-{uuid.uuid4().hex}", relations.run_factor(relations.Reversal(2, 4), bars(spark, folder))
+    source = sinks.signature(factor="reversal", back=2, window=4)
+    for again in (False, True):
+        if sinks.write_table(rows, root, "factors", "reversal", source)[1] is again:
+            raise RuntimeError("a table with an equal signature was written again, or none was written")
+    return tidy(sinks.read_table(spark, root, "factors", "reversal", verify=True))
+
+
+def score_partitions(spark, folder):
+    """Scores of two methods by method and period; one year of one is read back, from its folders alone."""
+    root = f"{scratch_root(spark)}/artifacts-{uuid.uuid4().hex}"
+    rows = research.scores().over(spark, folder).select(*KEYS, F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in (("rank", "score"), ("zscore", "zscore"))))).alias("s")).select(*KEYS, "s.*")
+    sinks.write_scores(rows, root, "composite")
+    out = sinks.read_table(spark, root, "scores", "composite").where("method = 'zscore' AND period BETWEEN '1995_01' AND '1995_12'")
+    return tidy(out.select(*KEYS, "score", "method", "period"))
+
+
+def sql_surface(spark, folder):
+    """SQL alone over the views: two families joined with the bars."""
+    views.register(spark, folder, ["momentum", "volatility"])
+    return spark.sql("""
+      SELECT b.bar_time, b.instrument_id, round(b.close_price, 6) + 0e0 AS close_price, m.momentum_lb3, v.volatility_w12 FROM bars_daily b
+      LEFT JOIN feat_momentum m ON m.instrument_id = b.instrument_id AND m.bar_time = b.bar_time
+      LEFT JOIN feat_volatility v ON v.instrument_id = b.instrument_id AND v.bar_time = b.bar_time WHERE b.tradable_bar""")
+
+
+def sql_ewm(spark, folder):
+    """SQL alone: the table function over weekly closes, partitioned and ordered by the query."""
+    views.register(spark, folder, [])
+    return spark.sql("""
+      SELECT instrument_id, CAST(bar_time AS DATE) AS bar_time, round(value, 6) + 0e0 AS close_price, round(ewm, 6) + 0e0 AS ewm
+      FROM ewm(TABLE(SELECT instrument_id, CAST(bar_time AS TIMESTAMP_NTZ) AS bar_time, close_price AS value FROM bars_weekly) PARTITION BY instrument_id ORDER BY (bar_time), 5)""")
+
+
+def bar_features(spark, folder):
+    """What the stream of ticks emits, of the table of ticks."""
+    out = batch_features(spark.read.parquet(f"{folder}/events.parquet"))
+    return tidy(out.withColumn("bar_time", F.col("bar_time").cast("timestamp_ntz")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (research_matches, universe_members, universe_bars, daily_state, score_switch_daily)}
+    return {f.__name__: f for f in (research_matches, universe_members, universe_bars, daily_state, score_switch_daily, artifact_table, score_partitions, sql_surface, sql_ewm, bar_features)}
 
 
 # ------------------------------------------------------------------------------------ other engine
@@ -101,7 +148,20 @@ def sql() -> dict[str, str]:
         return base.text()
 
     r = lambda x, n: f"round({x}, 6) + 0.0 AS {n}"
+    daily = B.executable(B.daily())
+    families = ", ".join(f"{n} AS ({t})" for n, t in formulas.sql({"momentum": daily, "volatility": daily}).items())
     return {
+        "artifact_table": on(research.weekly(), ("av", "SELECT bar_time, instrument_id, 1 - close_price / nullif(lag(close_price, 2) OVER (PARTITION BY instrument_id ORDER BY bar_time), 0) AS v FROM exec_bars"), ("out", f"SELECT bar_time, instrument_id, {r('v', 'value')}, 'reversal' AS feature FROM av WHERE v IS NOT NULL")),
+        "score_partitions": on(research.scores(), ("out", f"SELECT bar_time, instrument_id, {r('zscore', 'score')}, 'zscore' AS method, strftime(bar_time, '%Y_%m') AS period FROM scored WHERE year(bar_time) = 1995")),
+        "sql_surface": f"WITH {families}, b AS ({daily.then('out', 'SELECT * FROM exec_bars').text()}) SELECT b.bar_time, b.instrument_id, {r('b.close_price', 'close_price')}, momentum_lb3, volatility_w12 FROM b LEFT JOIN momentum m ON m.instrument_id = b.instrument_id AND m.bar_time = b.bar_time LEFT JOIN volatility v ON v.instrument_id = b.instrument_id AND v.bar_time = b.bar_time WHERE b.tradable_bar",
+        "sql_ewm": "WITH RECURSIVE " + on(
+            research.weekly(), ("k1", "SELECT instrument_id, bar_time, close_price AS x, row_number() OVER (PARTITION BY instrument_id ORDER BY bar_time) AS k FROM exec_bars"),
+            ("kr(instrument_id, bar_time, k, x, y)", "SELECT instrument_id, bar_time, k, x, x FROM k1 WHERE k = 1 UNION ALL SELECT k1.instrument_id, k1.bar_time, k1.k, k1.x, 0.5 ** 0.2 * y + (1 - 0.5 ** 0.2) * k1.x FROM kr JOIN k1 ON kr.instrument_id = k1.instrument_id AND k1.k = kr.k + 1"),
+            ("out", f"SELECT instrument_id, bar_time, {r('x', 'close_price')}, {r('CASE WHEN k >= 5 THEN y END', 'ewm')} FROM kr"),
+        ).removeprefix("WITH "),
+        "bar_features": f"""WITH b AS (SELECT event_type AS instrument_id, date_trunc('hour', ts) AS bar_time, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c, count(*) AS n, sum(value) AS t FROM events WHERE value IS NOT NULL GROUP BY ALL),
+          w AS (SELECT *, count(*) OVER z AS k, avg(c) OVER z AS m, max(h) OVER z AS x, lag(c, 4) OVER (PARTITION BY instrument_id ORDER BY bar_time) AS p FROM b WINDOW z AS (PARTITION BY instrument_id ORDER BY bar_time ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+          SELECT instrument_id, bar_time, {r('o', 'open_price')}, {r('h', 'high_price')}, {r('l', 'low_price')}, {r('c', 'close_price')}, n AS volume, {r('t', 'turnover')}, {r('CASE WHEN k = 4 THEN m END', 'mean_close')}, {r('CASE WHEN k = 4 THEN x END', 'range_high')}, {r('c / nullif(p, 0) - 1', 'return_n')} FROM w""",
         "research_matches": _MATCHES,
         "universe_members": f"WITH k AS ({_KNOWN}) SELECT 'static' AS kind, s AS symbol, s AS instrument_id, 'CN' AS market, 'equity' AS asset_type, DATE '1993-01-01' AS effective_from, CAST(NULL AS DATE) AS effective_to FROM (VALUES ('S1'), ('S999999')) v(s) UNION ALL SELECT 'resolved', symbol, instrument_id, market, asset_type, DATE '1993-01-01', DATE '1994-12-31' FROM k WHERE symbol IN ('S1', 'S2', 'S5', 'S999999') AND market = 'CN' AND asset_type = 'equity' UNION ALL SELECT 'wildcard', symbol, instrument_id, market, asset_type, effective_from, effective_to FROM k WHERE market = 'CN' AND asset_type = 'equity' AND coalesce(effective_from, DATE '1900-01-01') <= DATE '1993-06-01' AND coalesce(effective_to, DATE '2900-01-01') >= DATE '1993-06-01'",
         "universe_bars": on(research.weekly(), ("kn", _KNOWN.replace("FROM supplier", "FROM {supplier}")), ("out", "SELECT b.bar_time, b.instrument_id, k.symbol FROM exec_bars b JOIN kn k ON b.instrument_id = k.instrument_id AND market = 'CN' AND asset_type = 'equity' AND (effective_from IS NULL OR effective_from <= b.bar_time) AND (effective_to IS NULL OR effective_to >= b.bar_time)")),

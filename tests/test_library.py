@@ -179,9 +179,11 @@ def test_contribution_caps_use_totals_of_each_pass(spark):
 
 
 def test_event_states_in_order_of_their_rules(spark):
-    got = {r.bar_time: r.state for r in registered.event_state_counts(spark, DATA).collect()}
+    events = [(1, 0), (2, 1), (1, 0), (2, 1), (1, 0), (9, 1), (1, 0), (1, 1), (2, 0), (1, 1), (2, 9), (1, 0), (3, 1), (2, 0)]
+    rows = spark.createDataFrame([(i, float(v), float(w), None) for i, (v, w) in enumerate(events)], "bar_time long, pressure double, imbalance double, other double")
+    got = {r.bar_time: r.state for r in schedules.event_states(rows, ("pressure", "imbalance"), ["other"], 6, 3).collect()}
     z = lambda xs, t: None if t < 3 or np.std(xs[max(0, t - 6) : t], ddof=1) == 0 else float(np.clip((xs[t] - np.mean(xs[max(0, t - 6) : t])) / np.std(xs[max(0, t - 6) : t], ddof=1), -3, 3))
-    a, b, level = [x for x, _ in registered.EVENTS], [y for _, y in registered.EVENTS], []
+    a, b, level = [x for x, _ in events], [y for _, y in events], []
     for t in range(len(a)):
         zs = [v for v in (z(a, t), z(b, t)) if v is not None]
         level.append(sum(max(v, 0) for v in zs) / len(zs) if zs else 0.0)
@@ -299,7 +301,7 @@ def test_ml_predictions_cover_every_fold(spark):
     got = library.queries()["ml_predictions"](spark, DATA).groupBy("fold").count().collect()
     panel = registered.panel(spark, DATA).toPandas()
     year = pd.to_datetime(panel.bar_time).dt.year
-    assert {r.fold: r["count"] for r in got} == {str(y): int((year == y).sum()) for y in range(1993, 1999)}
+    assert {r.fold: r["count"] for r in got} == {str(y): int((year == y).sum()) for y in range(1996, 2002)}
 
 
 def test_purge_keeps_labels_out_of_later_parts(spark):
