@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import comparison as formulas
 from .functions import features
-from .operators import comparison, registered, research, structures
+from .operators import comparison, registered, registered_gates, research, structures
 from .plans.sql import Plan
 from .sources import bars
 
@@ -23,7 +23,7 @@ def plans() -> dict[str, Plan]:
 
 
 def queries() -> dict:
-    return {n: p.over for n, p in (plans() | research.whole()).items()} | registered.queries() | structures.queries() | research.stateful()
+    return {n: p.over for n, p in (plans() | research.whole()).items()} | registered.queries() | structures.queries() | registered_gates.queries() | research.stateful()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     daily, hourly = bars.executable(bars.daily()), bars.executable(bars.hourly())
     families = formulas.sql({n: hourly if n in HOURLY else daily for n in features.NAMES})
     own = {f"feat_{n}": s for n, s in families.items()} | {"features_together": formulas.together(daily, TOGETHER)}
-    return {n: p.text() for n, p in plans().items()} | own | comparison.sql() | structures.sql()
+    return {n: p.text() for n, p in plans().items()} | own | comparison.sql() | structures.sql() | registered_gates.sql()
