@@ -32,12 +32,22 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"top": F.row_number().over(w.orderBy(F.desc("x"), NAME)), "bottom": F.row_number().over(w.orderBy("x", NAME))})
 
 
+def _each(df: DataFrame, features: list[str], label: str, top: int, *keep: str) -> DataFrame:
+    """What by_timestamp gives, with the names on top and the sums of further columns, from one unpivoted pass."""
+    rows = _placed(_ranked(long(df, features, label, *keep)))
+    mean = lambda side: F.avg(F.when(F.col(side) <= top, F.col("y")))
+    out = rows.groupBy("feature", TIME).agg(
+        F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("ic"), correlation(F.col("rx"), F.col("ry")).alias("rank_ic"), mean("top").alias("top_label"), mean("bottom").alias("bottom_label"),
+        F.collect_list(F.when(F.col("top") <= top, F.col(NAME))).alias("tops"), *(f(c).alias(f"{n}_{c}") for c in keep for n, f in (("sum", F.sum), ("count", F.count))),
+    )
+    out = out.withColumn("spread", F.col("top_label") - F.col("bottom_label"))
+    before = F.lag("tops").over(Window.partitionBy("feature").orderBy(TIME))
+    return out.withColumn("turnover", F.when(before.isNotNull(), 1 - F.size(F.array_intersect("tops", before)) / F.size("tops")))
+
+
 def by_timestamp(df: DataFrame, features: list[str], label: str, top: int = 5) -> DataFrame:
     """For each feature and timestamp: n, ic, rank_ic, top_label, bottom_label, spread."""
-    rows = _placed(_ranked(long(df, features, label)))
-    mean = lambda side: F.avg(F.when(F.col(side) <= top, F.col("y")))
-    out = rows.groupBy("feature", TIME).agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("ic"), correlation(F.col("rx"), F.col("ry")).alias("rank_ic"), mean("top").alias("top_label"), mean("bottom").alias("bottom_label"))
-    return out.withColumn("spread", F.col("top_label") - F.col("bottom_label"))
+    return _each(df, features, label, top).select("feature", TIME, "n", "ic", "rank_ic", "top_label", "bottom_label", "spread")
 
 
 def previous_times(rows: DataFrame) -> DataFrame:
@@ -47,13 +57,8 @@ def previous_times(rows: DataFrame) -> DataFrame:
 
 def turnover(df: DataFrame, features: list[str], label: str, top: int = 5, cost: float = 0.0013) -> DataFrame:
     """Share of the top names that weren't in the top before, and the spread after that turnover's cost."""
-    rows = _placed(long(df, features, label))
-    tops = rows.where(F.col("top") <= top).select("feature", TIME, NAME)
-    now = tops.join(previous_times(rows), ["feature", TIME])
-    old = tops.select("feature", F.col(TIME).alias("before"), NAME, F.lit(1).alias("again"))
-    share = now.join(old, ["feature", "before", NAME], "left").groupBy("feature", TIME).agg(F.when(F.max("before").isNotNull(), 1 - F.count("again") / F.count("*")).alias("turnover"))
-    out = share.join(by_timestamp(df, features, label, top).select("feature", TIME, "spread"), ["feature", TIME])
-    return out.withColumn("cost_adjusted", F.col("spread") - F.col("turnover") * cost)
+    out = _each(df, features, label, top)
+    return out.select("feature", TIME, "turnover", "spread", (F.col("spread") - F.col("turnover") * cost).alias("cost_adjusted"))
 
 
 def rank_autocorrelation(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -80,24 +85,35 @@ def quantile_summary(df: DataFrame, features: list[str], label: str, buckets: in
     return rows.unionByName(ends.select("feature", F.lit("long_short").alias("bucket"), "mean_label", F.lit(None).cast("double").alias("mean_size")))
 
 
+def _ic_statistics(ic: Column) -> list[Column]:
+    return [F.count(ic).alias("n_ts"), F.avg(ic).alias("ic_mean"), F.stddev_samp(ic).alias("ic_std"), F.avg(F.when(ic.isNotNull(), (F.round(ic, 10) > 0).cast("double"))).alias("hit_rate")]
+
+
+def _ic_ratios(rows: DataFrame) -> DataFrame:
+    out = rows.withColumn("ic_se", ratio(F.col("ic_std"), F.sqrt("n_ts")))
+    return out.withColumns({"t_stat": ratio(F.col("ic_mean"), F.col("ic_se")), "ir": ratio(F.col("ic_mean"), F.col("ic_std"))})
+
+
 def ic_summary(each: DataFrame, *by: str) -> DataFrame:
     """Mean, deviation, standard error, t statistic, information ratio and share of positive values of rank_ic."""
-    ic = F.col("rank_ic")
-    out = each.groupBy(*by).agg(F.count(ic).alias("n_ts"), F.avg(ic).alias("ic_mean"), F.stddev_samp(ic).alias("ic_std"), F.avg(F.when(ic.isNotNull(), (F.round(ic, 10) > 0).cast("double"))).alias("hit_rate"))
-    out = out.withColumn("ic_se", ratio(F.col("ic_std"), F.sqrt("n_ts")))
-    return out.withColumns({"t_stat": ratio(F.col("ic_mean"), F.col("ic_se")), "ir": ratio(F.col("ic_mean"), F.col("ic_std"))})
+    return _ic_ratios(each.groupBy(*by).agg(*_ic_statistics(F.col("rank_ic"))))
 
 
 def factor_summary(df: DataFrame, features: list[str], label: str, top: int = 5, cost: float = 0.0013, liquidity: str | None = "turnover") -> DataFrame:
     """One row for each feature: IC statistics, coverage, spread, turnover, mean liquidity; the best IC first."""
-    each = by_timestamp(df, features, label, top)
-    out = ic_summary(each, "feature").join(each.groupBy("feature").agg(F.avg("spread").alias("spread_mean"), F.sum("n").alias("n_rows")), "feature")
-    out = out.join(turnover(df, features, label, top, cost).groupBy("feature").agg(F.avg("turnover").alias("turnover_mean")), "feature", "left")
+    keep = {} if liquidity is None else {"__liquidity": F.col(liquidity)}
+    return _summarised(df, _each(df.withColumns(keep), features, label, top, *keep), label, bool(keep)).orderBy(F.desc_nulls_last("ic_mean"), "feature")
+
+
+def _summarised(df: DataFrame, each: DataFrame, label: str, liquid: bool) -> DataFrame:
+    more = {"spread_mean": F.avg("spread"), "n_rows": F.sum("n"), "turnover_mean": F.avg("turnover")}
+    if liquid:
+        more["liquidity_mean"] = ratio(F.sum("sum___liquidity"), F.sum("count___liquidity"))
+    ic = F.col("rank_ic")
+    out = each.groupBy("feature").agg(*_ic_statistics(ic), *(v.alias(k) for k, v in more.items()))
+    out = _ic_ratios(out)
     whole = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("n_all"))
-    out = out.withColumn("coverage", ratio(F.col("n_rows").cast("double"), whole.scalar()))
-    if liquidity:
-        out = out.join(long(df, features, label, liquidity).groupBy("feature").agg(F.avg(liquidity).alias("liquidity_mean")), "feature", "left")
-    return out.orderBy(F.desc_nulls_last("ic_mean"), "feature")
+    return out.withColumn("coverage", ratio(F.col("n_rows").cast("double"), whole.scalar()))
 
 
 def decay(df: DataFrame, features: list[str], labels: list[str]) -> DataFrame:
@@ -156,8 +172,8 @@ def admission(df: DataFrame, features: list[str], label: str, top: int = 5, dire
     that direction.
     """
     lim = ADMISSION | (limits or {})
-    each = by_timestamp(df, features, label, top)
-    base = factor_summary(df, features, label, top, lim["cost"], None)
+    each = _each(df, features, label, top)
+    base = _summarised(df, each, label, False)
     given = F.coalesce(*(F.when(F.col("feature") == f, d) for f, d in (directions or {}).items()), F.lit(None).cast("int"))
     base = base.withColumn("direction", F.coalesce(given, F.when(F.col("ic_mean") < 0, -1).otherwise(1)))
     years = each.where("rank_ic IS NOT NULL").groupBy("feature", F.year(TIME).alias("y")).agg(F.avg("rank_ic").alias("ic"))

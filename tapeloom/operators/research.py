@@ -121,7 +121,6 @@ def plans() -> dict[str, Plan]:
     q["exec_columns"] = daily.then("out", "SELECT bar_time, instrument_id, is_st, suspended_bar, tradable_bar, buyable_bar, sellable_bar FROM exec_bars")
     q["limit_flags"] = daily.then("out", "SELECT bar_time, instrument_id, limit_up_open, limit_down_open FROM exec_bars")
     q["prev_close"] = _final(daily, "exec_bars", *key, "previous_close")
-    q["main_board_filter"] = Plan((("out", "SELECT s_suppkey, s_name FROM {supplier} WHERE substring(CAST(s_suppkey AS @STR), 1, 1) IN ('1', '3', '6') AND upper(s_name) LIKE 'SUPPLIER%'"),))
     q["active_on"] = Plan((("spans", "SELECT o_custkey AS instrument_id, min(o_orderdate) AS effective_from, CASE WHEN count(*) > 10 THEN NULL ELSE max(o_orderdate) END AS effective_to FROM {orders} GROUP BY o_custkey"), ("out", "SELECT instrument_id, effective_from, effective_to FROM spans WHERE (effective_from IS NULL OR effective_from <= DATE '1996-06-01') AND (effective_to IS NULL OR effective_to >= DATE '1996-06-01')")))
     q["liquidity_filter"] = _final(weekly().then("lq", f"SELECT *, {mean('turnover', 4)} AS liquidity FROM exec_bars"), "lq", *key, where="liquidity >= 50000", liquidity="liquidity")
     q["asof_fundamentals"] = Plan((("f", "SELECT o_custkey, o_orderdate, max(o_totalprice) AS v FROM {orders} WHERE o_orderdate <= DATE '1997-01-01' GROUP BY o_custkey, o_orderdate"), ("out", "SELECT o_custkey AS instrument_id, max(o_orderdate) AS visible_at, CAST(max_by(v, o_orderdate) AS DOUBLE) AS value FROM f GROUP BY o_custkey")))
@@ -134,34 +133,22 @@ def plans() -> dict[str, Plan]:
     q["entry_exit_counts"] = lab.then("out", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(entry_tradable, FALSE)) AS n_entry_blocked, count(*) FILTER (WHERE coalesce(entry_limit_up, FALSE)) AS n_limit_up, count(*) FILTER (WHERE NOT coalesce(exit_sellable, FALSE)) AS n_exit_blocked FROM labels WHERE label IS NOT NULL")
     q["join_features_labels"] = _final(panel(), "panel", *key, where="f1 IS NOT NULL AND label IS NOT NULL", **_same("f1", "f2", "f3", "label"))
     q["alpha_matrix"] = unpivoted().then("out", f"SELECT {E.out(*key, **{f'm_{f}': f'max(CASE WHEN feature = {chr(39)}{f}{chr(39)} THEN x END)' for f in FEATURES})} FROM u GROUP BY bar_time, instrument_id")
-    split = "CASE WHEN bar_time <= DATE '1996-12-31' AND exit_time < DATE '1997-01-01' - INTERVAL 7 DAY THEN 'train' WHEN bar_time BETWEEN DATE '1997-01-01' AND DATE '1998-06-30' THEN 'valid' WHEN bar_time > DATE '1998-06-30' THEN 'test' END"
-    q["purged_split"] = panel().then("sp", f"SELECT *, {split} AS part FROM panel WHERE label IS NOT NULL").then("out", "SELECT part, count(*) AS n, min(bar_time) AS first_time, max(bar_time) AS last_time FROM sp WHERE part IS NOT NULL GROUP BY part")
-    q["walk_forward"] = panel().then("w", "SELECT year(bar_time) AS y, bar_time, exit_time, label FROM panel WHERE label IS NOT NULL").then("ys", "SELECT DISTINCT y AS fold FROM w").then("out", "SELECT fold, count(*) FILTER (WHERE y < fold AND year(exit_time) < fold) AS n_train, count(*) FILTER (WHERE y = fold) AS n_test FROM ys JOIN w ON w.y <= ys.fold GROUP BY fold")
     q["sample_rows"] = Plan((("out", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY (o_orderkey * 7919) % 10007, o_orderkey LIMIT 100"),))
     # evaluation
     bt = by_timestamp()
     q["ic_by_ts"] = _final(bt, "bt", "feature", "bar_time", "n", ic="ic", rank_ic="rank_ic")
     q["topn_spread"] = _final(bt, "bt", "feature", "bar_time", top_label="top_label", bottom_label="bottom_label", spread="spread")
-    q["topn_turnover"] = _final(_turnover(ranked()), "tv", "feature", "bar_time", turnover="turnover", cost_adjusted="turnover * 0.0013")
     auto = ranked().then("times", "SELECT feature, bar_time, lag(bar_time) OVER (PARTITION BY feature ORDER BY bar_time) AS prev FROM (SELECT DISTINCT feature, bar_time FROM rk) d").then("pairs", "SELECT a.feature, a.bar_time, a.x AS xa, b.x AS xb FROM rk a JOIN times m ON a.feature = m.feature AND a.bar_time = m.bar_time JOIN rk b ON b.feature = m.feature AND b.bar_time = m.prev AND b.instrument_id = a.instrument_id").then("pr", f"SELECT feature, bar_time, {avg_rank('xa', _GROUP)} AS ra, {avg_rank('xb', _GROUP)} AS rb FROM pairs")
     q["rank_autocorr"] = auto.then("out", f"SELECT {E.out('feature', 'bar_time', autocorr=_corr('ra', 'rb'))} FROM pr GROUP BY feature, bar_time")
     quant = ranked().then("qb", "SELECT *, CAST(least(ceil(CAST(bottom_rank AS DOUBLE) / n * 5), 5) AS BIGINT) AS bucket FROM rk").then("qt", "SELECT feature, bar_time, bucket, count(*) AS size, avg(y) AS m FROM qb GROUP BY feature, bar_time, bucket")
     q["quantile_returns"] = quant.then("out", f"SELECT {E.out('feature', 'bucket', mean_label='avg(m)', mean_size='avg(size)')} FROM qt GROUP BY feature, bucket")
     q["quantile_long_short"] = quant.then("ls", "SELECT feature, bar_time, max(CASE WHEN bucket = 5 THEN m END) - max(CASE WHEN bucket = 1 THEN m END) AS ls FROM qt GROUP BY feature, bar_time").then("out", f"SELECT {E.out('feature', long_short='avg(ls)')} FROM ls GROUP BY feature")
-    summary = bt.then("fs", _summary())
-    stats = _same("ic_mean", "ic_std", "ir", "t_stat", "hit_rate", "spread_mean")
-    q["factor_summary"] = _final(summary, "fs", "feature", "n_ts", **stats)
     both = " UNION ALL ".join(f"SELECT feature, '{y}' AS horizon, bar_time, x, y_{y} AS y FROM d1 WHERE y_{y} IS NOT NULL" for y in ("label", "label_4"))
     dec = panel().then("d1", " UNION ALL ".join(f"SELECT '{f}' AS feature, bar_time, instrument_id, {f} AS x, label AS y_label, label_4 AS y_label_4 FROM panel WHERE {f} IS NOT NULL" for f in FEATURES)).then("d2", both).then("d3", f"SELECT feature, horizon, bar_time, {avg_rank('x', 'feature, horizon, bar_time')} AS rx, {avg_rank('y', 'feature, horizon, bar_time')} AS ry FROM d2").then("d4", f"SELECT feature, horizon, bar_time, {_corr('rx', 'ry')} AS rank_ic FROM d3 GROUP BY feature, horizon, bar_time")
     q["decay"] = dec.then("out", f"SELECT {E.out('feature', 'horizon', ic_mean='avg(rank_ic)', ic_std='stddev_samp(rank_ic)')} FROM d4 GROUP BY feature, horizon")
     grp = unpivoted().then("g1", "SELECT *, CAST(instrument_id AS BIGINT) % 3 AS grp FROM u").then("g2", f"SELECT feature, bar_time, grp, {avg_rank('x', 'feature, bar_time, grp')} AS rx, {avg_rank('y', 'feature, bar_time, grp')} AS ry FROM g1").then("g3", f"SELECT feature, grp, bar_time, {_corr('rx', 'ry')} AS ic FROM g2 GROUP BY feature, grp, bar_time")
-    q["group_ic"] = g = grp.then("out", f"SELECT {E.out('feature', 'grp', ic_mean='avg(ic)')} FROM g3 GROUP BY feature, grp")
-    fc = panel().then("c0", "SELECT * FROM panel WHERE f1 IS NOT NULL AND f2 IS NOT NULL AND f3 IS NOT NULL").then("c1", "SELECT f1, f2, f3, bar_time FROM c0")
-    q["feature_corr"] = fc.then("out", f"SELECT {E.out(c12=_corr('f1', 'f2'), c13=_corr('f1', 'f3'), c23=_corr('f2', 'f3'))} FROM c1")
-    q["mergeable_corr"] = fc.then("c2", f"SELECT year(bar_time) AS y, count(*) AS n, {_corr('f1', 'f2')} AS c12 FROM c1 GROUP BY year(bar_time)").then("out", f"SELECT {E.out(c12=div('sum(n * c12)', 'sum(CASE WHEN c12 IS NOT NULL THEN n END)'))} FROM c2")
-    q["factor_corr_by_ts"] = fc.then("out", f"SELECT {E.out('bar_time', c12=_corr('f1', 'f2'), c23=_corr('f2', 'f3'))} FROM c1 GROUP BY bar_time")
+    q["group_ic"] = grp.then("out", f"SELECT {E.out('feature', 'grp', ic_mean='avg(ic)')} FROM g3 GROUP BY feature, grp")
     q["yearly_ic"] = bt.then("yi", "SELECT feature, year(bar_time) AS y, avg(rank_ic) AS ic FROM bt GROUP BY feature, year(bar_time)").then("tot", "SELECT feature, avg(rank_ic) AS ic_all FROM bt GROUP BY feature").then("out", "SELECT yi.feature, count(*) AS years, count(*) FILTER (WHERE sign(ic) = sign(ic_all)) AS stable_years FROM yi JOIN tot ON yi.feature = tot.feature GROUP BY yi.feature")
-    q["admission_checks"] = summary.then("ad", "SELECT feature, n_ts >= 100 AS timestamps_ok, abs(ic_mean) >= 0.001 AS ic_ok, abs(t_stat) >= 2 AS t_ok, greatest(hit_rate, 1 - hit_rate) >= 0.52 AS hit_ok, CASE WHEN ic_mean >= 0 THEN 1 ELSE -1 END AS direction FROM fs").then("out", "SELECT *, CASE WHEN NOT timestamps_ok OR NOT ic_ok THEN 'reject' WHEN t_ok AND hit_ok THEN 'candidate' ELSE 'watchlist' END AS status FROM ad")
     q["opportunity_map"] = bt.then("om", "SELECT feature, avg(rank_ic) AS ic, avg(top_label) AS top_label, avg(bottom_label) AS bottom_label FROM bt GROUP BY feature").then("out", f"SELECT feature, CASE WHEN top_label > 0 AND ic > 0 THEN 'long_alpha_candidate' WHEN bottom_label < 0 THEN 'bottom_avoidance_only' WHEN abs(ic) >= 0.01 THEN 'risk_gate_only' ELSE 'dead_zone' END AS opportunity FROM om")
     # signals and portfolios
     sc = scores()
@@ -169,53 +156,27 @@ def plans() -> dict[str, Plan]:
     q["signal_rank"] = _final(panel().then("sk", f"SELECT *, {pct_rank('f1', 'bar_time')} AS s FROM panel WHERE f1 IS NOT NULL"), "sk", *key, signal="s")
     q["signal_threshold"] = _final(panel(), "panel", *key, signal="CASE WHEN f1 >= 0.05 THEN 1 ELSE -1 END")
     q["weights_equal"] = _final(weights(), "book", *key, weight="weight")
-    sg = sc.then("top", f"SELECT *, greatest(score, 0.0) AS s FROM scored WHERE score_rank <= {TOP}").then("sw", f"SELECT *, least(coalesce({div('s', 'sum(abs(s)) OVER (PARTITION BY bar_time)')}, 0), 0.3) AS weight FROM top")
-    q["weights_signal"] = _final(sg, "sw", *key, weight="weight")
     q["strategy_topn"] = _final(weights().then("b2", "SELECT *, row_number() OVER (PARTITION BY bar_time ORDER BY score DESC, instrument_id) AS book_rank FROM book"), "b2", *key, "book_rank", score="score", target_weight="weight")
     orders = rebalances()
     q["rebalance_orders"] = _final(orders, "orders", *key, **_same("current_weight", "target_weight", "delta"))
-    q["t1_constraints"] = _final(orders.then("t1", "SELECT *, current_weight * (CAST(instrument_id AS BIGINT) % 2) AS sellable FROM orders").then("t2", "SELECT *, CASE WHEN delta < 0 THEN greatest(delta, -sellable) ELSE delta END AS allowed FROM t1"), "t2", *key, "CASE WHEN allowed > 0 THEN 'buy' WHEN allowed < 0 THEN 'sell' WHEN delta < 0 THEN 'blocked' ELSE 'hold' END AS action", allowed="allowed", blocked="allowed - delta")
     q["portfolio_turnover"] = orders.then("out", f"SELECT {E.out('bar_time', turnover='sum(abs(delta)) / 2')}, count(*) FILTER (WHERE delta > 1e-12) AS buys, count(*) FILTER (WHERE delta < -1e-12) AS sells FROM orders GROUP BY bar_time")
     q["composite_rank"] = _final(sc, "scored", *key, "score_rank", score="score")
     q["composite_zscore"] = _final(sc, "scored", *key, zscore="zscore")
     cap = sc.then("cc", "SELECT *, coalesce(0.5 * r_f1, 0) AS c1, coalesce(0.3 * r_f2, 0) AS c2, coalesce(0.2 * r_f3, 0) AS c3 FROM scored").then("cd", "SELECT *, abs(c1) + abs(c2) + abs(c3) AS tot FROM cc")
-    capped = lambda c: f"least(greatest({c}, -(0.4 / 0.6) * (tot - abs({c}))), (0.4 / 0.6) * (tot - abs({c})))"
-    q["contribution_cap"] = _final(cap, "cd", *key, **{f"capped_{i}": capped(f"c{i}") for i in (1, 2, 3)})
     q["contribution_diag"] = cap.then("out", f"SELECT {E.out('bar_time', total='sum(tot)', share_1=div('sum(abs(c1))', 'sum(tot)'), largest=div('greatest(sum(abs(c1)), sum(abs(c2)), sum(abs(c3)))', 'sum(tot)'))} FROM cd WHERE score_rank <= {TOP} GROUP BY bar_time")
     fby = "PARTITION BY feature ORDER BY bar_time"
     health = bt.then("h1", f"SELECT *, {mean('rank_ic', 12, shift=2, least=4, by=fby)} AS ic_r, {mean('spread', 12, shift=2, least=4, by=fby)} AS sp_r FROM bt").then("h2", f"SELECT *, least({linear('ic_r', -0.05, 0.05)}, {linear('sp_r', -0.02, 0.02)}) AS hs FROM h1").then("h3", "SELECT *, CASE WHEN ic_r IS NULL OR sp_r IS NULL THEN 1 ELSE 0.25 + 0.75 * hs END AS scale, CASE WHEN ic_r IS NULL OR sp_r IS NULL THEN 'warmup' WHEN hs >= 0.75 THEN 'healthy' WHEN hs >= 0.25 THEN 'watch' ELSE 'impaired' END AS state FROM h2")
-    q["factor_health"] = _final(health, "h3", "feature", "bar_time", scale="scale", ic_r="ic_r")
     q["health_states"] = health.then("h4", "SELECT *, round(hs, 9) AS hr FROM h3").then("out", "SELECT feature, count(*) AS n, count(*) FILTER (WHERE state = 'warmup') AS warmup FROM h4 GROUP BY feature")
     ens = bt.then("e1", " UNION ALL ".join(f"SELECT feature, bar_time, {w} AS look, {linear(mean('rank_ic', w, shift=2, least=4, by=fby), -0.05, 0.05)} AS s FROM bt" for w in (6, 12, 24)))
     q["health_ensemble"] = ens.then("out", f"SELECT {E.out('feature', 'bar_time', s_mean='avg(coalesce(s, 1))', s_min='min(coalesce(s, 1))', s_max='max(coalesce(s, 1))')} FROM e1 GROUP BY feature, bar_time")
     mk = market()
     regime = mk.then("rg1", f"SELECT *, {lag('m_vol', 1, TS)} AS v, {lag('breadth', 1, TS)} AS b FROM market_ts").then("rg2", f"SELECT *, {E.quantile('v', 26, 0.75, least=8, by=TS)} AS v75, {E.quantile('b', 26, 0.25, least=8, by=TS)} AS b25 FROM rg1").then("rg3", "SELECT *, CASE WHEN v75 IS NULL OR b25 IS NULL THEN 'warmup' WHEN round(v, 9) >= round(v75, 9) OR round(b, 9) <= round(b25, 9) THEN 'stress' ELSE 'normal' END AS regime FROM rg2")
-    q["regime_state"] = _final(regime, "rg3", "bar_time", "regime", v75="v75", b25="b25")
-    q["state_health"] = _final(regime, "rg3", "bar_time", scale="CASE WHEN regime = 'stress' THEN 0.5 ELSE 1 END")
-    q["regime_shrink"] = regime.then("fl", "SELECT 'f1' AS feature UNION ALL SELECT 'f2' UNION ALL SELECT 'f3'").then("out", "SELECT bar_time, feature, CASE WHEN regime = 'stress' THEN 0.5 ELSE 1.0 END AS scale FROM rg3 CROSS JOIN fl")
     cal = sc.then("ca1", f"SELECT *, CAST(greatest(1, least(ceil({pct_rank('score', 'bar_time')} * 5), 5)) AS BIGINT) AS bucket FROM scored").then("ca2", "SELECT bar_time, bucket, avg(label) AS m, stddev_pop(label) AS sd, count(label) AS n FROM ca1 GROUP BY bar_time, bucket").then("ca3", f"SELECT *, {mean('m', 12, shift=2, least=4, by='PARTITION BY bucket ORDER BY bar_time')} AS edge, {mean('sd', 12, shift=2, least=4, by='PARTITION BY bucket ORDER BY bar_time')} AS risk FROM ca2")
     q["score_calibration"] = _final(cal, "ca3", "bar_time", "bucket", "(edge IS NULL) AS warmup", edge_bps="1e4 * coalesce(edge, 0)", risk_bps="1e4 * coalesce(risk, 0)")
     q["calibration_apply"] = cal.then("out", f"SELECT {E.out('a.bar_time', 'a.instrument_id', 'a.bucket', edge_bps='1e4 * coalesce(c.edge, 0)')} FROM ca1 a LEFT JOIN ca3 c ON a.bar_time = c.bar_time AND a.bucket = c.bucket")
     # gates, schedules and switches
-    gate = mk.then("ga", f"SELECT *, {mean('score_ic', 8, shift=2, least=4, by=TS)} AS g_ic, {mean('edge', 8, shift=2, least=4, by=TS)} AS g_edge FROM market_ts")
-    q["regime_gate_raw"] = _final(gate, "ga", "bar_time", scale=f"CASE WHEN g_ic IS NULL OR g_edge IS NULL THEN 1 ELSE 0.2 + 0.8 * least({linear('g_ic', -0.05, 0.05)}, {linear('g_edge', -0.02, 0.02)}) END")
-    risk = mk.then("ri", f"SELECT *, {E.quantile('m_vol', 26, 0.6, shift=1, least=8, by=TS)} AS q_red, {E.quantile('m_vol', 26, 0.9, shift=1, least=8, by=TS)} AS q_blk FROM market_ts")
-    q["risk_gate_raw"] = _final(risk, "ri", "bar_time", "CASE WHEN q_red IS NULL THEN 'warmup' WHEN round(m_vol, 9) >= round(q_blk, 9) THEN 'blocked' WHEN round(m_vol, 9) >= round(q_red, 9) THEN 'reduced' ELSE 'full' END AS state", q_red="q_red", q_blk="q_blk")
-    zz = lambda x: clip(div(f"{x} - {mean(x, 12, shift=1, by=TS)}", E.std(x, 12, shift=1, by=TS)), -3, 3)
-    ev = mk.then("ev1", f"SELECT *, {zz('m_vol')} AS z_vol, {zz('-breadth')} AS z_breadth, {zz('-m_ret')} AS z_ret FROM market_ts").then("ev2", "SELECT *, (z_vol + z_breadth + z_ret) / 3 AS intensity FROM ev1").then("ev3", f"SELECT *, {rolling('max', 'intensity', 4, shift=1, least=1, by=TS)} AS recent FROM ev2")
-    state = "CASE WHEN intensity IS NULL THEN 'warmup' WHEN intensity >= 1.5 THEN 'extreme' WHEN intensity >= 0.5 THEN 'elevated' WHEN recent >= 1 THEN 'stabilization' ELSE 'calm' END"
-    ev = ev.then("ev4", f"SELECT *, {state} AS state FROM ev3")
-    q["event_states"] = _final(ev, "ev4", "bar_time", "state", intensity="intensity")
-    q["event_exposure"] = ev.then("ev5", f"SELECT bar_time, {lag('state', 1, TS)} AS ls FROM ev4").then("out", "SELECT bar_time, ls AS lagged_state, CASE ls WHEN 'extreme' THEN 0.3 WHEN 'elevated' THEN 0.6 WHEN 'stabilization' THEN 0.8 ELSE 1.0 END AS scale FROM ev5")
-    q["state_shares"] = ev.then("out", "SELECT state, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM ev4 GROUP BY state")
-    q["loss_gate"] = _final(mk.then("lo", f"SELECT *, {mean('top_label', 8, shift=2, least=4, by=TS)} AS tl, {mean('CASE WHEN top_label < 0 THEN 1.0 WHEN top_label IS NOT NULL THEN 0.0 END', 8, shift=2, least=4, by=TS)} AS nr FROM market_ts"), "lo", "bar_time", mean_top="tl", negative_rate="nr")
-    q["factor_sleeve"] = _final(mk.then("fl", f"SELECT *, {lag('m_ret', 1, TS)} AS lr, {lag('breadth', 1, TS)} AS lb FROM market_ts"), "fl", "bar_time", "CASE WHEN lr IS NULL THEN 'warmup' WHEN lr < 0 AND lb < 0.5 THEN 'defensive' WHEN lr < 0 THEN 'mixed' WHEN lb < 0.5 THEN 'narrow' ELSE 'risk_on' END AS sleeve", lr="lr")
-    sw = mk.then("sw1", f"SELECT bar_time, {lag('m_vol', 1, TS)} AS lv FROM market_ts").then("sw2", f"SELECT bar_time, lv, {E.quantile('lv', 100000, 0.7, shift=1, least=12, by=TS)} AS ql FROM sw1").then("sw3", "SELECT bar_time, coalesce(round(lv, 9) >= round(ql, 9), FALSE) AS use_z FROM sw2")
-    q["score_switch_daily"] = _final(sw.then("sw4", "SELECT s.bar_time, s.instrument_id, w.use_z, CASE WHEN w.use_z THEN s.zscore ELSE s.score END AS score FROM scored s JOIN sw3 w ON s.bar_time = w.bar_time"), "sw4", *key, "use_z", score="score")
-    q["score_switch_ts"] = _final(sc, "scored", *key, score="CASE WHEN year(bar_time) % 2 = 0 THEN score ELSE zscore END")
     bl = sc.then("bl", f"SELECT *, {pct_rank('score', 'bar_time')} AS p1, {pct_rank('zscore', 'bar_time')} AS p2 FROM scored")
     q["score_blend"] = _final(bl, "bl", *key, score="0.7 * p1 + 0.3 * p2")
-    q["overlay_blend"] = _final(bl, "bl", *key, where="score_rank <= 20", score="0.7 * p1 + 0.3 * coalesce(p2, 0.5)")
     q["overlay_downside"] = _final(bl, "bl", *key, score="score - 0.2 * CASE WHEN p2 <= 0.2 THEN 0.2 - p2 ELSE 0 END")
     q["overlay_exclusion"] = bl.then("out", "SELECT bar_time, instrument_id, (round(p2, 9) > 0.1) AS entry_eligible FROM bl")
     q["overlay_daily_first"] = B.hourly().then("df", "SELECT instrument_id, trade_date, min(bar_time) AS first_time FROM bars GROUP BY instrument_id, trade_date").then("out", f"SELECT {E.out('b.bar_time', 'b.instrument_id', close_price='b.close_price')} FROM bars b JOIN df ON b.instrument_id = df.instrument_id AND b.bar_time = df.first_time")
@@ -238,10 +199,6 @@ def plans() -> dict[str, Plan]:
     q["leaderboard"] = bt.then("lb", "SELECT feature, year(bar_time) AS y, avg(spread) AS s FROM bt GROUP BY feature, year(bar_time)").then("out", f"SELECT {E.out('feature', mean_spread='avg(s)', worst='min(s)', total='sum(s)')}, rank() OVER (ORDER BY round(avg(s), 9) DESC) AS place FROM lb GROUP BY feature")
     q["residual_risk"] = sc.then("out", f"SELECT {E.out('year(bar_time) AS y', weighted_mean=div('sum(label * volume)', 'sum(CASE WHEN label IS NOT NULL THEN volume END)'), share_below='avg(CASE WHEN label < 0 THEN 1.0 ELSE 0.0 END)')} FROM scored WHERE score_rank <= {TOP} AND label IS NOT NULL GROUP BY year(bar_time)")
     q["event_metrics"] = panel().then("out", f"SELECT {E.out('bar_time', f_mean='avg(f3)', f_std='stddev_samp(f3)', f_p10='@PCT(f3, 0.1)', f_p90='@PCT(f3, 0.9)', r_median='@PCT(f1, 0.5)')} FROM panel WHERE f1 IS NOT NULL AND f3 IS NOT NULL GROUP BY bar_time")
-    q["score_health"] = _final(mk, "market_ts", "bar_time", score_ic="score_ic", top_label="top_label", all_label="all_label")
-    sched = health.then("sc1", "SELECT feature, bar_time, scale, CASE WHEN month(bar_time) IN (1, 2) THEN 0.5 ELSE 1.0 END AS other FROM h3")
-    q["schedule_combine"] = _final(sched, "sc1", "feature", "bar_time", lowest="least(scale, other)", product="scale * other")
-    q["research_memory"] = Plan((("t", "SELECT p_partkey AS id, p_brand AS family, p_size AS look, p_retailprice AS price FROM {part} WHERE p_partkey <= 200"), ("s", "SELECT a.id AS a, b.id AS b, 0.3 * CASE WHEN a.family = b.family THEN 1 ELSE 0 END + 0.15 * CASE WHEN a.look = b.look THEN 1 ELSE 0 END + 0.25 * CASE WHEN abs(a.price - b.price) < 5 THEN 1 ELSE 0 END AS similarity FROM t a JOIN t b ON a.id < b.id AND a.family = b.family"), ("out", "SELECT a, b, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM s WHERE similarity >= 0.35")))
     return q
 
 
