@@ -114,7 +114,6 @@ def plans() -> dict[str, Plan]:
     # bars and flags
     for name, p in (("hourly", B.hourly()), ("daily", B.daily()), ("weekly", B.weekly())):
         q[f"bars_{name}"] = _final(p, "bars", *key, "open_price", "high_price", "low_price", "close_price", **_same("volume", "turnover"))
-    q["bar_dedup"] = Plan((("v", "SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS version FROM {lineitem}"), ("d", "SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY version, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS pick FROM v"), ("out", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM d WHERE pick = 1")))
     q["kline_daily"] = B.hourly().then("out", "SELECT instrument_id, trade_date, min_by(open_price, bar_time) AS open_price, max(high_price) AS high_price, min(low_price) AS low_price, max_by(close_price, bar_time) AS close_price, round(sum(volume), 6) AS volume, round(sum(turnover), 4) AS turnover, count(*) AS bars FROM bars GROUP BY instrument_id, trade_date")
     q["max_symbols"] = B.weekly().then("ids", "SELECT DISTINCT instrument_id FROM bars ORDER BY instrument_id LIMIT 10").then("out", f"SELECT {E.out('b.bar_time', 'b.instrument_id', close_price='close_price')} FROM bars b WHERE instrument_id IN (SELECT instrument_id FROM ids)")
     daily = B.executable(B.daily())
@@ -123,44 +122,23 @@ def plans() -> dict[str, Plan]:
     q["prev_close"] = _final(daily, "exec_bars", *key, "previous_close")
     q["active_on"] = Plan((("spans", "SELECT o_custkey AS instrument_id, min(o_orderdate) AS effective_from, CASE WHEN count(*) > 10 THEN NULL ELSE max(o_orderdate) END AS effective_to FROM {orders} GROUP BY o_custkey"), ("out", "SELECT instrument_id, effective_from, effective_to FROM spans WHERE (effective_from IS NULL OR effective_from <= DATE '1996-06-01') AND (effective_to IS NULL OR effective_to >= DATE '1996-06-01')")))
     q["liquidity_filter"] = _final(weekly().then("lq", f"SELECT *, {mean('turnover', 4)} AS liquidity FROM exec_bars"), "lq", *key, where="liquidity >= 50000", liquidity="liquidity")
-    q["asof_fundamentals"] = Plan((("f", "SELECT o_custkey, o_orderdate, max(o_totalprice) AS v FROM {orders} WHERE o_orderdate <= DATE '1997-01-01' GROUP BY o_custkey, o_orderdate"), ("out", "SELECT o_custkey AS instrument_id, max(o_orderdate) AS visible_at, CAST(max_by(v, o_orderdate) AS DOUBLE) AS value FROM f GROUP BY o_custkey")))
     # labels and splits
     lab = labelled()
-    q["label_forward"] = _final(lab, "labels", *key, "entry_time", "exit_time", where="label IS NOT NULL", label="label")
-    q["label_multi"] = _final(lab, "labels", *key, where="label IS NOT NULL AND label_4 IS NOT NULL", label="label", label_4="label_4")
-    q["label_rank"] = _final(lab.then("k", f"SELECT *, round(label, 10) AS lr FROM labels WHERE label IS NOT NULL").then("k2", f"SELECT *, {pct_rank('lr', 'bar_time', True)} AS label_rank FROM k"), "k2", *key, label_rank="label_rank")
     q["entry_exit_filter"] = _final(lab, "labels", *key, where="label IS NOT NULL AND coalesce(entry_tradable, FALSE) AND NOT coalesce(entry_limit_up, FALSE) AND coalesce(exit_sellable, FALSE)", label="label")
     q["entry_exit_counts"] = lab.then("out", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT coalesce(entry_tradable, FALSE)) AS n_entry_blocked, count(*) FILTER (WHERE coalesce(entry_limit_up, FALSE)) AS n_limit_up, count(*) FILTER (WHERE NOT coalesce(exit_sellable, FALSE)) AS n_exit_blocked FROM labels WHERE label IS NOT NULL")
     q["join_features_labels"] = _final(panel(), "panel", *key, where="f1 IS NOT NULL AND label IS NOT NULL", **_same("f1", "f2", "f3", "label"))
-    q["alpha_matrix"] = unpivoted().then("out", f"SELECT {E.out(*key, **{f'm_{f}': f'max(CASE WHEN feature = {chr(39)}{f}{chr(39)} THEN x END)' for f in FEATURES})} FROM u GROUP BY bar_time, instrument_id")
     q["sample_rows"] = Plan((("out", "SELECT o_orderkey, o_custkey FROM {orders} ORDER BY (o_orderkey * 7919) % 10007, o_orderkey LIMIT 100"),))
     # evaluation
     bt = by_timestamp()
-    q["ic_by_ts"] = _final(bt, "bt", "feature", "bar_time", "n", ic="ic", rank_ic="rank_ic")
-    q["topn_spread"] = _final(bt, "bt", "feature", "bar_time", top_label="top_label", bottom_label="bottom_label", spread="spread")
-    auto = ranked().then("times", "SELECT feature, bar_time, lag(bar_time) OVER (PARTITION BY feature ORDER BY bar_time) AS prev FROM (SELECT DISTINCT feature, bar_time FROM rk) d").then("pairs", "SELECT a.feature, a.bar_time, a.x AS xa, b.x AS xb FROM rk a JOIN times m ON a.feature = m.feature AND a.bar_time = m.bar_time JOIN rk b ON b.feature = m.feature AND b.bar_time = m.prev AND b.instrument_id = a.instrument_id").then("pr", f"SELECT feature, bar_time, {avg_rank('xa', _GROUP)} AS ra, {avg_rank('xb', _GROUP)} AS rb FROM pairs")
-    q["rank_autocorr"] = auto.then("out", f"SELECT {E.out('feature', 'bar_time', autocorr=_corr('ra', 'rb'))} FROM pr GROUP BY feature, bar_time")
     quant = ranked().then("qb", "SELECT *, CAST(least(ceil(CAST(bottom_rank AS DOUBLE) / n * 5), 5) AS BIGINT) AS bucket FROM rk").then("qt", "SELECT feature, bar_time, bucket, count(*) AS size, avg(y) AS m FROM qb GROUP BY feature, bar_time, bucket")
     q["quantile_returns"] = quant.then("out", f"SELECT {E.out('feature', 'bucket', mean_label='avg(m)', mean_size='avg(size)')} FROM qt GROUP BY feature, bucket")
     q["quantile_long_short"] = quant.then("ls", "SELECT feature, bar_time, max(CASE WHEN bucket = 5 THEN m END) - max(CASE WHEN bucket = 1 THEN m END) AS ls FROM qt GROUP BY feature, bar_time").then("out", f"SELECT {E.out('feature', long_short='avg(ls)')} FROM ls GROUP BY feature")
-    both = " UNION ALL ".join(f"SELECT feature, '{y}' AS horizon, bar_time, x, y_{y} AS y FROM d1 WHERE y_{y} IS NOT NULL" for y in ("label", "label_4"))
-    dec = panel().then("d1", " UNION ALL ".join(f"SELECT '{f}' AS feature, bar_time, instrument_id, {f} AS x, label AS y_label, label_4 AS y_label_4 FROM panel WHERE {f} IS NOT NULL" for f in FEATURES)).then("d2", both).then("d3", f"SELECT feature, horizon, bar_time, {avg_rank('x', 'feature, horizon, bar_time')} AS rx, {avg_rank('y', 'feature, horizon, bar_time')} AS ry FROM d2").then("d4", f"SELECT feature, horizon, bar_time, {_corr('rx', 'ry')} AS rank_ic FROM d3 GROUP BY feature, horizon, bar_time")
-    q["decay"] = dec.then("out", f"SELECT {E.out('feature', 'horizon', ic_mean='avg(rank_ic)', ic_std='stddev_samp(rank_ic)')} FROM d4 GROUP BY feature, horizon")
-    grp = unpivoted().then("g1", "SELECT *, CAST(instrument_id AS BIGINT) % 3 AS grp FROM u").then("g2", f"SELECT feature, bar_time, grp, {avg_rank('x', 'feature, bar_time, grp')} AS rx, {avg_rank('y', 'feature, bar_time, grp')} AS ry FROM g1").then("g3", f"SELECT feature, grp, bar_time, {_corr('rx', 'ry')} AS ic FROM g2 GROUP BY feature, grp, bar_time")
-    q["group_ic"] = grp.then("out", f"SELECT {E.out('feature', 'grp', ic_mean='avg(ic)')} FROM g3 GROUP BY feature, grp")
     q["yearly_ic"] = bt.then("yi", "SELECT feature, year(bar_time) AS y, avg(rank_ic) AS ic FROM bt GROUP BY feature, year(bar_time)").then("tot", "SELECT feature, avg(rank_ic) AS ic_all FROM bt GROUP BY feature").then("out", "SELECT yi.feature, count(*) AS years, count(*) FILTER (WHERE sign(ic) = sign(ic_all)) AS stable_years FROM yi JOIN tot ON yi.feature = tot.feature GROUP BY yi.feature")
     q["opportunity_map"] = bt.then("om", "SELECT feature, avg(rank_ic) AS ic, avg(top_label) AS top_label, avg(bottom_label) AS bottom_label FROM bt GROUP BY feature").then("out", f"SELECT feature, CASE WHEN top_label > 0 AND ic > 0 THEN 'long_alpha_candidate' WHEN bottom_label < 0 THEN 'bottom_avoidance_only' WHEN abs(ic) >= 0.01 THEN 'risk_gate_only' ELSE 'dead_zone' END AS opportunity FROM om")
     # signals and portfolios
     sc = scores()
-    q["signal_identity"] = _final(panel(), "panel", *key, where="f1 IS NOT NULL", signal="f1")
-    q["signal_rank"] = _final(panel().then("sk", f"SELECT *, {pct_rank('f1', 'bar_time')} AS s FROM panel WHERE f1 IS NOT NULL"), "sk", *key, signal="s")
-    q["signal_threshold"] = _final(panel(), "panel", *key, signal="CASE WHEN f1 >= 0.05 THEN 1 ELSE -1 END")
-    q["weights_equal"] = _final(weights(), "book", *key, weight="weight")
-    q["strategy_topn"] = _final(weights().then("b2", "SELECT *, row_number() OVER (PARTITION BY bar_time ORDER BY score DESC, instrument_id) AS book_rank FROM book"), "b2", *key, "book_rank", score="score", target_weight="weight")
     orders = rebalances()
-    q["rebalance_orders"] = _final(orders, "orders", *key, **_same("current_weight", "target_weight", "delta"))
     q["portfolio_turnover"] = orders.then("out", f"SELECT {E.out('bar_time', turnover='sum(abs(delta)) / 2')}, count(*) FILTER (WHERE delta > 1e-12) AS buys, count(*) FILTER (WHERE delta < -1e-12) AS sells FROM orders GROUP BY bar_time")
-    q["composite_rank"] = _final(sc, "scored", *key, "score_rank", score="score")
     q["composite_zscore"] = _final(sc, "scored", *key, zscore="zscore")
     cap = sc.then("cc", "SELECT *, coalesce(0.5 * r_f1, 0) AS c1, coalesce(0.3 * r_f2, 0) AS c2, coalesce(0.2 * r_f3, 0) AS c3 FROM scored").then("cd", "SELECT *, abs(c1) + abs(c2) + abs(c3) AS tot FROM cc")
     q["contribution_diag"] = cap.then("out", f"SELECT {E.out('bar_time', total='sum(tot)', share_1=div('sum(abs(c1))', 'sum(tot)'), largest=div('greatest(sum(abs(c1)), sum(abs(c2)), sum(abs(c3)))', 'sum(tot)'))} FROM cd WHERE score_rank <= {TOP} GROUP BY bar_time")
@@ -181,7 +159,6 @@ def plans() -> dict[str, Plan]:
     q["overlay_exclusion"] = bl.then("out", "SELECT bar_time, instrument_id, (round(p2, 9) > 0.1) AS entry_eligible FROM bl")
     q["overlay_daily_first"] = B.hourly().then("df", "SELECT instrument_id, trade_date, min(bar_time) AS first_time FROM bars GROUP BY instrument_id, trade_date").then("out", f"SELECT {E.out('b.bar_time', 'b.instrument_id', close_price='b.close_price')} FROM bars b JOIN df ON b.instrument_id = df.instrument_id AND b.bar_time = df.first_time")
     q["primary_pool"] = _final(sc.then("pp", "SELECT *, row_number() OVER (PARTITION BY bar_time ORDER BY zscore DESC, instrument_id) AS pool_rank FROM scored WHERE score_rank <= 20"), "pp", *key, "pool_rank", zscore="zscore")
-    q["every_nth"] = _final(sc.then("en", "SELECT *, dense_rank() OVER (ORDER BY bar_time) AS t FROM scored").then("en2", f"SELECT * FROM en WHERE (t - 1) % 4 = 0 AND score_rank <= {TOP}"), "en2", *key, score="score")
     # execution and reports
     nx = rebalances().then("nb", f"SELECT bar_time, {lead('bar_time', 1, TS)} AS exec_time FROM (SELECT DISTINCT bar_time FROM exec_bars) d").then("ex", "SELECT n.exec_time, o.instrument_id, o.target_weight, o.delta, b.open_price, b.close_price, b.volume, coalesce(b.tradable_bar, FALSE) AS tradable_bar, coalesce(b.limit_up_open, FALSE) AS limit_up, coalesce(b.limit_down_open, FALSE) AS limit_down FROM orders o JOIN nb n ON o.bar_time = n.bar_time LEFT JOIN exec_bars b ON b.bar_time = n.exec_time AND b.instrument_id = o.instrument_id WHERE n.exec_time IS NOT NULL")
     q["next_bar_exec"] = _final(nx, "ex", "exec_time", "instrument_id", "tradable_bar", target_weight="target_weight", open_price="open_price")

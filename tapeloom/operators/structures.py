@@ -118,8 +118,15 @@ def bar_features(spark, folder):
     return tidy(out.withColumn("bar_time", F.col("bar_time").cast("timestamp_ntz")))
 
 
+def bar_dedup(spark, folder):
+    """One line for each order and number: even numbers come from the preferred version."""
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("version", F.col("l_linenumber") % 2)
+    prefer = [F.col(c) for c in ("version", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")]
+    return relations.latest_version(rows, ["l_orderkey", "l_linenumber"], prefer).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (research_matches, universe_members, universe_bars, daily_state, score_switch_daily, artifact_table, score_partitions, sql_surface, sql_ewm, bar_features)}
+    return {f.__name__: f for f in (bar_dedup, research_matches, universe_members, universe_bars, daily_state, score_switch_daily, artifact_table, score_partitions, sql_surface, sql_ewm, bar_features)}
 
 
 # ------------------------------------------------------------------------------------ other engine
@@ -151,6 +158,7 @@ def sql() -> dict[str, str]:
     daily = B.executable(B.daily())
     families = ", ".join(f"{n} AS ({t})" for n, t in formulas.sql({"momentum": daily, "volatility": daily}).items())
     return {
+        "bar_dedup": "SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_linenumber % 2, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate",
         "artifact_table": on(research.weekly(), ("av", "SELECT bar_time, instrument_id, 1 - close_price / nullif(lag(close_price, 2) OVER (PARTITION BY instrument_id ORDER BY bar_time), 0) AS v FROM exec_bars"), ("out", f"SELECT bar_time, instrument_id, {r('v', 'value')}, 'reversal' AS feature FROM av WHERE v IS NOT NULL")),
         "score_partitions": on(research.scores(), ("out", f"SELECT bar_time, instrument_id, {r('zscore', 'score')}, 'zscore' AS method, strftime(bar_time, '%Y_%m') AS period FROM scored WHERE year(bar_time) = 1995")),
         "sql_surface": f"WITH {families}, b AS ({daily.then('out', 'SELECT * FROM exec_bars').text()}) SELECT b.bar_time, b.instrument_id, {r('b.close_price', 'close_price')}, momentum_lb3, volatility_w12 FROM b LEFT JOIN momentum m ON m.instrument_id = b.instrument_id AND m.bar_time = b.bar_time LEFT JOIN volatility v ON v.instrument_id = b.instrument_id AND v.bar_time = b.bar_time WHERE b.tradable_bar",

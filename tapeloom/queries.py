@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions import comparison as formulas
 from .functions import features
-from .operators import comparison, registered, registered_gates, research, structures
+from .operators import comparison, independent, registered, registered_gates, research, structures
 from .plans.sql import Plan
 from .sources import bars
 
@@ -27,8 +27,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Feature families and callable operators have SQL of their own; other plans are compared with their own text on another engine."""
+    """SQL of the queries for another engine, written apart from what they run."""
     daily, hourly = bars.executable(bars.daily()), bars.executable(bars.hourly())
     families = formulas.sql({n: hourly if n in HOURLY else daily for n in features.NAMES})
     own = {f"feat_{n}": s for n, s in families.items()} | {"features_together": formulas.together(daily, TOGETHER)}
-    return {n: p.text() for n, p in plans().items()} | own | comparison.sql() | structures.sql() | registered_gates.sql()
+    return own | independent.sql() | comparison.sql() | structures.sql() | registered_gates.sql()
