@@ -123,14 +123,18 @@ def sql() -> dict[str, str]:
     liquid = " UNION ALL ".join(f"SELECT '{f}' AS feature, avg(turnover) AS lq FROM panel WHERE {f} IS NOT NULL AND label IS NOT NULL" for f in R.FEATURES)
     se = "nullif(s / sqrt(n_ts), 0)"
     q["factor_summary"] = _on(tv, *summary, ("fl", liquid), ("out", f"SELECT fs.feature, n_ts, {_r('m', 'ic_mean')}, {_r('s', 'ic_std')}, {_r('h', 'hit_rate')}, {_r('s / sqrt(n_ts)', 'ic_se')}, {_r(f'm / {se}', 't_stat')}, {_r('m / nullif(s, 0)', 'ir')}, {_r('sp', 'spread_mean')}, {_r('tm', 'turnover_mean')}, {_r('n_rows / n_all', 'coverage')}, round(lq, 2) + 0.0 AS liquidity_mean FROM fs JOIN ft ON fs.feature = ft.feature JOIN fl ON fs.feature = fl.feature, fa"))
-    checks = {"coverage": "coverage >= 0.95", "timestamps": "n_ts >= 1000", "ic": "abs(m) >= 0.001", "t": f"abs(m / {se}) >= 2", "hit": "CASE WHEN direction > 0 THEN h ELSE 1 - h END >= 0.52", "years": "n_years >= 3", "stable_years": "n_stable >= 2", "spread": "cost_adjusted >= 0", "turnover": "tm <= 0.95"}
+    checks = {"coverage": "coverage >= 0.95", "timestamps": "n_ts >= 300", "ic": "abs(m) >= 0.001", "t": f"abs(m / {se}) >= 2", "hit": "CASE WHEN direction > 0 THEN h ELSE 1 - h END >= 0.52", "years": "n_years >= 3", "stable_years": "n_stable >= 2", "spread": "cost_adjusted > 0", "turnover": "tm <= 0.95"}
     flags = ", ".join(f"coalesce({e}, FALSE) AS {n}_ok" for n, e in checks.items())
-    failed = ", ".join(f"CASE WHEN NOT {n}_ok THEN '{n}' END" for n in sorted(checks))
+    informs = {"alpha_rank": (), "risk_penalty": ("spread", "turnover"), "state_allocator": tuple(n for n in checks if n not in ("coverage", "timestamps"))}
+    told = "coalesce(" + " OR ".join(f"(role = '{r}' AND k IN ({', '.join(map(repr, names))}))" for r, names in informs.items() if names) + ", FALSE)"
+    names = "[" + ", ".join(f"CASE WHEN NOT {n}_ok THEN '{n}' END" for n in sorted(checks)) + "]"
     q["admission_checks"] = _on(
         tv, *summary, ("ad", "SELECT fs.*, tm, CASE WHEN m < 0 THEN -1 ELSE 1 END AS direction, n_rows / n_all AS coverage FROM fs JOIN ft ON fs.feature = ft.feature, fa"),
         ("ay", "SELECT x.feature, count(*) AS n_years, count(*) FILTER (sign(x.ic) = ad.direction) AS n_stable FROM (SELECT feature, year(bar_time) AS y, avg(rank_ic) AS ic FROM bt WHERE rank_ic IS NOT NULL GROUP BY ALL) x JOIN ad ON x.feature = ad.feature GROUP BY x.feature"),
-        ("ac", f"SELECT *, {flags} FROM (SELECT ad.*, n_years, n_stable, direction * sp - tm * 0.0013 AS cost_adjusted FROM ad JOIN ay ON ad.feature = ay.feature) x"),
-        ("out", f"SELECT feature, direction, n_years, n_stable, {_r('cost_adjusted', 'cost_adjusted')}, {', '.join(f'{n}_ok' for n in checks)}, concat_ws(',', {failed}) AS failed, CASE WHEN NOT (coverage_ok AND timestamps_ok AND ic_ok) THEN 'reject' WHEN t_ok AND hit_ok AND years_ok AND stable_years_ok AND spread_ok AND turnover_ok THEN 'candidate' ELSE 'watchlist' END AS status FROM ac"),
+        ("ac", f"SELECT *, CASE feature WHEN 'f2' THEN 'risk_penalty' WHEN 'f3' THEN 'state_allocator' ELSE 'alpha_rank' END AS role, {flags} FROM (SELECT ad.*, n_years, n_stable, direction * sp - tm * 0.0013 AS cost_adjusted FROM ad JOIN ay ON ad.feature = ay.feature) x"),
+        ("an", f"SELECT feature, k, {told} AS info, k IN ('coverage', 'timestamps', 'ic', 't', 'hit') AS hard FROM (SELECT feature, role, unnest({names}) AS k FROM ac) x WHERE k IS NOT NULL"),
+        ("asx", "SELECT feature, coalesce(string_agg(k, ',' ORDER BY k) FILTER (NOT info), '') AS failed, coalesce(string_agg(k, ',' ORDER BY k) FILTER (info), '') AS informational, coalesce(bool_or(hard AND NOT info), FALSE) AS h, coalesce(bool_or(NOT hard AND NOT info), FALSE) AS w FROM an GROUP BY feature"),
+        ("out", f"SELECT ac.feature, role, direction, n_years, n_stable, {_r('cost_adjusted', 'cost_adjusted')}, {', '.join(f'{n}_ok' for n in checks)}, coalesce(failed, '') AS failed, coalesce(informational, '') AS informational, CASE WHEN asx.h THEN 'reject' WHEN asx.w THEN 'watchlist' ELSE 'candidate' END AS status FROM ac LEFT JOIN asx ON ac.feature = asx.feature"),
     )
     pairs = list(combinations(WIDE, 2))
     ranks = ", ".join(f"{_rank(f)} AS r_{f}" for f in WIDE)

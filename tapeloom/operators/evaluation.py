@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, correlation, ratio, total_of
+from ..functions.columns import average_rank, correlation, ratio
 from .moments import correlations
 
 TIME, NAME = "bar_time", "instrument_id"
@@ -162,12 +162,23 @@ def yearly_health(each: DataFrame) -> DataFrame:
 
 #: Admission thresholds.  fixed values
 ADMISSION = {"coverage": 0.95, "timestamps": 1000, "ic": 0.001, "t": 2.0, "hit": 0.52, "stable_years": 2, "years": 3, "spread": 0.0, "turnover": 0.95, "cost": 0.0013}
-HARD = ("coverage", "timestamps", "ic")
-
-
-def admission(df: DataFrame, features: list[str], label: str, top: int = 5, directions: dict[str, int] | None = None, limits: dict | None = None, hard: tuple[str, ...] = HARD) -> DataFrame:
+#: What a failed check of each group means by the feature's role.  fixed values
+SEVERITY = {
+    "alpha_rank": {"coverage": "hard", "rank_ic": "hard", "stability": "soft", "implementation": "soft"},
+    "risk_penalty": {"coverage": "hard", "rank_ic": "hard", "stability": "soft", "implementation": "info"},
+    "entry_filter": {"coverage": "hard", "rank_ic": "hard", "stability": "soft", "implementation": "info"},
+    "event_overlay": {"coverage": "info", "rank_ic": "hard", "stability": "soft", "implementation": "info"},
+    "state_allocator": {"coverage": "hard", "rank_ic": "info", "stability": "info", "implementation": "info"},
+}
+#: The group of each check; too few timestamps are a hard failure in every role.
+GROUP = {"coverage": "coverage", "ic": "rank_ic", "t": "rank_ic", "hit": "rank_ic", "years": "stability", "stable_years": "stability", "spread": "implementation", "turnover": "implementation"}
+
+
+def admission(df: DataFrame, features: list[str], label: str, top: int = 5, directions: dict[str, int] | None = None, limits: dict | None = None, roles: dict[str, str] | None = None) -> DataFrame:
     """Nine checks for each feature, its direction and status: a failed hard check rejects, a soft one puts it on the watchlist.
 
+    How much a check weighs depends on the feature's role (alpha_rank without one); checks that only inform are listed apart.
+
     The direction is the sign of the mean rank IC unless ``directions`` gives it; hit rate, spread and stable years count in
     that direction.
     """
@@ -184,11 +195,21 @@ def admission(df: DataFrame, features: list[str], label: str, top: int = 5, dire
     checks = {
         "coverage": F.col("coverage") >= lim["coverage"], "timestamps": F.col("n_ts") >= lim["timestamps"], "ic": F.abs("ic_mean") >= lim["ic"],
         "t": F.abs("t_stat") >= lim["t"], "hit": hit >= lim["hit"], "years": F.col("n_years") >= lim["years"], "stable_years": F.col("n_stable") >= lim["stable_years"],
-        "spread": cost_adjusted >= lim["spread"], "turnover": F.col("turnover_mean") <= lim["turnover"],
+        "spread": cost_adjusted > lim["spread"], "turnover": F.col("turnover_mean") <= lim["turnover"],
     }
+    if unknown := sorted(set((roles or {}).values()) - set(SEVERITY)):
+        raise ValueError(f"unknown roles: {unknown}")
     ok = {k: F.coalesce(c, F.lit(False)) for k, c in checks.items()}
-    failed = lambda names: total_of([(~ok[n]).cast("int") for n in names])
-    soft = [n for n in checks if n not in hard]
-    status = F.when(failed(hard) > 0, "reject").when(failed(soft) > 0, "watchlist").otherwise("candidate")
-    bad = F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(~c, F.lit(n)) for n, c in ok.items())))), ",")
-    return rows.select("feature", "direction", "n_years", "n_stable", cost_adjusted.alias("cost_adjusted"), *(c.alias(f"{n}_ok") for n, c in ok.items()), bad.alias("failed"), status.alias("status"))
+    role = F.coalesce(*(F.when(F.col("feature") == f, r) for f, r in (roles or {}).items()), F.lit("alpha_rank"))
+
+    def severity(check: str) -> Column:
+        of = {r: v[GROUP[check]] for r, v in SEVERITY.items()} if check in GROUP else dict.fromkeys(SEVERITY, "hard")
+        return F.coalesce(*(F.when(role == r, v) for r, v in of.items()))
+
+    def failed(*levels: str) -> Column:
+        names = F.array(*(F.when(~c & severity(n).isin(*levels), F.lit(n)) for n, c in ok.items()))
+        return F.array_sort(F.array_compact(names))
+
+    status = F.when(F.size(failed("hard")) > 0, "reject").when(F.size(failed("soft")) > 0, "watchlist").otherwise("candidate")
+    lists = (F.array_join(failed("hard", "soft"), ",").alias("failed"), F.array_join(failed("info"), ",").alias("informational"))
+    return rows.select("feature", role.alias("role"), "direction", "n_years", "n_stable", cost_adjusted.alias("cost_adjusted"), *(c.alias(f"{n}_ok") for n, c in ok.items()), *lists, status.alias("status"))

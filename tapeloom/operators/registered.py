@@ -168,7 +168,7 @@ def yearly_health(spark, folder):
 
 
 def admission_checks(spark, folder):
-    return tidy(E.admission(panel(spark, folder), X, "label"))
+    return tidy(E.admission(panel(spark, folder), X, "label", limits={"timestamps": 300}, roles={"f2": "risk_penalty", "f3": "state_allocator"}))
 
 
 def signal_identity(spark, folder):

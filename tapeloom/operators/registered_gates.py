@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sql import Plan
-from . import comparison, gates, research
+from ..sources import bars as B
+from . import comparison, gates, overlays, research
 from . import evaluation as E
 from .registered import KEYS, X, event_states, panel, scored, tidy
 
@@ -91,8 +92,37 @@ def regime_shrink(spark, folder):
     return rows.select("bar_time", "feature", F.when((F.col("regime") == "stress") & (F.col("feature") != "f3"), 0.5).otherwise(1.0).alias("scale"))
 
 
+def hourly_scores(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hourly moves as primary, mean tick values as satellite (missing for some), and the hours at which it counts."""
+    rows = B.executable(B.hourly()).over(spark, folder)
+    primary = rows.select(*KEYS, F.round(F.col("close_price") - F.col("open_price"), 9).alias("score"))
+    satellite = rows.where("volume % 3 <> 0").select(*KEYS, F.round(F.col("turnover") / F.col("volume"), 9).alias("score"))
+    condition = rows.select("bar_time").distinct().withColumn("active", F.hour("bar_time") % 4 != 3)
+    return primary, satellite, condition
+
+
+def overlay_modes(spark, folder):
+    """All modes; blend and penalty under the condition, the latter anchored to the day's first hour and sparse."""
+    p, s, on = hourly_scores(spark, folder)
+    none, flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    each = [
+        overlays.overlay(p, s, 0.3, condition=on).select(*KEYS, F.lit("blend").alias("mode"), "score", flag.alias("entry_eligible"), none.alias("risk_penalty_bps")),
+        overlays.overlay(p, s, 0.5, "downside_penalty", on, anchored=True, sparse=True, quantile=0.4).select(*KEYS, F.lit("downside_penalty"), "score", flag, none),
+        overlays.overlay(p, s, 0.3, "entry_exclusion").select(*KEYS, F.lit("entry_exclusion"), "score", "entry_eligible", none),
+        overlays.overlay(p, s, 25.0, "optimizer_risk_penalty", ranked=False, quantile=0.3).select(*KEYS, F.lit("optimizer_risk_penalty"), "score", flag, "risk_penalty_bps"),
+    ]
+    return tidy(reduce(DataFrame.union, each))
+
+
+def overlay_limits(spark, folder):
+    """A blend with penalties and weight caps from tables that lack some names."""
+    p, s, _ = hourly_scores(spark, folder)
+    out = overlays.with_penalty(overlays.overlay(p, s, 0.3), s.withColumn("cost", F.col("score") - 50), "cost", 1.0)
+    return tidy(overlays.with_weight_cap(out, s.select(*KEYS, (F.col("score") / 80).alias("cap")), "cap"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (score_health, regime_state, regime_gate_raw, risk_gate_raw, event_exposure, state_shares, loss_gate, factor_sleeve, sleeve_combined, regime_shrink)}
+    return {f.__name__: f for f in (overlay_modes, overlay_limits, score_health, regime_state, regime_gate_raw, risk_gate_raw, event_exposure, state_shares, loss_gate, factor_sleeve, sleeve_combined, regime_shrink)}
 
 
 # ------------------------------------------------------------------------------------ other engine
@@ -135,7 +165,20 @@ def sql() -> dict[str, str]:
     rules = {"return_positive": "lr > 0", "breadth_majority": "lb >= 0.5", "return_and_breadth": "lr > 0 AND lb >= 0.5", "monotone_breadth_return": "lr > 0 AND lb >= 0.5"}
     sleeve = lambda rule: f"CASE WHEN lr IS NULL OR lb IS NULL THEN 'warmup' WHEN {rules[rule]} THEN 'full'" + (" WHEN lr > 0 OR lb >= 0.5 THEN 'reduced'" if rule.startswith("mono") else "") + " ELSE 'blocked' END"
     mixed = {"min": "least(coalesce(b.scale, 1.0), coalesce(s.scale, 1.0))", "product": "coalesce(b.scale, 1.0) * coalesce(s.scale, 1.0)", "override": "coalesce(s.scale, b.scale)"}
+    hours = (
+        "b AS (SELECT event_type AS i, date_trunc('hour', ts) AS t, first(value ORDER BY ts) AS o, last(value ORDER BY ts) AS c, count(*) AS v, sum(value) AS m FROM events GROUP BY 1, 2), "
+        "j AS (SELECT i, t, round(c - o, 9) AS p, CASE WHEN v % 3 <> 0 THEN round(m / v, 9) END AS s, hour(t) % 4 <> 3 AS act, t = min(t) OVER (PARTITION BY CAST(t AS DATE)) AS first_t FROM b), "
+        "k AS (SELECT *, (rank() OVER (PARTITION BY t ORDER BY p) + (count(*) OVER (PARTITION BY t, p) - 1) / 2.0) / count(*) OVER (PARTITION BY t) - 0.5 AS rp, "
+        "CASE WHEN s IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY t, s IS NULL ORDER BY s) + (count(*) OVER (PARTITION BY t, s) - 1) / 2.0) / count(s) OVER (PARTITION BY t) - 0.5 END AS rs, coalesce(s, 0) AS s0 FROM j), "
+        "q AS (SELECT *, quantile_cont(rs, 0.4) OVER (PARTITION BY t) AS q4, quantile_cont(rs, 0.3) OVER (PARTITION BY t) AS q3, quantile_cont(s0, 0.3) OVER (PARTITION BY t) AS q0, max(rp) FILTER (first_t) OVER (PARTITION BY CAST(t AS DATE), i) AS a FROM k)"
+    )
+    name = "t AS bar_time, i AS instrument_id"
+    empty = "CAST(NULL AS BOOLEAN) AS entry_eligible, CAST(NULL AS DOUBLE) AS risk_penalty_bps"
     return {
+        "overlay_modes": f"WITH {hours} SELECT {name}, 'blend' AS mode, {r('CASE WHEN act THEN 0.7 * rp + 0.3 * rs ELSE rp END', 'score')}, {empty} FROM q"
+        f" UNION ALL SELECT {name}, 'downside_penalty', {r('CASE WHEN act THEN coalesce(a, rp) - 0.5 * greatest(q4 - rs, 0) ELSE rp END', 'score')}, {empty} FROM q WHERE act OR first_t"
+        f" UNION ALL SELECT {name}, 'entry_exclusion', {r('rp', 'score')}, NOT rs < q3, NULL FROM q UNION ALL SELECT {name}, 'optimizer_risk_penalty', {r('p', 'score')}, NULL, {r('25 * greatest(q0 - s0, 0)', 'x')} FROM q",
+        "overlay_limits": f"WITH {hours} SELECT {name}, {r('0.7 * rp + 0.3 * rs', 'score')}, {r('CASE WHEN s IS NULL THEN 1.0 ELSE greatest(s - 50, 0) END', 'optimizer_risk_penalty_bps')}, {r('CASE WHEN s IS NOT NULL THEN least(greatest(s / 80, 0), 1) END', 'max_target_weight')} FROM q",
         "score_health": on(scores, *week, ("out", f"SELECT bar_time, {', '.join(r(c, c) for c in ('volatility', 'breadth', 'market_return', 'rank_ic', 'top_label', 'spread', 'all_label'))} FROM wk")),
         "regime_state": on(scores, *regime, ("out", " UNION ALL ".join(f"SELECT bar_time, '{k}' AS selector, {r('lv', 'lagged_volatility')}, {r('lb', 'lagged_breadth')}, {r('hq', 'high_threshold')}, {r('lq', 'low_threshold')}, hv AS high_volatility, wb AS weak_breadth, {named(k)} AS regime FROM g3" for k in kinds))),
         "regime_shrink": on(scores, *regime, ("out", f"SELECT bar_time, f AS feature, CASE WHEN f <> 'f3' AND {named('volatility_or_weak_breadth')} = 'stress' THEN 0.5 ELSE 1.0 END AS scale FROM (SELECT *, unnest(['f1', 'f2', 'f3']) AS f FROM g3) x")),

@@ -318,7 +318,26 @@ def test_admission_takes_given_directions(spark):
     p = registered.panel(spark, DATA)
     one = {r.feature: r for r in evaluation.admission(p, ["f1"], "label", limits={"timestamps": 10}).collect()}
     two = {r.feature: r for r in evaluation.admission(p, ["f1"], "label", directions={"f1": -one["f1"].direction}, limits={"timestamps": 10}).collect()}
-    assert two["f1"].direction == -one["f1"].direction and one["f1"].status != "reject"
+    assert two["f1"].direction == -one["f1"].direction and one["f1"].role == "alpha_rank"
+
+
+def test_admission_weighs_checks_by_role(spark):
+    """The same failures reject, warn or inform; too few timestamps reject in every role."""
+    p = registered.panel(spark, DATA)
+    strict = {"timestamps": 10, "ic": 9.0, "spread": 9.0, "years": 99, "coverage": 2.0}
+    got = {}
+    for role in evaluation.SEVERITY:
+        r = evaluation.admission(p, ["f1"], "label", limits=strict, roles={"f1": role}).first()
+        got[role] = (r.status, {"ic", "spread", "years", "coverage"} & set(r.failed.split(",")), {"ic", "spread", "years", "coverage"} & set(r.informational.split(",")))
+    assert got["alpha_rank"] == ("reject", {"ic", "spread", "years", "coverage"}, set())
+    assert got["risk_penalty"] == got["entry_filter"] == ("reject", {"ic", "years", "coverage"}, {"spread"})
+    assert got["event_overlay"] == ("reject", {"ic", "years"}, {"spread", "coverage"})
+    assert got["state_allocator"] == ("reject", {"coverage"}, {"ic", "spread", "years"})
+    easy = strict | {"coverage": 0.0}
+    assert evaluation.admission(p, ["f1"], "label", limits=easy, roles={"f1": "state_allocator"}).first().status == "candidate"
+    assert evaluation.admission(p, ["f1"], "label", limits=easy | {"timestamps": 10**6}, roles={"f1": "state_allocator"}).first().status == "reject"
+    with pytest.raises(ValueError):
+        evaluation.admission(p, ["f1"], "label", roles={"f1": "nonsense"})
 
 
 def test_unknown_family():
