@@ -6,6 +6,7 @@ from itertools import combinations
 
 from ..plans.sql import Plan
 from ..sources import bars as B
+from . import independent
 from . import research as R
 
 PAIRS = list(combinations(("f1", "f2", "f3"), 2))
@@ -81,6 +82,30 @@ _REGIME_WEIGHTS = (
     ("out", f"SELECT bar_time, f AS feature, {_r('CASE WHEN history < 8 OR w1 + w2 + w3 <= 0 THEN base ELSE w / (w1 + w2 + w3) END', 'weight')}, regime, used AS used_regime, CAST(history AS BIGINT) AS history, CASE WHEN history < 8 THEN 'insufficient_history' ELSE '' END AS reason FROM (SELECT *, unnest(['f1', 'f2', 'f3']) AS f, unnest([0.5, 0.3, 0.2]) AS base, unnest([w1, w2, w3]) AS w FROM rd) u"),
 )
 
+def _on_steps(*steps: tuple[str, str]) -> str:
+    """Steps on the bars and scores that independent.py builds from the raw tables."""
+    return independent.with_steps("WITH " + ", ".join(f"{n} AS ({t})" for n, t in steps[:-1]) + " " + steps[-1][1])
+
+
+_RUNS = (
+    ("x0", "SELECT 'rank' AS run, t, i, row_number() OVER (PARTITION BY t ORDER BY s DESC, i) AS k FROM sc UNION ALL SELECT 'zscore', t, i, row_number() OVER (PARTITION BY t ORDER BY z DESC, i) FROM sc WHERE z IS NOT NULL"),
+    ("x1", "SELECT run, t, i, 1.0 / count(*) OVER (PARTITION BY run, t) AS w FROM x0 WHERE k <= 5"),
+    ("xt", "SELECT run, t, lead(t) OVER (PARTITION BY run ORDER BY t) AS nt FROM (SELECT DISTINCT run, t FROM x0) q"),
+    ("x2", "SELECT run, t, i, sum(w) AS w, sum(w - h) AS dl FROM (SELECT run, t, i, w, 0.0 AS h FROM x1 UNION ALL SELECT run, nt, i, 0.0, w FROM x1 JOIN xt USING (run, t) WHERE nt IS NOT NULL) q GROUP BY ALL"),
+    ("xb", "SELECT x2.run, tb.xt AS xt, x2.i, x2.w, x2.dl, e.o, e.v, coalesce(e.ok, FALSE) AS ok, coalesce(e.up, FALSE) AS up, coalesce(e.down, FALSE) AS down FROM x2 JOIN tb ON tb.t = x2.t AND tb.xt IS NOT NULL LEFT JOIN wb_x e ON e.t = tb.xt AND e.i = x2.i"),
+    ("xs", "SELECT *, floor(round(abs(dl) * 1e7 / o, 6)) AS want, least(floor(round(abs(dl) * 1e7 / o, 6)), floor(round(v / 20, 6))) AS can FROM xb WHERE ok AND dl <> 0 AND NOT (dl > 0 AND up) AND NOT (dl < 0 AND down)"),
+    ("x3", "SELECT *, CASE WHEN can = 0 THEN 'capacity_zero' WHEN can < want THEN 'capacity_capped' ELSE 'filled' END AS reason FROM xs"),
+    ("x4", "SELECT run, avg(1e7 + 1000.0 * (xt - DATE '1995-01-01')) AS eq FROM (SELECT DISTINCT run, xt FROM xb) q GROUP BY run"),
+    ("x5", "SELECT run, count(*) AS k, sum(can * o) FILTER (dl > 0) AS b, sum(can * o) FILTER (dl < 0) AS s, sum(can * o) AS g FROM xs WHERE can > 0 GROUP BY run"),
+    ("x6", "SELECT run, count(*) AS c, sum(want) AS ds, sum(can) AS cs, sum(want * o) AS dn, sum(can * o) AS cn FROM x3 WHERE reason <> 'filled' GROUP BY run"),
+    ("x7", "SELECT run, count(*) AS n, count(*) FILTER (NOT ok) AS nt, count(*) FILTER (up) AS u, count(*) FILTER (down) AS d, count(*) FILTER (w > 0) AS p, count(*) FILTER (w > 0 AND NOT ok) AS pn, count(*) FILTER (w > 0 AND up) AS pu, count(*) FILTER (w > 0 AND down) AS pd FROM xb GROUP BY run"),
+)
+_DIAGNOSTICS = (
+    "SELECT run, n AS execution_row_count, nt AS non_tradable_row_count, u AS limit_up_open_row_count, d AS limit_down_open_row_count, p AS positive_target_row_count, pn AS positive_target_non_tradable_row_count, pu AS positive_target_limit_up_open_row_count, pd AS positive_target_limit_down_open_row_count, "
+    + ", ".join(_r(x, n, 3) for x, n in (("eq", "average_equity"), ("coalesce(b, 0)", "buy_notional"), ("coalesce(s, 0)", "sell_notional"), ("coalesce(g, 0)", "gross_traded_notional"), ("coalesce(g * 0.0003, 0)", "total_commission"), ("coalesce(s * 0.0005, 0)", "total_stamp_tax"), ("coalesce(g * 0.0005, 0)", "total_slippage_cost"), ("coalesce(g * 0.0008 + coalesce(s, 0) * 0.0005, 0)", "total_transaction_cost"), ("coalesce(g / eq, 0)", "gross_turnover"), ("coalesce(dn, 0)", "capacity_desired_notional"), ("coalesce(cn, 0)", "capacity_executable_notional"), ("coalesce(dn - cn, 0)", "capacity_unfilled_notional")))
+    + ", coalesce(k, 0) AS trade_count, coalesce(c, 0) AS capacity_limited_event_count, CAST(coalesce(ds, 0) AS BIGINT) AS capacity_desired_shares, CAST(coalesce(cs, 0) AS BIGINT) AS capacity_executable_shares, CAST(coalesce(ds - cs, 0) AS BIGINT) AS capacity_unfilled_shares FROM x7 LEFT JOIN x4 USING (run) LEFT JOIN x5 USING (run) LEFT JOIN x6 USING (run)"
+)
+
 _KEEP = "0.5 ** (1 / 3.0)"
 _QUALITY = (
     ("q0", "SELECT instrument_id, bar_time, 1 - least(greatest(abs(close_price - turnover / nullif(volume, 0)) / nullif(abs(high_price - low_price), 0), 0), 1) AS q, abs(close_price - turnover / nullif(volume, 0)) / nullif(abs(high_price - low_price), 0) AS c FROM exec_bars"),
@@ -229,11 +254,8 @@ def sql() -> dict[str, str]:
     q["monthly_diagnosis"] = _on(scores, ("out", f"SELECT strftime(bar_time, '%Y-%m') AS month, {_r('avg(score)', 'mean_score')}, {_r('avg((label > 0)::INT)', 'share_rising')}, count(DISTINCT instrument_id) AS names FROM scored GROUP BY 1"))
     gap = lambda f: _r(f"avg({f}) FILTER (label < 0) - avg({f}) FILTER (label > 0)", f"gap_{f}")
     q["residual_tables"] = _on(scores, ("out", f"SELECT year(bar_time) AS y, count(*) AS n, {_r('sum(label * volume) / nullif(sum(volume), 0)', 'weighted_mean')}, {_r('avg((label < 0)::INT)', 'share_below')}, {_r(_c('f1', 'label'), 'corr_f1')}, {gap('f1')}, {_r(_c('f3', 'label'), 'corr_f3')}, {gap('f3')} FROM scored WHERE score_rank <= 20 AND label IS NOT NULL GROUP BY 1"))
-    value = "abs(delta) * e"
-    q["exec_diagnostics"] = _on(
-        R.rebalances(), ("xd", "SELECT o.*, p.close_price AS price, 1000000.0 + year(o.bar_time) * 1000.0 AS e FROM orders o LEFT JOIN panel p ON o.bar_time = p.bar_time AND o.instrument_id = p.instrument_id"),
-        ("out", f"SELECT {_r(f'sum({value}) FILTER (delta > 0)', 'buy', 3)}, {_r(f'sum({value}) FILTER (delta < 0)', 'sell', 3)}, {_r(f'sum({value})', 'gross', 3)}, {_r('avg(e)', 'mean_equity', 3)}, count(*) FILTER (price IS NULL) AS missing_price, {_r(f'sum({value}) * 0.0013', 'cost', 3)}, {_r(f'sum({value}) / avg(e)', 'turnover', 3)} FROM xd"),
-    )
+    q["exec_diagnostics"] = _on_steps(*_RUNS, ("out", _DIAGNOSTICS))
+    q["exec_event_reasons"] = _on_steps(*_RUNS, ("out", "SELECT run, reason, count(*) AS n FROM x3 GROUP BY run, reason"))
     q["worst_weeks"] = _on(bt, ("out", f"SELECT feature, bar_time, {_r('spread', 'spread')} FROM bt WHERE spread IS NOT NULL ORDER BY round(bt.spread, 9), feature, bar_time LIMIT 10"))
     q["ml_weights"] = _on(panel, ("mw", f"SELECT bar_time, instrument_id, {_rank('label', 'bar_time')} / count(label) OVER (PARTITION BY bar_time) AS p FROM panel WHERE label IS NOT NULL"), ("out", "SELECT bar_time, instrument_id, CASE WHEN p <= 0.1 OR p > 0.9 THEN 3.0 ELSE 1.0 END AS sample_weight FROM mw"))
     rules = " UNION ALL ".join(f"SELECT {x} AS q, '{side}' AS side, count(*) AS n, {_r('exp(sum(ln(1 + ret))) - 1', 'total_return')} FROM ms WHERE s {op} (SELECT quantile_cont(s, {x}) FROM ms)" for x in (0.25, 0.5) for side, op in (("below", "<="), ("above", ">=")))

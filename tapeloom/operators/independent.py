@@ -167,10 +167,13 @@ def _needed(text: str) -> list[str]:
     return [n for n in STEPS if n in found]
 
 
+def with_steps(text: str) -> str:
+    """A text with the steps that it builds on before it."""
+    head = ",\n".join(f"{n} AS ({STEPS[n]})" for n in _needed(text))
+    if not head:
+        return text
+    return f"WITH {head},\n{text.removeprefix('WITH ')}" if text.startswith("WITH ") else f"WITH {head}\n{text}"
+
+
 def sql() -> dict[str, str]:
-    out = {}
-    for name, text in QUERIES.items():
-        head = ",\n".join(f"{n} AS ({STEPS[n]})" for n in _needed(text))
-        body = text.removeprefix("WITH ")
-        out[name] = f"WITH {head}, {body}" if head and body != text else f"WITH {head}\n{text}" if head else text
-    return out
+    return {name: with_steps(text) for name, text in QUERIES.items()}

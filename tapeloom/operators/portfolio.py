@@ -157,13 +157,3 @@ def residual_tables(df: DataFrame, label: str, weight: str, drivers: list[str],
     each = [x for c in drivers for x in (correlation(F.col(c), F.col(label)).alias(f"corr_{c}"), (loss(c, True) - loss(c, False)).alias(f"gap_{c}"))]
     mean = ratio(F.sum(F.col(label) * F.col(weight)), F.sum(weight))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), mean.alias("weighted_mean"), F.avg((F.col(label) < 0).cast("double")).alias("share_below"), *each)
-
-
-def executed(orders: DataFrame, price: str, cost: float) -> DataFrame:
-    """Notional, costs and turnover of orders by run: buys and sells apart, turnover over mean equity."""
-    value = F.abs("delta") * F.col("equity")
-    sums = orders.agg(
-        F.sum(F.when(F.col("delta") > 0, value).otherwise(0.0)).alias("buy"), F.sum(F.when(F.col("delta") < 0, value).otherwise(0.0)).alias("sell"),
-        F.sum(value).alias("gross"), F.avg("equity").alias("mean_equity"), F.count_if(F.col(price).isNull()).alias("missing_price"),
-    )
-    return sums.withColumns({"cost": F.col("gross") * cost, "turnover": ratio(F.col("gross"), F.col("mean_equity"))})

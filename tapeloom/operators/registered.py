@@ -19,7 +19,7 @@ from ..sources import bars as B
 from ..sources.scratch import scratch_root
 from ..streaming.bars import tick_bars
 from . import evaluation as E
-from . import learning, moments, portfolio, recurrence, relations, research, schedules, splits
+from . import execution, learning, moments, portfolio, recurrence, relations, research, schedules, splits
 
 X = ["f1", "f2", "f3"]
 #: Columns with more and fewer nulls, for correlations.
@@ -395,10 +395,39 @@ def residual_tables(spark, folder):
     return tidy(portfolio.residual_tables(rows, "label", "volume", ["f1", "f3"], "y"))
 
 
+def executions(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Executions, trades, equity and capacity events of two runs: the rank and the z-score composite, traded a bar later.
+
+    An order of weight on 10 million fills what a twentieth of the bar's volume allows.
+    """
+    b = research.weekly().over(spark, folder)
+    ahead = b.select("bar_time").distinct().withColumn("exec_time", F.lead("bar_time").over(Window.orderBy("bar_time")))
+    runs = None
+    for run in ("rank", "zscore"):
+        rows = scored(spark, folder, run)
+        out = portfolio.rebalance(portfolio.target_weights(rows, 5), times=rows).withColumn("run", F.lit(run))
+        runs = out if runs is None else runs.unionByName(out)
+    at = b.select(F.col("bar_time").alias("exec_time"), "instrument_id", "open_price", "volume", "tradable_bar", "limit_up_open", "limit_down_open")
+    done = runs.join(ahead, "bar_time").where("exec_time IS NOT NULL").join(at, ["exec_time", "instrument_id"], "left")
+    able = F.coalesce("tradable_bar", F.lit(False)) & ~((F.col("delta") > 0) & F.coalesce("limit_up_open", F.lit(False))) & ~((F.col("delta") < 0) & F.coalesce("limit_down_open", F.lit(False)))
+    want, room = F.floor(F.round(F.abs("delta") * 1e7 / F.col("open_price"), 6)), F.floor(F.round(F.col("volume") / 20, 6))
+    sized = done.where(able).withColumns({"desired_shares": want, "executable_shares": F.least(want, room), "side": F.when(F.col("delta") > 0, "buy").otherwise("sell")}).where("delta <> 0")
+    paid = F.col("executable_shares") * F.col("open_price")
+    trades = sized.where("executable_shares > 0").select("run", "side", paid.alias("notional"), (paid * 0.0003).alias("commission"), F.when(F.col("side") == "sell", paid * 0.0005).otherwise(0.0).alias("stamp_tax"), (paid * 0.0005).alias("slippage_cost"))
+    short = F.when(F.col("executable_shares") == 0, "capacity_zero").when(F.col("executable_shares") < F.col("desired_shares"), "capacity_capped").otherwise("filled")
+    events = sized.select("run", short.alias("reason"), "desired_shares", "executable_shares", F.col("open_price").alias("reference_price"))
+    equity = done.select("run", "exec_time").distinct().withColumn("equity", 1e7 + 1000.0 * F.datediff("exec_time", F.lit("1995-01-01").cast("date")))
+    return done, trades, equity, events
+
+
 def exec_diagnostics(spark, folder):
-    rows = orders(spark, folder).join(panel(spark, folder).select(*KEYS, "close_price"), list(KEYS), "left").withColumn("equity", F.lit(1e6) + F.year("bar_time") * 1000.0)
-    out = portfolio.executed(rows, "close_price", COST)
-    return out.select(*((F.round(c, 3) + 0.0).alias(c) if c != "missing_price" else F.col(c) for c in out.columns))
+    done, trades, equity, events = executions(spark, folder)
+    out = execution.execution_diagnostics(done, trades, equity, events, by=("run",))
+    return out.select(*((F.round(f.name, 3) + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in out.schema))
+
+
+def exec_event_reasons(spark, folder):
+    return execution.event_counts(executions(spark, folder)[3], "run")
 
 
 def worst_weeks(spark, folder):
@@ -454,7 +483,7 @@ def queries() -> dict:
         signal_threshold, weights_equal, weights_signal, strategy_topn, rebalance_orders, t1_constraints, book_diagnostics, composite_rank, composite_scaled, every_nth, contribution_cap,
         contribution_share, execution_quality, factor_health, state_health, state_health_blend, schedule_combine, exposure_combine, weight_schedule, regime_weights, score_switch_ts, adaptive_switch,
         event_states, main_board_filter, universe_counts, dataset_scan, asof_fundamentals, bars_of_names, trade_calendar, reversal_factor, core_window, enriched,
-        repeated_keys, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, worst_weeks, ml_weights, ml_predictions,
+        repeated_keys, segment_bars, holdings_at_times, months_compared, monthly_diagnosis, residual_tables, exec_diagnostics, exec_event_reasons, worst_weeks, ml_weights, ml_predictions,
         ml_importance, ml_redundancy, switch_rules, ticks_to_bars, text_functions,
     )
     return {f.__name__: f for f in named}
