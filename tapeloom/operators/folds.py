@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import div, lead, mean, quantile
+from ..functions.expr import lead, mean, quantile
 from ..plans.sql import Plan
 from . import research
 

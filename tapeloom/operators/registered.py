@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import boolean_text, clipped, ratio
-from ..plans.sql import Plan
 from ..sources import bars as B
 from ..sources.scratch import scratch_root
 from ..streaming.bars import tick_bars

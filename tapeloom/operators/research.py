@@ -7,7 +7,7 @@ All are plans over weekly supplier bars unless noted.  ``PANEL`` holds three fea
 from __future__ import annotations
 
 from ..functions import expr as E
-from ..functions.expr import avg_rank, clip, div, lag, lead, log1p, mean, pct_rank, rolling
+from ..functions.expr import avg_rank, clip, div, lag, lead, mean, pct_rank
 from ..plans.sql import Plan
 from ..sources import bars as B
 
