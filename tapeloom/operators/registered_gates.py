@@ -104,7 +104,7 @@ def hourly_scores(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
 def overlay_modes(spark, folder):
     """All modes; blend and penalty under the condition, the latter anchored to the day's first hour and sparse."""
     p, s, on = hourly_scores(spark, folder)
-    none, flag = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    none, flag = F.lit(None).cast("double"), F.lit(True)
     each = [
         overlays.overlay(p, s, 0.3, condition=on).select(*KEYS, F.lit("blend").alias("mode"), "score", flag.alias("entry_eligible"), none.alias("risk_penalty_bps")),
         overlays.overlay(p, s, 0.5, "downside_penalty", on, anchored=True, sparse=True, quantile=0.4).select(*KEYS, F.lit("downside_penalty"), "score", flag, none),
@@ -173,11 +173,11 @@ def sql() -> dict[str, str]:
         "q AS (SELECT *, quantile_cont(rs, 0.4) OVER (PARTITION BY t) AS q4, quantile_cont(rs, 0.3) OVER (PARTITION BY t) AS q3, quantile_cont(s0, 0.3) OVER (PARTITION BY t) AS q0, max(rp) FILTER (first_t) OVER (PARTITION BY CAST(t AS DATE), i) AS a FROM k)"
     )
     name = "t AS bar_time, i AS instrument_id"
-    empty = "CAST(NULL AS BOOLEAN) AS entry_eligible, CAST(NULL AS DOUBLE) AS risk_penalty_bps"
+    empty = "TRUE AS entry_eligible, CAST(NULL AS DOUBLE) AS risk_penalty_bps"
     return {
         "overlay_modes": f"WITH {hours} SELECT {name}, 'blend' AS mode, {r('CASE WHEN act THEN 0.7 * rp + 0.3 * rs ELSE rp END', 'score')}, {empty} FROM q"
         f" UNION ALL SELECT {name}, 'downside_penalty', {r('CASE WHEN act THEN coalesce(a, rp) - 0.5 * greatest(q4 - rs, 0) ELSE rp END', 'score')}, {empty} FROM q WHERE act OR first_t"
-        f" UNION ALL SELECT {name}, 'entry_exclusion', {r('rp', 'score')}, NOT rs < q3, NULL FROM q UNION ALL SELECT {name}, 'optimizer_risk_penalty', {r('p', 'score')}, NULL, {r('25 * greatest(q0 - s0, 0)', 'x')} FROM q",
+        f" UNION ALL SELECT {name}, 'entry_exclusion', {r('rp', 'score')}, NOT rs < q3, NULL FROM q UNION ALL SELECT {name}, 'optimizer_risk_penalty', {r('p', 'score')}, TRUE, {r('25 * greatest(q0 - s0, 0)', 'x')} FROM q",
         "overlay_limits": f"WITH {hours} SELECT {name}, {r('0.7 * rp + 0.3 * rs', 'score')}, {r('CASE WHEN s IS NULL THEN 1.0 ELSE greatest(s - 50, 0) END', 'optimizer_risk_penalty_bps')}, {r('CASE WHEN s IS NOT NULL THEN least(greatest(s / 80, 0), 1) END', 'max_target_weight')} FROM q",
         "score_health": on(scores, *week, ("out", f"SELECT bar_time, {', '.join(r(c, c) for c in ('volatility', 'breadth', 'market_return', 'rank_ic', 'top_label', 'spread', 'all_label'))} FROM wk")),
         "regime_state": on(scores, *regime, ("out", " UNION ALL ".join(f"SELECT bar_time, '{k}' AS selector, {r('lv', 'lagged_volatility')}, {r('lb', 'lagged_breadth')}, {r('hq', 'high_threshold')}, {r('lq', 'low_threshold')}, hv AS high_volatility, wb AS weak_breadth, {named(k)} AS regime FROM g3" for k in kinds))),
