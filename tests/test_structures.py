@@ -203,3 +203,19 @@ def test_unique_rows_fails_when_run(spark):
     assert relations.unique_rows(df, ["k", "v"]).count() == 3
     with pytest.raises(PySparkException):
         relations.unique_rows(df, ["k"]).collect()
+
+
+def test_six_digits_round_as_the_sql_engine(spark):
+    """Halves of the seventh digit, beside them, negative ones, large and missing values."""
+    import duckdb
+
+    from tapeloom.functions.columns import six_digits
+
+    rng = np.random.default_rng(5)
+    v = [s / 80 for s in (70.505, 20.075, 39.355, 55.425, 20.115, 47.925)] + [k / 80 for k in np.round(rng.uniform(-90, 90, 400), 3)] + [0.4999999e-6, 5e-7, -5e-7, 0.0, 1e17, -1e300, float("inf"), float("nan"), None]
+    rows = [(i, None if x is None else float(x)) for i, x in enumerate(v)]
+    got = {r.i: r.y for r in spark.createDataFrame(rows, "i int, x double").select("i", six_digits(F.col("x")).alias("y")).collect()}
+    want = dict(duckdb.execute("SELECT unnest(?), unnest(?::DOUBLE[])", [[i for i, _ in rows], [x for _, x in rows]]).fetchall())
+    want = {i: None if x is None else duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0::DOUBLE", [x]).fetchone()[0] for i, x in want.items()}
+    assert all(repr(got[i]) == repr(want[i]) for i in want), [(v[i], got[i], want[i]) for i in want if repr(got[i]) != repr(want[i])][:5]
+    assert sum(math.isfinite(x or 0) and round(x or 0, 6) != got[i] for i, x in rows) > 3
