@@ -219,3 +219,85 @@ def test_six_digits_round_as_the_sql_engine(spark):
     want = {i: None if x is None else duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0::DOUBLE", [x]).fetchone()[0] for i, x in want.items()}
     assert all(repr(got[i]) == repr(want[i]) for i in want), [(v[i], got[i], want[i]) for i in want if repr(got[i]) != repr(want[i])][:5]
     assert sum(math.isfinite(x or 0) and round(x or 0, 6) != got[i] for i, x in rows) > 3
+
+
+def _peaks(df) -> list[int]:
+    """Windows of each stage of a plan, which add up in a task."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    stages = [0]
+    for line in text.splitlines():
+        if "Exchange " in line:
+            stages.append(0)
+        elif "Window [" in line:
+            stages[-1] += 1
+    return stages
+
+
+def test_ranks_of_features_have_stages_of_their_own(spark):
+    from tapeloom.operators import portfolio
+
+    rows = spark.range(600).selectExpr("date_add(date'2020-01-01', int(id % 3)) AS bar_time", "string(id) AS instrument_id", *(f"rand({i}) AS x{i}" for i in range(6)))
+    for method in ("rank", "zscore"):
+        out = portfolio.composite(rows, {f"x{i}": 1.0 for i in range(6)}, method=method)
+        assert max(_peaks(out)) == 1 and out.count() == 600
+    folder = "/root/testdata/sf0.001"
+    for name in ("overlay_blend", "score_blend", "composite_zscore"):
+        from tapeloom import queries
+
+        assert max(_peaks(queries.queries()[name](spark, folder))) <= 2
+
+
+@pytest.mark.parametrize("nulls_first", [False, True])
+def test_percentile_ranks_across(spark, nulls_first):
+    from tapeloom.functions.columns import across, percent_rank
+
+    rng = np.random.default_rng(9)
+    rows = [(None if t == 3 else t, None if rng.random() < 0.2 else float(rng.integers(0, 9)) if t else 1.0) for t in range(5) for _ in range(60 if t < 4 else 1)]
+    df = spark.createDataFrame([(t, i, x) for i, (t, x) in enumerate(rows)], "t int, i int, x double")
+    out = across(df, "x", "t", rank="r", z="z", nulls_first=nulls_first).withColumn("want", percent_rank("x", "t")).collect()
+    assert len(out) == len(rows)
+    for t in {r.t for r in out}:
+        own = [r for r in out if r.t == t]
+        x = [r.x for r in own if r.x is not None]
+        nulls = len(own) - len(x)
+        for r in own:
+            if r.x is None:
+                assert r.z is None and (math.isclose(r.r, (nulls + 1) / 2 / len(x)) if nulls_first and x else r.r is None)
+                continue
+            assert math.isclose(r.r, r.want + (nulls / len(x) if nulls_first else 0))
+            assert (r.z is None) == (np.std(x) == 0) and (r.z is None or math.isclose(r.z, (r.x - np.mean(x)) / np.std(x), abs_tol=1e-9))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_policies_need_only_names_that_can_enter(spark, seed):
+    """Runs over all names give what runs over the names that are ever within reach give, universe gaps included."""
+    from tapeloom.operators import costaware, folds
+
+    rng = np.random.default_rng(seed)
+    times = [pd.Timestamp("2020-01-06") + pd.Timedelta(days=7 * i) for i in range(25)]
+    base = {f"n{k}": rng.normal() for k in range(60)}
+    rows = []
+    for t in times:
+        own = sorted(((round(base[n] + rng.normal() * 0.4, 2), n) for n in base if rng.random() < 0.8), key=lambda v: (-v[0], v[1]))
+        rows += [(t.date(), n, k + 1, float(s)) for k, (s, n) in enumerate(own)]
+    df = spark.createDataFrame(rows, "bar_time date, instrument_id string, score_rank int, score double")
+
+    def whole(module, runs, first):
+        held, out = {}, []
+        for t in times:
+            f = {n: (k, s) if first else {"score": s} for d, n, k, s in rows if d == t.date()}
+            said = module.decide(f, held, runs)
+            out += [(t.date(), n, v[0], round(v[1], 9)) for n, v in said.items()]
+            held = {n: folds.Held(v[1], held[n].bars + 1 if n in held else 0) for n, v in said.items() if v[1] > 1e-12}
+        return sorted(out)
+
+    got = folds.policy_targets(df, folds.POLICIES).collect()
+    for run, p in folds.POLICIES.items():
+        assert sorted((r.bar_time, r.instrument_id, r.action, r.target_weight) for r in got if r.run_id == run) == whole(folds, p, True)
+    got = costaware.targets(df.drop("score_rank"), costaware.RUNS).collect()
+    for run, p in costaware.RUNS.items():
+        assert sorted((r.bar_time, r.instrument_id, r.action, r.target_weight) for r in got if r.run_id == run) == whole(costaware, p, False)
