@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import percent_rank
+from ..sources.scratch import stored
 from .relations import leaking
 from .splits import Fold, walk_forward
 
@@ -57,8 +58,11 @@ def by_fold(df: DataFrame, folds: Iterable[Fold | tuple], features: list[str], l
 
     A fold with validation rows stops boosting when their error stops falling.  Every test row gets a prediction; a fold
     without test rows is passed over, one without training rows is an error.
+
+    Each fold reads the rows many times, so they are written once, as Parquet in the shared folder, and read from there.
     """
     out, importance = None, {}
+    df = stored(df, "folds")
     for fold in folds:
         fold = fold if isinstance(fold, Fold) else Fold(*fold)
         rows = walk_forward(df, [fold], label_end, embargo)

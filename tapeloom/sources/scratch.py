@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -16,3 +17,10 @@ def scratch_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it again, so that several passes over it don't compute it anew."""
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -301,3 +301,20 @@ def test_policies_need_only_names_that_can_enter(spark, seed):
     got = costaware.targets(df.drop("score_rank"), costaware.RUNS).collect()
     for run, p in costaware.RUNS.items():
         assert sorted((r.bar_time, r.instrument_id, r.action, r.target_weight) for r in got if r.run_id == run) == whole(costaware, p, False)
+
+
+def test_folds_compute_their_rows_once(spark):
+    from tapeloom.operators import learning, splits
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "bar_time date, instrument_id string, exit_time date, x double, label double"
+    rows = spark.range(1200).selectExpr("date_add(date'2020-01-01', int(id / 4)) AS bar_time", "string(id % 4) AS instrument_id", "date_add(date'2020-01-03', int(id / 4)) AS exit_time", "double(id % 17) AS x", "double(id % 17) / 10 AS label")
+    folds = [splits.Fold(str(m), f"2020-0{m}-01", f"2020-0{m}-28") for m in (4, 6, 8)]
+    out, found = learning.by_fold(rows.mapInPandas(count, schema), folds, ["x"], "label", rounds=2, depth=2)
+    assert out.count() == 4 * 28 * 3 and len(found) == 3 and seen.value == 1200
