@@ -70,7 +70,7 @@ def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct word hashes of each text, sorted, and how often each occurs, concatenated; and each text's number of them."""
     h, counts = C.word_hashes([t.lower() for t in texts])
     owner = np.repeat(np.arange(len(texts)), counts)
-    order = np.lexsort((h, owner))
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))) if len(texts) <= 1 << 16 else np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))) if len(h) else np.empty(0, np.int64)
     return h[cut], np.diff(np.concatenate((cut, [len(h)]))), np.bincount(owner[cut], minlength=len(texts))
@@ -83,7 +83,7 @@ class Bm25:
         self.n = len(each)
         doc = np.repeat(np.arange(self.n), each)
         sizes = np.bincount(doc, tf, minlength=self.n)
-        order = np.argsort(h, kind="stable")  # documents stay in order
+        order = np.argsort(h)
         new = np.concatenate(([True], h[order][1:] != h[order][:-1])) if len(h) else np.empty(0, bool)
         df = np.diff(np.concatenate((np.flatnonzero(new), [len(h)])))
         term = np.empty(len(h), np.int64)
@@ -154,12 +154,22 @@ def _content(texts: list[bytes]):
     return h, tf, each, *keys
 
 
-def _sampled(batches):
+def _slices(batches, text: int, most: int = 1 << 20, count: int = 20_000):
+    """Slices of about ``most`` bytes of text, and their texts: only those of a slice are Python objects at a time."""
     for batch in batches:
-        texts = C.encoded(batch.column(0).to_pylist())
-        for a, b in C.in_batches(texts):
-            *_, k1, k2 = _content(texts[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(k1), batch.column(1).slice(a, b - a)], names=["k1", "salt"])
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64) + 1)
+        begin = 0
+        while begin < batch.num_rows:
+            n = min(count, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most)) + 1 - begin)
+            part = batch.slice(begin, n)
+            yield part, C.encoded(part.column(text).to_pylist())
+            begin += n
+
+
+def _sampled(batches):
+    for part, texts in _slices(batches, 0):
+        *_, k1, k2 = _content(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(k1), part.column(1)], names=["k1", "salt"])
 
 
 def _bucket(bounds: tuple[np.ndarray, np.ndarray], k1: np.ndarray, salt: np.ndarray) -> np.ndarray:
@@ -173,16 +183,13 @@ def _bucket(bounds: tuple[np.ndarray, np.ndarray], k1: np.ndarray, salt: np.ndar
 def _read(shared):
     """Adds range, content keys and words to each document."""
     def read(batches):
-        for batch in batches:
-            texts = C.encoded(batch.column(1).to_pylist())
-            for a, b in C.in_batches(texts, 1 << 20):
-                h, tf, each, k1, k2 = _content(texts[a:b])
-                part = batch.slice(a, b - a)
-                bucket = _bucket(shared.value, k1, part.column(2).to_numpy())
-                ends = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
-                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32)))
-                cols = [part.column(0), part.column(1), pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), *lists]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _READ_SQL.split(", ")])
+        for part, texts in _slices(batches, 1):
+            h, tf, each, k1, k2 = _content(texts)
+            bucket = _bucket(shared.value, k1, part.column(2).to_numpy())
+            ends = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32)))
+            cols = [part.column(0), part.column(1), pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), *lists]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _READ_SQL.split(", ")])
 
     return read
 

@@ -589,3 +589,16 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     got = neardup.near_duplicates(docs).collect()
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter((i, None if i is None else 9 if i == 9 else 1) for i, _ in rows)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
+def test_packing_holds_a_slice_of_texts_at_a_time():
+    import pyarrow as pa
+
+    from tapeloom.llm import packing
+
+    texts = [None if i % 7 == 0 else "é" * (i % 50) for i in range(2000)] + ["x" * 9000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(packing._slices([batch.slice(0, 3), batch.slice(3), batch.slice(0, 0)], 1, most=4096, count=100))
+    assert [i for p, _ in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert [t for _, x in parts for t in x] == [(t or "").encode() for t in texts]
+    assert all(len(x) <= 100 and sum(len(t) + 1 for t in x[:-1]) < 4096 for _, x in parts)
