@@ -104,6 +104,30 @@ def test_rank_correlations_with_nulls(spark):
     _same(got, want)
 
 
+def test_ranks_with_frequent_values_move_rows_twice(spark):
+    rng = np.random.default_rng(12)
+    n = 4000
+    pdf = pd.DataFrame({"t": np.arange(n) % 3, "a": np.where(rng.random(n) < 0.6, 1.0, rng.normal(size=n)), "b": rng.integers(0, 5, n).astype(float), "c": np.repeat(2.0, n), "d": rng.normal(size=n)})
+    pdf["e"] = pdf.a + pdf.d
+    pdf.loc[(pdf.t == 1) & (rng.random(n) < 0.3), ["b", "e"]] = np.nan
+    pdf.loc[rng.random(n) < 0.2, "d"] = np.nan
+    names = list("abcde")
+    df = spark.createDataFrame(pdf.to_dict("records"), "t int, a double, b double, c double, d double, e double").select("t", *(F.nanvl(f, F.lit(None)).alias(f) for f in names), F.monotonically_increasing_id().alias("k"))
+    whole, merged = moments.rank_correlations(df, names, ["k"]), moments.merged_correlations(df, names, ["k"], F.col("t"))
+    for out, most in ((whole, 3), (merged, 6)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    ranks = pdf[names].rank().corr(min_periods=2)
+    _same({(r.a, r.b): r.value for r in whole.collect()}, {(a, b): ranks.loc[a, b] for a, b in pairs})
+    want = {}
+    for a, b in pairs:
+        each = [(len(g), g[a].rank().corr(g[b].rank())) for _, g in pdf.dropna(subset=[a, b]).groupby("t")]
+        each = [(k, v) for k, v in each if not pd.isna(v)]
+        if each:
+            want[a, b] = sum(k * v for k, v in each) / sum(k for k, _ in each)
+    _same({(r.a, r.b): r.value for r in merged.where("method = 'spearman'").collect()}, want)
+
+
 def test_many_columns_are_one_scan(spark):
     names = [f"c{i}" for i in range(60)]
     df = spark.range(200).select(F.col("id").alias("bar_time"), *(F.rand(i).alias(f) for i, f in enumerate(names)))
