@@ -104,6 +104,22 @@ def test_rank_correlations_with_nulls(spark):
     _same(got, want)
 
 
+def test_copies_of_entries_are_scored_once(spark):
+    """A named copy, copies of a proposal and all their pairs, from one pair of classes and its few names."""
+    rows = [(i, "f1", ["i0"], 12, ["word1"], "reject", [100] if i in (7, 100) else None) for i in range(150)]
+    rows += [(200 + i, None, ["i9"], None, ["word9"], "watchlist", [50] if i % 2 else None) for i in range(4)]  # only a name, below the least
+    rows += [(300, "f1", ["i7"], None, ["word2"], "watchlist", [50, 50])]
+    e = spark.createDataFrame(rows, "id long, family string, inputs array<string>, look int, keywords array<string>, status string, similar_to array<long>")
+    p = e.where("id IN (0, 50, 100)")
+    assert memory._candidates(*(t.where("id < 150").withColumn("cls", F.lit(0)).where("id = 0") for t in (p, e)), 0.5, 0.1).count() == 1
+    have = memory.research_matches(p, e).collect()
+    want = {(a[0], b[0]): _sim(a, b) for a in rows if a[0] in (0, 50, 100) for b in rows if a[0] != b[0]}
+    assert len(have) == len({(r.proposal, r.entry) for r in have})
+    assert {(r.proposal, r.entry): round(r.similarity, 9) for r in have} == {k: round(v, 9) for k, v in want.items() if v >= 0.35}
+    named = {(r.proposal, r.entry): r.matched for r in have if "similar_to" in r.matched}
+    assert named == {(100, 7): "family,required_inputs,lookback_bars,keywords,similar_to", (50, 300): "family,similar_to"}
+
+
 def test_ranks_with_frequent_values_move_rows_twice(spark):
     rng = np.random.default_rng(12)
     n = 4000
