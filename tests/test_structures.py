@@ -291,6 +291,19 @@ def test_ranks_of_features_have_stages_of_their_own(spark):
         assert max(_peaks(queries.queries()[name](spark, folder))) <= 2
 
 
+def test_cross_sections_are_dealt_to_many_tasks(spark):
+    """However few partitions a session has and however well rows pack, a task orders only a few timestamps."""
+    from tapeloom.functions.columns import across
+    from tapeloom.operators import research
+
+    rows = spark.range(40_000).selectExpr("int(id % 200) AS t", "double(id % 7) AS x")
+    for turn in (0, 1):
+        held = across(rows, "x", "t", rank="r", turn=turn).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("t").alias("n")).collect()
+        assert sum(r.n for r in held) == 200 and max(r.n for r in held) <= 10
+    held = research.scored(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("bar_time").alias("n")).collect()
+    assert max(r.n for r in held) <= 12
+
+
 @pytest.mark.parametrize("nulls_first", [False, True])
 def test_percentile_ranks_across(spark, nulls_first):
     from tapeloom.functions.columns import across, percent_rank
