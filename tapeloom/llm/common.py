@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this number are broadcast in semi and anti joins (8 bytes each); beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Counted rows of a few longs up to which the smaller side of another join is broadcast instead of shuffled.
+BROADCAST_ROWS = 100_000
 #: Text bytes of one group of documents that is handled as a unit by grouped-map functions.
 GROUP_BYTES = 8 << 20
 
@@ -47,11 +49,19 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi")
     return df.join(ids, id_col, how)
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+def few(df: DataFrame) -> bool:
+    """Whether a stored table has at most BROADCAST_ROWS rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str, salts: int, small: bool = False) -> DataFrame:
     """rows joined with values, which holds a key once; a key that many rows share is dealt to ``salts`` tasks by ``by``.
 
-    Values are copied only to the salts under which their key has rows.
+    Values are copied only to the salts under which their key has rows.  Values that are counted as few (``small``) are
+    broadcast, and rows stay where they are.
     """
+    if small:
+        return rows.join(F.broadcast(values), key)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     slots = salted.select(key, "__salt").distinct().join(values, key)
     return salted.join(slots, [key, "__salt"]).drop("__salt")

@@ -15,7 +15,8 @@ A node is a document id.  An id that repeats with different texts has several si
 if any of their texts are, and the classes that such an id belongs to are linked through it.
 
 Joins on a bucket, on the document that a large bucket is compared with, and on the centre of a large component are
-salted by the other side, with salts in proportion to the input, so no task gathers a hot key.
+salted by the other side, with salts in proportion to the input, so no task gathers a hot key.  Where the smaller side
+is counted as few rows, it is broadcast instead, so small tables don't pass through many shuffles.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ SHARP_MINIMA, SHARP_BITS, SHARP_MARGIN = 1024, 2, 0.07
 ROWS_PER_SALT, LEAST_SALTS, PAIRS_PER_SLOT = 20_000, 16, 250
 #: Comparisons of packed signatures in one residual round: for each class representative, and at least.
 PAIRS_PER_ROW, PAIRS_LEAST = 64, 4_000_000
+#: Tasks that counted few rows are packed into after a shuffle.
+PACKED = 12
+#: Longs of a signature that are compared by an expression each; more make a method that the JVM doesn't compile.
+LONGS_IN_LINE = 8
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 2**63, SHARP_MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,37 +175,49 @@ def estimated(x: Column, y: Column, minima: int = MINIMA, bits: int = BITS) -> C
     lanes = sum(1 << (bits * j) for j in range(64 // bits))
     lanes -= (1 << 64) if lanes >> 63 else 0
 
-    def unequal(i: int) -> Column:
-        d, shift = x[i].bitwiseXOR(y[i]), 1
+    def unequal(p: Column, q: Column) -> Column:
+        d, shift = p.bitwiseXOR(q), 1
         while shift < bits:
             d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
             shift *= 2
         return F.bit_count(d.bitwiseAND(F.lit(lanes).cast("long")))
 
-    differ = reduce(lambda p, q: p + q, (unequal(i) for i in range(minima * bits // 64)))
+    longs = minima * bits // 64
+    if longs <= LONGS_IN_LINE:
+        differ = reduce(lambda p, q: p + q, (unequal(x[i], y[i]) for i in range(longs)))
+    else:
+        differ = F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda total, n: total + n)
     chance = 2.0**-bits
     return (1.0 - differ / float(minima) - chance) / (1.0 - chance)
 
 
+def _packed_rows(df: DataFrame) -> DataFrame:
+    """Counted few rows in few tasks, however many partitions the session's shuffles have."""
+    return df.coalesce(PACKED)
+
+
 def components(edges: DataFrame, most_rounds: int = 60, salts: int = LEAST_SALTS) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component_id) with each component's smallest id.
 
     Alternates large-star and small-star steps until the edges no longer change; the rounds grow with the
-    logarithm of the input.  Only two aggregates of a round reach the driver.
+    logarithm of the input.  Only two aggregates of a round reach the driver.  No step makes more edges than there were.
     """
+    small_side = C.few(edges)
+    packed = _packed_rows if small_side else lambda df: df
+
     def linked(e: DataFrame) -> DataFrame:
         return e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def large(e: DataFrame) -> DataFrame:
         both = linked(e)
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return C.spread_join(both, least, "a", "b", salts).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = packed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        return C.spread_join(both, least, "a", "b", salts, small_side).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        moved = C.spread_join(down, least, "a", "b", salts).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+        least = packed(down.groupBy("a").agg(F.min("b").alias("m")))
+        moved = C.spread_join(down, least, "a", "b", salts, small_side).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return packed(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
 
     now, mark = C.stored(small(edges), "star"), None
     for _ in range(most_rounds):
@@ -212,7 +229,7 @@ def components(edges: DataFrame, most_rounds: int = 60, salts: int = LEAST_SALTS
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("id")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(roots.select("id", F.col("id").alias("component_id")))
+    return packed(now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(roots.select("id", F.col("id").alias("component_id"))))
 
 
 class _Linker:
@@ -223,20 +240,25 @@ class _Linker:
         self.floor = per_cent / 100 - MARGIN
         self.sigs = reps.select(F.col("doc_id").alias("id"), "sig")
         members = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id")).distinct()
-        shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
-        self.members = C.stored(C.spread_join(members, shared, "key", "id", salts), "buckets")
+        shared = C.stored(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1"), "shared")
+        self.few_keys = C.few(shared)
+        self.members = C.stored(C.spread_join(members, shared, "key", "id", salts, self.few_keys), "buckets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough; a text that has many pairs goes once to each of its slots."""
         pairs = C.stored(pairs, "pairs")
-        slots = max(1, pairs.count() // PAIRS_PER_SLOT)
+        n = pairs.count()
+        slots = max(1, n // PAIRS_PER_SLOT)
+        small = n <= C.BROADCAST_ROWS
+        narrow = (lambda df: F.broadcast(_packed_rows(df))) if small else lambda df: df
         pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(self.salts))), F.lit(slots)).cast("int"))
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = C.stored(C.only_ids(self.docs, ids, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]), "texts")
-        second = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
-        first = pairs.select("slot", "a").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+        second = narrow(pairs).join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+        first = narrow(pairs.select("slot", "a").distinct()).join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
         first = first.select(*(F.col(c).alias(f"{c}_") for c in ("slot", "a", "text")))
-        return second.groupBy("slot").cogroup(first.groupBy("slot_")).applyInArrow(_confirm(self.n, self.per_cent), "a long, b long").distinct()
+        out = second.groupBy("slot").cogroup(first.groupBy("slot_")).applyInArrow(_confirm(self.n, self.per_cent), "a long, b long").distinct()
+        return _packed_rows(out) if small else out
 
     def first(self) -> DataFrame:
         """Every bucket member against the smallest id of its bucket."""
@@ -252,7 +274,7 @@ class _Linker:
         """Adds ``odd`` to the members, once: outside the largest component that their bucket holds by now."""
         by = self.labelled(self.members, labels).groupBy("key", "comp").agg(F.count("*").alias("n"))
         top = by.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        rows = C.spread_join(self.labelled(self.members, labels), top.drop("comps"), "key", "id", self.salts)
+        rows = C.spread_join(self.labelled(self.members, labels), top.drop("comps"), "key", "id", self.salts, self.few_keys)
         rows = C.stored(rows.select("key", "id", "size", (F.col("comp") != F.col("top")).alias("odd")), "open")
         texts = C.only_ids(self.docs, rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
         sharp = texts.mapInArrow(_sharpen(self.n), "id long, k1 long, k2 long, sharp array<long>").dropDuplicates(["id", "k1", "k2"])
@@ -263,7 +285,7 @@ class _Linker:
         """Members of the buckets that hold several components."""
         rows = self.labelled(self.members, labels)
         several = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        return C.spread_join(rows, several, "key", "id", self.salts)
+        return C.spread_join(rows, several, "key", "id", self.salts, self.few_keys)
 
     def residual(self, open_: DataFrame, low: float, high: float) -> DataFrame:
         """Compares the odd members whose hash lies in [low, high) of all with all members of other components.
@@ -280,6 +302,11 @@ class _Linker:
         return self.confirmed(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def _labels(edges: DataFrame, salts: int) -> DataFrame:
+    out = C.stored(components(edges, salts=salts), "labels")
+    return F.broadcast(out) if C.few(out) else out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_cent: int = 85) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
@@ -300,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     salts = max(LEAST_SALTS, -(-size // ROWS_PER_SALT))
     linker = _Linker(base, reps, n, per_cent, salts)
     links = C.stored(linker.first().union(through), "links")
-    labels = C.stored(components(links, salts=salts), "labels")
+    labels = _labels(links, salts)
     budget = max(PAIRS_LEAST, PAIRS_PER_ROW * size)
     linker.mark_odd(labels)
     low = 0.0
@@ -313,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         high = 1.0 if high > 0.5 else high
         more = C.stored(linker.residual(open_, low, high), "links")
         if more.limit(1).count():
-            labels = C.stored(components(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(more), salts=salts), "labels")
+            labels = _labels(labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).where("a <> b").union(more), salts)
         low = high
     own = ids.join(labels, ids["rep"] == labels["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     comp = F.coalesce("component_id", "doc_id")

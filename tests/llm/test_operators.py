@@ -591,6 +591,45 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("few", [None, 0])
+def test_few_edges_stay_in_few_tasks(spark, monkeypatch, few):
+    """Components of counted few edges need few tasks whatever the session's partitions; many edges give the same."""
+    from pyspark.sql import functions as F
+
+    if few is not None:
+        monkeypatch.setattr(neardup.C, "BROADCAST_ROWS", few)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = [(i, i + 10) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000, 1059)]
+        out = neardup.components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.id: r.component_id for r in out.collect()} == {i: i % 10 for i in range(310)} | {i: 1000 for i in (*range(1000, 1060), 2000)}
+        if few is None:
+            assert out.select(F.spark_partition_id()).rdd.getNumPartitions() <= 12
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_estimates_of_long_signatures(spark, monkeypatch):
+    """Long signatures are compared element by element, with the numbers that an expression for each long gives."""
+    rows = [([(i * 0x9E3779B97F4A7C15 * (k + 1) % 2**64) - 2**63 for k in range(32)], [(i // 2 * 0x9E3779B97F4A7C15 * (k + 1) % 2**64) - 2**63 for k in range(32)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "p array<long>, q array<long>")
+    one = df.select(neardup.estimated(df.p, df.q, neardup.SHARP_MINIMA, neardup.SHARP_BITS))
+    monkeypatch.setattr(neardup, "LONGS_IN_LINE", 99)
+    two = df.select(neardup.estimated(df.p, df.q, neardup.SHARP_MINIMA, neardup.SHARP_BITS))
+    assert [r[0] for r in one.collect()] == [r[0] for r in two.collect()] and "aggregate(" in one.columns[0] + str(one._jdf.queryExecution().logical())
+
+
+def test_near_duplicates_with_and_without_broadcasts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = lambda: sorted(map(tuple, neardup.near_duplicates(docs).collect()))
+    one = rows()
+    monkeypatch.setattr(neardup.C, "BROADCAST_ROWS", 0)
+    assert one == rows()
+
+
 def test_packing_holds_a_slice_of_texts_at_a_time():
     import pyarrow as pa
 
