@@ -43,7 +43,7 @@ ROWS_PER_SALT, LEAST_SALTS, PAIRS_PER_SLOT = 20_000, 16, 250
 PAIRS_PER_ROW, PAIRS_LEAST = 64, 4_000_000
 #: Tasks that counted few rows are packed into after a shuffle.
 PACKED = 12
-#: Longs of a signature that are compared by an expression each; more make a method that the JVM doesn't compile.
+#: Longs of a signature that are compared by an expression each; 32 of them took three times as long so as by one aggregate.
 LONGS_IN_LINE = 8
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
