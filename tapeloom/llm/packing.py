@@ -3,10 +3,13 @@
 One pass over the texts gives each document its distinct words and a content key: two minima of its word hashes, so
 documents that share much of their words tend to have the same key.  Documents are dealt by ranges of content keys (whose
 bounds come from a bounded sample; a key that very many share is split by a hash of id and text) and sorted by them.  Each
-run of about SHARD_BYTES of text is tokenised and becomes a shard with a BM25 inverted index: a seed document opens a window, all its words query the index, and its best
+run of about SHARD_BYTES of text becomes a shard with a BM25 inverted index: a seed document opens a window, all its words query the index, and its best
 unused neighbours greedily fill the window, the last one being cut where the window is full; what is left of it seeds
 the next window.  Shards have the same size whatever the input, and hold neighbours in content at every size.  Windows go
 on from shard to shard; what remains at the end of a range is cut into powers of two, so no sequence needs padding.
+
+Texts are tokenised where they are read: documents are shuffled as ids and words in few bytes, and reach the packer a range
+at a time, so that no Arrow batch holds more than a range's documents.
 """
 
 from __future__ import annotations
@@ -14,11 +17,11 @@ from __future__ import annotations
 import json
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,7 +142,17 @@ def _order(index: Bm25, sizes: np.ndarray, length: int, filled: int = 0) -> list
 
 # ------------------------------------------------------------------------------------- Spark side
 _KEYS = [("k1", pa.int64()), ("k2", pa.int64()), ("salt", pa.int64())]
-_READ_SQL = "doc_id long, text string, bucket int, k1 long, k2 long, salt long, words array<long>, tf array<int>"
+_READ_SQL = "doc_id long, bucket int, k1 long, k2 long, salt long, size long, ids binary, words binary, tf binary"
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned numbers in the fewest bytes each, after a byte that tells how many."""
+    dtype = np.min_scalar_type(x.max(initial=0))
+    return bytes([dtype.itemsize]) + x.astype(f"<u{dtype.itemsize}").tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1)
 
 
 def _content(texts: list[bytes]):
@@ -180,15 +193,18 @@ def _bucket(bounds: tuple[np.ndarray, np.ndarray], k1: np.ndarray, salt: np.ndar
     return low
 
 
-def _read(shared):
-    """Adds range, content keys and words to each document."""
+def _read(shared, path: str, ranks_path: str | None):
+    """Each document's range, content keys, text bytes, ids, and words with their counts."""
     def read(batches):
         for part, texts in _slices(batches, 1):
             h, tf, each, k1, k2 = _content(texts)
             bucket = _bucket(shared.value, k1, part.column(2).to_numpy())
-            ends = pa.array(np.concatenate(([0], np.cumsum(each))).astype(np.int32))
-            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), tf.astype(np.int32)))
-            cols = [part.column(0), part.column(1), pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), *lists]
+            ids = (np.append(x, np.uint32(END)) for x in _tokens(path, ranks_path, ["" if t is None else t for t in part.column(1).to_pylist()]))
+            ends = np.concatenate(([0], np.cumsum(each)))
+            words = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(h.astype("<u8"))])
+            counts = (_narrow(tf[a:b]) for a, b in zip(ends[:-1], ends[1:]))
+            keys = [pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(k2), part.column(2), pa.array([len(t) for t in texts], pa.int64())]
+            cols = [part.column(0), *keys, pa.array(map(_narrow, ids), pa.binary()), words, pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _READ_SQL.split(", ")])
 
     return read
@@ -231,26 +247,25 @@ class _Windows:
         self.open, self.filled = [], 0
 
 
-def _pack(path: str, ranks_path: str | None, length: int, shard_bytes: int, with_ids: bool):
+def _pack(length: int, shard_bytes: int, with_ids: bool):
     def batch_of(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[]] * 8
         arrays = [pa.array(c, f.type) for c, f in zip(cols[: 8 if with_ids else 7], _PIECES_ARROW)]
         return pa.RecordBatch.from_arrays(arrays, names=_PIECES_ARROW.names[: len(arrays)])
 
     def shard(windows: _Windows, parts: list[pa.RecordBatch]):
-        texts = ["" if t is None else t for p in parts for t in p.column("text").to_pylist()]
-        doc_ids = [x for p in parts for x in p.column("doc_id").to_pylist()]
-        h, tf = (np.concatenate([np.empty(0, np.int64), *(p.column(c).flatten().to_numpy() for p in parts)]) for c in ("words", "tf"))
-        each = np.concatenate([np.empty(0, np.int64), *(np.asarray(p.column("words").value_lengths()) for p in parts)])
-        ids = [np.append(x, np.uint32(END)) for x in _tokens(path, ranks_path, texts)]
-        for i in _order(Bm25(h.view(np.uint64), tf, each), np.array([len(x) for x in ids], np.int64), length, windows.filled):
+        column = lambda name: [x for p in parts for x in p.column(name).to_pylist()]
+        doc_ids, ids, tf = column("doc_id"), [_wide(x) for x in column("ids")], [_wide(x) for x in column("tf")]
+        h = np.frombuffer(b"".join(column("words")), "<u8")
+        index = Bm25(h, np.concatenate([np.empty(0, np.int64), *tf]), np.array([len(x) for x in tf], np.int64))
+        for i in _order(index, np.array([len(x) for x in ids], np.int64), length, windows.filled):
             yield from windows.add(doc_ids[i], ids[i])
 
-    def pack(batches):
-        windows = _Windows(length, TaskContext.get().partitionId() << 32)
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _Windows(length, key[0].as_py() << 32)
         parts, held = [], 0
         for batch in batches:
-            sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)) + 1
+            sizes = batch.column("size").to_numpy() + 1
             begin = 0
             while begin < batch.num_rows:
                 room = np.searchsorted(np.cumsum(sizes[begin:]), shard_bytes - held) + 1
@@ -283,6 +298,6 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, ranks_path: str | None
     bounds = [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
     shared = docs.sparkSession.sparkContext.broadcast(tuple(np.array([k[i] for k in bounds], np.int64) for i in (0, 1)))
     width = max(2 * ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.mapInArrow(_read(shared), _READ_SQL).repartition(width, "bucket").sortWithinPartitions("bucket", "k1", "k2", "doc_id", "salt")
-    out = dealt.mapInArrow(_pack(tokenizer_path, ranks_path, length, SHARD_BYTES, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
+    dealt = rows.mapInArrow(_read(shared, tokenizer_path, ranks_path), _READ_SQL).repartition(width, "bucket").sortWithinPartitions("bucket", "k1", "k2", "doc_id", "salt")
+    out = dealt.groupBy("bucket").applyInArrow(_pack(length, SHARD_BYTES, with_ids), _PIECES + (", ids array<long>" if with_ids else ""))
     return out.withColumnRenamed("doc_id", id_col)

@@ -641,3 +641,30 @@ def test_packing_holds_a_slice_of_texts_at_a_time():
     assert [i for p, _ in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
     assert [t for _, x in parts for t in x] == [(t or "").encode() for t in texts]
     assert all(len(x) <= 100 and sum(len(t) + 1 for t in x[:-1]) < 4096 for _, x in parts)
+
+
+def test_packing_shuffles_few_bytes_and_packs_by_range(spark, monkeypatch):
+    """Rows take less than twice their texts (with texts and lists: 2.3 times), and whole ids come back where ranges are small."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    some = [f"{d.text} " for d in pd.read_parquet(f"{DATA}/documents.parquet").itertuples() if d.text]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(some)), "text": some, "salt": range(len(some))})
+    shared = SimpleNamespace(value=(np.empty(0, np.int64), np.empty(0, np.int64)))
+    got = list(packing._read(shared, path, ranks)([batch]))
+    assert sum(b.num_rows for b in got) == len(some)
+    assert sum(b.nbytes for b in got) < 2 * sum(len(t.encode()) for t in some)
+
+    monkeypatch.setattr(packing, "RANGE_BYTES", 20_000)
+    docs = spark.createDataFrame([*enumerate(some[:60] + ["", "a " * 300, "<|endoftext|> end"]), (99, None)], "doc_id long, text string")
+    pieces, buckets = defaultdict(list), set()
+    for r in packing.pack_sequences(docs, path, ranks, with_ids=True).collect():
+        pieces[r.doc_id].append((r.start, r.ids))
+        buckets.add(r.sequence_id >> 32)
+    tok = Tokenizer.from_file(path)
+    assert len(buckets) > 2
+    for i, t in docs.collect():
+        assert [x for _, ids in sorted(pieces[i]) for x in ids] == [*tok.encode(t or "", add_special_tokens=False).ids, 0]
