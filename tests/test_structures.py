@@ -120,6 +120,35 @@ def test_copies_of_entries_are_scored_once(spark):
     assert named == {(100, 7): "family,required_inputs,lookback_bars,keywords,similar_to", (50, 300): "family,similar_to"}
 
 
+def _sent_scans(df, name):
+    """Scans of a stored table's words below a broadcast, other than of its classes' first members."""
+    out, above = [], []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth] + [(depth, "BroadcastExchange" in line)]
+        if "FileScan" in line and f"/{name}-" in line and "= cls#" not in line and "keywords#" in line and any(sent for _, sent in above):
+            out.append(line)
+    return out
+
+
+def test_many_copies_of_entries_are_not_broadcast(spark):
+    """Their files are small, but 40,000 rows with their words aren't."""
+    words = F.array(*(F.lit(f"word{i}") for i in range(12)))
+    e = spark.range(40_000).select("id", F.lit("f1").alias("family"), F.array(F.lit("i0")).alias("inputs"), (F.col("id") % 2).cast("int").alias("look"), words.alias("keywords"), F.lit("reject").alias("status"), F.when(F.col("id") % 7 == 0, F.array(F.lit(50).cast("long"))).alias("similar_to"))
+    out = memory.research_matches(e.where("id IN (0, 50)"), e)
+    assert not _sent_scans(out, "entries")
+    got = {(r.proposal, r.named): (r.n, r.d) for r in out.groupBy("proposal", F.contains("matched", F.lit("similar_to")).alias("named")).agg(F.count("*").alias("n"), F.count_distinct("entry").alias("d")).collect()}
+    assert got == {(0, False): (39_999, 39_999), (50, True): (5715, 5715), (50, False): (34_284, 34_284)}
+
+
+@pytest.mark.parametrize("least", [0.2, 0.35])
+def test_shuffled_research_matches_against_all_pairs(spark, monkeypatch, least):
+    monkeypatch.setattr(memory, "SENT", 0)
+    monkeypatch.setattr(memory, "DEALT", 40)
+    test_research_matches_against_all_pairs(spark, least)
+    test_copies_of_entries_are_scored_once(spark)
+
+
 def test_ranks_with_frequent_values_move_rows_twice(spark):
     rng = np.random.default_rng(12)
     n = 4000
