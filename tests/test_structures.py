@@ -428,3 +428,57 @@ def test_memory_of_copies_loses_no_link(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     assert {(a, b): s for a, b, s in con.execute(queries.oracle_sql()["research_memory"]).fetchall()} == got
+
+
+def _odd_lines(spark, path):
+    """Lines with null suppliers and dates, ties, no quantity, and weeks that are missing."""
+    rng = np.random.default_rng(21)
+    day = pd.Timestamp("1995-01-02")
+    rows = []
+    for i in range(1200):
+        when = None if rng.random() < 0.03 else (day + pd.Timedelta(days=int(rng.integers(0, 120)))).to_pydatetime()
+        rows.append((int(i // 3), int(i % 3), int(rng.integers(0, 9)), None if rng.random() < 0.05 else int(rng.integers(0, 12)), None if rng.random() < 0.02 else float(rng.integers(-2, 40)) * 8, float(rng.choice([0, 1, 2, 4])), when))
+    rows += rows[:50]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("lines", [1_000_000, 50])
+def test_weekly_rows_equal_the_plan(spark, tmp_path, monkeypatch, lines):
+    from tapeloom.sources import bars as B
+
+    monkeypatch.setattr(B, "LINES", lines)
+    folder = _odd_lines(spark, tmp_path)
+    want, got = B.executable(B.weekly()).over(spark, folder), B.weekly_rows(spark, folder)
+    assert got.schema.simpleString() == want.schema.simpleString() and got.count() == want.count() > 150
+    assert got.where("limit_up_open").count() > 5 and got.where("bar_time IS NULL").count() > 5 and got.where("instrument_id IS NULL").count() > 5
+    assert got.exceptAll(want).count() == 0
+    some = spark.createDataFrame([("1",), ("7",), ("99",)], "instrument_id string")
+    few = B.weekly_rows(spark, folder, some)
+    assert few.count() == want.where("instrument_id IN ('1', '7')").count() > 10 and few.exceptAll(want).count() == 0
+    weeks = want.select("bar_time").distinct()
+    assert B.weeks(spark, folder).count() == weeks.count() and B.weeks(spark, folder).exceptAll(weeks).count() == 0
+
+
+def test_composites_of_one_stage_equal_each_alone(spark):
+    from tapeloom.operators import portfolio, registered
+
+    rows = registered.panel(spark, "/root/testdata/sf0.001").select("bar_time", "instrument_id", "f1", "f2", "f3")
+    both = portfolio.composites(rows, registered.WEIGHTS, {"a": "rank", "b": "zscore"}, apart=False)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert both.columns == [*rows.columns, "a", "b"] and plan.count("Exchange hashpartitioning") == 2  # lines, then bars
+    for name, method in (("a", "rank"), ("b", "zscore")):
+        one = portfolio.composite(rows, registered.WEIGHTS, method=method).withColumn("score", F.round("score", 10))
+        assert both.select(*rows.columns, F.round(name, 10)).exceptAll(one).count() == 0
+
+
+def _line_scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("sf0.001/lineitem.parquet")
+
+
+@pytest.mark.parametrize("name", ["exec_diagnostics"])
+def test_executions_are_made_once(spark, name):
+    from tapeloom.operators import registered
+
+    assert _line_scans(registered.queries()[name](spark, "/root/testdata/sf0.001")) == 0  # they are read from where they were stored
