@@ -477,7 +477,7 @@ def _line_scans(df):
     return df._jdf.queryExecution().executedPlan().toString().count("sf0.001/lineitem.parquet")
 
 
-@pytest.mark.parametrize("name", ["exec_diagnostics"])
+@pytest.mark.parametrize("name", ["exec_diagnostics", "exec_event_reasons"])
 def test_executions_are_made_once(spark, name):
     from tapeloom.operators import registered
 
