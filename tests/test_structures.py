@@ -482,3 +482,10 @@ def test_executions_are_made_once(spark, name):
     from tapeloom.operators import registered
 
     assert _line_scans(registered.queries()[name](spark, "/root/testdata/sf0.001")) == 0  # they are read from where they were stored
+
+
+@pytest.mark.parametrize("name", ["adaptive_switch", "months_compared"])
+def test_composites_of_a_switch_are_made_once(spark, name):
+    from tapeloom.operators import registered
+
+    assert _line_scans(registered.queries()[name](spark, "/root/testdata/sf0.001")) == 0
