@@ -489,3 +489,11 @@ def test_composites_of_a_switch_are_made_once(spark, name):
     from tapeloom.operators import registered
 
     assert _line_scans(registered.queries()[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+@pytest.mark.parametrize("name,scans", [("t1_constraints", 1), ("rebalance_orders", 0)])
+def test_orders_take_bars_of_their_names_only(spark, name, scans):
+    from tapeloom.operators import registered
+
+    out = registered.queries()[name](spark, "/root/testdata/sf0.001")
+    assert _line_scans(out) == scans == out._jdf.queryExecution().executedPlan().toString().count("LeftSemi")
